@@ -212,3 +212,379 @@ def q_dedup_verdicts(spark, sf):
     v = derived.url_variants(pages(spark, sf))
     return dedup_verdicts(v, "url", "seq").select(
         "seq", "url", "base_id", "hash_value", "normalized_url", "is_duplicate", "reason", "seen_count")
+
+
+# ------------------------------------------------------------ A2, A3, L2, J1
+
+from ..operators.dedup import dedup_stats, hot_urls, unseen, url_frequency  # noqa: E402
+
+
+def _verdicts_spark(spark, sf):
+    return dedup_verdicts(derived.url_variants(pages(spark, sf)), "url", "seq")
+
+
+@register("dedup_stats", f"""
+SELECT count(*) AS total_urls, count(*) FILTER (WHERE reason = 'Exact duplicate') AS duplicates,
+       count(*) FILTER (WHERE NOT is_duplicate) AS unique_urls, CAST(0 AS BIGINT) AS cache_evictions,
+       count(*) FILTER (WHERE NOT is_duplicate) AS cache_size
+FROM {_sql_verdicts()}
+""")
+def q_dedup_stats(spark, sf):
+    return dedup_stats(_verdicts_spark(spark, sf)).drop("timestamp")
+
+
+def _sql_frequency() -> str:
+    return (f"(SELECT hash_value AS url_hash, count(*) AS frequency, min(seq) AS first_seq, "
+            f"arg_min(normalized_url, seq) AS normalized_url FROM {_sql_verdicts()} WHERE hash_value <> '' GROUP BY hash_value)")
+
+
+def _frequency_spark(spark, sf):
+    v = _verdicts_spark(spark, sf).where(F.col("hash_value") != "").withColumnRenamed("hash_value", "url_hash")
+    return url_frequency(v, "url_hash", "seq", "normalized_url")
+
+
+@register("url_frequency", f"SELECT url_hash, frequency, first_seq, normalized_url FROM {_sql_frequency()}")
+def q_url_frequency(spark, sf):
+    return _frequency_spark(spark, sf)
+
+
+HOT_CAP = 1000
+
+
+@register("hot_urls", f"""
+SELECT url_hash, frequency, first_seq, normalized_url FROM (
+  SELECT *, row_number() OVER (ORDER BY frequency DESC, first_seq ASC) AS rn,
+         count(*) OVER () AS n_keys FROM {_sql_frequency()})
+WHERE n_keys < {HOT_CAP} OR rn <= {int(HOT_CAP * 0.75)}
+""")
+def q_hot_urls(spark, sf):
+    return hot_urls(_frequency_spark(spark, sf), cap=HOT_CAP)
+
+
+@register("unseen", f"""
+SELECT v.seq, v.url, v.hash_value AS url_hash FROM {_sql_verdicts()} v
+WHERE v.hash_value <> '' AND v.hash_value NOT IN (
+  SELECT sha256(d2) FROM {O.query_pass(O.normalize('pages', 'url', 'd1', 'pn'), 'd1', 'd2', 'pq')} WHERE d2 IS NOT NULL)
+""")
+def q_unseen(spark, sf):
+    from ..operators.dedup import dedup_key
+    v = _verdicts_spark(spark, sf).where(F.col("hash_value") != "") \
+        .select("seq", "url", F.col("hash_value").alias("url_hash"))
+    _, h = dedup_key("url")
+    hist = pages(spark, sf).select(h.alias("url_hash")).where(F.col("url_hash").isNotNull())
+    return unseen(v, hist, "url_hash")
+
+
+# ------------------------------------------------------------ page functions
+
+from ..functions.html import body_text, page_bytes, page_description, page_title  # noqa: E402
+from ..operators.documents import (all_documents, conform_or_reject, error_documents,  # noqa: E402
+                                   match_keywords, page_documents, with_keywords)
+from ..operators.stats import (crawl_stats, domain_summary, keyword_summary, proxy_health,  # noqa: E402
+                               sink_stats)
+
+# Keywords for the tag queries: words the generated prose holds, a phrase,
+# a word found only in head scripts, and one absent word.
+TAG_KEYWORDS = ("the", "der", "of the", "track", "Python")
+
+
+@register("page_titles", f"SELECT page_id, {O.title('html')} AS title FROM pages")
+def q_page_titles(spark, sf):
+    return pages(spark, sf).select("page_id", page_title("html").alias("title"))
+
+
+@register("page_descriptions", f"SELECT page_id, {O.description('html')} AS description FROM pages")
+def q_page_descriptions(spark, sf):
+    return pages(spark, sf).select("page_id", page_description("html").alias("description"))
+
+
+@register("page_sizes", "SELECT page_id, CAST(strlen(html) AS BIGINT) AS size_bytes, "
+                        "CAST(length(html) AS BIGINT) AS n_chars FROM pages")
+def q_page_sizes(spark, sf):
+    return pages(spark, sf).select("page_id", page_bytes("html").alias("size_bytes"),
+                                   F.length("html").cast("bigint").alias("n_chars"))
+
+
+def _sql_tags() -> str:
+    return (f"(SELECT page_id, url, {O.find_keywords('bt', TAG_KEYWORDS)} AS kw FROM "
+            f"(SELECT page_id, url, {O.body_text('html')} AS bt FROM pages))")
+
+
+@register("keyword_tags", f"SELECT page_id, array_to_string(kw, '|') AS keywords FROM {_sql_tags()}")
+def q_keyword_tags(spark, sf):
+    from ..functions.html import find_keywords
+    p = pages(spark, sf)
+    return p.select("page_id", F.array_join(find_keywords(body_text("html"), TAG_KEYWORDS), "|").alias("keywords"))
+
+
+def _docs_spark(spark, sf, keywords=TAG_KEYWORDS):
+    return page_documents(pages(spark, sf), keywords, derived.FIXED_NOW)
+
+
+@register("keyword_summary", f"SELECT k AS keyword, count(*) AS n_docs FROM (SELECT unnest(kw) AS k FROM {_sql_tags()}) GROUP BY k")
+def q_keyword_summary(spark, sf):
+    return keyword_summary(_docs_spark(spark, sf))
+
+
+@register("keyword_filter", f"""
+SELECT url, array_to_string(kw, '|') AS keywords FROM {_sql_tags()}
+WHERE list_contains(kw, 'the') AND list_contains(kw, 'der')
+""")
+def q_keyword_filter(spark, sf):
+    d = with_keywords(_docs_spark(spark, sf), ["the", "der"], mode="all")
+    return d.select("url", F.array_join("keywords", "|").alias("keywords"))
+
+
+@register("keyword_index", f"SELECT unnest(kw) AS keyword, page_id FROM {_sql_tags()}")
+def q_keyword_index(spark, sf):
+    from ..functions.html import find_keywords
+    p = pages(spark, sf).select("page_id", find_keywords(body_text("html"), TAG_KEYWORDS).alias("keywords"))
+    return p.select(F.explode("keywords").alias("keyword"), "page_id")
+
+
+@register("keyword_join", """
+SELECT page_id, array_to_string(list_sort(list_filter(kws, lambda k: instr(bt, lower(k)) > 0)), '|') AS keywords
+FROM (SELECT page_id, """ + O.body_text('html') + """ AS bt FROM pages),
+     (SELECT list(DISTINCT event_type) AS kws FROM events WHERE event_type IS NOT NULL)
+""")
+def q_keyword_join(spark, sf):
+    p = pages(spark, sf).select("page_id", body_text("html").alias("text"))
+    kw = read_table(spark, sf, "events").select("event_type")
+    return match_keywords(p, kw, "text").select("page_id", F.array_join("keywords", "|").alias("keywords"))
+
+
+# ------------------------------------------------------------ P2, P3 link filters
+
+from ..operators.links import allowed_only, deny_links  # noqa: E402
+
+ALLOWED_TEST = ("example.com",)
+
+
+@register("allowed_only", f"""
+SELECT page_id, pos, url FROM {O.authority(sql_links(), 'url', 'au', 'al')}
+WHERE lower(au) <> '' AND (lower(au) = 'example.com' OR ends_with(lower(au), '.example.com'))
+""")
+def q_allowed_only(spark, sf):
+    return allowed_only(extract_links(pages(spark, sf)), ALLOWED_TEST).select("page_id", "pos", "url")
+
+
+@register("allowed_only_table", f"""
+SELECT page_id, pos, url FROM {O.authority(sql_links(), 'url', 'au', 'al')}
+WHERE lower(au) IN (SELECT lower(a2) FROM {O.authority('pages', 'url', 'a2', 'ap')})
+""")
+def q_allowed_only_table(spark, sf):
+    p = pages(spark, sf)
+    allow = p.select(url_authority("url").alias("domain"))
+    return allowed_only(extract_links(p), allow).select("page_id", "pos", "url")
+
+
+@register("deny_links", f"""
+SELECT seq, url FROM {sql_url_variants()}
+WHERE NOT regexp_matches(url, '.*\\.(pdf|zip|rar|tar|gz|doc|docx|xls|xlsx|jpg|jpeg|png|gif|mp4|mp3)$')
+""")
+def q_deny_links(spark, sf):
+    return deny_links(derived.url_variants(pages(spark, sf)).select("seq", "url"))
+
+
+# ------------------------------------------------------------ documents
+
+def sql_fetch_log() -> str:
+    st = "[" + ", ".join(str(s) for s in derived.STATUS_BY_DIGIT) + "]"
+    return (f"(SELECT e.event_id, CAST(e.event_id % 3 AS VARCHAR) AS run_id, p.url, "
+            f"'http://proxy' || CAST(e.user_id % 5 AS VARCHAR) AS proxy_address, "
+            f"CAST(CASE WHEN e.event_type = 'error' THEN NULL ELSE {st}[e.event_id % 10 + 1] END AS INTEGER) AS status, "
+            f"e.value AS response_ms, e.ts AS ts, "
+            f"CAST(row_number() OVER (PARTITION BY p.url ORDER BY e.ts, e.event_id) AS INTEGER) AS attempt, "
+            f"CASE WHEN e.event_type = 'error' THEN 'timeout' END AS error "
+            f"FROM events e JOIN pages p ON p.page_id = e.event_id % (SELECT count(*) FROM pages))")
+
+
+def fetch_log_spark(spark, sf):
+    p = pages(spark, sf)
+    return derived.fetch_log(read_table(spark, sf, "events"), p)
+
+
+NOW_SQL = f"TIMESTAMP '{derived.FIXED_NOW}'"
+
+
+def _sql_page_docs() -> str:
+    s = O.normalize("pages", "url", "normalized_url", "dn")
+    s = O.authority(s, "url", "domain", "da")
+    return (f"(SELECT url, sha256(normalized_url) AS url_hash, normalized_url, domain, CAST(NULL AS VARCHAR) AS source_url, "
+            f"0 AS depth, array_to_string({O.find_keywords(O.body_text('html'), TAG_KEYWORDS)}, '|') AS keywords, "
+            f"{O.title('html')} AS title, {O.description('html')} AS description, CAST(NULL AS INTEGER) AS status_code, "
+            f"CAST(NULL AS VARCHAR) AS content_type, {NOW_SQL} AS timestamp, {NOW_SQL} AS last_checked, "
+            f"TRUE AS is_active, 0 AS error_count, CAST(strlen(html) AS BIGINT) AS size, "
+            f"CAST(NULL AS VARCHAR) AS error, CAST(NULL AS VARCHAR) AS error_type FROM {s})")
+
+
+def _flat(docs):
+    return docs.select("url", "url_hash", "normalized_url", "domain", "source_url", "depth",
+                       F.array_join("keywords", "|").alias("keywords"), "title", "description",
+                       "status_code", "content_type", "timestamp", "last_checked", "is_active", "error_count",
+                       F.col("metadata.size").alias("size"), F.col("metadata.error").alias("error"),
+                       F.col("metadata.error_type").alias("error_type"))
+
+
+DOC_COLS = ("url, url_hash, normalized_url, domain, source_url, depth, keywords, title, description, status_code, "
+            "content_type, timestamp, last_checked, is_active, error_count, size, error, error_type")
+
+
+@register("documents", f"SELECT {DOC_COLS} FROM {_sql_page_docs()}")
+def q_documents(spark, sf):
+    return _flat(_docs_spark(spark, sf))
+
+
+def _sql_error_docs() -> str:
+    f = (f"(SELECT * FROM {sql_fetch_log()} WHERE error IS NOT NULL OR "
+         f"(status IS NOT NULL AND NOT (status BETWEEN 200 AND 299)))")
+    s = O.normalize(f, "url", "normalized_url", "en")
+    s = O.authority(s, "url", "domain", "ea")
+    return (f"(SELECT url, sha256(normalized_url) AS url_hash, normalized_url, domain, CAST(NULL AS VARCHAR) AS source_url, "
+            f"0 AS depth, '' AS keywords, CAST(NULL AS VARCHAR) AS title, CAST(NULL AS VARCHAR) AS description, "
+            f"status AS status_code, CAST(NULL AS VARCHAR) AS content_type, ts AS timestamp, ts AS last_checked, "
+            f"FALSE AS is_active, 1 AS error_count, CAST(NULL AS BIGINT) AS size, "
+            f"coalesce(error, 'HTTP status ' || CAST(status AS VARCHAR)) AS error, "
+            f"CASE WHEN error IS NOT NULL THEN 'FetchError' ELSE 'HttpError' END AS error_type FROM {s})")
+
+
+def _error_docs_spark(spark, sf):
+    return error_documents(fetch_log_spark(spark, sf), derived.FIXED_NOW)
+
+
+@register("error_documents", f"SELECT {DOC_COLS} FROM {_sql_error_docs()}")
+def q_error_documents(spark, sf):
+    return _flat(_error_docs_spark(spark, sf))
+
+
+def _sql_all_docs() -> str:
+    return f"(SELECT {DOC_COLS} FROM {_sql_page_docs()} UNION ALL SELECT {DOC_COLS} FROM {_sql_error_docs()})"
+
+
+def _all_docs_spark(spark, sf):
+    return all_documents(_docs_spark(spark, sf), _error_docs_spark(spark, sf))
+
+
+@register("all_documents", f"SELECT url_hash, domain, status_code, is_active, error_count, error_type FROM {_sql_all_docs()}")
+def q_all_documents(spark, sf):
+    return _flat(_all_docs_spark(spark, sf)).select("url_hash", "domain", "status_code", "is_active",
+                                                    "error_count", "error_type")
+
+
+def _sql_variant_docs() -> str:
+    s = O.normalize(sql_url_variants(), "url", "normalized_url", "vn")
+    s = O.authority(s, "url", "domain", "va")
+    return f"(SELECT seq, url, sha256(normalized_url) AS url_hash, normalized_url, domain FROM {s})"
+
+
+def _variant_docs_spark(spark, sf):
+    v = derived.url_variants(pages(spark, sf))
+    n = normalize_url("url")
+    return v.select("seq", "url", url_hash(n).alias("url_hash"), n.alias("normalized_url"),
+                    url_authority("url").alias("domain"))
+
+
+@register("rejects", f"""
+SELECT seq, url, CASE WHEN url IS NULL THEN 'missing url'
+  WHEN NOT regexp_matches(url, '^(?i)https?://[^/?#\\s]+') THEN 'url is not an http(s) URL'
+  WHEN length(url) > 2083 THEN 'url longer than 2083 characters'
+  WHEN url_hash IS NULL THEN 'missing url_hash' WHEN normalized_url IS NULL THEN 'missing normalized_url'
+  WHEN domain IS NULL THEN 'missing domain' ELSE '' END AS reason
+FROM {_sql_variant_docs()} WHERE reason <> ''
+""")
+def q_rejects(spark, sf):
+    _, rejected = conform_or_reject(_variant_docs_spark(spark, sf))
+    return rejected.select("seq", "url", "reason")
+
+
+@register("sink_stats", f"""
+SELECT count(DISTINCT url_hash) FILTER (WHERE ok) AS processed,
+       count(*) FILTER (WHERE ok) - count(DISTINCT url_hash) FILTER (WHERE ok) AS dropped,
+       count(*) FILTER (WHERE NOT ok) AS errors
+FROM (SELECT url_hash, (url IS NOT NULL AND regexp_matches(url, '^(?i)https?://[^/?#\\s]+') AND length(url) <= 2083
+       AND url_hash IS NOT NULL AND normalized_url IS NOT NULL AND domain IS NOT NULL) AS ok FROM {_sql_variant_docs()})
+""")
+def q_sink_stats(spark, sf):
+    return sink_stats(_variant_docs_spark(spark, sf))
+
+
+# ------------------------------------------------------------ A4, A5, A7 stats
+
+def _sql_keyed_fetch_log() -> str:
+    s = O.normalize(sql_fetch_log(), "url", "fn", "fk")
+    return f"(SELECT *, sha256(fn) AS h FROM {s})"
+
+
+@register("crawl_stats", f"""
+SELECT run_id, min(ts) AS start_time, max(ts) AS end_time,
+  count(*) FILTER (WHERE status BETWEEN 200 AND 299) AS urls_processed,
+  count(*) FILTER (WHERE error IS NOT NULL OR (status IS NOT NULL AND NOT (status BETWEEN 200 AND 299))) AS urls_failed,
+  count(DISTINCT h) AS new_urls_found, count(*) - count(DISTINCT h) AS duplicate_urls, count(*) AS total_requests,
+  round(avg(response_ms), 6) AS average_response_time,
+  array_to_string(list_sort(list(DISTINCT error) FILTER (WHERE error IS NOT NULL)), '|') AS errors, '' AS keywords
+FROM {_sql_keyed_fetch_log()} GROUP BY run_id
+""")
+def q_crawl_stats(spark, sf):
+    s = crawl_stats(fetch_log_spark(spark, sf))
+    return s.select("run_id", "start_time", "end_time", "urls_processed", "urls_failed", "new_urls_found",
+                    "duplicate_urls", "total_requests", F.round("average_response_time", 6).alias("average_response_time"),
+                    F.array_join("errors", "|").alias("errors"), F.array_join("keywords", "|").alias("keywords"))
+
+
+@register("proxy_health", f"""
+SELECT proxy_address, count(*) FILTER (WHERE status BETWEEN 200 AND 299) AS success_count,
+  count(*) FILTER (WHERE error IS NOT NULL OR (status IS NOT NULL AND NOT (status BETWEEN 200 AND 299))) AS failure_count,
+  round(avg(response_ms), 6) AS average_response_time, max(ts) AS last_used,
+  NOT coalesce(bool_or(status IN (403, 429)), FALSE) AS is_active,
+  array_to_string(list_sort(list(DISTINCT error) FILTER (WHERE error IS NOT NULL)), '|') AS error_messages
+FROM {sql_fetch_log()} GROUP BY proxy_address
+""")
+def q_proxy_health(spark, sf):
+    s = proxy_health(fetch_log_spark(spark, sf))
+    return s.select("proxy_address", "success_count", "failure_count",
+                    F.round("average_response_time", 6).alias("average_response_time"), "last_used", "is_active",
+                    F.array_join("error_messages", "|").alias("error_messages"))
+
+
+@register("domain_summary", f"""
+SELECT domain, count(*) AS n_docs, min(timestamp) AS first_seen, max(timestamp) AS last_seen
+FROM {_sql_all_docs()} GROUP BY domain
+""")
+def q_domain_summary(spark, sf):
+    return domain_summary(_all_docs_spark(spark, sf))
+
+
+# ------------------------------------------------------------ G4, G5 queues
+
+from ..operators.frontier import recrawl_due, retry_queue  # noqa: E402
+
+
+def _sql_last_fetch() -> str:
+    order = "{'t': ts, 'a': attempt}"
+    k = f"(SELECT *, {order} AS o FROM {_sql_keyed_fetch_log()} WHERE fn IS NOT NULL)"
+    ok = f"(SELECT h AS okh, max(CASE WHEN status BETWEEN 200 AND 299 THEN o END) AS okv FROM {k} GROUP BY h)"
+    return (f"(SELECT h AS url_hash, arg_min(url, o) AS url, count(*) AS attempts, "
+            f"count(*) FILTER (WHERE okv IS NULL OR o > okv) AS trailing_failures, "
+            f"arg_max_null(status, o) AS last_status, arg_max_null(error, o) AS last_error, max(ts) AS last_ts, "
+            f"max(okv.t) AS last_ok_ts FROM {k} JOIN {ok} ON okh = h GROUP BY h)")
+
+
+@register("retry_queue", f"""
+SELECT url_hash, url, attempts, trailing_failures, last_status, last_error, last_ts, trailing_failures + 1 AS next_attempt
+FROM {_sql_last_fetch()}
+WHERE (last_status IN (500, 502, 503, 504, 408, 429) OR (last_status IS NULL AND last_error IS NOT NULL))
+  AND trailing_failures <= 3
+""")
+def q_retry_queue(spark, sf):
+    return retry_queue(fetch_log_spark(spark, sf))
+
+
+@register("recrawl_due", f"""
+SELECT url_hash, url, last_status, last_ts, last_ok_ts, reason FROM (
+  SELECT *, CASE WHEN last_status IN (401, 403, 404, 429, 500, 502, 503, 504) THEN 'not cacheable'
+    WHEN last_status IS NULL AND last_error IS NOT NULL THEN 'failed'
+    WHEN last_ok_ts IS NULL OR last_ok_ts + INTERVAL 86400 SECOND <= {NOW_SQL} THEN 'expired' END AS reason
+  FROM {_sql_last_fetch()}) WHERE reason IS NOT NULL
+""")
+def q_recrawl_due(spark, sf):
+    return recrawl_due(fetch_log_spark(spark, sf), derived.FIXED_NOW)
