@@ -588,3 +588,176 @@ SELECT url_hash, url, last_status, last_ts, last_ok_ts, reason FROM (
 """)
 def q_recrawl_due(spark, sf):
     return recrawl_due(fetch_log_spark(spark, sf), derived.FIXED_NOW)
+
+
+# ------------------------------------------------------------ G1, G2 BFS
+
+from ..operators.frontier import cap, expand, frontier_batch  # noqa: E402
+from ..spec import HarvestSpec  # noqa: E402
+
+
+def _edges_spark(spark, sf):
+    p = pages(spark, sf)
+    return derived.link_table(p, derived.page_edges(p))
+
+
+def _seeds_spark(spark, sf):
+    """One entry page per site: the smallest page id of every canonical host."""
+    p = pages(spark, sf).select("page_id", "url", canonical_domain("url").alias("host"))
+    return (p.groupBy("host").agg(F.min_by("url", "page_id").alias("url"), F.min("page_id").alias("seq"))
+            .select("seq", "url"))
+
+
+def _bfs_spark(spark, sf, depth):
+    spec = HarvestSpec(allowed_domains=None, max_depth=depth)
+    return expand(_seeds_spark(spark, sf), _edges_spark(spark, sf), spec).nodes
+
+
+def sql_bfs_ctes(depth: int) -> str:
+    """CTEs ``e`` (filtered edges), ``seeds``, ``walk`` and ``nodes`` for a BFS to ``depth``."""
+    n = (f"(SELECT (SELECT count(*) FROM pages) AS n)")
+    lk = (f"(SELECT ps.url AS src_url, pd.url AS dst_url, CAST(k AS INTEGER) AS pos FROM pages ps, "
+          f"(SELECT range AS k FROM range(0, 3)) kk, {n} nn, pages pd "
+          f"WHERE pd.page_id = (ps.page_id * 3 + k * 7 + 1) % nn.n)")
+    s = O.validate(lk, "dst_url", "ok", "why", "bv")
+    s = f"(SELECT * FROM {s} WHERE ok AND NOT regexp_matches(dst_url, '.*\\.(pdf|zip|rar|tar|gz|doc|docx|xls|xlsx|jpg|jpeg|png|gif|mp4|mp3)$'))"
+    s = O.normalize(s, "dst_url", "dst_norm", "bd")
+    s = O.normalize(s, "src_url", "src_norm", "bs")
+    e = (f"SELECT sha256(src_norm) AS src_hash, sha256(dst_norm) AS dst_hash, dst_url, dst_norm, src_url, pos "
+         f"FROM {s} WHERE dst_norm IS NOT NULL AND src_norm IS NOT NULL")
+    sd = O.domain("pages", "url", "host", "sh")
+    sd = f"(SELECT arg_min(url, page_id) AS url FROM {sd} GROUP BY host)"
+    sd = O.normalize(sd, "url", "nurl", "sn")
+    seeds = (f"SELECT sha256(nurl) AS url_hash, min(url) AS url, arg_min(nurl, url) AS normalized_url "
+             f"FROM {sd} WHERE nurl IS NOT NULL GROUP BY sha256(nurl)")
+    return (f"WITH RECURSIVE e AS ({e}), seeds AS ({seeds}), "
+            f"walk(node, depth) AS (SELECT url_hash, 0 FROM seeds UNION ALL "
+            f"SELECT e.dst_hash, w.depth + 1 FROM walk w JOIN e ON e.src_hash = w.node WHERE w.depth < {depth}), "
+            f"mind AS (SELECT node, min(depth) AS d FROM walk GROUP BY node), "
+            f"ref AS (SELECT e.dst_hash, arg_min({{'u': e.dst_url, 'n': e.dst_norm, 's': e.src_url, 'h': e.src_hash}}, "
+            f"{{'h': e.src_hash, 'p': e.pos}}) AS b FROM e JOIN mind pm ON pm.node = e.src_hash "
+            f"JOIN mind cm ON cm.node = e.dst_hash WHERE pm.d = cm.d - 1 GROUP BY e.dst_hash), "
+            f"nodes AS (SELECT url_hash, url, normalized_url, 0 AS depth, CAST(NULL AS VARCHAR) AS source_url, "
+            f"CAST(NULL AS VARCHAR) AS source_hash FROM seeds UNION ALL "
+            f"SELECT m.node, r.b.u, r.b.n, m.d, r.b.s, r.b.h FROM mind m JOIN ref r ON r.dst_hash = m.node WHERE m.d > 0) ")
+
+
+@register("expand_bfs", sql_bfs_ctes(3) + "SELECT url_hash, url, normalized_url, depth, source_url, source_hash FROM nodes")
+def q_expand_bfs(spark, sf):
+    return _bfs_spark(spark, sf, 3)
+
+
+@register("expand_once", sql_bfs_ctes(1) + "SELECT url_hash, url, normalized_url, depth, source_url, source_hash FROM nodes")
+def q_expand_once(spark, sf):
+    return _bfs_spark(spark, sf, 1)
+
+
+# ------------------------------------------------------------ W3, G6, L1
+
+def _sql_batch(per_host: int, total: int | None) -> str:
+    s = O.hostname("pages", "url", "host", "fh")
+    ranked = (f"(SELECT page_id AS seq, url, host, CAST(row_number() OVER (PARTITION BY host ORDER BY page_id) AS INTEGER) "
+              f"AS host_rank FROM {s})")
+    body = (f"SELECT seq, url, host, host_rank, {NOW_SQL} + to_microseconds(CAST((host_rank - 1) * 500000 AS BIGINT)) "
+            f"AS not_before FROM {ranked} WHERE host_rank <= {per_host}")
+    if total is not None:
+        body += f" ORDER BY seq, host LIMIT {total}"
+    return body
+
+
+def _batch_spark(spark, sf, per_host, total):
+    p = pages(spark, sf).select(F.col("page_id").alias("seq"), "url", F.lit(0).alias("depth"))
+    b = frontier_batch(p, per_host=per_host, total=total, now=derived.FIXED_NOW)
+    return b.select("seq", "url", "host", F.col("host_rank").cast("int").alias("host_rank"), "not_before")
+
+
+@register("frontier_batch", _sql_batch(16, 32))
+def q_frontier_batch(spark, sf):
+    return _batch_spark(spark, sf, 16, 32)
+
+
+@register("frontier_hosts", _sql_batch(2, None))
+def q_frontier_hosts(spark, sf):
+    return _batch_spark(spark, sf, 2, None)
+
+
+@register("cap", f"SELECT url_hash, normalized_url, url, page_id, seq FROM {_sql_unique_links()} ORDER BY seq, url_hash LIMIT 100")
+def q_cap(spark, sf):
+    return cap(_unique_links_spark(spark, sf), 100)
+
+
+# ------------------------------------------------------------ Q1-Q4 look-ups, K1, K8
+
+from ..operators.store import (UrlStore, append_unique, by_domain, by_hash, by_keyword,  # noqa: E402
+                               by_time, found_urls)
+
+
+def _lookup_cols(d):
+    return _flat(d).select("url_hash", "url", "domain", "timestamp", "status_code", "keywords")
+
+
+LOOKUP_SQL_COLS = "url_hash, url, domain, timestamp, status_code, keywords"
+
+
+@register("by_hash", f"""
+SELECT {LOOKUP_SQL_COLS} FROM {_sql_all_docs()} WHERE url_hash IN (
+  SELECT url_hash FROM {_sql_last_fetch()}
+  WHERE (last_status IN (500, 502, 503, 504, 408, 429) OR (last_status IS NULL AND last_error IS NOT NULL))
+    AND trailing_failures <= 3)
+""")
+def q_by_hash(spark, sf):
+    keys = retry_queue(fetch_log_spark(spark, sf)).select("url_hash")
+    return _lookup_cols(by_hash(_all_docs_spark(spark, sf), keys))
+
+
+@register("by_domain", f"""
+SELECT {LOOKUP_SQL_COLS} FROM {_sql_all_docs()} WHERE domain = (
+  SELECT domain FROM {_sql_all_docs()} GROUP BY domain ORDER BY count(*) DESC, domain LIMIT 1)
+""")
+def q_by_domain(spark, sf):
+    docs = _all_docs_spark(spark, sf)
+    top = (docs.groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
+           .orderBy(F.col("n").desc(), F.col("domain")).limit(1).select("domain"))
+    return _lookup_cols(docs.join(top, "domain", "left_semi"))
+
+
+@register("by_time", f"""
+SELECT {LOOKUP_SQL_COLS} FROM {_sql_all_docs()}
+WHERE timestamp >= TIMESTAMP '2024-01-05 00:00:00' AND timestamp < TIMESTAMP '2024-01-10 00:00:00'
+""")
+def q_by_time(spark, sf):
+    return _lookup_cols(by_time(_all_docs_spark(spark, sf), "2024-01-05 00:00:00", "2024-01-10 00:00:00"))
+
+
+@register("by_keyword", f"SELECT {LOOKUP_SQL_COLS} FROM {_sql_all_docs()} WHERE list_contains(string_split(keywords, '|'), 'der')")
+def q_by_keyword(spark, sf):
+    return _lookup_cols(by_keyword(_all_docs_spark(spark, sf), "der"))
+
+
+@register("found_urls", f"SELECT url, domain, depth, timestamp AS found_date FROM {_sql_page_docs()}")
+def q_found_urls(spark, sf):
+    return found_urls(_docs_spark(spark, sf))
+
+
+@register("append_unique", f"""
+SELECT url_hash, url FROM {_sql_page_docs()}
+UNION ALL
+SELECT url_hash, arg_min(url, seq) AS url FROM {_sql_variant_docs()}
+WHERE url_hash IS NOT NULL AND url_hash NOT IN (SELECT url_hash FROM {_sql_page_docs()} WHERE url_hash IS NOT NULL)
+GROUP BY url_hash
+""")
+def q_append_unique(spark, sf):
+    store = _docs_spark(spark, sf).select("url_hash", "url")
+    new = _variant_docs_spark(spark, sf).where(F.col("url_hash").isNotNull()).select("url_hash", "url", "seq")
+    return append_unique(store, new, "url_hash", order="seq").select("url_hash", "url")
+
+
+@register("store_roundtrip", f"SELECT {DOC_COLS} FROM {_sql_page_docs()}")
+def q_store_roundtrip(spark, sf):
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}"
+    store = UrlStore(spark, path)
+    store.write_clustered(_docs_spark(spark, sf))
+    return _flat(store.read().drop("day"))
