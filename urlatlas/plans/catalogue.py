@@ -761,3 +761,97 @@ def q_store_roundtrip(spark, sf):
     store = UrlStore(spark, path)
     store.write_clustered(_docs_spark(spark, sf))
     return _flat(store.read().drop("day"))
+
+
+# ------------------------------------------------------------ F7, J6 registrable domain
+
+from ..operators.domains import registrable_domain  # noqa: E402
+from ..spec import DEFAULT_PUBLIC_SUFFIXES  # noqa: E402
+
+
+@register("registrable_domains", f"""
+SELECT source, seq, registrable_domain
+FROM {O.registrable(_sql_validation_rows(), 'url', 'registrable_domain', 'rg', DEFAULT_PUBLIC_SUFFIXES)}
+""")
+def q_registrable_domains(spark, sf):
+    return registrable_domain(validation_rows(spark, sf)).select("source", "seq", "registrable_domain")
+
+
+# ------------------------------------------------------------ T1-T6 streams
+
+from ..streaming import streams as S  # noqa: E402
+
+
+def _scratch(spark, tag: str) -> str:
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+STREAM_ROWS_PER_FILE = 1000
+
+
+def _stream_of(spark, df, order_col: str, tag: str):
+    path = _scratch(spark, tag)
+    S.ordered_stream_files(df, path, order_col, STREAM_ROWS_PER_FILE)
+    return (spark.readStream.schema(spark.read.parquet(path).schema)
+            .option("maxFilesPerTrigger", 1).parquet(path))
+
+
+def _variant_stream(spark, sf):
+    return _stream_of(spark, derived.url_variants(pages(spark, sf)), "seq", "variants")
+
+
+@register("stream_documents", f"SELECT {DOC_COLS} FROM {_sql_page_docs()}")
+def q_stream_documents(spark, sf):
+    src = _stream_of(spark, pages(spark, sf), "page_id", "pages")
+    docs = page_documents(src, TAG_KEYWORDS, derived.FIXED_NOW)
+    out = S.run_to_table(docs, f"stream_documents_{id(src)}", _scratch(spark, "ckpt"))
+    return _flat(out)
+
+
+@register("stream_unique", f"SELECT DISTINCT hash_value FROM {_sql_verdicts()}")
+def q_stream_unique(spark, sf):
+    keyed = S.keyed_urls(_variant_stream(spark, sf))
+    out = S.run_to_table(S.stream_unique(keyed, "hash_value"), f"stream_unique_{id(keyed)}", _scratch(spark, "ckpt"))
+    return out.select("hash_value")
+
+
+@register("stream_unique_ttl")
+def q_stream_unique_ttl(spark, sf):
+    log = fetch_log_spark(spark, sf).select("event_id", "url", "ts")
+    src = _stream_of(spark, log, "ts", "fetches")
+    keyed = S.keyed_urls(src)
+    out = S.run_to_table(S.stream_unique(keyed, "hash_value", "ts", "1 day"),
+                         f"stream_unique_ttl_{id(keyed)}", _scratch(spark, "ckpt"))
+    return out.select("event_id", "url", "hash_value", "ts")
+
+
+@register("stream_verdicts", f"SELECT seq, url, hash_value, normalized_url, is_duplicate, reason, seen_count FROM {_sql_verdicts()}")
+def q_stream_verdicts(spark, sf):
+    v = S.stream_verdicts(_variant_stream(spark, sf).select("seq", "url"))
+    return S.run_to_table(v, f"stream_verdicts_{id(v)}", _scratch(spark, "ckpt"))
+
+
+@register("stream_store", f"SELECT DISTINCT url_hash FROM {_sql_variant_docs()} WHERE url_hash IS NOT NULL")
+def q_stream_store(spark, sf):
+    src = _variant_stream(spark, sf)
+    n = normalize_url("url")
+    docs = src.select("seq", "url", url_hash(n).alias("url_hash"), n.alias("normalized_url"),
+                      url_authority("url").alias("domain"), F.lit(derived.FIXED_NOW).cast("timestamp_ntz").alias("timestamp")) \
+        .where(F.col("url_hash").isNotNull())
+    store = UrlStore(spark, _scratch(spark, "store"))
+    q = S.stream_store(docs, store, _scratch(spark, "ckpt"), order="seq")
+    q.awaitTermination()
+    return store.read().select("url_hash")
+
+
+@register("stream_stats", f"""
+SELECT count(*) AS total_urls, count(*) FILTER (WHERE reason = 'Exact duplicate') AS duplicates,
+       count(*) FILTER (WHERE NOT is_duplicate) AS unique_urls FROM {_sql_verdicts()}
+""")
+def q_stream_stats(spark, sf):
+    v = S.stream_verdicts(_variant_stream(spark, sf).select("seq", "url"))
+    counters, _ = S.stream_stats(v)
+    return S.run_to_table(counters, f"stream_stats_{id(v)}", _scratch(spark, "ckpt"), mode="complete")

@@ -264,3 +264,27 @@ def links(pages_src: str, unique: bool = True) -> str:
                 f"(PARTITION BY page_id, abs_url ORDER BY hi) AS rn FROM {kept}) WHERE rn = 1)")
     return (f"(SELECT page_id, src_url, CAST(row_number() OVER (PARTITION BY page_id ORDER BY hi) - 1 AS INTEGER) AS pos, "
             f"abs_url AS url FROM {kept})")
+
+
+def raw_host(src: str, col: str, out: str, p: str) -> str:
+    """Add ``out`` = host as written (user info, port, trailing dot dropped)."""
+    s = parts(src, col, p)
+    s = stage(s, [(f"{p}_hp", f"regexp_extract({p}_auth, '(?s)^(?:.*@)?(.*)$', 1)")])
+    return stage(s, [(out, f"regexp_replace(CASE WHEN starts_with({p}_hp, '[') THEN regexp_extract({p}_hp, '^(\\[[^\\]]*\\])', 1) ELSE split_part({p}_hp, ':', 1) END, '\\.$', '')")])
+
+
+def registrable(src: str, col: str, out: str, p: str, suffixes) -> str:
+    """Add ``out`` = registrable domain (longest suffix match against ``suffixes``)."""
+    s = raw_host(src, col, f"{p}_rh", p)
+    psl = "(SELECT DISTINCT lower(unnest([" + ", ".join(q(x) for x in suffixes) + "])) AS suffix)"
+    hosts = f"(SELECT DISTINCT {p}_rh AS h FROM {s} WHERE {p}_rh IS NOT NULL AND {p}_rh <> '')"
+    cands = (f"(SELECT h, i - 1 AS i, array_to_string(string_split(lower(h), '.')[i:], '.') AS suffix FROM "
+             f"(SELECT h, unnest(generate_series(1, len(string_split(h, '.')))) AS i FROM {hosts}))")
+    best = f"(SELECT h AS bh, min(i) AS bi FROM {cands} JOIN {psl} USING (suffix) GROUP BY h)"
+    lab = "string_split(h, '.')"
+    sfx = f"array_to_string({lab}[bi + 1:], '.')"
+    reg = (f"CASE WHEN regexp_matches(h, '^\\d{{1,3}}(\\.\\d{{1,3}}){{3}}$') THEN h || '.' "
+           f"WHEN bi IS NULL THEN {lab}[-1] || '.' WHEN bi = 0 THEN '.' || {sfx} "
+           f"ELSE {lab}[bi] || '.' || {sfx} END")
+    hmap = f"(SELECT h AS mh, {reg} AS {out} FROM {hosts} LEFT JOIN {best} ON bh = h)"
+    return f"(SELECT * FROM {s} LEFT JOIN {hmap} ON mh = {p}_rh)"
