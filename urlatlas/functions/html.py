@@ -13,7 +13,7 @@ from typing import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .url import _col
+from .url import _col, let, memo
 
 # Named character references decoded by ``decode_entities`` (fixed values;
 # ``&amp;`` is decoded last so that ``&amp;lt;`` stays ``&lt;``).
@@ -29,6 +29,7 @@ TAG_RUN_RE = r"(?:<[A-Za-z/!?][^>]*>?)+"
 ATTR_VALUE = r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 
 
+@memo
 def decode_entities(c) -> Column:
     c = _col(c)
     for ent, ch in ENTITIES:
@@ -43,12 +44,14 @@ def attr(tag: Column, name: str) -> Column:
     return F.when(tag.rlike(rx), decode_entities(val))
 
 
+@memo
 def page_title(html) -> Column:
     """First text of the first ``<title>``; null when absent or empty."""
     t = F.regexp_extract(_col(html), r"(?is)<title\b[^>]*>([^<]*)", 1)
     return F.when(t != "", decode_entities(t))
 
 
+@memo
 def page_description(html) -> Column:
     """``content`` of the first ``<meta name="description">`` (attribute order free)."""
     metas = F.regexp_extract_all(_col(html), F.lit(r"(?is)<meta\b[^>]*>"), 0)
@@ -57,6 +60,7 @@ def page_description(html) -> Column:
     return F.when(F.size(named) > 0, attr(first, "content"))
 
 
+@memo
 def body_text(html, collapse: bool = False) -> Column:
     """Text nodes under ``<body>`` joined by one blank, lower-cased.
 
@@ -85,9 +89,11 @@ def find_keywords(text: Column, keywords: Sequence[str]) -> Column:
     if not keywords:
         return F.array().cast("array<string>")
     arr = F.array(*[F.lit(k) for k in keywords])
-    return F.filter(arr, lambda k: F.instr(text, F.lower(k)) > 0)
+    # bind the text once: a lambda body would otherwise re-evaluate it per keyword
+    return let(text, lambda t: F.filter(arr, lambda k: F.instr(t, F.lower(k)) > 0))
 
 
+@memo
 def extract_hrefs(html) -> Column:
     """``href`` values of ``<a>`` and ``<area>`` tags, in page order (comments skipped)."""
     h = F.regexp_replace(_col(html), COMMENT_RE, "")
@@ -95,6 +101,7 @@ def extract_hrefs(html) -> Column:
     return F.filter(F.transform(tags, lambda t: F.trim(attr(t, "href"))), lambda x: x.isNotNull())
 
 
+@memo
 def page_bytes(html) -> Column:
     """Size of the page in UTF-8 bytes (not characters)."""
     return F.octet_length(_col(html)).cast("bigint")

@@ -10,6 +10,7 @@ fragment split before the query, ``;params`` cut from the last segment.
 
 from __future__ import annotations
 
+import functools
 from typing import Sequence
 
 from pyspark.sql import Column
@@ -21,6 +22,33 @@ from ..spec import (DEDUP_TRACKING_PARAMS, HOST_VARIATIONS, TRACKING_PARAMS,
 SCHEME_RE = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 
 
+def memo(fn):
+    """Reuse the Column built for a plain column name (and hashable options).
+
+    Building a long expression costs thousands of calls into the JVM; the
+    unresolved Column for ``fn("url")`` is the same for every DataFrame, so
+    it is built once per Spark context.
+    """
+    cache = {}
+
+    @functools.wraps(fn)
+    def wrapper(c, *args, **kw):
+        try:
+            from pyspark import SparkContext
+            # a Column is keyed by its full expression text; lambda variables
+            # carry unique generated names, so they never collide
+            ident = c if isinstance(c, str) else ("col", c._jc.toString())
+            key = (id(SparkContext._active_spark_context), ident, args, tuple(sorted(kw.items())))
+            hash(key)
+        except (TypeError, AttributeError):
+            return fn(c, *args, **kw)
+        hit = cache.get(key)
+        if hit is None:
+            hit = cache[key] = fn(c, *args, **kw)
+        return hit
+    return wrapper
+
+
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -35,6 +63,7 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+@memo
 def clean_url(c) -> Column:
     """Drop leading bytes <= 0x20, then every tab, CR and LF."""
     return F.regexp_replace(F.regexp_replace(_col(c), r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
@@ -66,6 +95,7 @@ def _split_after(after: Column, scheme: Column, authority: Column) -> Column:
     return let(F.regexp_extract(after, r"(?s)^([^#]*)", 1), from_head)
 
 
+@memo
 def url_parts(c) -> Column:
     """Split a URL into struct<scheme, authority, path, params, query, fragment, ok>.
 
@@ -153,6 +183,7 @@ def _unsplit(scheme: Column, netloc: Column, path: Column, query: Column) -> Col
     return let(F.struct(scheme.alias("s"), netloc.alias("n"), path.alias("p"), query.alias("q")), build)
 
 
+@memo
 def normalize_url(c) -> Column:
     """Canonical URL; null where the URL cannot be parsed (or is null).
 
@@ -170,6 +201,7 @@ def normalize_url(c) -> Column:
     return let(url_parts(c), build)
 
 
+@memo
 def normalize_query(c, drop: Sequence[str] = DEDUP_TRACKING_PARAMS, keep_blank: bool = True) -> Column:
     """Second query pass: ``scheme://authority/path[?sorted query]``.
 
@@ -183,12 +215,14 @@ def normalize_query(c, drop: Sequence[str] = DEDUP_TRACKING_PARAMS, keep_blank:
     return let(url_parts(c), build)
 
 
+@memo
 def canonical_domain(c) -> Column:
     """Lower-cased host, cut at the first ':', host variations applied."""
     return let(url_parts(c), lambda p: F.when(
         p["ok"], apply_host_variations(F.substring_index(F.lower(p["authority"]), ":", 1))))
 
 
+@memo
 def strip_url(c) -> Column:
     """Light form ``scheme://authority/path`` without default ports; case kept.
 
@@ -199,15 +233,18 @@ def strip_url(c) -> Column:
         p["scheme"], F.lit("://"), _strip_default_ports(p["authority"]), p["path"])).otherwise(c))
 
 
+@memo
 def url_authority(c) -> Column:
     """Raw authority (netloc): case, port and user info kept."""
     return let(url_parts(c), lambda p: F.when(p["ok"], p["authority"]))
 
 
+@memo
 def url_scheme(c) -> Column:
     return let(url_parts(c), lambda p: F.when(p["ok"], p["scheme"]))
 
 
+@memo
 def url_hostname(c) -> Column:
     """Host name: user info and port dropped, lower-cased, null when empty."""
     def build(p):
@@ -219,6 +256,7 @@ def url_hostname(c) -> Column:
     return let(url_parts(c), build)
 
 
+@memo
 def link_scheme(c) -> Column:
     """Lower-cased scheme of a URL by its prefix alone ('' when none)."""
     return F.lower(F.regexp_extract(clean_url(c), SCHEME_RE, 1))

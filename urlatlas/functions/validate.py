@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..spec import BLOCKED_DOMAINS, DENY_PATTERN, MAX_URL_LENGTH, SKIP_EXTENSIONS
-from .url import _col, let, url_parts
+from .url import _col, let, memo, url_parts
 
 # Reason texts (fixed values).
 R_FORMAT = "Invalid URL format"
@@ -23,6 +23,7 @@ EXTENSION_RE = "(" + "|".join(re.escape(e) for e in SKIP_EXTENSIONS) + r")\z"
 IPV4_RE = r"^\d{1,3}(\.\d{1,3}){3}\z"
 
 
+@memo
 def raw_host(c) -> Column:
     """Host as written: user info, port and a trailing dot dropped, case kept."""
     return let(url_parts(c), lambda p: _raw_host_of(p["authority"]))
@@ -61,6 +62,7 @@ def _parse_error(authority: Column) -> Column:
                   let(F.regexp_extract(authority, r"\[([^\]]*)", 1), of))
 
 
+@memo
 def validate_url(c, blocked_domains: Sequence[str] = BLOCKED_DOMAINS,
                  max_length: int = MAX_URL_LENGTH) -> Column:
     """struct<is_valid boolean, reason string>; reason is '' for a valid URL.

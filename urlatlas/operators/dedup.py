@@ -34,17 +34,19 @@ def running_count(df: DataFrame, key: str, seq: str, out: str = "seen_count",
                   block_size: int = DEFAULT_BLOCK) -> DataFrame:
     """Number of rows with the same ``key`` and ``seq`` <= this row's ``seq``.
 
-    Two levels: rows are cut into ``(key, seq // block_size)`` blocks; block
-    sizes are counted with partial aggregation and turned into per-key
-    offsets (one row per block, not per row); then each block is ranked on
-    its own. No task ever holds more than one block of a key.
+    Two levels: rows are cut into ``(key, seq // block_size)`` blocks and
+    shuffled once by block; block sizes become per-key offsets (one row per
+    block, not per row); then each block is ranked on its own. No task ever
+    holds more than one block of a key.
     """
     blk = F.floor(F.col(seq) / F.lit(block_size)).cast("bigint")
-    tagged = df.withColumn("_blk", blk)
-    sizes = tagged.groupBy(key, "_blk").agg(F.count(F.lit(1)).alias("_n"))
+    # one shuffle of the rows by (key, block); block sizes, the join and the
+    # in-block ranking all read that same partitioning
+    rows = df.withColumn("_blk", blk).repartition(key, "_blk")
+    sizes = rows.groupBy(key, "_blk").agg(F.count(F.lit(1)).alias("_n"))
     w_off = Window.partitionBy(key).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(key, "_blk", F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_off"))
-    joined = tagged.join(offsets, [key, "_blk"])
+    joined = rows.join(offsets, [key, "_blk"])
     w_in = Window.partitionBy(key, "_blk").orderBy(seq)
     return (joined.withColumn(out, (F.col("_off") + F.row_number().over(w_in)).cast("bigint"))
             .drop("_blk", "_off"))

@@ -239,8 +239,10 @@ def _sql_frequency() -> str:
 
 
 def _frequency_spark(spark, sf):
-    v = _verdicts_spark(spark, sf).where(F.col("hash_value") != "").withColumnRenamed("hash_value", "url_hash")
-    return url_frequency(v, "url_hash", "seq", "normalized_url")
+    from ..operators.dedup import dedup_key
+    n, h = dedup_key("url")
+    v = derived.url_variants(pages(spark, sf)).select("seq", n.alias("normalized_url"), h.alias("url_hash"))
+    return url_frequency(v.where(F.col("url_hash").isNotNull()), "url_hash", "seq", "normalized_url")
 
 
 @register("url_frequency", f"SELECT url_hash, frequency, first_seq, normalized_url FROM {_sql_frequency()}")
@@ -407,11 +409,11 @@ def fetch_log_spark(spark, sf):
 NOW_SQL = f"TIMESTAMP '{derived.FIXED_NOW}'"
 
 
-def _sql_page_docs() -> str:
-    s = O.normalize("pages", "url", "normalized_url", "dn")
+def _sql_page_docs(src: str = "pages", depth: str = "0", source: str = "CAST(NULL AS VARCHAR)") -> str:
+    s = O.normalize(src, "url", "normalized_url", "dn")
     s = O.authority(s, "url", "domain", "da")
-    return (f"(SELECT url, sha256(normalized_url) AS url_hash, normalized_url, domain, CAST(NULL AS VARCHAR) AS source_url, "
-            f"0 AS depth, array_to_string({O.find_keywords(O.body_text('html'), TAG_KEYWORDS)}, '|') AS keywords, "
+    return (f"(SELECT url, sha256(normalized_url) AS url_hash, normalized_url, domain, {source} AS source_url, "
+            f"CAST({depth} AS INTEGER) AS depth, array_to_string({O.find_keywords(O.body_text('html'), TAG_KEYWORDS)}, '|') AS keywords, "
             f"{O.title('html')} AS title, {O.description('html')} AS description, CAST(NULL AS INTEGER) AS status_code, "
             f"CAST(NULL AS VARCHAR) AS content_type, {NOW_SQL} AS timestamp, {NOW_SQL} AS last_checked, "
             f"TRUE AS is_active, 0 AS error_count, CAST(strlen(html) AS BIGINT) AS size, "
@@ -855,3 +857,23 @@ def q_stream_stats(spark, sf):
     v = S.stream_verdicts(_variant_stream(spark, sf).select("seq", "url"))
     counters, _ = S.stream_stats(v)
     return S.run_to_table(counters, f"stream_stats_{id(v)}", _scratch(spark, "ckpt"), mode="complete")
+
+
+# ------------------------------------------------------------ G3 harvest
+
+from .harvest import harvest  # noqa: E402
+
+
+def _sql_harvest() -> str:
+    kp = O.normalize("pages", "url", "pn", "hk")
+    first = (f"(SELECT sha256(pn) AS ph, arg_min(url, page_id) AS url, arg_min(html, page_id) AS html "
+             f"FROM {kp} WHERE pn IS NOT NULL GROUP BY sha256(pn))")
+    reached = f"(SELECT f.url, f.html, n.depth AS n_depth, n.source_url AS n_source FROM {first} f JOIN nodes n ON n.url_hash = f.ph)"
+    return sql_bfs_ctes(3) + f"SELECT {DOC_COLS} FROM {_sql_page_docs(reached, 'n_depth', 'n_source')}"
+
+
+@register("harvest", _sql_harvest())
+def q_harvest(spark, sf):
+    spec = HarvestSpec(allowed_domains=None, keywords=TAG_KEYWORDS, max_depth=3)
+    res = harvest(pages(spark, sf), _edges_spark(spark, sf), _seeds_spark(spark, sf), spec, now=derived.FIXED_NOW)
+    return _flat(res.documents)
