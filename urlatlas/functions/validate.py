@@ -94,8 +94,16 @@ def is_valid_url(c, **kw) -> Column:
 
 
 def denied(c, pattern: str = DENY_PATTERN) -> Column:
-    """True where the link matches the extractor's deny pattern (case-sensitive)."""
-    return _col(c).rlike(pattern.replace("$", r"\z") if pattern.endswith("$") else pattern)
+    """True where the link matches the extractor's deny pattern (case-sensitive).
+
+    The pattern is searched, not anchored at the start, so a leading ``.*``
+    adds nothing but backtracking (quadratic on long URLs); it is dropped.
+    A final ``$`` becomes ``\\z``: the end of the text, never before a newline.
+    """
+    rx = pattern[2:] if pattern.startswith(".*") else pattern
+    if rx.endswith("$") and not rx.endswith("\\$"):
+        rx = rx[:-1] + r"\z"
+    return _col(c).rlike(rx)
 
 
 def too_long(c, max_length: int = MAX_URL_LENGTH) -> Column:
