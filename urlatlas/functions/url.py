@@ -122,6 +122,18 @@ def url_parts(c) -> Column:
     return let(clean_url(c), from_clean)
 
 
+@memo
+def url_parse_ok(c) -> Column:
+    """True where the URL parses (the canonical form exists); null for null.
+
+    Only brackets in the authority can make the parse fail, so URLs without
+    ``[`` or ``]`` are decided by two ``contains`` tests and never parsed
+    here; use it to filter before computing keys.
+    """
+    c = _col(c)
+    return F.when(~c.contains("[") & ~c.contains("]"), F.lit(True)).otherwise(url_parts(c)["ok"])
+
+
 def apply_host_variations(host: Column) -> Column:
     for old, new in HOST_VARIATIONS:
         host = F.replace(host, F.lit(old), F.lit(new))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.url import normalize_query, normalize_url, url_hash
 from ..spec import DEDUP_CACHE_SIZE, EVICTION_KEEP
+from .util import cut_lineage, with_url_key
 
 R_INVALID = "Invalid URL format"
 R_DUPLICATE = "Exact duplicate"
@@ -53,16 +54,22 @@ def running_count(df: DataFrame, key: str, seq: str, out: str = "seen_count",
 
 
 def dedup_verdicts(df: DataFrame, url_col: str = "url", seq_col: str = "seq",
-                   block_size: int = DEFAULT_BLOCK) -> DataFrame:
+                   block_size: int = DEFAULT_BLOCK, materialize: bool = True) -> DataFrame:
     """Verdict for every row, in arrival order.
 
     Adds ``is_duplicate``, ``hash_value``, ``normalized_url``, ``reason`` and
     ``seen_count`` (running frequency of the key at this arrival). A URL
     that cannot be canonicalised is a duplicate with reason
     ``Invalid URL format``, empty hash and its own text as normalized URL.
+
+    The running count reads the keyed rows twice (block sizes, ranking);
+    column pruning makes the two reads differ, so Spark would canonicalise
+    every URL twice. ``materialize`` checkpoints the keyed rows once instead
+    (writing a few columns costs far less than the regex work).
     """
-    n, h = dedup_key(url_col)
-    keyed = df.withColumn("normalized_url", n).withColumn("hash_value", F.coalesce(h, F.lit("")))
+    keyed = with_url_key(df, url_col, "normalized_url", "hash_value", dedup_pass=True, empty_for_invalid=True)
+    if materialize:
+        keyed = cut_lineage(keyed)
     counted = running_count(keyed, "hash_value", seq_col, "seen_count", block_size)
     invalid = F.col("hash_value") == ""
     return (counted

@@ -251,7 +251,7 @@ def _gram_join(df: DataFrame, kw: DataFrame, text_col: str, out: str, gram: int)
 def keyword_index(docs: DataFrame, key: str = "url_hash") -> DataFrame:
     """Inverted table ``(keyword, key)``: one row per keyword of a document."""
     return docs.select(F.explode_outer(F.col("keywords")).alias("keyword"), F.col(key)) \
-        .where(F.col("keyword").isNotNull())
+        .where(F.col("keyword").isNotNull())  # outer form: no inferred filter copying the tags
 
 
 __all__ = [

@@ -36,18 +36,21 @@ def registrable_domain(df: DataFrame, url_col: str = "url", out: str = "registra
     """
     spark = df.sparkSession
     psl = broadcast_if_small(suffix_table(spark, suffixes), max_broadcast_rows)
-    tagged = df.withColumn("_host", raw_host(F.col(url_col)))
-    hosts = tagged.select("_host").where(F.col("_host").isNotNull() & (F.col("_host") != "")).distinct()
+    # a non-null host key: joins on it get no inferred isnotnull filter (which
+    # would be pushed below and copy the host expression); '' maps to null
+    tagged = df.withColumn("_host", F.coalesce(raw_host(F.col(url_col)), F.lit("")))
+    hosts = tagged.select("_host").distinct()
     labels = F.split(F.col("_host"), r"\.")
-    cands = hosts.select("_host", F.posexplode(F.transform(
+    cands = hosts.select("_host", F.posexplode_outer(F.transform(
         F.sequence(F.lit(1), F.size(labels)),
         lambda i: F.array_join(F.slice(F.split(F.lower(F.col("_host")), r"\."), i, F.size(labels) - i + 1), ".")))
         .alias("_i", "suffix"))
-    best = cands.join(psl, "suffix").groupBy("_host").agg(F.min("_i").alias("_i"))
+    best = cands.where(F.col("suffix").isNotNull()).join(psl, "suffix").groupBy("_host").agg(F.min("_i").alias("_i"))
     lab = F.split(F.col("_host"), r"\.")
     n = F.size(lab)
     sfx = F.array_join(F.slice(lab, F.col("_i") + 1, n - F.col("_i")), ".")
-    reg = (F.when(F.col("_host").rlike(IPV4), F.concat(F.col("_host"), F.lit(".")))
+    reg = (F.when(F.col("_host") == "", F.lit(None).cast("string"))
+           .when(F.col("_host").rlike(IPV4), F.concat(F.col("_host"), F.lit(".")))
            .when(F.col("_i").isNull(), F.concat(F.element_at(lab, -1), F.lit(".")))
            .when(F.col("_i") == 0, F.concat(F.lit("."), sfx))
            .otherwise(F.concat(F.element_at(lab, F.col("_i").cast("int")), F.lit("."), sfx)))

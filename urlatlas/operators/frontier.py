@@ -13,7 +13,7 @@ from ..functions.validate import validate_url
 from ..spec import (CACHE_IGNORE_HTTP_CODES, CACHE_TTL_S, CONCURRENT_REQUESTS, DOWNLOAD_DELAY_S,
                     PER_HOST_REQUESTS, RETRY_HTTP_CODES, RETRY_TIMES, HarvestSpec)
 from .links import allowed_only, deny_links
-from .util import cut_lineage
+from .util import cut_lineage, with_url_key
 
 
 def _now(now) -> Column:
@@ -47,10 +47,10 @@ def prepare_edges(links: DataFrame, spec: HarvestSpec, seeds: Optional[DataFrame
         ln = ln.where(spec.link_filter(F.col("url")))
     v = validate_url(F.col("url"), blocked_domains=spec.blocked_domains, max_length=spec.max_url_length)
     ln = ln.where(v["is_valid"])
+    # valid links always canonicalise; a page URL that does not gets a null
+    # source hash and simply never joins a frontier node
     keyed = (ln.withColumn("dst_norm", normalize_url(F.col("url")))
-             .where(F.col("dst_norm").isNotNull())
              .withColumn("src_norm", normalize_url(F.col("src_url")))
-             .where(F.col("src_norm").isNotNull())
              .select(url_hash(F.col("src_norm"), spec.hash_algo).alias("src_hash"),
                      url_hash(F.col("dst_norm"), spec.hash_algo).alias("dst_hash"),
                      F.col("url").alias("dst_url"), "dst_norm", "src_url", "pos"))
@@ -60,11 +60,10 @@ def prepare_edges(links: DataFrame, spec: HarvestSpec, seeds: Optional[DataFrame
 
 def seed_nodes(seeds: DataFrame, spec: HarvestSpec) -> DataFrame:
     """Seeds as visited nodes at depth 0 (no referrer); they are never re-added."""
-    n = normalize_url(F.col("url"))
-    s = seeds.select(F.col("url"), n.alias("normalized_url")).where(F.col("normalized_url").isNotNull())
-    s = s.select(url_hash(F.col("normalized_url"), spec.hash_algo).alias("url_hash"), "url", "normalized_url")
+    s = with_url_key(seeds.select("url"), "url", algo=spec.hash_algo)
     first = F.min_by(F.struct("url", "normalized_url"), F.col("url")).alias("_f")
-    return (s.groupBy("url_hash").agg(first)
+    # seeds that do not canonicalise form the null group, dropped after the aggregation
+    return (s.groupBy("url_hash").agg(first).where(F.col("url_hash").isNotNull())
             .select("url_hash", "_f.url", "_f.normalized_url", F.lit(0).alias("depth"),
                     F.lit(None).cast("string").alias("source_url"),
                     F.lit(None).cast("string").alias("source_hash")))
@@ -180,9 +179,12 @@ def _last_fetch(fetch_log: DataFrame, hash_algo: str = "sha256") -> DataFrame:
     between them is on the key both are already partitioned by.
     """
     n = normalize_url(F.col("url"))
-    keyed = fetch_log.withColumn("_n", n).where(F.col("_n").isNotNull()) \
+    keyed = fetch_log.select("url", "status", "error", "ts", "attempt", n.alias("_n")) \
         .withColumn("url_hash", url_hash(F.col("_n"), hash_algo)).drop("_n") \
         .withColumn("_o", F.struct("ts", "attempt"))
+    # both aggregations read the keyed rows: canonicalise once, then reuse;
+    # the null filter runs on the checkpoint, not on the expression
+    keyed = cut_lineage(keyed).where(F.col("url_hash").isNotNull())
     s = F.col("status")
     last_ok = keyed.groupBy("url_hash").agg(F.max(F.when(s.between(200, 299), F.col("_o"))).alias("_ok"))
     both = keyed.join(last_ok, "url_hash")

@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.html import extract_hrefs
-from ..functions.url import link_scheme, normalize_url, resolve_url, url_authority, url_hash, url_parts
+from ..functions.url import let, link_scheme, normalize_url, resolve_url, url_authority, url_hash, url_parts
 from ..functions.validate import denied, validate_url
 from ..spec import DENY_PATTERN, LINK_SCHEMES
-from .util import broadcast_if_small
+from .util import broadcast_if_small, with_url_key
 
 
 def page_links(html: Column, page_url: Column, unique: bool = True,
@@ -37,7 +37,11 @@ def extract_links(pages: DataFrame, unique: bool = True, url_col: str = "url",
                          F.col(html_col).alias("_html"), url_parts(F.col(url_col)).alias("_bp"))
             .select("page_id", "src_url",
                     page_links(F.col("_html"), F.col("src_url"), unique, F.col("_bp")).alias("_links"))
-            .select("page_id", "src_url", F.posexplode("_links").alias("pos", "url"))
+            # the outer form plus a filter on its output: a plain explode makes
+            # Catalyst infer size(links) > 0 below the projection, i.e. extract
+            # every page's links twice
+            .select("page_id", "src_url", F.posexplode_outer("_links").alias("pos", "url"))
+            .where(F.col("pos").isNotNull())
             .withColumn("pos", F.col("pos").cast("int")))
 
 
@@ -64,11 +68,14 @@ def allowed_only(df: DataFrame, domains: Optional[Union[Sequence[str], DataFrame
         doms = [d.lower() for d in domains]
         if not doms:
             return df.where(F.lit(False))
-        cond = None
-        for d in doms:
-            c = (host == F.lit(d)) | host.endswith("." + d)
-            cond = c if cond is None else (cond | c)
-        return df.where((host != "") & cond)
+        def pred(h):
+            cond = h != ""
+            anyd = None
+            for d in doms:
+                c = (h == F.lit(d)) | h.endswith("." + d)
+                anyd = c if anyd is None else (anyd | c)
+            return cond & anyd
+        return df.where(let(host, pred))
     allow = domains.select(F.lower(F.col(domains.columns[0])).alias("_sfx")).distinct()
     allow = broadcast_if_small(allow, max_broadcast_rows)
     tagged = df.withColumn("_host", host)
@@ -87,10 +94,11 @@ def deny_links(df: DataFrame, pattern: str = DENY_PATTERN, url_col: str = "url")
 
 
 def valid_links(df: DataFrame, url_col: str = "url", **kw) -> DataFrame:
-    """Keep links that pass validation; adds ``normalized_url`` and ``url_hash``."""
+    """Keep links that pass validation; adds ``normalized_url`` and ``url_hash``.
+
+    A URL that passes validation always has a canonical form, so no filter
+    on the canonical column is needed (such a filter would be pushed below
+    the projection and copy the whole expression).
+    """
     v = validate_url(F.col(url_col), **kw)
-    n = normalize_url(F.col(url_col))
-    return (df.where(v["is_valid"])
-            .withColumn("normalized_url", n)
-            .where(F.col("normalized_url").isNotNull())
-            .withColumn("url_hash", url_hash(F.col("normalized_url"))))
+    return with_url_key(df.where(v["is_valid"]), url_col)

@@ -78,5 +78,6 @@ def domain_summary(docs: DataFrame, domain_col: str = "domain") -> DataFrame:
 
 def keyword_summary(docs: DataFrame) -> DataFrame:
     """Documents per keyword."""
-    return (docs.select(F.explode("keywords").alias("keyword"))
+    # outer explode: a plain one infers size(keywords) > 0 below the projection
+    return (docs.select(F.explode_outer("keywords").alias("keyword")).where(F.col("keyword").isNotNull())
             .groupBy("keyword").agg(F.count(F.lit(1)).alias("n_docs")))

@@ -68,7 +68,7 @@ class UrlStore:
         ``order``), then an anti join against the stored keys removes known
         ones. Re-running the same batch appends nothing (idempotent).
         """
-        batch = first_per_key(df, self.key, order)
+        batch = first_per_key(df, self.key, order).where(F.col(self.key).isNotNull())
         if self.exists():
             known = self.read().select(self.key)
             batch = batch.join(known, self.key, "left_anti")
@@ -81,7 +81,7 @@ class UrlStore:
 def append_unique(store: DataFrame, new: DataFrame, key: str = "url_hash",
                   order: Optional[str] = None) -> DataFrame:
     """Store contents after a unique insert of ``new`` (plan only, nothing written)."""
-    fresh = first_per_key(new, key, order).join(store.select(key), key, "left_anti")
+    fresh = first_per_key(new, key, order).where(F.col(key).isNotNull()).join(store.select(key), key, "left_anti")
     return store.unionByName(fresh.select(*store.columns))
 
 
@@ -98,7 +98,7 @@ def found_urls(docs: DataFrame) -> DataFrame:
 
 def keyword_index(docs: DataFrame, key: str = "url_hash") -> DataFrame:
     """Inverted table ``(keyword, key)``."""
-    return docs.select(F.explode("keywords").alias("keyword"), F.col(key))
+    return docs.select(F.explode_outer("keywords").alias("keyword"), F.col(key)).where(F.col("keyword").isNotNull())
 
 
 # ---------------------------------------------------------------- look-ups

@@ -26,3 +26,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def with_url_key(df: DataFrame, url_col: str = "url", norm_out: str = "normalized_url",
+                 hash_out: str = "url_hash", algo: str = "sha256", dedup_pass: bool = False,
+                 empty_for_invalid: bool = False) -> DataFrame:
+    """Add the canonical URL and its hash, the canonical URL in its own projection.
+
+    The canonical URL is a long interpreted expression; Spark does not share
+    such expressions between columns of one projection, so the hash is taken
+    from the staged column (Catalyst keeps the two projections apart because
+    the expensive one is referenced twice). With ``empty_for_invalid`` the
+    hash is never null (``''`` instead): joins and groupings on it then get
+    no inferred ``isnotnull`` filter, which Catalyst would otherwise push
+    below the projection as a second copy of the whole expression.
+    """
+    from ..functions.url import normalize_query, normalize_url, url_hash
+    n = normalize_url(F.col(url_col))
+    if dedup_pass:
+        n = normalize_query(n)
+    h = url_hash(F.col(norm_out), algo)
+    if empty_for_invalid:
+        h = F.coalesce(h, F.lit(""))
+    return df.withColumn(norm_out, n).withColumn(hash_out, h)

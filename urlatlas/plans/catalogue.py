@@ -19,6 +19,7 @@ from ..functions.url import (canonical_domain, normalize_query, normalize_url, s
 from ..functions.validate import validate_url
 from ..operators.dedup import dedup_verdicts, unique_urls
 from ..operators.links import extract_links, valid_links
+from ..operators.util import with_url_key
 from ..sources import derived
 from ..sources.tables import read_table
 from . import oracle as O
@@ -77,9 +78,7 @@ SELECT page_id, url, normalized_url, sha256(normalized_url) AS url_hash
 FROM {O.normalize('pages', 'url', 'normalized_url', 'n')}
 """)
 def q_normalize_pages(spark, sf):
-    p = pages(spark, sf)
-    n = normalize_url("url")
-    return p.select("page_id", "url", n.alias("normalized_url"), url_hash(n).alias("url_hash"))
+    return with_url_key(pages(spark, sf)).select("page_id", "url", "normalized_url", "url_hash")
 
 
 # ------------------------------------------------------- F1, F3, F4 on variants
@@ -93,10 +92,9 @@ def _sql_normalize_variants():
 
 @register("normalize_variants", _sql_normalize_variants())
 def q_normalize_variants(spark, sf):
-    v = derived.url_variants(pages(spark, sf))
-    n = normalize_url("url")
-    return v.select("seq", "url", n.alias("normalized_url"),
-                    normalize_query(n).alias("dedup_url"), strip_url("url").alias("stripped_url"))
+    v = derived.url_variants(pages(spark, sf)).withColumn("normalized_url", normalize_url("url"))
+    return v.select("seq", "url", "normalized_url",
+                    normalize_query("normalized_url").alias("dedup_url"), strip_url("url").alias("stripped_url"))
 
 
 # ------------------------------------------------------------ F2, F5 domains
@@ -239,10 +237,10 @@ def _sql_frequency() -> str:
 
 
 def _frequency_spark(spark, sf):
-    from ..operators.dedup import dedup_key
-    n, h = dedup_key("url")
-    v = derived.url_variants(pages(spark, sf)).select("seq", n.alias("normalized_url"), h.alias("url_hash"))
-    return url_frequency(v.where(F.col("url_hash").isNotNull()), "url_hash", "seq", "normalized_url")
+    from ..functions.url import url_parse_ok
+    rows = derived.url_variants(pages(spark, sf)).where(url_parse_ok("url"))   # cheap: no parse without brackets
+    v = with_url_key(rows, dedup_pass=True, empty_for_invalid=True).select("seq", "normalized_url", "url_hash")
+    return url_frequency(v, "url_hash", "seq", "normalized_url")
 
 
 @register("url_frequency", f"SELECT url_hash, frequency, first_seq, normalized_url FROM {_sql_frequency()}")
@@ -269,11 +267,9 @@ WHERE v.hash_value <> '' AND v.hash_value NOT IN (
   SELECT sha256(d2) FROM {O.query_pass(O.normalize('pages', 'url', 'd1', 'pn'), 'd1', 'd2', 'pq')} WHERE d2 IS NOT NULL)
 """)
 def q_unseen(spark, sf):
-    from ..operators.dedup import dedup_key
     v = _verdicts_spark(spark, sf).where(F.col("hash_value") != "") \
         .select("seq", "url", F.col("hash_value").alias("url_hash"))
-    _, h = dedup_key("url")
-    hist = pages(spark, sf).select(h.alias("url_hash")).where(F.col("url_hash").isNotNull())
+    hist = with_url_key(pages(spark, sf), dedup_pass=True, empty_for_invalid=True).select("url_hash")
     return unseen(v, hist, "url_hash")
 
 
@@ -341,7 +337,7 @@ def q_keyword_filter(spark, sf):
 def q_keyword_index(spark, sf):
     from ..functions.html import find_keywords
     p = pages(spark, sf).select("page_id", find_keywords(body_text("html"), TAG_KEYWORDS).alias("keywords"))
-    return p.select(F.explode("keywords").alias("keyword"), "page_id")
+    return p.select(F.explode_outer("keywords").alias("keyword"), "page_id").where(F.col("keyword").isNotNull())
 
 
 @register("keyword_join", """
@@ -480,10 +476,8 @@ def _sql_variant_docs() -> str:
 
 
 def _variant_docs_spark(spark, sf):
-    v = derived.url_variants(pages(spark, sf))
-    n = normalize_url("url")
-    return v.select("seq", "url", url_hash(n).alias("url_hash"), n.alias("normalized_url"),
-                    url_authority("url").alias("domain"))
+    v = with_url_key(derived.url_variants(pages(spark, sf)))
+    return v.select("seq", "url", "url_hash", "normalized_url", url_authority("url").alias("domain"))
 
 
 @register("rejects", f"""
@@ -750,7 +744,7 @@ GROUP BY url_hash
 """)
 def q_append_unique(spark, sf):
     store = _docs_spark(spark, sf).select("url_hash", "url")
-    new = _variant_docs_spark(spark, sf).where(F.col("url_hash").isNotNull()).select("url_hash", "url", "seq")
+    new = _variant_docs_spark(spark, sf).select("url_hash", "url", "seq")
     return append_unique(store, new, "url_hash", order="seq").select("url_hash", "url")
 
 
@@ -839,10 +833,8 @@ def q_stream_verdicts(spark, sf):
 @register("stream_store", f"SELECT DISTINCT url_hash FROM {_sql_variant_docs()} WHERE url_hash IS NOT NULL")
 def q_stream_store(spark, sf):
     src = _variant_stream(spark, sf)
-    n = normalize_url("url")
-    docs = src.select("seq", "url", url_hash(n).alias("url_hash"), n.alias("normalized_url"),
-                      url_authority("url").alias("domain"), F.lit(derived.FIXED_NOW).cast("timestamp_ntz").alias("timestamp")) \
-        .where(F.col("url_hash").isNotNull())
+    docs = with_url_key(src).select("seq", "url", "url_hash", "normalized_url", url_authority("url").alias("domain"),
+                                    F.lit(derived.FIXED_NOW).cast("timestamp_ntz").alias("timestamp"))
     store = UrlStore(spark, _scratch(spark, "store"))
     q = S.stream_store(docs, store, _scratch(spark, "ckpt"), order="seq")
     q.awaitTermination()
