@@ -13,7 +13,9 @@ of ``seq`` (``block_size``) before any per-key ordering.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from typing import Optional, Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.url import normalize_query, normalize_url, url_hash
@@ -32,15 +34,19 @@ def dedup_key(url_col: str = "url") -> tuple:
 
 
 def running_count(df: DataFrame, key: str, seq: str, out: str = "seen_count",
-                  block_size: int = DEFAULT_BLOCK) -> DataFrame:
-    """Number of rows with the same ``key`` and ``seq`` <= this row's ``seq``.
-
-    Two levels: rows are cut into ``(key, seq // block_size)`` blocks and
-    shuffled once by block; block sizes become per-key offsets (one row per
-    block, not per row); then each block is ranked on its own. No task ever
-    holds more than one block of a key.
+                  block_size: int = DEFAULT_BLOCK, order: Optional[Sequence[str]] = None,
+                  block: Optional[Column] = None) -> DataFrame:
+    """Number of rows with the same ``key`` up to and including this row,
+    in ``order`` (default: ``seq``).
+
+    Two levels: rows are cut into ``(key, block)`` pieces, the block being
+    ``seq // block_size`` or a given monotone ``block`` column (e.g. the day
+    of a timestamp), and shuffled once by piece; piece sizes become per-key
+    offsets (one row per piece, not per row); then each piece is ranked on
+    its own. No task ever holds more than one piece of a key.
     """
-    blk = F.floor(F.col(seq) / F.lit(block_size)).cast("bigint")
+    blk = block if block is not None else F.floor(F.col(seq) / F.lit(block_size)).cast("bigint")
+    order_cols = [F.col(c) for c in (order or [seq])]
     # one shuffle of the rows by (key, block); block sizes, the join and the
     # in-block ranking all read that same partitioning
     rows = df.withColumn("_blk", blk).repartition(key, "_blk")
@@ -48,7 +54,7 @@ def running_count(df: DataFrame, key: str, seq: str, out: str = "seen_count",
     w_off = Window.partitionBy(key).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(key, "_blk", F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_off"))
     joined = rows.join(offsets, [key, "_blk"])
-    w_in = Window.partitionBy(key, "_blk").orderBy(seq)
+    w_in = Window.partitionBy(key, "_blk").orderBy(*order_cols)
     return (joined.withColumn(out, (F.col("_off") + F.row_number().over(w_in)).cast("bigint"))
             .drop("_blk", "_off"))
 

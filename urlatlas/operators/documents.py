@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.html import body_text, content_type, find_keywords, page_bytes, page_description, page_title
 from ..functions.url import _col, normalize_url, url_authority, url_hash
 from ..schemas import METADATA, URL_DOCUMENT
-from .util import broadcast_if_small
+from .util import broadcast_if_small, cut_lineage
 
 def _no_headers() -> Column:
     return F.lit(None).cast(METADATA["headers"].dataType)
@@ -225,7 +225,9 @@ def match_keywords(df: DataFrame, keywords: Union[Sequence[str], DataFrame], tex
 
 def _gram_join(df: DataFrame, kw: DataFrame, text_col: str, out: str, gram: int) -> DataFrame:
     rid = "_rid"
-    rows = df.withColumn(rid, F.monotonically_increasing_id())
+    # row ids are fixed by a checkpoint: three branches read them, and a
+    # recomputed partition must see the same ids
+    rows = cut_lineage(df.withColumn(rid, F.monotonically_increasing_id()))
     kw = kw.withColumn("_lk", F.lower(F.col("_kw"))).withColumn("_q", F.least(F.length("_lk"), F.lit(gram)))
     kw = kw.withColumn("_g", F.substring("_lk", 1, gram))
     qs = sorted({r["_q"] for r in kw.select("_q").distinct().collect() if r["_q"] and r["_q"] > 0})

@@ -12,6 +12,7 @@ from ..functions.url import normalize_url, url_authority, url_hash, url_hostname
 from ..functions.validate import validate_url
 from ..spec import (CACHE_IGNORE_HTTP_CODES, CACHE_TTL_S, CONCURRENT_REQUESTS, DOWNLOAD_DELAY_S,
                     PER_HOST_REQUESTS, RETRY_HTTP_CODES, RETRY_TIMES, HarvestSpec)
+from ..sources.tables import default_allowed
 from .links import allowed_only, deny_links
 from .util import cut_lineage, with_url_key
 
@@ -37,11 +38,11 @@ def prepare_edges(links: DataFrame, spec: HarvestSpec, seeds: Optional[DataFrame
     ln = links.select("src_url", F.col("dst_url").alias("url"), "pos")
     ln = deny_links(ln, spec.deny_pattern, "url")
     allowed = spec.allowed_domains
-    if allowed is not None and len(allowed) == 0:
+    if allowed is not None and not isinstance(allowed, DataFrame) and len(allowed) == 0:
         if seeds is None:
             raise ValueError("allowed_domains=() needs the seeds")
-        allowed = [r["domain"] for r in seeds.select(url_authority("url").alias("domain"))
-                   .where(F.col("domain") != "").distinct().collect()]
+        # the seeds' authorities stay a DataFrame: a semi join, never a driver list
+        allowed = default_allowed(seeds)
     ln = allowed_only(ln, allowed, "url")
     if spec.link_filter is not None:
         ln = ln.where(spec.link_filter(F.col("url")))

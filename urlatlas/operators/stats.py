@@ -26,11 +26,13 @@ def _distinct_texts(c):
 
 def crawl_stats(fetch_log: DataFrame, keywords_col: str | None = None) -> DataFrame:
     """Per run: start/end, processed, failed, new and duplicate URLs, requests,
-    mean response time, error kinds, keywords."""
-    keyed = fetch_log.withColumn("_h", url_hash(normalize_url(F.col("url"))))
-    kw = (F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.col(keywords_col)))))
-          if keywords_col else F.array().cast("array<string>"))
-    return keyed.groupBy("run_id").agg(
+    mean response time, error kinds, keywords.
+
+    List-valued fields hold distinct values only (error kinds, keywords), so
+    their size is bounded by the vocabulary, never by the rows of a run.
+    """
+    keyed = fetch_log.withColumn("_h", F.coalesce(url_hash(normalize_url(F.col("url"))), F.lit("")))
+    stats = keyed.groupBy("run_id").agg(
         F.min("ts").alias("start_time"),
         F.max("ts").alias("end_time"),
         F.count_if(_ok(F.col("status"))).alias("urls_processed"),
@@ -39,8 +41,13 @@ def crawl_stats(fetch_log: DataFrame, keywords_col: str | None = None) -> DataFr
         (F.count(F.lit(1)) - F.count_distinct("_h")).alias("duplicate_urls"),
         F.count(F.lit(1)).alias("total_requests"),
         F.avg("response_ms").alias("average_response_time"),
-        _distinct_texts(F.col("error")).alias("errors"),
-        kw.alias("keywords"))
+        _distinct_texts(F.col("error")).alias("errors"))
+    if not keywords_col:
+        return stats.withColumn("keywords", F.array().cast("array<string>"))
+    kw = (fetch_log.select("run_id", F.explode_outer(keywords_col).alias("_k")).where(F.col("_k").isNotNull())
+          .distinct().groupBy("run_id").agg(F.array_sort(F.collect_list("_k")).alias("keywords")))
+    return (stats.join(kw, "run_id", "left")
+            .withColumn("keywords", F.coalesce(F.col("keywords"), F.array().cast("array<string>"))))
 
 
 def proxy_health(fetch_log: DataFrame, ban_codes=PROXY_BAN_CODES) -> DataFrame:

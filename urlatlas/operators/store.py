@@ -70,18 +70,30 @@ class UrlStore:
         """
         batch = first_per_key(df, self.key, order).where(F.col(self.key).isNotNull())
         if self.exists():
-            known = self.read().select(self.key)
-            batch = batch.join(known, self.key, "left_anti")
+            batch = drop_known(batch, self.read(), self.key)
         # fix the batch before writing into the table it was compared with
         batch = cut_lineage(batch)
         self._writer(batch, "append", partitions).parquet(self.path)
         return batch
 
 
+def drop_known(batch: DataFrame, store: DataFrame, key: str) -> DataFrame:
+    """Rows of ``batch`` whose key is not in ``store``.
+
+    First the store's keys are semi-joined with the batch's keys: for an
+    inner or semi join Spark can build a runtime Bloom filter from the small
+    batch side and prune the store side before its shuffle (it does not for
+    anti joins). The anti join then runs against that small matched set.
+    """
+    batch_keys = batch.select(key)
+    known = store.select(key).join(batch_keys, key, "left_semi")
+    return batch.join(known, key, "left_anti")
+
+
 def append_unique(store: DataFrame, new: DataFrame, key: str = "url_hash",
                   order: Optional[str] = None) -> DataFrame:
     """Store contents after a unique insert of ``new`` (plan only, nothing written)."""
-    fresh = first_per_key(new, key, order).where(F.col(key).isNotNull()).join(store.select(key), key, "left_anti")
+    fresh = drop_known(first_per_key(new, key, order).where(F.col(key).isNotNull()), store, key)
     return store.unionByName(fresh.select(*store.columns))
 
 

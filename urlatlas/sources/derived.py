@@ -8,9 +8,10 @@ cases by rules that are restated, step for step, in the DuckDB oracle
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.dedup import running_count
 from ..spec import BLOCKED_DOMAINS
 
 N_VARIANTS = 12
@@ -105,12 +106,14 @@ def fetch_log(events: DataFrame, pages: DataFrame, n_pages: int | None = None) -
         F.concat(F.lit("http://proxy"), F.pmod(F.col("user_id"), F.lit(5)).cast("string")).alias("proxy_address"),
         F.when(is_err, F.lit(None).cast("int")).otherwise(status).cast("int").alias("status"),
         F.when(is_err, F.lit("timeout")).alias("error"))
-    joined = ev.join(urls, "_pid")
-    w = Window.partitionBy("url").orderBy("ts", "event_id")
-    return joined.select(
+    joined = ev.join(urls, "_pid").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    # attempt numbers per URL without gathering a URL's fetches in one task:
+    # blocked running count, one block per day of fetch time
+    day = F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date")).cast("bigint")
+    numbered = running_count(joined, "url", "ts", "attempt", order=["ts", "event_id"], block=day)
+    return numbered.select(
         "event_id", "run_id", "url", "proxy_address", "status",
-        F.col("value").alias("response_ms"), F.col("ts").cast("timestamp_ntz").alias("ts"),
-        F.row_number().over(w).cast("int").alias("attempt"), "error")
+        F.col("value").alias("response_ms"), "ts", F.col("attempt").cast("int").alias("attempt"), "error")
 
 
 def fixed_now():
