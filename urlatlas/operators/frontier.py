@@ -147,6 +147,22 @@ def cap(df: DataFrame, n: int, order: Optional[list] = None) -> DataFrame:
 
 # ----------------------------------------------------------------- batches
 
+def intake(df: DataFrame, partitions: int, salt_buckets: int = 1, url_col: str = "url") -> DataFrame:
+    """Spread a URL queue over ``partitions`` tasks, grouped by host.
+
+    Rows of a host land together (politeness, connection reuse); with
+    ``salt_buckets > 1`` a host is split over that many tasks by a hash of
+    the URL, so one host holding a large share of the queue does not become
+    one task. Adds ``host``.
+    """
+    host = url_hostname(F.col(url_col))
+    out = df.withColumn("host", F.coalesce(host, F.lit("")))
+    if salt_buckets > 1:
+        salt = F.pmod(F.xxhash64(F.col(url_col)), F.lit(salt_buckets))
+        return out.repartition(partitions, "host", salt)
+    return out.repartition(partitions, "host")
+
+
 def frontier_batch(df: DataFrame, per_host: int = PER_HOST_REQUESTS, total: Optional[int] = CONCURRENT_REQUESTS,
                    delay_s: float = DOWNLOAD_DELAY_S, now=None, url_col: str = "url",
                    order: tuple = ("depth", "seq")) -> DataFrame:

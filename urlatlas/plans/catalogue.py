@@ -788,6 +788,11 @@ def _scratch(spark, tag: str) -> str:
 STREAM_ROWS_PER_FILE = 1000
 
 
+def _sink_name(tag: str) -> str:
+    import uuid
+    return f"{tag}_{uuid.uuid4().hex}"
+
+
 def _stream_of(spark, df, order_col: str, tag: str):
     path = _scratch(spark, tag)
     S.ordered_stream_files(df, path, order_col, STREAM_ROWS_PER_FILE)
@@ -803,14 +808,14 @@ def _variant_stream(spark, sf):
 def q_stream_documents(spark, sf):
     src = _stream_of(spark, pages(spark, sf), "page_id", "pages")
     docs = page_documents(src, TAG_KEYWORDS, derived.FIXED_NOW)
-    out = S.run_to_table(docs, f"stream_documents_{id(src)}", _scratch(spark, "ckpt"))
+    out = S.run_to_table(docs, _sink_name("stream_documents"), _scratch(spark, "ckpt"))
     return _flat(out)
 
 
 @register("stream_unique", f"SELECT DISTINCT hash_value FROM {_sql_verdicts()}")
 def q_stream_unique(spark, sf):
     keyed = S.keyed_urls(_variant_stream(spark, sf))
-    out = S.run_to_table(S.stream_unique(keyed, "hash_value"), f"stream_unique_{id(keyed)}", _scratch(spark, "ckpt"))
+    out = S.run_to_table(S.stream_unique(keyed, "hash_value"), _sink_name("stream_unique"), _scratch(spark, "ckpt"))
     return out.select("hash_value")
 
 
@@ -820,14 +825,14 @@ def q_stream_unique_ttl(spark, sf):
     src = _stream_of(spark, log, "ts", "fetches")
     keyed = S.keyed_urls(src)
     out = S.run_to_table(S.stream_unique(keyed, "hash_value", "ts", "1 day"),
-                         f"stream_unique_ttl_{id(keyed)}", _scratch(spark, "ckpt"))
+                         _sink_name("stream_unique_ttl"), _scratch(spark, "ckpt"))
     return out.select("event_id", "url", "hash_value", "ts")
 
 
 @register("stream_verdicts", f"SELECT seq, url, hash_value, normalized_url, is_duplicate, reason, seen_count FROM {_sql_verdicts()}")
 def q_stream_verdicts(spark, sf):
     v = S.stream_verdicts(_variant_stream(spark, sf).select("seq", "url"))
-    return S.run_to_table(v, f"stream_verdicts_{id(v)}", _scratch(spark, "ckpt"))
+    return S.run_to_table(v, _sink_name("stream_verdicts"), _scratch(spark, "ckpt"))
 
 
 @register("stream_store", f"SELECT DISTINCT url_hash FROM {_sql_variant_docs()} WHERE url_hash IS NOT NULL")
@@ -848,7 +853,7 @@ SELECT count(*) AS total_urls, count(*) FILTER (WHERE reason = 'Exact duplicate'
 def q_stream_stats(spark, sf):
     v = S.stream_verdicts(_variant_stream(spark, sf).select("seq", "url"))
     counters, _ = S.stream_stats(v)
-    return S.run_to_table(counters, f"stream_stats_{id(v)}", _scratch(spark, "ckpt"), mode="complete")
+    return S.run_to_table(counters, _sink_name("stream_stats"), _scratch(spark, "ckpt"), mode="complete")
 
 
 # ------------------------------------------------------------ G3 harvest
