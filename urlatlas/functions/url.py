@@ -22,6 +22,34 @@ from ..spec import (DEDUP_TRACKING_PARAMS, HOST_VARIATIONS, TRACKING_PARAMS,
 SCHEME_RE = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 
 
+def _ipv6_pattern() -> str:
+    """Regex of a textual IPv6 address, built from its rules.
+
+    Eight groups of 1-4 hex digits, or six groups and a dotted IPv4 tail
+    (octets 0-255, no leading zeros); one ``::`` may stand for one or more
+    zero groups; an optional ``%scope`` (non-empty, no ``%``) may follow.
+    """
+    h = "[0-9A-Fa-f]{1,4}"
+    octet = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+    v4 = rf"{octet}(?:\.{octet}){{3}}"
+    alts = []
+    for tail, groups in (("", 8), (v4, 6)):
+        def seq(n):
+            return "" if n == 0 else f"{h}(?::{h}){{{n - 1}}}"
+        full = (f"(?:{h}:){{{groups - 1}}}{h}" if not tail else f"(?:{h}:){{{groups}}}{tail}")
+        alts.append(full)
+        for left in range(groups):
+            for right in range(groups - left):
+                lhs, rhs = seq(left), seq(right)
+                if tail:
+                    rhs = f"{rhs}:{tail}" if right else tail
+                alts.append(f"{lhs}::{rhs}")
+    return "(?:" + "|".join(alts) + ")(?:%[^%]+)?"
+
+
+IPV6_RE = "^" + _ipv6_pattern() + r"\z"
+
+
 def memo(fn):
     """Reuse the Column built for a plain column name (and hashable options).
 
@@ -73,7 +101,7 @@ def _bracket_ok(authority: Column) -> Column:
     """False where the authority's brackets would make the parser raise."""
     def check(inner):
         host_ok = F.when(inner.startswith("v"), inner.rlike(r"^v[a-fA-F0-9]+\..+\z")).otherwise(
-            inner.rlike(r"^[0-9A-Fa-f]*:[0-9A-Fa-f:.]*(%.+)?\z"))
+            inner.rlike(IPV6_RE))
         lb = authority.contains("[")
         return (lb == authority.contains("]")) & (~lb | host_ok)
     return F.when(~authority.contains("[") & ~authority.contains("]"), F.lit(True)).otherwise(

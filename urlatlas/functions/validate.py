@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..spec import BLOCKED_DOMAINS, DENY_PATTERN, MAX_URL_LENGTH, SKIP_EXTENSIONS
-from .url import _col, let, memo, url_parts
+from .url import IPV6_RE, _col, let, memo, url_parts
 
 # Reason texts (fixed values).
 R_FORMAT = "Invalid URL format"
@@ -56,7 +56,7 @@ def _parse_error(authority: Column) -> Column:
                 .when(lb & inner.startswith("v") & ~inner.rlike(r"^v[a-fA-F0-9]+\..+\z"),
                       F.lit("IPvFuture address is invalid"))
                 .when(lb & inner.rlike(IPV4_RE), F.lit("An IPv4 address cannot be in brackets"))
-                .when(lb & ~inner.startswith("v") & ~inner.rlike(r"^[0-9A-Fa-f]*:[0-9A-Fa-f:.]*(%.+)?\z"),
+                .when(lb & ~inner.startswith("v") & ~inner.rlike(IPV6_RE),
                       F.concat(F.lit("'"), inner, F.lit("' does not appear to be an IPv4 or IPv6 address"))))
     return F.when(authority.contains("[") | authority.contains("]"),
                   let(F.regexp_extract(authority, r"\[([^\]]*)", 1), of))

@@ -11,6 +11,7 @@ import re
 from typing import Iterable, Sequence
 
 from ..functions.html import ENTITIES
+from ..functions.url import _ipv6_pattern
 from ..functions.validate import (R_BLOCKED, R_ERROR, R_EXTENSION, R_FORMAT, R_LENGTH,
                                   R_SCHEME)
 from ..spec import (BLOCKED_DOMAINS, DEDUP_TRACKING_PARAMS, HOST_VARIATIONS,
@@ -18,6 +19,7 @@ from ..spec import (BLOCKED_DOMAINS, DEDUP_TRACKING_PARAMS, HOST_VARIATIONS,
                     USES_NETLOC, USES_PARAMS)
 
 SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
+IPV6_SQL = "^" + _ipv6_pattern() + "$"
 
 
 def q(s: str) -> str:
@@ -49,7 +51,7 @@ def parts(src: str, col: str, p: str) -> str:
     inner = f"regexp_extract({p}_auth, '\\[([^\\]]*)', 1)"
     ok = (f"(contains({p}_auth, '[') = contains({p}_auth, ']')) AND (NOT contains({p}_auth, '[') OR "
           f"CASE WHEN starts_with({inner}, 'v') THEN regexp_matches({inner}, '^v[a-fA-F0-9]+\\..+$') "
-          f"ELSE regexp_matches({inner}, '^[0-9A-Fa-f]*:[0-9A-Fa-f:.]*(%.+)?$') END)")
+          f"ELSE regexp_matches({inner}, {q(IPV6_SQL)}) END)")
     cut = f"({p}_scheme IN {in_list(USES_PARAMS)} AND contains({p}_pall, ';'))"
     s = stage(s, [(f"{p}_path", f"CASE WHEN {cut} THEN regexp_replace({p}_pall, ';[^/]*$', '') ELSE {p}_pall END"),
                   (f"{p}_ok", ok)])
@@ -144,7 +146,7 @@ def validate(src: str, col: str, out_valid: str, out_reason: str, p: str,
     err = (f"CASE WHEN {lb} <> {rb} THEN 'Invalid IPv6 URL' "
            f"WHEN {lb} AND starts_with({inner}, 'v') AND NOT regexp_matches({inner}, '^v[a-fA-F0-9]+\\..+$') THEN 'IPvFuture address is invalid' "
            f"WHEN {lb} AND regexp_matches({inner}, '^\\d{{1,3}}(\\.\\d{{1,3}}){{3}}$') THEN 'An IPv4 address cannot be in brackets' "
-           f"WHEN {lb} AND NOT starts_with({inner}, 'v') AND NOT regexp_matches({inner}, '^[0-9A-Fa-f]*:[0-9A-Fa-f:.]*(%.+)?$') "
+           f"WHEN {lb} AND NOT starts_with({inner}, 'v') AND NOT regexp_matches({inner}, {q(IPV6_SQL)}) "
            f"THEN '''' || {inner} || ''' does not appear to be an IPv4 or IPv6 address' END")
     blk = " OR ".join(f"({p}_rh = {q(d)} OR ends_with({p}_rh, {q('.' + d)}))" for d in blocked) or "FALSE"
     ext = "(" + "|".join(re.escape(e) for e in SKIP_EXTENSIONS) + ")$"
