@@ -132,5 +132,11 @@ def dedup_stats(verdicts: DataFrame, now=None) -> DataFrame:
 
 
 def unseen(df: DataFrame, history: DataFrame, key: str = "url_hash") -> DataFrame:
-    """Rows whose key is not in ``history`` (anti join; AQE splits hot partitions)."""
+    """Rows whose key is not in ``history`` (anti join; AQE splits hot partitions).
+
+    ``history`` is normally a stored key column (the URL store). A history
+    computed on the fly should be checkpointed first: Spark carries filters
+    on ``df``'s key across the join equality into ``history`` and would
+    recompute its key expression inside that filter.
+    """
     return df.join(history.select(key), key, "left_anti")

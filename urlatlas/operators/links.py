@@ -78,8 +78,10 @@ def allowed_only(df: DataFrame, domains: Optional[Union[Sequence[str], DataFrame
         return df.where(let(host, pred))
     allow = domains.select(F.lower(F.col(domains.columns[0])).alias("_sfx")).distinct()
     allow = broadcast_if_small(allow, max_broadcast_rows)
-    tagged = df.withColumn("_host", host)
-    hosts = tagged.select("_host").where(F.col("_host") != "").distinct()
+    # a non-null host key: no inferred isnotnull filter copies the host
+    # expression below the projection; '' never matches an allowed suffix
+    tagged = df.withColumn("_host", F.coalesce(host, F.lit("")))
+    hosts = tagged.select("_host").distinct()
     ok_hosts = (hosts.withColumn("_sfx", F.explode(host_suffixes(F.col("_host"))))
                 .join(allow, "_sfx", "left_semi").select("_host").distinct())
     # semi join on the host: each link row is kept at most once

@@ -12,13 +12,24 @@ from .documents import conform_or_reject
 from .util import broadcast_if_small, cut_lineage
 
 
-def first_per_key(df: DataFrame, key: str = "url_hash", order: Optional[str] = None) -> DataFrame:
-    """One row per key: the first by ``order`` if given (partial ``min_by``), else any."""
-    if order is None:
-        return df.dropDuplicates([key])
+def first_per_key(df: DataFrame, key: str = "url_hash", order: Optional[str] = None,
+                  drop_null_key: bool = True) -> DataFrame:
+    """One row per key: the first by ``order`` (partial ``min_by``), else any.
+
+    Rows with a null key form one group, dropped by an aggregate flag: a
+    filter on the key itself would be pushed below the aggregation into the
+    projection that computes the key, evaluating it twice.
+    """
     cols = [c for c in df.columns if c != key]
-    return (df.groupBy(key).agg(F.min_by(F.struct(*cols), F.col(order)).alias("_f"))
-            .select(key, "_f.*").select(*df.columns))
+    pick = (F.min_by(F.struct(*cols), F.col(order)) if order is not None
+            else F.first(F.struct(*cols), ignorenulls=False)).alias("_f")
+    aggs = [pick]
+    if drop_null_key:
+        aggs.append(F.max(F.col(key).isNotNull()).alias("_has_key"))
+    out = df.groupBy(key).agg(*aggs)
+    if drop_null_key:
+        out = out.where(F.col("_has_key"))
+    return out.select(key, "_f.*").select(*df.columns)
 
 
 class UrlStore:
@@ -68,7 +79,7 @@ class UrlStore:
         ``order``), then an anti join against the stored keys removes known
         ones. Re-running the same batch appends nothing (idempotent).
         """
-        batch = first_per_key(df, self.key, order).where(F.col(self.key).isNotNull())
+        batch = first_per_key(df, self.key, order)
         if self.exists():
             batch = drop_known(batch, self.read(), self.key)
         # fix the batch before writing into the table it was compared with
@@ -85,15 +96,18 @@ def drop_known(batch: DataFrame, store: DataFrame, key: str) -> DataFrame:
     batch side and prune the store side before its shuffle (it does not for
     anti joins). The anti join then runs against that small matched set.
     """
-    batch_keys = batch.select(key)
-    known = store.select(key).join(batch_keys, key, "left_semi")
-    return batch.join(known, key, "left_anti")
+    # non-null join keys: no inferred isnotnull filter is pushed into the
+    # projections that compute them (null keys never match anyway)
+    nk = F.coalesce(F.col(key), F.lit("")).alias("_k")
+    known = store.select(nk).join(batch.select(nk), "_k", "left_semi")
+    return (batch.withColumn("_k", F.coalesce(F.col(key), F.lit("")))
+            .join(known, "_k", "left_anti").drop("_k"))
 
 
 def append_unique(store: DataFrame, new: DataFrame, key: str = "url_hash",
                   order: Optional[str] = None) -> DataFrame:
     """Store contents after a unique insert of ``new`` (plan only, nothing written)."""
-    fresh = drop_known(first_per_key(new, key, order).where(F.col(key).isNotNull()), store, key)
+    fresh = drop_known(first_per_key(new, key, order), store, key)
     return store.unionByName(fresh.select(*store.columns))
 
 
@@ -129,9 +143,17 @@ def by_domain(docs: DataFrame, domain: str) -> DataFrame:
 
 
 def by_time(docs: DataFrame, start, end) -> DataFrame:
-    """Documents with ``start <= timestamp < end``."""
+    """Documents with ``start <= timestamp < end``.
+
+    On a store read (``day`` partition column) the day range is added as a
+    partition predicate, so only the days in range are listed and read.
+    """
     ts = F.col("timestamp")
-    return docs.where((ts >= F.lit(str(start)).cast("timestamp_ntz")) & (ts < F.lit(str(end)).cast("timestamp_ntz")))
+    lo, hi = F.lit(str(start)).cast("timestamp_ntz"), F.lit(str(end)).cast("timestamp_ntz")
+    cond = (ts >= lo) & (ts < hi)
+    if "day" in docs.columns:
+        cond = cond & F.col("day").between(F.to_date(lo), F.to_date(hi))
+    return docs.where(cond)
 
 
 def by_keyword(docs: DataFrame, keyword: str) -> DataFrame:

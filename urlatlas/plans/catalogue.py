@@ -269,7 +269,9 @@ WHERE v.hash_value <> '' AND v.hash_value NOT IN (
 def q_unseen(spark, sf):
     v = _verdicts_spark(spark, sf).where(F.col("hash_value") != "") \
         .select("seq", "url", F.col("hash_value").alias("url_hash"))
-    hist = with_url_key(pages(spark, sf), dedup_pass=True, empty_for_invalid=True).select("url_hash")
+    from ..operators.util import cut_lineage
+    # the history of known keys, materialised as a stored key column would be
+    hist = cut_lineage(with_url_key(pages(spark, sf), dedup_pass=True, empty_for_invalid=True).select("url_hash"))
     return unseen(v, hist, "url_hash")
 
 
@@ -693,6 +695,17 @@ def _lookup_cols(d):
 
 
 LOOKUP_SQL_COLS = "url_hash, url, domain, timestamp, status_code, keywords"
+_STORES: dict = {}
+
+
+def _doc_store(spark, sf) -> DataFrame:
+    """All documents written once to a clustered store; look-ups read the store."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STORES:
+        store = UrlStore(spark, _scratch(spark, "docstore"))
+        store.write_clustered(_all_docs_spark(spark, sf))
+        _STORES[key] = store
+    return _STORES[key].read()
 
 
 @register("by_hash", f"""
@@ -703,7 +716,7 @@ SELECT {LOOKUP_SQL_COLS} FROM {_sql_all_docs()} WHERE url_hash IN (
 """)
 def q_by_hash(spark, sf):
     keys = retry_queue(fetch_log_spark(spark, sf)).select("url_hash")
-    return _lookup_cols(by_hash(_all_docs_spark(spark, sf), keys))
+    return _lookup_cols(by_hash(_doc_store(spark, sf), keys))
 
 
 @register("by_domain", f"""
@@ -711,7 +724,7 @@ SELECT {LOOKUP_SQL_COLS} FROM {_sql_all_docs()} WHERE domain = (
   SELECT domain FROM {_sql_all_docs()} GROUP BY domain ORDER BY count(*) DESC, domain LIMIT 1)
 """)
 def q_by_domain(spark, sf):
-    docs = _all_docs_spark(spark, sf)
+    docs = _doc_store(spark, sf)
     top = (docs.groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
            .orderBy(F.col("n").desc(), F.col("domain")).limit(1).select("domain"))
     return _lookup_cols(docs.join(top, "domain", "left_semi"))
@@ -722,12 +735,12 @@ SELECT {LOOKUP_SQL_COLS} FROM {_sql_all_docs()}
 WHERE timestamp >= TIMESTAMP '2024-01-05 00:00:00' AND timestamp < TIMESTAMP '2024-01-10 00:00:00'
 """)
 def q_by_time(spark, sf):
-    return _lookup_cols(by_time(_all_docs_spark(spark, sf), "2024-01-05 00:00:00", "2024-01-10 00:00:00"))
+    return _lookup_cols(by_time(_doc_store(spark, sf), "2024-01-05 00:00:00", "2024-01-10 00:00:00"))
 
 
 @register("by_keyword", f"SELECT {LOOKUP_SQL_COLS} FROM {_sql_all_docs()} WHERE list_contains(string_split(keywords, '|'), 'der')")
 def q_by_keyword(spark, sf):
-    return _lookup_cols(by_keyword(_all_docs_spark(spark, sf), "der"))
+    return _lookup_cols(by_keyword(_doc_store(spark, sf), "der"))
 
 
 @register("found_urls", f"SELECT url, domain, depth, timestamp AS found_date FROM {_sql_page_docs()}")
