@@ -399,9 +399,9 @@ def sql_fetch_log() -> str:
             f"FROM events e JOIN pages p ON p.page_id = e.event_id % (SELECT count(*) FROM pages))")
 
 
-def fetch_log_spark(spark, sf):
+def fetch_log_spark(spark, sf, with_attempt: bool = False):
     p = pages(spark, sf)
-    return derived.fetch_log(read_table(spark, sf, "events"), p)
+    return derived.fetch_log(read_table(spark, sf, "events"), p, with_attempt=with_attempt)
 
 
 NOW_SQL = f"TIMESTAMP '{derived.FIXED_NOW}'"
@@ -574,7 +574,7 @@ WHERE (last_status IN (500, 502, 503, 504, 408, 429) OR (last_status IS NULL AND
   AND trailing_failures <= 3
 """)
 def q_retry_queue(spark, sf):
-    return retry_queue(fetch_log_spark(spark, sf))
+    return retry_queue(fetch_log_spark(spark, sf, with_attempt=True))
 
 
 @register("recrawl_due", f"""
@@ -585,7 +585,7 @@ SELECT url_hash, url, last_status, last_ts, last_ok_ts, reason FROM (
   FROM {_sql_last_fetch()}) WHERE reason IS NOT NULL
 """)
 def q_recrawl_due(spark, sf):
-    return recrawl_due(fetch_log_spark(spark, sf), derived.FIXED_NOW)
+    return recrawl_due(fetch_log_spark(spark, sf, with_attempt=True), derived.FIXED_NOW)
 
 
 # ------------------------------------------------------------ G1, G2 BFS
@@ -715,7 +715,7 @@ SELECT {LOOKUP_SQL_COLS} FROM {_sql_all_docs()} WHERE url_hash IN (
     AND trailing_failures <= 3)
 """)
 def q_by_hash(spark, sf):
-    keys = retry_queue(fetch_log_spark(spark, sf)).select("url_hash")
+    keys = retry_queue(fetch_log_spark(spark, sf, with_attempt=True)).select("url_hash")
     return _lookup_cols(by_hash(_doc_store(spark, sf), keys))
 
 

@@ -87,12 +87,14 @@ def link_table(pages: DataFrame, edges: DataFrame) -> DataFrame:
 STATUS_BY_DIGIT = (200, 200, 200, 200, 404, 403, 429, 500, 503, 408)
 
 
-def fetch_log(events: DataFrame, pages: DataFrame, n_pages: int | None = None) -> DataFrame:
+def fetch_log(events: DataFrame, pages: DataFrame, n_pages: int | None = None,
+              with_attempt: bool = True) -> DataFrame:
     """One fetch per event: run, page URL, proxy, status, time, attempt, error.
 
     ``status`` is null and ``error = 'timeout'`` for error events; otherwise
     the last digit of ``event_id`` picks the status. ``attempt`` numbers the
-    fetches of a URL by ``(ts, event_id)``.
+    fetches of a URL by ``(ts, event_id)``; consumers that never read it can
+    skip the numbering (``with_attempt=False``, attempt is null).
     """
     n = n_pages if n_pages is not None else pages.count()
     urls = pages.select(F.col("page_id").alias("_pid"), F.col("url"))
@@ -109,8 +111,11 @@ def fetch_log(events: DataFrame, pages: DataFrame, n_pages: int | None = None) -
     joined = ev.join(urls, "_pid").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     # attempt numbers per URL without gathering a URL's fetches in one task:
     # blocked running count, one block per day of fetch time
-    day = F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date")).cast("bigint")
-    numbered = running_count(joined, "url", "ts", "attempt", order=["ts", "event_id"], block=day)
+    if with_attempt:
+        day = F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date")).cast("bigint")
+        numbered = running_count(joined, "url", "ts", "attempt", order=["ts", "event_id"], block=day)
+    else:
+        numbered = joined.withColumn("attempt", F.lit(None).cast("int"))
     return numbered.select(
         "event_id", "run_id", "url", "proxy_address", "status",
         F.col("value").alias("response_ms"), "ts", F.col("attempt").cast("int").alias("attempt"), "error")
