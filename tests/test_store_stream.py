@@ -38,3 +38,23 @@ def test_stream_verdicts_equal_batch(spark):
     got = sorted((r.seq, r.is_duplicate, r.seen_count) for r in out.collect())
     exp = sorted((r.seq, r.is_duplicate, r.seen_count) for r in dedup_verdicts(df).collect())
     assert got == exp
+
+
+def test_rows_per_file_and_clustered_layout(spark):
+    store = UrlStore(spark, _scratch(spark, "k5"), max_records_per_file=5)
+    store.write_clustered(_docs(spark, 40), partitions=2)
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(store.path + "/day=2024-01-01")
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = [st for st in fs.listStatus(root) if st.getPath().getName().endswith(".parquet")]
+    assert len(files) >= 8                     # 40 rows, at most 5 per file
+    got = store.read()
+    assert got.count() == 40 and "day" in got.columns
+
+
+def test_dedup_stats_timestamp_text(spark):
+    from urlatlas.operators.dedup import dedup_stats
+    df = spark.createDataFrame([(0, "http://a.com/"), (1, "http://A.com"), (2, "http://[x")], "seq long, url string")
+    st = dedup_stats(dedup_verdicts(df), now=F.lit("2024-01-31 12:00:00").cast("timestamp_ntz")).first()
+    assert (st.total_urls, st.duplicates, st.unique_urls, st.cache_size) == (3, 1, 1, 1)
+    assert st.timestamp == "2024-01-31T12:00:00.000000"

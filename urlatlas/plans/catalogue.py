@@ -611,7 +611,12 @@ def _bfs_spark(spark, sf, depth):
     return expand(_seeds_spark(spark, sf), _edges_spark(spark, sf), spec).nodes
 
 
-def sql_bfs_ctes(depth: int) -> str:
+def _sql_site_seed_urls() -> str:
+    return (f"(SELECT arg_min(url, page_id) AS url FROM "
+            f"{O.registrable('pages', 'url', 'reg', 'sr', DEFAULT_PUBLIC_SUFFIXES)} GROUP BY reg)")
+
+
+def sql_bfs_ctes(depth: int, seed_urls: str | None = None, allow_from_seeds: bool = False) -> str:
     """CTEs ``e`` (filtered edges), ``seeds``, ``walk`` and ``nodes`` for a BFS to ``depth``."""
     n = (f"(SELECT (SELECT count(*) FROM pages) AS n)")
     lk = (f"(SELECT ps.url AS src_url, pd.url AS dst_url, CAST(k AS INTEGER) AS pos FROM pages ps, "
@@ -619,12 +624,20 @@ def sql_bfs_ctes(depth: int) -> str:
           f"WHERE pd.page_id = (ps.page_id * 3 + k * 7 + 1) % nn.n)")
     s = O.validate(lk, "dst_url", "ok", "why", "bv")
     s = f"(SELECT * FROM {s} WHERE ok AND NOT regexp_matches(dst_url, '.*\\.(pdf|zip|rar|tar|gz|doc|docx|xls|xlsx|jpg|jpeg|png|gif|mp4|mp3)$'))"
+    if allow_from_seeds:
+        sa = O.authority(seed_urls, "url", "sauth", "sa")
+        s = O.authority(s, "dst_url", "dauth", "da")
+        s = (f"(SELECT * FROM {s} WHERE lower(dauth) <> '' AND EXISTS (SELECT 1 FROM {sa} "
+             f"WHERE sauth <> '' AND (lower(dauth) = lower(sauth) OR ends_with(lower(dauth), '.' || lower(sauth)))))")
     s = O.normalize(s, "dst_url", "dst_norm", "bd")
     s = O.normalize(s, "src_url", "src_norm", "bs")
     e = (f"SELECT sha256(src_norm) AS src_hash, sha256(dst_norm) AS dst_hash, dst_url, dst_norm, src_url, pos "
          f"FROM {s} WHERE dst_norm IS NOT NULL AND src_norm IS NOT NULL")
-    sd = O.domain("pages", "url", "host", "sh")
-    sd = f"(SELECT arg_min(url, page_id) AS url FROM {sd} GROUP BY host)"
+    if seed_urls is None:
+        sd = O.domain("pages", "url", "host", "sh")
+        sd = f"(SELECT arg_min(url, page_id) AS url FROM {sd} GROUP BY host)"
+    else:
+        sd = seed_urls
     sd = O.normalize(sd, "url", "nurl", "sn")
     seeds = (f"SELECT sha256(nurl) AS url_hash, min(url) AS url, arg_min(nurl, url) AS normalized_url "
              f"FROM {sd} WHERE nurl IS NOT NULL GROUP BY sha256(nurl)")
@@ -887,3 +900,19 @@ def q_harvest(spark, sf):
     spec = HarvestSpec(allowed_domains=None, keywords=TAG_KEYWORDS, max_depth=3)
     res = harvest(pages(spark, sf), _edges_spark(spark, sf), _seeds_spark(spark, sf), spec, now=derived.FIXED_NOW)
     return _flat(res.documents)
+
+
+# ------------------------------------------------------------ S4, P2 in G1: allowed domains from the seeds
+
+def _site_seeds_spark(spark, sf):
+    """One entry page per registrable domain (smallest page id)."""
+    p = registrable_domain(pages(spark, sf).select("page_id", "url"))
+    return (p.groupBy("registrable_domain").agg(F.min_by("url", "page_id").alias("url"), F.min("page_id").alias("seq"))
+            .select("seq", "url"))
+
+
+@register("expand_site", sql_bfs_ctes(3, _sql_site_seed_urls(), allow_from_seeds=True)
+          + "SELECT url_hash, url, normalized_url, depth, source_url, source_hash FROM nodes")
+def q_expand_site(spark, sf):
+    spec = HarvestSpec(allowed_domains=(), max_depth=3)   # () = the seeds' authorities
+    return expand(_site_seeds_spark(spark, sf), _edges_spark(spark, sf), spec).nodes
