@@ -916,3 +916,26 @@ def _site_seeds_spark(spark, sf):
 def q_expand_site(spark, sf):
     spec = HarvestSpec(allowed_domains=(), max_depth=3)   # () = the seeds' authorities
     return expand(_site_seeds_spark(spark, sf), _edges_spark(spark, sf), spec).nodes
+
+
+# ------------------------------------------------------------ F13, J5 on the long-text corpus
+
+def _sql_doc_tags() -> str:
+    return f"(SELECT doc_id, {O.find_keywords('lower(text)', TAG_KEYWORDS)} AS kw FROM documents)"
+
+
+@register("keyword_tags_documents", f"SELECT doc_id, array_to_string(kw, '|') AS keywords FROM {_sql_doc_tags()}")
+def q_keyword_tags_documents(spark, sf):
+    from ..functions.html import find_keywords
+    d = read_table(spark, sf, "documents")
+    return d.select("doc_id", F.array_join(find_keywords(F.lower("text"), TAG_KEYWORDS), "|").alias("keywords"))
+
+
+@register("keyword_join_documents", """
+SELECT doc_id, array_to_string(list_sort(list_filter(kws, lambda k: instr(lower(text), lower(k)) > 0)), '|') AS keywords
+FROM documents, (SELECT list(DISTINCT event_type) AS kws FROM events WHERE event_type IS NOT NULL)
+""")
+def q_keyword_join_documents(spark, sf):
+    d = read_table(spark, sf, "documents").select("doc_id", F.lower("text").alias("text"))
+    kw = read_table(spark, sf, "events").select("event_type")
+    return match_keywords(d, kw, "text").select("doc_id", F.array_join("keywords", "|").alias("keywords"))

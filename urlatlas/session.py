@@ -15,9 +15,36 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # checkpoint files of finished lineages are removed once unreferenced
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
+def cluster_conf(executors: int = 1000, cores_per_executor: int = 8,
+                 advisory_partition: str = "256m") -> dict:
+    """Settings for large runs (hundreds of TB over ~1000 executors).
+
+    Shuffles start wide (about 3 tasks per core) and AQE coalesces them to
+    ``advisory_partition`` each, so no reducer holds more than a few hundred
+    MB; skewed partitions over 5x the median are split; scans read 256 MB
+    splits. Pass to ``get_spark(extra=...)`` or ``spark-submit --conf``.
+    """
+    slots = executors * cores_per_executor
+    return {
+        "spark.sql.shuffle.partitions": str(slots * 3),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": advisory_partition,
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+        "spark.sql.files.maxPartitionBytes": "256m",
+        "spark.sql.autoBroadcastJoinThreshold": "64m",
+        "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    }
+
+
 def get_spark(master: str | None = None, app: str = "urlatlas",
               shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
     """Build (or reuse) a session with AQE and a UTC session zone."""
