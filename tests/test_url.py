@@ -57,3 +57,15 @@ def test_hostname_and_hash(spark):
     got = df.select(U.url_hostname("u"), U.url_hash(U.normalize_url("u")), U.url_hash(F.col("u"), "md5")).collect()
     assert got[0][0] == "www.ex.com" and got[1][0] == "::1"
     assert len(got[0][1]) == 64 and len(got[0][2]) == 32
+
+
+def test_resolve_edge_forms(spark):
+    hrefs = ["//", "//?q", "///p", "//#f", "?", "#", "?#f", "/p?", "/p#", "/p?#", "p?#x",
+             "HTTP://h.com/A?", "https://o.com/x#", "//o.com/x?#", "http:p"]
+    bases = ["http://h.com/a/b;pp?x=1#top", "http://h.com"]
+    pairs = [(b, h) for b in bases for h in hrefs]
+    df = spark.createDataFrame(pairs, "b string, h string")
+    for r in df.select("b", "h", U.resolve_url("b", "h").alias("r")).collect():
+        if r.h == "http:p":
+            continue  # scheme:path without '//' is kept as written (README)
+        assert r.r == urljoin(r.b, r.h), (r.b, r.h)

@@ -91,10 +91,26 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+# Characters dropped from the start of a URL: C0 controls and blank (fixed).
+LEADING_JUNK = "".join(chr(i) for i in range(0x21))
+
+
 @memo
 def clean_url(c) -> Column:
-    """Drop leading bytes <= 0x20, then every tab, CR and LF."""
-    return F.regexp_replace(F.regexp_replace(_col(c), r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
+    """Drop leading bytes <= 0x20, then every tab, CR and LF.
+
+    ``ltrim`` over a character set stops at the first kept character; the
+    removal regex only runs on the rare URLs that hold a tab or line break.
+    """
+    def drop_breaks(t):
+        has = t.contains("\t") | t.contains("\r") | t.contains("\n")
+        return F.when(has, F.regexp_replace(t, r"[\t\r\n]", "")).otherwise(t)
+    return let(F.ltrim(_col(c), F.lit(LEADING_JUNK)), drop_breaks)
+
+
+def _after_first(x: Column, head: Column, sep: str) -> Column:
+    """Text after the first ``sep`` ('' when absent), given ``head`` = text before it."""
+    return F.when(x.contains(sep), F.substring(x, F.length(head) + 2, F.length(x))).otherwise(F.lit(""))
 
 
 def _bracket_ok(authority: Column) -> Column:
@@ -116,11 +132,12 @@ def _split_after(after: Column, scheme: Column, authority: Column) -> Column:
                 scheme.alias("scheme"), authority.alias("authority"),
                 F.when(cut, F.regexp_replace(pa, r";[^/]*\z", "")).otherwise(pa).alias("path"),
                 F.when(cut, F.regexp_extract(pa, r";([^/]*)\z", 1)).otherwise(F.lit("")).alias("params"),
-                F.regexp_extract(h, r"(?s)^[^?]*\?(.*)\z", 1).alias("query"),
-                F.regexp_extract(after, r"(?s)^[^#]*#(.*)\z", 1).alias("fragment"),
+                _after_first(h, pa, "?").alias("query"),
+                _after_first(after, h, "#").alias("fragment"),
                 _bracket_ok(authority).alias("ok"))
-        return let(F.regexp_extract(h, r"(?s)^([^?]*)", 1), from_path)
-    return let(F.regexp_extract(after, r"(?s)^([^#]*)", 1), from_head)
+        # split by plain index search, not regex: fragment first, then query
+        return let(F.substring_index(h, "?", 1), from_path)
+    return let(F.substring_index(after, "#", 1), from_head)
 
 
 @memo
@@ -131,22 +148,24 @@ def url_parts(c) -> Column:
     brackets in the authority). Null in, null out.
     """
     def from_clean(u):
-        has_scheme = u.rlike(SCHEME_RE)
-
-        def from_rest(sr):
-            rest = sr["rest"]
-            has_auth = rest.startswith("//")
-
-            def from_auth(aa):
-                return _split_after(aa["after"], sr["scheme"], aa["authority"])
+        def from_scheme(raw):
+            # a scheme match is at least one character, so '' means "none"
+            has_scheme = raw != ""
+
+            def from_rest(sr):
+                rest = sr["rest"]
+                has_auth = rest.startswith("//")
+
+                def from_auth(auth):
+                    after = F.when(has_auth, F.substring(rest, F.length(auth) + 3, F.length(rest))).otherwise(rest)
+                    return _split_after(after, sr["scheme"], auth)
+                return let(F.when(has_auth, F.regexp_extract(rest, r"^//([^/?#]*)", 1)).otherwise(F.lit("")),
+                           from_auth)
             return let(F.struct(
-                F.when(has_auth, F.regexp_extract(rest, r"^//([^/?#]*)", 1)).otherwise(F.lit("")).alias("authority"),
-                F.when(has_auth, F.regexp_replace(rest, r"^//[^/?#]*", "")).otherwise(rest).alias("after")),
-                from_auth)
-        body = let(F.struct(
-            F.when(has_scheme, F.lower(F.regexp_extract(u, SCHEME_RE, 1))).otherwise(F.lit("")).alias("scheme"),
-            F.when(has_scheme, F.regexp_replace(u, SCHEME_RE, "")).otherwise(u).alias("rest")), from_rest)
-        return F.when(u.isNotNull(), body)
+                F.lower(raw).alias("scheme"),
+                F.when(has_scheme, F.substring(u, F.length(raw) + 2, F.length(u))).otherwise(u).alias("rest")),
+                from_rest)
+        return F.when(u.isNotNull(), let(F.regexp_extract(u, SCHEME_RE, 1), from_scheme))
     return let(clean_url(c), from_clean)
 
 
@@ -333,31 +352,56 @@ def _remove_dot_segments(path: Column, squeeze_inner: bool) -> Column:
     return let(F.split(path, "/"), on_segs)
 
 
-def resolve_url(base, href, base_parts: Column | None = None) -> Column:
-    """Make ``href`` absolute against ``base`` (the page URL).
+def _tidy_markers(x: Column) -> Column:
+    """Drop an empty query marker (``?`` before ``#`` or the end) and an empty fragment marker."""
+    return F.regexp_replace(F.regexp_replace(x, r"^([^?#]*)\?(#|\z)", "$1$2"), r"^([^#]*)#\z", "$1")
 
-    Forms: absolute (has a scheme) kept; ``//host/p`` takes the base scheme;
-    ``/p`` takes the base authority; ``?q`` and ``#f`` replace the tail of the
-    base; ``''`` is the base; anything else is merged with the base directory.
-    Dot segments are removed from merged and rooted paths. ``base_parts``
-    (``url_parts(base)``) may be passed in when many links share one base.
+
+def resolve_url(base, href, base_parts: Column | None = None) -> Column:
+    """Make ``href`` absolute against ``base`` (the page URL), as ``urljoin`` does.
+
+    Absolute links are kept (same scheme with an authority: scheme lower-cased
+    and empty ``?``/``#`` markers dropped); ``//host/p`` takes the base
+    scheme; ``''`` is the base. Everything else is a relative reference:
+    an empty path keeps the base path (and, without a query of its own, the
+    base query); ``/p`` is rooted; other paths merge with the base
+    directory; dot segments are removed; ``//`` with an empty authority is
+    read as the reference after it. ``base_parts`` (``url_parts(base)``)
+    may be passed in when many links share one base.
     """
     base = _col(base)
 
     def build(r):
         h, bp = r["h"], r["bp"]
-        origin = F.concat(bp["scheme"], F.lit("://"), bp["authority"])
-        hq = F.regexp_extract(h, r"(?s)^[^?#]*(.*)\z", 1)          # ?query#fragment of href
-        hpath = F.regexp_extract(h, r"(?s)^([^?#]*)", 1)
-        base_dir = F.regexp_extract(bp["path"], r"(?s)^(.*/)", 1)
+        hsch = link_scheme(h)
+        has_net = h.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]")
+        pr_net = h.rlike(r"^//[^/?#]")
+        rel = F.when(h.startswith("//"), F.substring(h, 3, F.length(h))).otherwise(h)
+
+        def relative(parts):
+            hpath, hq, hf = parts["p"], parts["q"], parts["f"]
+            origin = F.concat(bp["scheme"], F.lit("://"), bp["authority"])
+            base_path = F.when(bp["params"] != "", F.concat(bp["path"], F.lit(";"), bp["params"])).otherwise(bp["path"])
+            base_dir = F.regexp_extract(bp["path"], r"(?s)^(.*/)", 1)
+            path = (F.when(hpath == "", base_path)
+                    .when(hpath.startswith("/"), _remove_dot_segments(hpath, False))
+                    .otherwise(_remove_dot_segments(
+                        F.concat(F.when(base_dir == "", F.lit("/")).otherwise(base_dir), hpath), True)))
+            query = F.when((hpath == "") & (hq == ""), bp["query"]).otherwise(hq)
+            return F.concat(origin, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")),
+                             F.when(hf != "", F.concat(F.lit("#"), hf)).otherwise(F.lit("")))
+
+        def split_rel(head):
+            return F.struct(F.substring_index(head, "?", 1).alias("p"),
+                            _after_first(head, F.substring_index(head, "?", 1), "?").alias("q"),
+                            _after_first(rel, head, "#").alias("f"))
+        rel_result = let(split_rel(F.substring_index(rel, "#", 1)), relative)
+        same = has_net & (hsch == bp["scheme"])
         return (F.when(h.isNull() | base.isNull(), F.lit(None).cast("string"))
-                .when(h.rlike(SCHEME_RE), h)
-                .when(h.startswith("//"), F.concat(bp["scheme"], F.lit(":"), h))
+                .when(h.rlike(SCHEME_RE), F.when(same, F.concat(hsch, F.substring(_tidy_markers(h), F.length(hsch) + 1,
+                                                                                   F.length(h)))).otherwise(h))
+                .when(pr_net, F.concat(bp["scheme"], F.lit(":"), _tidy_markers(h)))
                 .when(h == "", base)
-                .when(h.startswith("/"), F.concat(origin, _remove_dot_segments(hpath, False), hq))
-                .when(h.startswith("?"), F.concat(F.regexp_extract(base, r"(?s)^([^?#]*)", 1), h))
-                .when(h.startswith("#"), F.concat(F.regexp_extract(base, r"(?s)^([^#]*)", 1), h))
-                .otherwise(F.concat(origin, _remove_dot_segments(
-                    F.concat(F.when(base_dir == "", F.lit("/")).otherwise(base_dir), hpath), True), hq)))
+                .otherwise(rel_result))
     bp = base_parts if base_parts is not None else url_parts(base)
     return let(F.struct(F.trim(_col(href)).alias("h"), bp.alias("bp")), build)

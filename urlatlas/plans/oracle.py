@@ -54,6 +54,7 @@ def parts(src: str, col: str, p: str) -> str:
           f"ELSE regexp_matches({inner}, {q(IPV6_SQL)}) END)")
     cut = f"({p}_scheme IN {in_list(USES_PARAMS)} AND contains({p}_pall, ';'))"
     s = stage(s, [(f"{p}_path", f"CASE WHEN {cut} THEN regexp_replace({p}_pall, ';[^/]*$', '') ELSE {p}_pall END"),
+                  (f"{p}_params", f"CASE WHEN {cut} THEN regexp_extract({p}_pall, ';([^/]*)$', 1) ELSE '' END"),
                   (f"{p}_ok", ok)])
     return s
 
@@ -228,24 +229,35 @@ def remove_dot_segments(path: str, squeeze: bool) -> str:
     return f"CASE WHEN starts_with({joined}, '/') THEN {joined} ELSE '/' || {joined} END"
 
 
+def tidy_markers(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '^([^?#]*)\\?(#|$)', '\\1\\2'), '^([^#]*)#$', '\\1')"
+
+
 def resolve(src: str, base: str, href: str, out: str, p: str) -> str:
-    """Add ``out`` = ``href`` made absolute against ``base``."""
+    """Add ``out`` = ``href`` made absolute against ``base`` (same rules as ``resolve_url``)."""
     s = stage(src, [(f"{p}_h", f"trim({href})")])
     s = parts(s, base, p)
-    s = stage(s, [(f"{p}_origin", f"{p}_scheme || '://' || {p}_auth"),
-                  (f"{p}_hq", f"regexp_extract({p}_h, '(?s)^[^?#]*(.*)$', 1)"),
-                  (f"{p}_hpath", f"regexp_extract({p}_h, '^([^?#]*)', 1)"),
-                  (f"{p}_bdir", f"regexp_extract({p}_path, '(?s)^(.*/)', 1)")])
-    merged = remove_dot_segments(f"(CASE WHEN {p}_bdir = '' THEN '/' ELSE {p}_bdir END || {p}_hpath)", True)
-    rooted = remove_dot_segments(f"{p}_hpath", False)
+    s = stage(s, [(f"{p}_rel", f"CASE WHEN starts_with({p}_h, '//') THEN {p}_h[3:] ELSE {p}_h END"),
+                  (f"{p}_hsch", f"lower(regexp_extract({p}_h, {q('^([A-Za-z][A-Za-z0-9+.-]*):')}, 1))")])
+    s = stage(s, [(f"{p}_rhead", f"split_part({p}_rel, '#', 1)")])
+    s = stage(s, [(f"{p}_rf", f"CASE WHEN contains({p}_rel, '#') THEN {p}_rel[length({p}_rhead) + 2:] ELSE '' END"),
+                  (f"{p}_rp", f"split_part({p}_rhead, '?', 1)")])
+    s = stage(s, [(f"{p}_rq", f"CASE WHEN contains({p}_rhead, '?') THEN {p}_rhead[length({p}_rp) + 2:] ELSE '' END"),
+                  (f"{p}_bdir", f"regexp_extract({p}_path, '(?s)^(.*/)', 1)"),
+                  (f"{p}_bpath", f"CASE WHEN {p}_params <> '' THEN {p}_path || ';' || {p}_params ELSE {p}_path END")])
+    merged = remove_dot_segments(f"(CASE WHEN {p}_bdir = '' THEN '/' ELSE {p}_bdir END || {p}_rp)", True)
+    rooted = remove_dot_segments(f"{p}_rp", False)
+    s = stage(s, [(f"{p}_np", f"CASE WHEN {p}_rp = '' THEN {p}_bpath WHEN starts_with({p}_rp, '/') THEN {rooted} ELSE {merged} END"),
+                  (f"{p}_nq", f"CASE WHEN {p}_rp = '' AND {p}_rq = '' THEN {p}_query ELSE {p}_rq END")])
+    rel_result = (f"{p}_scheme || '://' || {p}_auth || {p}_np || CASE WHEN {p}_nq <> '' THEN '?' || {p}_nq ELSE '' END "
+                  f"|| CASE WHEN {p}_rf <> '' THEN '#' || {p}_rf ELSE '' END")
+    same = f"(regexp_matches({p}_h, {q('^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]')}) AND {p}_hsch = {p}_scheme)"
     expr = (f"CASE WHEN {p}_h IS NULL OR {base} IS NULL THEN NULL "
-            f"WHEN regexp_matches({p}_h, {q(SCHEME)}) THEN {p}_h "
-            f"WHEN starts_with({p}_h, '//') THEN {p}_scheme || ':' || {p}_h "
+            f"WHEN regexp_matches({p}_h, {q(SCHEME)}) THEN CASE WHEN {same} THEN "
+            f"{p}_hsch || ({tidy_markers(f'{p}_h')})[length({p}_hsch) + 1:] ELSE {p}_h END "
+            f"WHEN regexp_matches({p}_h, '^//[^/?#]') THEN {p}_scheme || ':' || {tidy_markers(f'{p}_h')} "
             f"WHEN {p}_h = '' THEN {base} "
-            f"WHEN starts_with({p}_h, '/') THEN {p}_origin || {rooted} || {p}_hq "
-            f"WHEN starts_with({p}_h, '?') THEN regexp_extract({base}, '^([^?#]*)', 1) || {p}_h "
-            f"WHEN starts_with({p}_h, '#') THEN regexp_extract({base}, '^([^#]*)', 1) || {p}_h "
-            f"ELSE {p}_origin || {merged} || {p}_hq END")
+            f"ELSE {rel_result} END")
     return stage(s, [(out, expr)])
 
 
