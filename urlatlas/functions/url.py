@@ -218,12 +218,18 @@ def _query_pairs(query: Column, keep_blank: bool) -> Column:
 
 def canonical_query(query: Column, drop: Sequence[str] = TRACKING_PARAMS,
                     keep_blank: bool = False) -> Column:
-    """Parse, drop names, sort by name (values keep their order), re-encode."""
-    pairs = _query_pairs(query, keep_blank)
-    pairs = F.filter(pairs, lambda s: ~s["k"].isin(*drop))
-    ordered = F.array_sort(pairs)
-    return F.array_join(F.transform(ordered, lambda s: F.concat(qs_encode(s["k"]), F.lit("="),
-                                                                  qs_encode(s["v"]))), "&")
+    """Parse, drop names, sort by name (values keep their order), re-encode.
+
+    An empty query skips the whole pipeline (most URLs have none).
+    """
+    def build(q):
+        pairs = _query_pairs(q, keep_blank)
+        pairs = F.filter(pairs, lambda s: ~s["k"].isin(*drop))
+        ordered = F.array_sort(pairs)
+        enc = F.array_join(F.transform(ordered, lambda s: F.concat(qs_encode(s["k"]), F.lit("="),
+                                                                     qs_encode(s["v"]))), "&")
+        return F.when(q == "", F.lit("")).otherwise(enc)
+    return let(query, build)
 
 
 def _unsplit(scheme: Column, netloc: Column, path: Column, query: Column) -> Column:

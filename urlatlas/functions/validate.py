@@ -21,6 +21,7 @@ R_ERROR = "Validation error: "
 
 EXTENSION_RE = "(" + "|".join(re.escape(e) for e in SKIP_EXTENSIONS) + r")\z"
 IPV4_RE = r"^\d{1,3}(\.\d{1,3}){3}\z"
+TAIL = max(len(e) for e in SKIP_EXTENSIONS) + 3   # characters kept for the extension test
 
 
 @memo
@@ -81,7 +82,8 @@ def validate_url(c, blocked_domains: Sequence[str] = BLOCKED_DOMAINS,
                       .when((p["scheme"] == "") | (p["authority"] == ""), F.lit(R_FORMAT))
                       .when(~p["scheme"].isin("http", "https"), F.lit(R_SCHEME))
                       .when(let(host, lambda h: in_domains(h, blocked_domains)), F.lit(R_BLOCKED))
-                      .when(F.lower(u).rlike(EXTENSION_RE), F.lit(R_EXTENSION))
+                      # the extension test needs only the end of the lower-cased URL
+                      .when(F.lower(F.substring(u, -TAIL, TAIL)).rlike(EXTENSION_RE), F.lit(R_EXTENSION))
                       .when(F.length(u) > max_length, F.lit(R_LENGTH))
                       .otherwise(F.lit("")))
             return let(reason, lambda r: F.struct((r == "").alias("is_valid"), r.alias("reason")))
