@@ -26,6 +26,24 @@ def page_links(html: Column, page_url: Column, unique: bool = True,
     return F.array_distinct(kept) if unique else kept
 
 
+_LINKS_COLUMN: dict = {}
+
+
+def _page_links_on_stage(unique: bool) -> Column:
+    """``page_links`` over the fixed staging columns ``_html``, ``src_url``, ``_bp``.
+
+    Building the expression takes thousands of JVM calls (lambda variables
+    get fresh names, so it cannot be keyed by its text); the unresolved
+    Column over fixed names is the same for every DataFrame, so it is built
+    once per Spark context.
+    """
+    from pyspark import SparkContext
+    key = (id(SparkContext._active_spark_context), unique)
+    if key not in _LINKS_COLUMN:
+        _LINKS_COLUMN[key] = page_links(F.col("_html"), F.col("src_url"), unique, F.col("_bp"))
+    return _LINKS_COLUMN[key]
+
+
 def extract_links(pages: DataFrame, unique: bool = True, url_col: str = "url",
                   html_col: str = "html", id_col: str = "page_id") -> DataFrame:
     """One row per link: ``(page_id, src_url, pos, url)``.
@@ -35,8 +53,7 @@ def extract_links(pages: DataFrame, unique: bool = True, url_col: str = "url",
     """
     return (pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("src_url"),
                          F.col(html_col).alias("_html"), url_parts(F.col(url_col)).alias("_bp"))
-            .select("page_id", "src_url",
-                    page_links(F.col("_html"), F.col("src_url"), unique, F.col("_bp")).alias("_links"))
+            .select("page_id", "src_url", _page_links_on_stage(unique).alias("_links"))
             # the outer form plus a filter on its output: a plain explode makes
             # Catalyst infer size(links) > 0 below the projection, i.e. extract
             # every page's links twice
