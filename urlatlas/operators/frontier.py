@@ -114,7 +114,9 @@ def expand(seeds: DataFrame, links: DataFrame, spec: HarvestSpec = HarvestSpec(a
         if k == 0:
             break
         sizes.append(k)
-        visited = cut_lineage(visited.unionByName(new))
+        # the visited set is the union of checkpointed levels: its lineage is
+        # one level deep whatever the depth, without rewriting it each level
+        visited = visited.unionByName(new)
         frontier = new
     return BfsResult(cap_levels(visited, sizes, spec.max_urls), sizes)
 
