@@ -70,3 +70,14 @@ def test_stats_frequency_first(spark):
     hot = hot_urls(url_frequency(valid), cap=3, keep=0.75).collect()
     ranked = sorted(freq.items(), key=lambda kv: (-kv[1][0], kv[1][1]))[:2]
     assert [r.url_hash for r in hot] == [h for h, _ in ranked]
+
+
+def test_top_n_distributed_equals_limit(spark):
+    from urlatlas.operators.util import top_n
+    df = spark.range(0, 5000).select((F.col("id") * 7919 % 5000).alias("k"), (F.col("id") % 13).alias("g")).repartition(6)
+    order = [F.col("g").desc(), F.col("k").asc()]
+    exp = [tuple(r) for r in df.orderBy(*order).limit(1234).collect()]
+    got = [tuple(r) for r in top_n(df, 1234, order, small=0).orderBy(*order).collect()]
+    assert got == exp
+    assert top_n(df, 10_000, order, small=0).count() == 5000
+    assert top_n(df, 0, order, small=-1).count() == 0

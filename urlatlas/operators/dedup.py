@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.url import normalize_query, normalize_url, url_hash
 from ..spec import DEDUP_CACHE_SIZE, EVICTION_KEEP
-from .util import cut_lineage, with_url_key
+from .util import cut_lineage, top_n, with_url_key
 
 R_INVALID = "Invalid URL format"
 R_DUPLICATE = "Exact duplicate"
@@ -116,7 +116,8 @@ def hot_urls(freq: DataFrame, cap: int = DEDUP_CACHE_SIZE, keep: float = EVICTIO
     total = freq.count()
     if total < cap:
         return freq
-    return freq.orderBy(F.col("frequency").desc(), F.col("first_seq").asc()).limit(n_keep)
+    # first_seq is unique per key, so the order has no ties
+    return top_n(freq, n_keep, [F.col("frequency").desc(), F.col("first_seq").asc()])
 
 
 def dedup_stats(verdicts: DataFrame, now=None) -> DataFrame:

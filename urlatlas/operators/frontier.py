@@ -14,7 +14,7 @@ from ..spec import (CACHE_IGNORE_HTTP_CODES, CACHE_TTL_S, CONCURRENT_REQUESTS, D
                     PER_HOST_REQUESTS, RETRY_HTTP_CODES, RETRY_TIMES, HarvestSpec)
 from ..sources.tables import default_allowed
 from .links import allowed_only, deny_links
-from .util import cut_lineage, with_url_key
+from .util import cut_lineage, top_n, with_url_key
 
 
 def _now(now) -> Column:
@@ -134,8 +134,7 @@ def cap_levels(nodes: DataFrame, level_sizes: List[int], max_urls: int) -> DataF
     for depth, size in enumerate(level_sizes):
         if cum + size > max_urls:
             head = nodes.where(F.col("depth") < depth)
-            rest = (nodes.where(F.col("depth") == depth)
-                    .orderBy("url_hash").limit(max_urls - cum))
+            rest = top_n(nodes.where(F.col("depth") == depth), max_urls - cum, [F.col("url_hash")])
             return head.unionByName(rest)
         cum += size
     return nodes
@@ -144,7 +143,7 @@ def cap_levels(nodes: DataFrame, level_sizes: List[int], max_urls: int) -> DataF
 def cap(df: DataFrame, n: int, order: Optional[list] = None) -> DataFrame:
     """Hard cap: the first ``n`` rows by ``(depth, seq, url_hash)`` (a top-n report)."""
     order = order or [c for c in ("depth", "seq", "url_hash") if c in df.columns]
-    return df.orderBy(*order).limit(n)
+    return top_n(df, n, [F.col(c) if isinstance(c, str) else c for c in order])
 
 
 # ----------------------------------------------------------------- batches

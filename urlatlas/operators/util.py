@@ -49,3 +49,35 @@ def with_url_key(df: DataFrame, url_col: str = "url", norm_out: str = "normalize
     if empty_for_invalid:
         h = F.coalesce(h, F.lit(""))
     return df.withColumn(norm_out, n).withColumn(hash_out, h)
+
+
+def top_n(df: DataFrame, n: int, order: list, small: int = 100_000) -> DataFrame:
+    """The first ``n`` rows of ``df`` in ``order`` (ties must be broken by ``order``).
+
+    Small ``n``: ``orderBy().limit()`` (every task keeps its best ``n``, one
+    task merges them). Large ``n``: that merge would receive ``partitions x
+    n`` rows, so instead the rows are range-sorted and checkpointed, rows
+    per sorted partition are counted (one small row each), whole partitions
+    before the cut are kept by a filter and only the partition that crosses
+    ``n`` is ranked. The result stays spread over the sorted partitions.
+    """
+    if n <= small:
+        return df.orderBy(*order).limit(n)
+    ranked = cut_lineage(df.orderBy(*order).withColumn("_pid", F.spark_partition_id()))
+    sizes = sorted((r["_pid"], r["n"]) for r in ranked.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect())
+    keep, total, cut = [], 0, None
+    for pid, cnt in sizes:
+        if total + cnt <= n:
+            keep.append(pid)
+            total += cnt
+        else:
+            cut = (pid, n - total)
+            break
+    from pyspark.sql import Window
+    head = ranked.where(F.col("_pid").isin(keep)) if keep else ranked.where(F.lit(False))
+    if cut is None or cut[1] == 0:
+        return head.drop("_pid")
+    w = Window.partitionBy("_pid").orderBy(*order)
+    tail = (ranked.where(F.col("_pid") == cut[0]).withColumn("_rn", F.row_number().over(w))
+            .where(F.col("_rn") <= cut[1]).drop("_rn"))
+    return head.unionByName(tail).drop("_pid")
