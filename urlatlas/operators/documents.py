@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.html import body_text, content_type, find_keywords, page_bytes, page_description, page_title
-from ..functions.url import _col, normalize_url, url_authority, url_hash
+from ..functions.url import normalize_url, url_authority, url_hash
 from ..schemas import METADATA, URL_DOCUMENT
 from .util import broadcast_if_small, cut_lineage
 
@@ -255,8 +255,3 @@ def keyword_index(docs: DataFrame, key: str = "url_hash") -> DataFrame:
     return docs.select(F.explode_outer(F.col("keywords")).alias("keyword"), F.col(key)) \
         .where(F.col("keyword").isNotNull())  # outer form: no inferred filter copying the tags
 
-
-__all__ = [
-    "ok_pages", "page_documents", "failed_fetches", "error_documents", "all_documents", "conform",
-    "conform_or_reject", "with_keywords", "match_keywords", "keyword_index", "broadcast_if_small", "_col",
-]

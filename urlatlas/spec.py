@@ -101,7 +101,9 @@ class HarvestSpec:
     """What a harvest replay is allowed to do.
 
     ``allowed_domains=None`` means every domain (the ``*`` wildcard); an empty
-    tuple means "derive from the seeds" (their raw authorities).
+    tuple means "derive from the seeds" (their raw authorities); a list, or
+    a one-column DataFrame of domains, allows those domains and their
+    sub-domains.
     """
 
     allowed_domains: Optional[Sequence[str]] = ()
