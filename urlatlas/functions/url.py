@@ -50,14 +50,19 @@ def _ipv6_pattern() -> str:
 IPV6_RE = "^" + _ipv6_pattern() + r"\z"
 
 
+MEMO_SIZE = 512
+
+
 def memo(fn):
-    """Reuse the Column built for a plain column name (and hashable options).
+    """Reuse the Column built for the same input (and hashable options).
 
     Building a long expression costs thousands of calls into the JVM; the
     unresolved Column for ``fn("url")`` is the same for every DataFrame, so
-    it is built once per Spark context.
+    it is built once per Spark context (least recently used entries beyond
+    ``MEMO_SIZE`` are dropped).
     """
-    cache = {}
+    from collections import OrderedDict
+    cache: OrderedDict = OrderedDict()
 
     @functools.wraps(fn)
     def wrapper(c, *args, **kw):
@@ -73,6 +78,10 @@ def memo(fn):
         hit = cache.get(key)
         if hit is None:
             hit = cache[key] = fn(c, *args, **kw)
+            if len(cache) > MEMO_SIZE:
+                cache.popitem(last=False)
+        else:
+            cache.move_to_end(key)
         return hit
     return wrapper
 
