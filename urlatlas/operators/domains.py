@@ -35,7 +35,13 @@ def registrable_domain(df: DataFrame, url_col: str = "url", out: str = "registra
     a suffix gives ``.{suffix}``.
     """
     spark = df.sparkSession
-    psl = broadcast_if_small(suffix_table(spark, suffixes), max_broadcast_rows)
+    if isinstance(suffixes, DataFrame):
+        psl = broadcast_if_small(suffix_table(spark, suffixes), max_broadcast_rows)
+    else:
+        # a list given in code: its length is the proven bound, no count job
+        n = len(suffixes or DEFAULT_PUBLIC_SUFFIXES)
+        table = suffix_table(spark, suffixes)
+        psl = F.broadcast(table) if n <= max_broadcast_rows else table
     # a non-null host key: joins on it get no inferred isnotnull filter (which
     # would be pushed below and copy the host expression); '' maps to null
     tagged = df.withColumn("_host", F.coalesce(raw_host(F.col(url_col)), F.lit("")))
