@@ -63,8 +63,10 @@ def seed_nodes(seeds: DataFrame, spec: HarvestSpec) -> DataFrame:
     """Seeds as visited nodes at depth 0 (no referrer); they are never re-added."""
     s = with_url_key(seeds.select("url"), "url", algo=spec.hash_algo)
     first = F.min_by(F.struct("url", "normalized_url"), F.col("url")).alias("_f")
-    # seeds that do not canonicalise form the null group, dropped after the aggregation
-    return (s.groupBy("url_hash").agg(first).where(F.col("url_hash").isNotNull())
+    # seeds that do not canonicalise form the null group; an aggregate flag
+    # drops it (a filter on the key would be pushed down and copy the key)
+    return (s.groupBy("url_hash").agg(first, F.max(F.col("url_hash").isNotNull()).alias("_has_key"))
+            .where(F.col("_has_key"))
             .select("url_hash", "_f.url", "_f.normalized_url", F.lit(0).alias("depth"),
                     F.lit(None).cast("string").alias("source_url"),
                     F.lit(None).cast("string").alias("source_hash")))

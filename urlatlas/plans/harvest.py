@@ -8,10 +8,10 @@ from typing import Callable, List, Optional
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.url import normalize_url, url_hash
 from ..operators.documents import conform_or_reject, ok_pages, page_documents
 from ..operators.frontier import expand
 from ..operators.stats import sink_stats
+from ..operators.util import with_url_key
 from ..spec import HarvestSpec
 
 
@@ -34,8 +34,10 @@ def harvest(pages: DataFrame, links: DataFrame, seeds: DataFrame, spec: HarvestS
     """
     bfs = expand(seeds, links, spec)
     nodes = bfs.nodes
-    keyed = (ok_pages(pages).withColumn("_n", normalize_url(F.col("url")))
-             .withColumn("url_hash", url_hash(F.col("_n"), spec.hash_algo)).drop("_n"))
+    # non-null keys ('' for a URL that does not canonicalise): joins on them
+    # get no inferred filter that would recompute the canonical URL
+    keyed = with_url_key(ok_pages(pages), "url", "_n", "url_hash", algo=spec.hash_algo,
+                         empty_for_invalid=True).drop("_n")
     # one page per canonical URL: the smallest page id
     first = (keyed.groupBy("url_hash")
              .agg(F.min_by(F.struct(*[c for c in keyed.columns if c != "url_hash"]), F.col("page_id")).alias("_p"))
