@@ -8,6 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from urlatlas.llm.chunk_recipes import exact_duplicates
 from urlatlas.llm.common import table
+from urlatlas.llm.line_chunks import drop_repeated_chunks
+
+
+def op7_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, text`` without repeated passages, ``removed_lines``."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return drop_repeated_chunks(docs)
 
 
 def op9_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +22,7 @@ def op9_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_line_chunks": op7_line_chunks,
     "op9_chunk_recipes": op9_chunk_recipes,
 }
 
