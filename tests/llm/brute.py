@@ -33,3 +33,35 @@ def drop_repeated_lines(docs, min_words=51):
         if seen[c] != (i, a):
             gone[i].update(range(a, b + 1))
     return {i: "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone[i]) for i, t in docs}
+
+
+def simhash(text):
+    """3-word SimHash by the definition, bit by bit."""
+    import xxhash
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", lower) if w]
+    if not words:
+        return 0
+    shingles = [" ".join(words[i:i + 3]) for i in range(max(1, len(words) - 2))]
+    h = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def components(fps, radius=2):
+    """``{id: smallest reachable id}`` for ``{id: fingerprint}`` by comparing all pairs."""
+    import numpy as np
+    ids = sorted(fps)
+    x = np.array([fps[i] for i in ids], dtype=np.uint64)
+    parent = list(range(len(ids)))
+
+    def find(a):
+        while parent[a] != a:
+            parent[a] = a = parent[parent[a]]
+        return a
+
+    for a in range(len(ids)):
+        for b in np.nonzero(np.bitwise_count(x[a + 1:] ^ x[a]) <= radius)[0]:
+            ra, rb = find(a), find(a + 1 + int(b))
+            if ra != rb:
+                parent[max(ra, rb)] = min(ra, rb)
+    return {i: ids[find(k)] for k, i in enumerate(ids)}

@@ -9,6 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from urlatlas.llm.chunk_recipes import exact_duplicates
 from urlatlas.llm.common import table
 from urlatlas.llm.line_chunks import drop_repeated_chunks
+from urlatlas.llm.simhash import near_duplicates
+
+
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op7_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +27,7 @@ def op9_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
     "op7_line_chunks": op7_line_chunks,
     "op9_chunk_recipes": op9_chunk_recipes,
 }
