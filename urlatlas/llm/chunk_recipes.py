@@ -45,13 +45,14 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), folder, "recipes")
 
     pieces = base.select(F.explode(chunks).alias("piece")).select(chunk_hash(F.col("piece")).alias("h"), "piece")
-    clash = stage(hash_collisions(pieces), folder, "clashes")
-    if not clash.isEmpty():
+    clash = hash_collisions(pieces, folder)
+    if clash is not None:
         rows = _verified(rows, base.select(F.sha2("norm", 256).alias("text_sha256"), chunks.alias("chunks")), clash,
                          chunk_hash, folder)
 
     order = F.struct((-F.col("n")).alias("n"), F.col("doc_id").isNull().alias("no"), "doc_id", "row")
     groups = rows.groupBy("recipe").agg(F.min(order).alias("first"), F.count("*").alias("group_size"))
+    groups = stage(groups, folder, "groups")  # so that the join below is free to split a hot recipe
     same = rows.join(groups, "recipe")
     return same.select(
         "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size",

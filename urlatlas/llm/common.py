@@ -55,17 +55,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def hash_collisions(pieces: DataFrame) -> DataFrame:
+def hash_collisions(pieces: DataFrame, folder: str) -> DataFrame | None:
     """Byte comparison of pieces that share a hash.
 
     ``pieces`` has ``h`` (a 64-bit hash) and ``piece`` (its text). Returns
     ``(h, piece, k)`` for the hashes that stand for more than one text, with
-    ``k`` (from 0) telling those texts apart; every hash that is missing
-    from the result stands for exactly one text. Each distinct text moves
-    once, after a map-side combine; the result is normally empty (two equal
-    64-bit hashes among a billion texts have a chance of about 3 %).
+    ``k`` (from 0) telling those texts apart, or None if there is no such
+    hash (the normal case: two equal 64-bit hashes among a billion texts have
+    a chance of about 3 %). Each distinct text moves once, after a map-side
+    combine; the texts of shared hashes move again only where there are any.
     """
     distinct = pieces.select("h", "piece").distinct()
-    several = distinct.groupBy("h").count().where("count > 1").select("h")
+    several = stage(distinct.groupBy("h").count().where("count > 1").select("h"), folder, "shared-hashes")
+    if several.isEmpty():
+        return None
     number = F.row_number().over(Window.partitionBy("h").orderBy("piece")) - 1
-    return distinct.join(several, "h", "left_semi").withColumn("k", number.cast("int"))
+    return stage(distinct.join(several, "h", "left_semi").withColumn("k", number.cast("int")), folder, "clashes")

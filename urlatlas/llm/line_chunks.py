@@ -73,8 +73,8 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS,
     """
     folder = work_dir(docs.sparkSession)
     lines = line_table(docs, line_hash)
-    clash = stage(hash_collisions(lines.select("h", F.col("line").alias("piece"))), folder, "clashes")
-    if clash.isEmpty():
+    clash = hash_collisions(lines.select("h", F.col("line").alias("piece")), folder)
+    if clash is None:
         ids = lines.select("id", "tag", "pos", F.col("h").alias("line"), "w")
     else:  # a hash that stands for several texts is told apart by its number
         ids = (lines.join(clash.withColumnRenamed("piece", "line"), ["h", "line"], "left")
@@ -83,6 +83,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS,
     place = F.struct(F.col("id").isNull().alias("no"), "id", "tag", "start")
     several = (chunks.groupBy("chunk").agg(F.count("*").alias("n"), F.min(place).alias("first"))
                .where("n > 1").select("chunk", "first"))
+    several = stage(several, folder, "repeated")  # so that the join below is free to split a hot chunk
     later = chunks.join(several, "chunk").where(place != F.col("first"))
     gone = later.select("id", "tag", F.explode(F.sequence("start", "end")).alias("line")).distinct()
     return gone.groupBy("id", "tag").agg(F.collect_list("line").alias("lines"))
