@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,6 +40,26 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def word_blocks(raw: bytes, overlap: int, size: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    """Words of space-separated ``raw`` in bounded blocks: ``(number of the first word, words)``.
+
+    A block repeats the last ``overlap`` words of the one before it, so a
+    window of ``overlap + 1`` words lies in exactly one block. Bounds a
+    task's memory for very long texts. No words give no block.
+    """
+    at, first, tail = 0, 0, []
+    while at < len(raw):
+        end = raw.find(b" ", at + size)
+        end = len(raw) if end < 0 else end
+        words = tail + raw[at:end].split()
+        if len(words) > len(tail):
+            yield first, words
+        keep = min(overlap, len(words))
+        first += len(words) - keep
+        tail = words[len(words) - keep:]
+        at = end
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names derived from ``names`` that no column of ``df`` has in any letter case."""
     taken = {c.lower() for c in df.columns}

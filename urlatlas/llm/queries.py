@@ -5,17 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from urlatlas.llm.chunk_recipes import exact_duplicates
 from urlatlas.llm.common import table
 from urlatlas.llm.line_chunks import drop_repeated_chunks
 from urlatlas.llm.simhash import near_duplicates
+from urlatlas.llm.wu_manber import contaminated, contamination, hit_words
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = found.withColumn("n_hit", hit_words(F.col("hits")))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
+        contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
+
+
 def op7_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, text`` without repeated passages, ``removed_lines``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -28,11 +39,32 @@ def op9_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op3_wu_manber": op3_wu_manber,
     "op7_line_chunks": op7_line_chunks,
     "op9_chunk_recipes": op9_chunk_recipes,
 }
 
 SQL: dict[str, str] = {
+    "op3_wu_manber": r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+iw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+w AS (SELECT DISTINCT item_id, least(13, len(ws)) AS n,
+             array_to_string(list_slice(ws, a, a + least(13, len(ws)) - 1), ' ') AS win
+      FROM (SELECT *, unnest(range(1, greatest(0, len(ws) - 12) + 1 + CASE WHEN len(ws) BETWEEN 1 AND 12 THEN 1 ELSE 0 END)) AS a
+            FROM iw)),
+dp AS (SELECT doc_id, n, a, array_to_string(list_slice(ws, a, a + n - 1), ' ') AS win
+       FROM (SELECT doc_id, ws, n, unnest(range(1, greatest(0, len(ws) - n + 1) + 1)) AS a
+             FROM dw, (SELECT DISTINCT n FROM w))),
+occ AS (SELECT doc_id, dp.n, a, item_id FROM dp JOIN w USING (win) WHERE dp.n = w.n),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+        FROM (SELECT doc_id, unnest(range(a, a + n)) AS p FROM occ) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS s
+        FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM occ) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)""",
     "op9_chunk_recipes": r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n,
                   regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),

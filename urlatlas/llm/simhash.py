@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from urlatlas.llm.common import fresh, stage, text_of, work_dir
+from urlatlas.llm.common import fresh, stage, text_of, word_blocks, work_dir
 from urlatlas.llm.components import connected_components
 
 BITS = 64
-#: Shingles hashed at a time, which bounds a task's memory for very long texts.
-BLOCK = 16384
+#: Maps the white space of the contract to spaces.
+BLANKS = bytes(0x20 if 9 <= c <= 13 else c for c in range(256))
 
 
 def simhash(text: str | None, width: int = 3, seed: int = 42) -> int:
@@ -36,18 +36,20 @@ def simhash(text: str | None, width: int = 3, seed: int = 42) -> int:
     ``width`` words are one shingle. Repeated shingles count as often as they occur.
     """
     import xxhash
-    words = (text or "").encode("utf-8").lower().split()  # bytes: A-Z and ASCII white space only
-    if not words:
-        return 0
-    n = max(1, len(words) - width + 1)
-    ones = np.zeros(BITS, dtype=np.int64)
+    raw = (text or "").encode("utf-8").lower().translate(BLANKS)  # bytes.lower: A-Z only
+    ones, n, few = np.zeros(BITS, dtype=np.int64), 0, []
     digest = xxhash.xxh64_intdigest
-    for a in range(0, n, BLOCK):
-        part = words[a:min(a + BLOCK, n) + width - 1]
-        m = min(BLOCK, n - a)
-        shingles = zip(*(part[k:] for k in range(width))) if len(words) >= width else [tuple(words)]
+    for _, words in word_blocks(raw, width - 1):
+        m = len(words) - width + 1
+        if m < 1:
+            few = words
+            continue
+        shingles = zip(*(words[k:] for k in range(width)))
         h = np.fromiter((digest(b" ".join(s), seed) for s in shingles), dtype="<u8", count=m)
         ones += np.unpackbits(h.view(np.uint8).reshape(m, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += m
+    if not n:
+        return digest(b" ".join(few), seed) if few else 0
     bits = (2 * ones > n).astype(np.uint8)
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
