@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urlatlas.llm.chunk_recipes import exact_duplicates
-from urlatlas.llm.common import table
+from urlatlas.llm.common import table, work_dir
 from urlatlas.llm.line_chunks import drop_repeated_chunks
+from urlatlas.llm.packing import pack
 from urlatlas.llm.simhash import near_duplicates
+from urlatlas.llm.token_records import read_records, write_records
 from urlatlas.llm.wu_manber import contaminated, contamination, hit_words
 
 
@@ -27,6 +30,10 @@ def op3_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
         contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
 
 
+def op6_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, text`` without repeated passages, ``removed_lines``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -37,11 +44,18 @@ def op9_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = write_records(table(spark, sf_dir, "documents"), work_dir(spark), public_tokenizers.path("byte_bpe_50k.json"))
+    return read_records(spark, files)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_wu_manber": op3_wu_manber,
+    "op6_best_fit": op6_best_fit,
     "op7_line_chunks": op7_line_chunks,
     "op9_chunk_recipes": op9_chunk_recipes,
+    "op10_token_records": op10_token_records,
 }
 
 SQL: dict[str, str] = {

@@ -103,7 +103,17 @@ ARROW_FOUND = pa.struct([("n_words", pa.int64()), ("hits", pa.list_(pa.struct([(
                          ("items", pa.list_(pa.string()))])
 
 #: Search tables of the last block a Python worker met, so that its next task finds them built.
-_BUILT: dict[str, list[WindowSearch]] = {}
+_BUILT: dict[str, tuple[list[str], list[WindowSearch]]] = {}
+
+
+def _tables(key: str, segments: list[tuple[str, bytes]], window: int) -> tuple[list[str], list[WindowSearch]]:
+    """Item ids by number, and the search tables of a block of the benchmark."""
+    if key not in _BUILT:
+        _BUILT.clear()
+        names = sorted({item for item, _ in segments})
+        number = {item: i for i, item in enumerate(names)}
+        _BUILT[key] = names, searches([(number[item], words.split()) for item, words in segments], window)
+    return _BUILT[key]
 
 
 def _segments(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
@@ -137,20 +147,15 @@ def _search_columns(benchmark: DataFrame, id_col: str, text_col: str, window: in
         key = f"{folder}/{k}"
 
         def search(texts: pa.Array) -> pa.Array:
-            names = sorted({item for item, _ in sent.value})
-            if key not in _BUILT:
-                _BUILT.clear()
-                number = {item: i for i, item in enumerate(names)}
-                _BUILT[key] = searches([(number[item], words.split()) for item, words in sent.value], window)
+            names, tables = _tables(key, sent.value, window)
             rows = []
             for t in texts:
-                n, hits, items = find(t.as_py(), _BUILT[key], window)
+                n, hits, items = find(t.as_py(), tables, window)
                 rows.append({"n_words": n, "hits": [{"start": x, "end": y} for x, y in hits],
                              "items": [names[i] for i in sorted(items)]})
             return pa.array(rows, ARROW_FOUND)
 
-        # named types: the function may travel to workers that cannot resolve annotations
-        search.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+        search.__annotations__ = {"texts": pa.Array, "return": pa.Array}  # arrow_udf reads types, not their names
         return F.arrow_udf(search, FOUND)
 
     return [column(k) for k in range(blocks)]
