@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import uuid
+import weakref
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from urlatlas.llm.files import create
+
 #: Fixed value: the white space the contracts name, as a character class.
 WHITE = r"[\x20\x09-\x0D]"
 
@@ -24,9 +29,27 @@ def work_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_llm_work"
+    _ship_code(spark, base.rstrip("/"))
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
+_SHIPPED: weakref.WeakSet = weakref.WeakSet()
+
+
+def _ship_code(spark: SparkSession, folder: str) -> None:
+    """Once per Spark context: makes this package importable in Python workers, wherever they start."""
+    context = spark.sparkContext
+    if context in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent.parent
+    path, out = create(f"{folder}/llm-code", package.name, ".zip")
+    with out, zipfile.ZipFile(out, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(path)
+    _SHIPPED.add(context)
+
+
 def stage(df: DataFrame, folder: str, name: str) -> DataFrame:
     """Write ``df`` as Parquet under ``folder`` and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urlatlas.llm.chunk_recipes import exact_duplicates
@@ -14,6 +14,7 @@ from urlatlas.llm.line_chunks import drop_repeated_chunks
 from urlatlas.llm.packing import pack
 from urlatlas.llm.simhash import near_duplicates
 from urlatlas.llm.token_records import read_records, write_records
+from urlatlas.llm.toxicity import THRESHOLD, fit, toxicity
 from urlatlas.llm.wu_manber import contaminated, contamination, hit_words
 
 
@@ -40,6 +41,20 @@ def op7_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_chunks(docs)
 
 
+def held_out() -> Column:
+    """Rows whose labels are for testing: crc32 of the id as text, mod 3, is 1 (not so for a null id)."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+
+
+def op8_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, held_out, score, predicted`` and the offending ``spans``."""
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs, table(spark, sf_dir, "labels"), ~held_out())
+    scored = docs.select("doc_id", toxicity(model, spark)(F.col("text")).alias("t"))
+    return scored.select("doc_id", held_out().alias("held_out"), "t.score",
+                         (F.col("t.score") >= THRESHOLD).cast("int").alias("predicted"), "t.spans")
+
+
 def op9_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -54,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_wu_manber": op3_wu_manber,
     "op6_best_fit": op6_best_fit,
     "op7_line_chunks": op7_line_chunks,
+    "op8_crf": op8_crf,
     "op9_chunk_recipes": op9_chunk_recipes,
     "op10_token_records": op10_token_records,
 }
