@@ -24,25 +24,29 @@ def work_dir(spark: SparkSession) -> str:
     warehouse; any other session without it is an error, since executors
     would not see each other's files.
     """
+    ship_code(spark)
+    return f"{_shared(spark)}/llm-{uuid.uuid4().hex}"
+
+
+def _shared(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_llm_work"
-    _ship_code(spark, base.rstrip("/"))
-    return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
+    return base.rstrip("/")
 
 
 _SHIPPED: weakref.WeakSet = weakref.WeakSet()
 
 
-def _ship_code(spark: SparkSession, folder: str) -> None:
+def ship_code(spark: SparkSession) -> None:
     """Once per Spark context: makes this package importable in Python workers, wherever they start."""
     context = spark.sparkContext
     if context in _SHIPPED:
         return
     package = Path(__file__).resolve().parent.parent
-    path, out = create(f"{folder}/llm-code", package.name, ".zip")
+    path, out = create(f"{_shared(spark)}/llm-code", package.name, ".zip")
     with out, zipfile.ZipFile(out, "w") as z:
         for f in sorted(package.rglob("*.py")):
             z.write(f, f.relative_to(package.parent))

@@ -9,12 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urlatlas.llm.chunk_recipes import exact_duplicates
-from urlatlas.llm.common import table, work_dir
+from urlatlas.llm.common import ship_code, table, work_dir
 from urlatlas.llm.line_chunks import drop_repeated_chunks
 from urlatlas.llm.packing import pack
 from urlatlas.llm.simhash import near_duplicates
+from urlatlas.llm.tag_paths import page_text
 from urlatlas.llm.token_records import read_records, write_records
 from urlatlas.llm.toxicity import THRESHOLD, fit, toxicity
+from urlatlas.llm.warc import read_archives, write_archives
 from urlatlas.llm.wu_manber import contaminated, contamination, hit_words
 
 
@@ -31,6 +33,18 @@ def op3_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
         contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
 
 
+def op4_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_code(spark)
+    pages = table(spark, sf_dir, "pages")
+    text = pages.select("page_id", "url", page_text()(F.col("html")).alias("text"))
+    return text.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = write_archives(table(spark, sf_dir, "pages"), work_dir(spark))
+    return read_archives(spark, files)
+
+
 def op6_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -67,6 +81,8 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_wu_manber": op3_wu_manber,
+    "op4_tag_paths": op4_tag_paths,
+    "op5_warc": op5_warc,
     "op6_best_fit": op6_best_fit,
     "op7_line_chunks": op7_line_chunks,
     "op8_crf": op8_crf,
@@ -75,6 +91,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op5_warc": r"""
+WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n,
+                  sha256(coalesce(html, '')) AS d, url FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM p)
+SELECT page_id, url, n AS payload_bytes, d AS payload_digest,
+       CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to FROM f""",
     "op3_wu_manber": r"""
 WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
