@@ -12,6 +12,7 @@ from urlatlas.llm.chunk_recipes import exact_duplicates
 from urlatlas.llm.common import ship_code, table, work_dir
 from urlatlas.llm.line_chunks import drop_repeated_chunks
 from urlatlas.llm.packing import pack
+from urlatlas.llm.secret_links import secrets, spans_text
 from urlatlas.llm.simhash import near_duplicates
 from urlatlas.llm.tag_paths import page_text
 from urlatlas.llm.token_records import read_records, write_records
@@ -24,6 +25,13 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"),
+                        F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
+
+
 def op3_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     found = found.withColumn("n_hit", hit_words(F.col("hits")))
@@ -80,6 +88,7 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_secret_links": op2_secret_links,
     "op3_wu_manber": op3_wu_manber,
     "op4_tag_paths": op4_tag_paths,
     "op5_warc": op5_warc,
