@@ -4,9 +4,12 @@ A record frames one serialized sequence::
 
     length of the data   8 bytes, little-endian
     masked CRC of those  4 bytes
-    data                 flag (1 byte), document id (8 bytes, signed), ids (4 bytes each)
+    data                 flags (1 byte), document id (8 bytes, signed), ids (2 or 4 bytes each)
     masked CRC of data   4 bytes
 
+Ids take two bytes when the vocabulary fits them; the flags say so, and
+whether there is a document id.
+
 The index file has 16 bytes for each record: its offset and its length. A
 checksum is CRC-32 rotated right by 15 bits plus a constant, so that a frame
 inside a frame does not check. Files follow the order of document ids: the
@@ -20,6 +23,7 @@ import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +34,7 @@ from urlatlas.llm.token_ids import encoder
 
 #: Fixed value of the masked-checksum format.
 MASK = 0xA282EAD8
-HEAD, CRC, BODY, ENTRY = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<?q"), struct.Struct("<QQ")
+HEAD, CRC, BODY, ENTRY = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<Bq"), struct.Struct("<QQ")
 
 FILES = "first_null boolean, first_id long, first_row long, path string, index string, records long, tokens long"
 
@@ -40,9 +44,11 @@ def masked_crc(data: bytes) -> bytes:
     return CRC.pack(((c >> 15 | c << 17) + MASK) & 0xFFFFFFFF)
 
 
-def frame(doc_id: int | None, ids: bytes) -> bytes:
-    """One framed record of ids in little-endian 32-bit form."""
-    data = BODY.pack(doc_id is not None, doc_id or 0) + ids
+def frame(doc_id: int | None, ids: bytes, short: bool) -> bytes:
+    """One framed record of ids given in little-endian 32-bit form; ``short`` stores two bytes of each."""
+    if short:
+        ids = np.frombuffer(ids, "<u4").astype("<u2").tobytes()
+    data = BODY.pack((doc_id is not None) | short << 1, doc_id or 0) + ids
     head = HEAD.pack(len(data))
     return b"".join([head, masked_crc(head), data, masked_crc(data)])
 
@@ -54,8 +60,8 @@ def _exactly(stream, n: int) -> bytes:
     return got
 
 
-def read_record(stream) -> tuple[int | None, bytes] | None:
-    """The next record's document id and id bytes, checked; None at the end of the file."""
+def read_record(stream) -> tuple[int | None, bytes, int] | None:
+    """The next record, checked: document id, ids in 32-bit form, size of the record; None at the end of the file."""
     head = stream.read(HEAD.size)
     if not head:
         return None
@@ -64,11 +70,14 @@ def read_record(stream) -> tuple[int | None, bytes] | None:
     data = _exactly(stream, HEAD.unpack(head)[0])
     if _exactly(stream, CRC.size) != masked_crc(data):
         raise ValueError("damaged record data")
-    known, doc_id = BODY.unpack_from(data)
-    return (doc_id if known else None), data[BODY.size:]
+    flags, doc_id = BODY.unpack_from(data)
+    ids = data[BODY.size:]
+    if flags & 2:
+        ids = np.frombuffer(ids, "<u2").astype("<u4").tobytes()
+    return (doc_id if flags & 1 else None), ids, len(data) + HEAD.size + 2 * CRC.size
 
 
-def read_at(path: str, index: str, k: int) -> tuple[int | None, bytes]:
+def read_at(path: str, index: str, k: int) -> tuple[int | None, bytes, int]:
     """Record ``k`` of a file through its index: for reads in shuffled order."""
     with open_file(index) as f:
         f.seek(ENTRY.size * k)
@@ -90,6 +99,7 @@ class RecordFile(NamedTuple):
 def _write_file(it: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end_id: int) -> Iterator[pa.RecordBatch]:
     """Writes a task's ``(id, row, text)`` as one file and tells what it wrote."""
     encode, end = encoder(tokenizer).ids, CRC.pack(end_id)
+    short = max(encoder(tokenizer).tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16
     first, at, records, tokens = None, 0, 0, 0
     for b in it:
         for doc_id, row, text in zip(b.column(0), b.column(1), b.column(2)):
@@ -98,7 +108,7 @@ def _write_file(it: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end_i
                 path, out = create(folder, "records", ".bin")
                 index, entries = create(folder, "records", ".idx")
             ids = encode(text.as_py()) + end
-            record = frame(doc_id.as_py(), ids)
+            record = frame(doc_id.as_py(), ids, short)
             out.write(record)
             entries.write(ENTRY.pack(at, len(record)))
             at, records, tokens = at + len(record), records + 1, tokens + len(ids) // 4
@@ -154,8 +164,7 @@ def _read_file(f: RecordFile, rows: int = 5000) -> Iterator[pa.RecordBatch]:
     at, start, out = 0, f.start, []
     with open_stream(f.path) as stream, open_stream(f.index_path) as entries:
         while (record := read_record(stream)) is not None:
-            doc_id, ids = record
-            size = len(ids) + BODY.size + HEAD.size + 2 * CRC.size
+            doc_id, ids, size = record
             if _exactly(entries, ENTRY.size) != ENTRY.pack(at, size):
                 raise ValueError("index does not fit the records")
             out.append((doc_id, start, len(ids) // 4, zlib.crc32(ids)))
