@@ -44,10 +44,11 @@ def test_keyword_table_gram_join_equals_literals(spark):
     texts = spark.createDataFrame(
         [(0, "the web crawling of data mining"), (1, "python and pythons"), (2, "a b"), (3, ""), (4, None)],
         "id long, text string")
-    kw = spark.createDataFrame([("Python",), ("web crawling",), ("a",), ("ab",), ("mining",), ("zzz",), (None,)],
+    kw = spark.createDataFrame([("Python",), ("web crawling",), ("a",), ("ab",), ("mining",), ("zzz",), (None,), ("",)],
                                "k string")
     from urlatlas.operators.documents import match_keywords
     lit = {r.id: r.keywords for r in match_keywords(texts, kw, "text").collect()}
     dist = {r.id: r.keywords for r in match_keywords(texts, kw, "text", max_literal=0, gram=3).collect()}
     assert lit == dist
-    assert lit[0] == ["a", "mining", "web crawling"] and lit[1] == ["Python", "a"] and lit[3] == []
+    assert lit[0] == ["", "a", "mining", "web crawling"] and lit[1] == ["", "Python", "a"]
+    assert lit[3] == [""] and lit[4] == []

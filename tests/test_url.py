@@ -1,9 +1,9 @@
-"""URL functions against the standard-library re-statement (tests/twin.py)."""
+"""URL functions against literal values; link resolution against the standard library."""
 from urllib.parse import urljoin
 
-import twin
 from pyspark.sql import functions as F
 
+from url_cases import DEDUP_PASS, HOSTILE
 from urlatlas.functions import url as U
 
 
@@ -11,19 +11,18 @@ def _one_col(spark, values):
     return spark.createDataFrame([(v,) for v in values], "u string")
 
 
-def test_canonical_url_matches_stdlib(spark):
-    df = _one_col(spark, twin.HOSTILE)
-    out = df.select("u", U.normalize_url("u").alias("n"), U.canonical_domain("u").alias("d"),
-                    U.strip_url("u").alias("s")).collect()
+def test_hostile_urls(spark):
+    want = {u: tuple(rest) for u, *rest in HOSTILE}
+    out = _one_col(spark, list(want)).select("u", U.normalize_url("u").alias("n"), U.canonical_domain("u").alias("d"),
+                                             U.strip_url("u").alias("s")).collect()
     for r in out:
-        assert (r.n, r.d, r.s) == (twin.canon(r.u), twin.host(r.u), twin.strip(r.u)), r.u
+        assert (r.n, r.d, r.s) == want[r.u], r.u
 
 
-def test_query_pass_matches_stdlib(spark):
-    canon = [c for c in (twin.canon(u) for u in twin.HOSTILE) if c]
-    df = _one_col(spark, canon + ["http://x.com/?ref=1&b=&a", "www.x.com/a", "mailto:a@b.c"])
-    for r in df.select("u", U.normalize_query("u").alias("q")).collect():
-        assert r.q == twin.query_pass(r.u), r.u
+def test_dedup_pass(spark):
+    want = dict(DEDUP_PASS)
+    for r in _one_col(spark, list(want)).select("u", U.normalize_query("u").alias("q")).collect():
+        assert r.q == want[r.u], r.u
 
 
 def test_reference_examples(spark):

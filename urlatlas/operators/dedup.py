@@ -18,7 +18,6 @@ from typing import Optional, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.url import normalize_query, normalize_url, url_hash
 from ..spec import DEDUP_CACHE_SIZE, EVICTION_KEEP
 from .util import cut_lineage, top_n, with_url_key
 
@@ -27,12 +26,6 @@ R_DUPLICATE = "Exact duplicate"
 DEFAULT_BLOCK = 1 << 20
 
 
-def dedup_key(url_col: str = "url") -> tuple:
-    """(normalized_url, hash) columns of the dedup pass: canonical URL, then query pass."""
-    n = normalize_query(normalize_url(F.col(url_col)))
-    return n, url_hash(n)
-
-
 def running_count(df: DataFrame, key: str, seq: str, out: str = "seen_count",
                   block_size: int = DEFAULT_BLOCK, order: Optional[Sequence[str]] = None,
                   block: Optional[Column] = None) -> DataFrame:
@@ -86,14 +79,14 @@ def dedup_verdicts(df: DataFrame, url_col: str = "url", seq_col: str = "seq",
             .withColumn("seen_count", F.when(invalid, F.lit(None).cast("bigint")).otherwise(F.col("seen_count"))))
 
 
-def unique_urls(df: DataFrame, key: str = "url_hash", seq_col: str = "seq") -> DataFrame:
-    """First occurrence per key (by ``seq``), all columns kept.
+def unique_urls(df: DataFrame, key: str = "url_hash", seq_col: str | Column = "seq") -> DataFrame:
+    """First occurrence per key (by ``seq``, a name or a struct of columns), all columns kept.
 
     ``min_by`` is computed partially on the map side, so a hot key sends one
     row per partition to the shuffle, not all of its rows.
     """
     cols = [c for c in df.columns if c != key]
-    first = F.min_by(F.struct(*[F.col(c) for c in cols]), F.col(seq_col)).alias("_first")
+    first = F.min_by(F.struct(*[F.col(c) for c in cols]), F.col(seq_col) if isinstance(seq_col, str) else seq_col).alias("_first")
     return df.groupBy(key).agg(first).select(key, "_first.*").select(*df.columns)
 
 

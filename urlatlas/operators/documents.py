@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.html import body_text, content_type, find_keywords, page_bytes, page_description, page_title
 from ..functions.url import normalize_url, url_authority, url_hash
 from ..schemas import METADATA, URL_DOCUMENT
-from .util import broadcast_if_small, cut_lineage
+from .util import cut_lineage
 
 def _no_headers() -> Column:
     return F.lit(None).cast(METADATA["headers"].dataType)
@@ -209,6 +209,7 @@ def match_keywords(df: DataFrame, keywords: Union[Sequence[str], DataFrame], tex
     substring join runs instead: texts are cut into distinct character
     ``gram``-grams, keywords are keyed by their leading gram, the equi join
     gives candidates and ``instr`` confirms them. No cross product is formed.
+    The empty keyword occurs in every text (not in a null one), on both paths.
     Keyword order in the result: ascending text for tables, input order for lists.
     """
     text = F.col(text_col)
@@ -228,6 +229,7 @@ def _gram_join(df: DataFrame, kw: DataFrame, text_col: str, out: str, gram: int)
     # row ids are fixed by a checkpoint: three branches read them, and a
     # recomputed partition must see the same ids
     rows = cut_lineage(df.withColumn(rid, F.monotonically_increasing_id()))
+    empty = not kw.where(F.col("_kw") == "").isEmpty()
     kw = kw.withColumn("_lk", F.lower(F.col("_kw"))).withColumn("_q", F.least(F.length("_lk"), F.lit(gram)))
     kw = kw.withColumn("_g", F.substring("_lk", 1, gram))
     qs = sorted({r["_q"] for r in kw.select("_q").distinct().collect() if r["_q"] and r["_q"] > 0})
@@ -241,13 +243,15 @@ def _gram_join(df: DataFrame, kw: DataFrame, text_col: str, out: str, gram: int)
         c = g.join(kw.where(F.col("_q") == qlen), "_g").select(rid, "_kw", "_lk")
         cands = c if cands is None else cands.unionByName(c)
     if cands is None:
-        return rows.drop(rid).withColumn(out, F.array().cast("array<string>"))
+        cands = rows.select(rid, F.lit("").alias("_kw"), F.lit("").alias("_lk")).where(F.lit(False))
     texts = rows.select(rid, F.col(text_col).alias("_t"))
     hits = (cands.distinct().join(texts, rid)
             .where(F.instr(F.col("_t"), F.col("_lk")) > 0)
             .groupBy(rid).agg(F.array_sort(F.collect_list("_kw")).alias(out)))
+    none = F.array().cast("array<string>")
+    first = F.when(F.col(text_col).isNotNull(), F.array(F.lit(""))).otherwise(none) if empty else none
     return (rows.join(hits, rid, "left")
-            .withColumn(out, F.coalesce(F.col(out), F.array().cast("array<string>"))).drop(rid))
+            .withColumn(out, F.concat(first, F.coalesce(F.col(out), none))).drop(rid))
 
 
 def keyword_index(docs: DataFrame, key: str = "url_hash") -> DataFrame:

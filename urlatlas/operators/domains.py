@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions.validate import raw_host
 from ..spec import DEFAULT_PUBLIC_SUFFIXES
-from .util import broadcast_if_small
 
 IPV4 = r"^\d{1,3}(\.\d{1,3}){3}\z"
 
@@ -22,8 +21,7 @@ def suffix_table(spark, suffixes: Optional[Union[Sequence[str], DataFrame]] = No
 
 
 def registrable_domain(df: DataFrame, url_col: str = "url", out: str = "registrable_domain",
-                       suffixes: Optional[Union[Sequence[str], DataFrame]] = None,
-                       max_broadcast_rows: int = 500_000) -> DataFrame:
+                       suffixes: Optional[Union[Sequence[str], DataFrame]] = None) -> DataFrame:
     """Add ``out`` = ``{label}.{public suffix}`` of the URL's host.
 
     Work runs on distinct hosts only: each host's suffixes are exploded and
@@ -35,13 +33,7 @@ def registrable_domain(df: DataFrame, url_col: str = "url", out: str = "registra
     a suffix gives ``.{suffix}``.
     """
     spark = df.sparkSession
-    if isinstance(suffixes, DataFrame):
-        psl = broadcast_if_small(suffix_table(spark, suffixes), max_broadcast_rows)
-    else:
-        # a list given in code: its length is the proven bound, no count job
-        n = len(suffixes or DEFAULT_PUBLIC_SUFFIXES)
-        table = suffix_table(spark, suffixes)
-        psl = F.broadcast(table) if n <= max_broadcast_rows else table
+    psl = suffix_table(spark, suffixes)  # joined as it comes: Spark broadcasts it by its size in bytes
     # a non-null host key: joins on it get no inferred isnotnull filter (which
     # would be pushed below and copy the host expression); '' maps to null
     tagged = df.withColumn("_host", F.coalesce(raw_host(F.col(url_col)), F.lit("")))

@@ -8,7 +8,7 @@ from typing import List, Optional
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.url import normalize_url, url_authority, url_hash, url_hostname
+from ..functions.url import normalize_url, url_hash, url_hostname, url_parse_ok
 from ..functions.validate import validate_url
 from ..spec import (CACHE_IGNORE_HTTP_CODES, CACHE_TTL_S, CONCURRENT_REQUESTS, DOWNLOAD_DELAY_S,
                     PER_HOST_REQUESTS, RETRY_HTTP_CODES, RETRY_TIMES, HarvestSpec)
@@ -31,9 +31,9 @@ def prepare_edges(links: DataFrame, spec: HarvestSpec, seeds: Optional[DataFrame
 
     Deny pattern, allowed domains (``spec.allowed_domains``; empty means the
     seeds' authorities, ``None`` every domain), validation and the user's
-    ``link_filter`` run here, before any shuffle. The result is hash
-    partitioned by ``src_hash`` and checkpointed, so every BFS level joins
-    against it without shuffling the edges again.
+    ``link_filter`` run here, before any shuffle, as does dropping links of
+    pages whose own URL does not canonicalise. The result is written once to
+    the shared checkpoint folder, sorted by ``src_hash``.
     """
     ln = links.select("src_url", F.col("dst_url").alias("url"), "pos")
     ln = deny_links(ln, spec.deny_pattern, "url")
@@ -48,9 +48,9 @@ def prepare_edges(links: DataFrame, spec: HarvestSpec, seeds: Optional[DataFrame
         ln = ln.where(spec.link_filter(F.col("url")))
     v = validate_url(F.col("url"), blocked_domains=spec.blocked_domains, max_length=spec.max_url_length)
     ln = ln.where(v["is_valid"])
-    # valid links always canonicalise; a page URL that does not gets a null
-    # source hash and simply never joins a frontier node
-    keyed = (ln.withColumn("dst_norm", normalize_url(F.col("url")))
+    # valid links always canonicalise; the raw-text test drops pages whose URL
+    # does not, which would all share one null source
+    keyed = (ln.where(F.col("src_url").isNotNull() & url_parse_ok("src_url")).withColumn("dst_norm", normalize_url(F.col("url")))
              .withColumn("src_norm", normalize_url(F.col("src_url")))
              .select(url_hash(F.col("src_norm"), spec.hash_algo).alias("src_hash"),
                      url_hash(F.col("dst_norm"), spec.hash_algo).alias("dst_hash"),
@@ -104,7 +104,8 @@ def expand(seeds: DataFrame, links: DataFrame, spec: HarvestSpec = HarvestSpec(a
     runs on the driver, one distributed join per level; each level's node
     set is checkpointed to the session's checkpoint folder (survives lost
     executors, cuts lineage). The stop test is one row count per level.
-    Output is capped at ``spec.max_urls`` in (depth, url_hash) order.
+    With ``spec.max_urls`` the output is capped in (depth, url_hash) order;
+    by default nothing is cut.
     """
     edges = edges if edges is not None else prepare_edges(links, spec, seeds)
     visited = cut_lineage(seed_nodes(seeds, spec))
@@ -123,14 +124,14 @@ def expand(seeds: DataFrame, links: DataFrame, spec: HarvestSpec = HarvestSpec(a
     return BfsResult(cap_levels(visited, sizes, spec.max_urls), sizes)
 
 
-def cap_levels(nodes: DataFrame, level_sizes: List[int], max_urls: int) -> DataFrame:
-    """Keep the first ``max_urls`` nodes in (depth, url_hash) order.
+def cap_levels(nodes: DataFrame, level_sizes: List[int], max_urls: Optional[int]) -> DataFrame:
+    """Keep the first ``max_urls`` nodes in (depth, url_hash) order (None: all).
 
     Whole levels below the cut are kept by a filter; only the level that
     crosses the cap is ordered and limited.
     """
     total = sum(level_sizes)
-    if total <= max_urls:
+    if max_urls is None or total <= max_urls:
         return nodes
     cum = 0
     for depth, size in enumerate(level_sizes):
@@ -175,11 +176,14 @@ def frontier_batch(df: DataFrame, per_host: int = PER_HOST_REQUESTS, total: Opti
     per earlier request to the same host). The per-host rank is a
     ``row_number <= k`` filter, which Spark plans as a partial per-host limit
     before the shuffle, so a host with most of the rows sends at most
-    ``per_host`` rows per task.
+    ``per_host`` rows per task. URLs that are not http(s) or have no host
+    cannot be fetched and are left out; ties in ``order`` go by URL.
     """
-    order_cols = [F.col(c) for c in order if c in df.columns]
+    order_cols = [*[F.col(c) for c in order if c in df.columns], F.col(url_col)]
     w = Window.partitionBy("host").orderBy(*order_cols)
-    ranked = (df.withColumn("host", url_hostname(F.col(url_col)))
+    fetchable = df.where(F.ltrim(F.col(url_col)).rlike(r"(?i)^https?://"))
+    ranked = (fetchable.withColumn("host", F.coalesce(url_hostname(F.col(url_col)), F.lit("")))
+              .where(F.col("host") != "")
               .withColumn("host_rank", F.row_number().over(w))
               .where(F.col("host_rank") <= per_host))
     ranked = ranked.withColumn(

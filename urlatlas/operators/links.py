@@ -11,7 +11,7 @@ from ..functions.html import extract_hrefs
 from ..functions.url import let, link_scheme, normalize_url, resolve_url, url_authority, url_hash, url_parts
 from ..functions.validate import denied, validate_url
 from ..spec import DENY_PATTERN, LINK_SCHEMES
-from .util import broadcast_if_small, with_url_key
+from .util import with_url_key
 
 
 def page_links(html: Column, page_url: Column, unique: bool = True,
@@ -71,12 +71,12 @@ def host_suffixes(host: Column) -> Column:
 
 
 def allowed_only(df: DataFrame, domains: Optional[Union[Sequence[str], DataFrame]],
-                 url_col: str = "url", max_broadcast_rows: int = 1_000_000) -> DataFrame:
+                 url_col: str = "url") -> DataFrame:
     """Keep links whose host (lower-cased authority) is an allowed domain or under one.
 
     ``None`` allows every domain. A list becomes literal predicates; a
-    DataFrame ``(domain)`` becomes a semi join on the host's suffixes,
-    broadcast only when its row count is within ``max_broadcast_rows``.
+    DataFrame ``(domain)`` becomes a semi join on the host's suffixes, which
+    Spark broadcasts or shuffles by its size in bytes.
     """
     if domains is None:
         return df
@@ -94,7 +94,6 @@ def allowed_only(df: DataFrame, domains: Optional[Union[Sequence[str], DataFrame
             return cond & anyd
         return df.where(let(host, pred))
     allow = domains.select(F.lower(F.col(domains.columns[0])).alias("_sfx")).distinct()
-    allow = broadcast_if_small(allow, max_broadcast_rows)
     # a non-null host key: no inferred isnotnull filter copies the host
     # expression below the projection; '' never matches an allowed suffix
     tagged = df.withColumn("_host", F.coalesce(host, F.lit("")))

@@ -7,9 +7,8 @@ from typing import Optional, Sequence, Union
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..spec import WRITE_BUFFER
 from .documents import conform_or_reject
-from .util import broadcast_if_small, cut_lineage
+from .util import cut_lineage
 
 
 def first_per_key(df: DataFrame, key: str = "url_hash", order: Optional[str] = None,
@@ -122,18 +121,12 @@ def found_urls(docs: DataFrame) -> DataFrame:
     return docs.select("url", "domain", "depth", F.col("timestamp").alias("found_date"))
 
 
-def keyword_index(docs: DataFrame, key: str = "url_hash") -> DataFrame:
-    """Inverted table ``(keyword, key)``."""
-    return docs.select(F.explode_outer("keywords").alias("keyword"), F.col(key)).where(F.col("keyword").isNotNull())
-
-
 # ---------------------------------------------------------------- look-ups
 
-def by_hash(docs: DataFrame, hashes: Union[Sequence[str], DataFrame], max_broadcast_rows: int = 1_000_000) -> DataFrame:
+def by_hash(docs: DataFrame, hashes: Union[Sequence[str], DataFrame]) -> DataFrame:
     """Documents with the given hashes (literal list or a key table, semi join)."""
     if isinstance(hashes, DataFrame):
-        keys = broadcast_if_small(hashes.select(F.col(hashes.columns[0]).alias("url_hash")).distinct(),
-                                  max_broadcast_rows)
+        keys = hashes.select(F.col(hashes.columns[0]).alias("url_hash")).distinct()
         return docs.join(keys, "url_hash", "left_semi")
     return docs.where(F.col("url_hash").isin(list(hashes)))
 
@@ -159,5 +152,3 @@ def by_time(docs: DataFrame, start, end) -> DataFrame:
 def by_keyword(docs: DataFrame, keyword: str) -> DataFrame:
     return docs.where(F.array_contains("keywords", keyword))
 
-
-DEFAULT_BUFFER = WRITE_BUFFER

@@ -8,16 +8,6 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast hint only when the row count is proven within ``max_rows``.
-
-    The count runs on the (small, reference-style) side only. Beyond the
-    bound the plain DataFrame is returned and Spark picks a shuffle join.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the session's checkpoint folder.
 

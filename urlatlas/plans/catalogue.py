@@ -22,6 +22,7 @@ from ..operators.links import extract_links, valid_links
 from ..operators.util import with_url_key
 from ..sources import derived
 from ..sources.tables import read_table
+from ..spec import DENY_PATTERN
 from . import oracle as O
 
 SPARK: Dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,7 +54,7 @@ def sql_url_variants() -> str:
              f"WHEN 4 THEN {sh} || 'www.' || {host} || {tail} WHEN 5 THEN {sh} || {host} || {path} || '//' "
              f"WHEN 6 THEN {sh} || {host} || {path} || '?b=2&a=1&a=0&c=' "
              f"WHEN 7 THEN {sh} || {host} || {path} || '?utm_source=x&utm_medium=y&gclid=z&id=' || CAST(page_id AS VARCHAR) "
-             f"WHEN 8 THEN url || '#frag' WHEN 9 THEN {sh} || {host} || {path} || '.PDF' "
+             f"WHEN 8 THEN url || '#frag' WHEN 9 THEN {sh} || {host} || {path} || CASE WHEN page_id % 2 = 0 THEN '.pdf' ELSE '.PDF' END "
              f"WHEN 10 THEN 'ftp://' || {host} || {tail} "
              f"ELSE {sh} || {host} || {path} || '/' || repeat('a', 2000) END")
     return (f"(SELECT page_id * {derived.N_VARIANTS} + v AS seq, {built} AS url, page_id AS base_id "
@@ -164,18 +165,17 @@ def q_links(spark, sf):
 
 def _unique_links_spark(spark, sf) -> DataFrame:
     ln = valid_links(extract_links(pages(spark, sf)))
-    ln = ln.withColumn("seq", F.col("page_id") * 1_000_000 + F.col("pos"))
-    return unique_urls(ln.select("url_hash", "normalized_url", "url", "page_id", "seq"), "url_hash", "seq")
+    return unique_urls(ln.select("url_hash", "normalized_url", "url", "page_id", "pos"), "url_hash", F.struct("page_id", "pos"))
 
 
 def _sql_unique_links() -> str:
     vl = sql_valid_links(sql_links())
-    return (f"(SELECT url_hash, arg_min(normalized_url, page_id * 1000000 + pos) AS normalized_url, "
-            f"arg_min(url, page_id * 1000000 + pos) AS url, arg_min(page_id, page_id * 1000000 + pos) AS page_id, "
-            f"min(page_id * 1000000 + pos) AS seq FROM {vl} GROUP BY url_hash)")
+    o = "{'i': page_id, 'p': pos}"
+    return (f"(SELECT url_hash, arg_min(normalized_url, {o}) AS normalized_url, arg_min(url, {o}) AS url, "
+            f"min({o}).i AS page_id, min({o}).p AS pos FROM {vl} GROUP BY url_hash)")
 
 
-@register("unique_links", f"SELECT url_hash, normalized_url, url, page_id, seq FROM {_sql_unique_links()}")
+@register("unique_links", f"SELECT url_hash, normalized_url, url, page_id, pos FROM {_sql_unique_links()}")
 def q_unique_links(spark, sf):
     return _unique_links_spark(spark, sf)
 
@@ -380,7 +380,7 @@ def q_allowed_only_table(spark, sf):
 
 @register("deny_links", f"""
 SELECT seq, url FROM {sql_url_variants()}
-WHERE NOT regexp_matches(url, '.*\\.(pdf|zip|rar|tar|gz|doc|docx|xls|xlsx|jpg|jpeg|png|gif|mp4|mp3)$')
+WHERE NOT regexp_matches(url, {O.q(DENY_PATTERN)})
 """)
 def q_deny_links(spark, sf):
     return deny_links(derived.url_variants(pages(spark, sf)).select("seq", "url"))
@@ -623,7 +623,7 @@ def sql_bfs_ctes(depth: int, seed_urls: str | None = None, allow_from_seeds: boo
           f"(SELECT range AS k FROM range(0, 3)) kk, {n} nn, pages pd "
           f"WHERE pd.page_id = (ps.page_id * 3 + k * 7 + 1) % nn.n)")
     s = O.validate(lk, "dst_url", "ok", "why", "bv")
-    s = f"(SELECT * FROM {s} WHERE ok AND NOT regexp_matches(dst_url, '.*\\.(pdf|zip|rar|tar|gz|doc|docx|xls|xlsx|jpg|jpeg|png|gif|mp4|mp3)$'))"
+    s = f"(SELECT * FROM {s} WHERE ok AND NOT regexp_matches(dst_url, {O.q(DENY_PATTERN)}))"
     if allow_from_seeds:
         sa = O.authority(seed_urls, "url", "sauth", "sa")
         s = O.authority(s, "dst_url", "dauth", "da")
@@ -663,6 +663,16 @@ def q_expand_once(spark, sf):
     return _bfs_spark(spark, sf, 1)
 
 
+EXPAND_CAP = 60
+
+
+@register("expand_capped", sql_bfs_ctes(3) + "SELECT url_hash, url, normalized_url, depth, source_url, source_hash FROM nodes "
+          f"ORDER BY depth, url_hash LIMIT {EXPAND_CAP}")
+def q_expand_capped(spark, sf):
+    spec = HarvestSpec(allowed_domains=None, max_depth=3, max_urls=EXPAND_CAP)
+    return expand(_seeds_spark(spark, sf), _edges_spark(spark, sf), spec).nodes
+
+
 # ------------------------------------------------------------ W3, G6, L1
 
 def _sql_batch(per_host: int, total: int | None) -> str:
@@ -692,9 +702,9 @@ def q_frontier_hosts(spark, sf):
     return _batch_spark(spark, sf, 2, None)
 
 
-@register("cap", f"SELECT url_hash, normalized_url, url, page_id, seq FROM {_sql_unique_links()} ORDER BY seq, url_hash LIMIT 100")
+@register("cap", f"SELECT url_hash, normalized_url, url, page_id, pos FROM {_sql_unique_links()} ORDER BY page_id, pos, url_hash LIMIT 100")
 def q_cap(spark, sf):
-    return cap(_unique_links_spark(spark, sf), 100)
+    return cap(_unique_links_spark(spark, sf), 100, ["page_id", "pos", "url_hash"])
 
 
 # ------------------------------------------------------------ Q1-Q4 look-ups, K1, K8
@@ -708,17 +718,13 @@ def _lookup_cols(d):
 
 
 LOOKUP_SQL_COLS = "url_hash, url, domain, timestamp, status_code, keywords"
-_STORES: dict = {}
 
 
 def _doc_store(spark, sf) -> DataFrame:
-    """All documents written once to a clustered store; look-ups read the store."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _STORES:
-        store = UrlStore(spark, _scratch(spark, "docstore"))
-        store.write_clustered(_all_docs_spark(spark, sf))
-        _STORES[key] = store
-    return _STORES[key].read()
+    """All documents written to a clustered store of this query; the look-up reads the store."""
+    store = UrlStore(spark, _scratch(spark, "docstore"))
+    store.write_clustered(_all_docs_spark(spark, sf))
+    return store.read()
 
 
 @register("by_hash", f"""
@@ -738,9 +744,8 @@ SELECT {LOOKUP_SQL_COLS} FROM {_sql_all_docs()} WHERE domain = (
 """)
 def q_by_domain(spark, sf):
     docs = _doc_store(spark, sf)
-    top = (docs.groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
-           .orderBy(F.col("n").desc(), F.col("domain")).limit(1).select("domain"))
-    return _lookup_cols(docs.join(top, "domain", "left_semi"))
+    top = docs.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), F.col("domain")).first()
+    return _lookup_cols(by_domain(docs, top["domain"]))
 
 
 @register("by_time", f"""

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 DEFAULT_CONF = {
@@ -66,7 +63,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Make sure reliable checkpoints have a directory.
 
     The cluster's ``spark.checkpoint.dir`` wins. Only a local-mode session
-    with no setting gets a scratch folder of its own (tests, laptops).
+    with no setting (tests, laptops) uses a folder beside its warehouse.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -83,6 +80,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return sc.getCheckpointDir() or configured
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder for this cluster")
-    path = tempfile.mkdtemp(prefix="urlatlas-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+    path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path

@@ -31,7 +31,7 @@ def url_variants(pages: DataFrame) -> DataFrame:
 
     0 as is; 1 upper-case host; 2 ``:80``; 3 ``:443``; 4 ``www.`` added;
     5 path with ``//`` appended; 6 ``?b=2&a=1&a=0&c=``; 7 tracking names;
-    8 ``#frag`` appended; 9 ``.PDF`` appended; 10 scheme ``ftp``;
+    8 ``#frag`` appended; 9 ``.PDF`` (odd ids) or ``.pdf`` appended; 10 scheme ``ftp``;
     11 path padded past 2000 characters. ``seq = page_id * 12 + variant``.
     """
     url = F.col("url")
@@ -48,7 +48,7 @@ def url_variants(pages: DataFrame) -> DataFrame:
              .when(v == 7, F.concat(sh, host, path, F.lit("?utm_source=x&utm_medium=y&gclid=z&id="),
                                     F.col("page_id").cast("string")))
              .when(v == 8, F.concat(url, F.lit("#frag")))
-             .when(v == 9, F.concat(sh, host, path, F.lit(".PDF")))
+             .when(v == 9, F.concat(sh, host, path, F.when(F.pmod(F.col("page_id"), F.lit(2)) == 0, F.lit(".pdf")).otherwise(F.lit(".PDF"))))
              .when(v == 10, F.concat(F.lit("ftp://"), host, tail))
              .otherwise(F.concat(sh, host, path, F.lit("/"), F.repeat(F.lit("a"), 2000))))
     return (pages.select("page_id", "url")

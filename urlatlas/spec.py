@@ -109,7 +109,7 @@ class HarvestSpec:
     allowed_domains: Optional[Sequence[str]] = ()
     keywords: Sequence[str] = ()
     max_depth: int = MAX_DEPTH
-    max_urls: int = MAX_URLS
+    max_urls: Optional[int] = None  # None: no cap; the sample configuration of a single crawler is MAX_URLS
     deny_pattern: Optional[str] = DENY_PATTERN
     max_url_length: int = MAX_URL_LENGTH
     blocked_domains: Sequence[str] = BLOCKED_DOMAINS
