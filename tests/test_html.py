@@ -23,6 +23,26 @@ def test_title_and_description(spark):
     assert [tuple(r) for r in got] == [("A & B", "desc here"), (None, None), (None, None)]
 
 
+def test_character_references(spark):
+    cases = [("It&#8217;s &eacute;", "It’s é"), ("&amp;lt; &lt;", "&lt; <"), ("&#x1F600;&#0;&#xD800;", "😀\ufffd\ufffd"),
+             ("&nosuch; & &; &amp", "&nosuch; & &; &amp"), ("&notin;&NotEqualTilde;&Aacute;&#65", "∉≂̸ÁA"), ("", ""), (None, None),
+             ("&amp;" * 5000, "&" * 5000), ("a &mdash; b&hellip;", "a — b…"), ("&#1114112;&#9999999;", "\ufffd\ufffd")]
+    df = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(cases)], "i int, s string")
+    got = {r.i: r.d for r in df.select("i", H.decode_entities("s").alias("d")).collect()}
+    assert got == {i: w for i, (_, w) in enumerate(cases)}
+
+
+def test_first_title_that_has_a_text(spark):
+    pages = ["<title></title><title>second &amp; last</title>", "<TITLE lang=en>One</TITLE><title>Two</title>", "<title></title>", "x"]
+    df = spark.createDataFrame(list(enumerate(pages)), "i int, h string")
+    assert [r.t for r in df.orderBy("i").select(H.page_title("h").alias("t")).collect()] == ["second & last", "One", None, None]
+
+
+def test_many_adjacent_tags(spark):
+    page = "<body>a" + "<br>" * 100_000 + "b</body>"
+    assert spark.createDataFrame([(page,)], "h string").select(H.body_text("h")).first()[0] == "a b"
+
+
 def test_body_text_and_keywords(spark):
     df = _pages(spark).select("page_id", H.body_text("html").alias("t"))
     kws = ["crawling", "Web Crawling", "track", "BODY", "nothing"]

@@ -8,6 +8,7 @@ HTML parser (documented in the README); they never leave the JVM.
 
 from __future__ import annotations
 
+import json
 from typing import Sequence
 
 from pyspark.sql import Column
@@ -15,26 +16,50 @@ from pyspark.sql import functions as F
 
 from .url import _col, let, memo
 
-# Named character references decoded by ``decode_entities`` (fixed values;
-# ``&amp;`` is decoded last so that ``&amp;lt;`` stays ``&lt;``).
-ENTITIES = (
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-    ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&middot;", "·"),
-    ("&reg;", "®"), ("&mdash;", "—"), ("&ndash;", "–"),
-    ("&amp;", "&"),
-)
+# A character reference: decimal, hexadecimal, or a name that ends in ";".
+REFERENCE_RE = r"&(?:#[0-9]{1,7};?|#[xX][0-9A-Fa-f]{1,6};?|[A-Za-z][A-Za-z0-9]{1,31};)"
+
+# Names met most, looked up first (fixed values); the others come from the standard table.
+COMMON_NAMES = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": "\u00a0"}
+
+
+def named_references() -> dict[str, str]:
+    """``&name;`` to its text, from the standard library's table of HTML names."""
+    from html.entities import html5
+    return {f"&{name}": text for name, text in html5.items() if name.endswith(";")}
 
 COMMENT_RE = r"(?s)<!--.*?(-->|\z)"
-TAG_RUN_RE = r"(?:<[A-Za-z/!?][^>]*>?)+"
+TAG_RE = r"<[A-Za-z/!?][^>]*>?"
 ATTR_VALUE = r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 
 
+def _code_point(n: Column) -> Column:
+    """The character of a code point; U+FFFD for zero, surrogates and what lies beyond Unicode."""
+    ok = (n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+    code = F.when(ok, n).otherwise(F.lit(0xFFFD))
+    return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+
+
+def _reference_text(r: Column) -> Column:
+    """What one character reference stands for; an unknown name stays as written."""
+    digits = F.regexp_replace(r, r"[^0-9A-Fa-f]", "")
+    out = F.when(r.rlike(r"^&#[xX]"), _code_point(F.conv(digits, 16, 10).cast("long")))
+    out = out.when(r.startswith("&#"), _code_point(digits.cast("long")))
+    for name, text in COMMON_NAMES.items():
+        out = out.when(r == F.lit(name), F.lit(text))
+    table = F.from_json(F.lit(json.dumps(named_references())), "map<string,string>")  # folded to a constant
+    return out.otherwise(F.coalesce(F.try_element_at(table, r), r))
+
+
 @memo
 def decode_entities(c) -> Column:
-    c = _col(c)
-    for ent, ch in ENTITIES:
-        c = F.replace(c, F.lit(ent), F.lit(ch))
-    return c
+    """Decodes every character reference once, from left to right (``&amp;lt;`` gives ``&lt;``)."""
+    def decoded(t):
+        refs = F.regexp_extract_all(t, F.lit(REFERENCE_RE), F.lit(0))
+        between = F.split(t, REFERENCE_RE, -1)
+        both = F.zip_with(between, refs, lambda b, r: F.concat(b, F.when(r.isNull(), F.lit("")).otherwise(_reference_text(r))))
+        return F.when(t.contains("&"), F.array_join(both, "")).otherwise(t)
+    return let(_col(c), decoded)
 
 
 def attr(tag: Column, name: str) -> Column:
@@ -46,8 +71,8 @@ def attr(tag: Column, name: str) -> Column:
 
 @memo
 def page_title(html) -> Column:
-    """First text of the first ``<title>``; null when absent or empty."""
-    t = F.regexp_extract(_col(html), r"(?is)<title\b[^>]*>([^<]*)", 1)
+    """First text of a ``<title>`` that has one; null when there is none."""
+    t = F.regexp_extract(_col(html), r"(?is)<title\b[^>]*>([^<]+)", 1)
     return F.when(t != "", decode_entities(t))
 
 
@@ -72,7 +97,8 @@ def body_text(html, collapse: bool = False) -> Column:
     h = _col(html)
     inner = F.regexp_extract(h, r"(?is)<body\b[^>]*>(.*?)(?:</body\s*>|\z)", 1)
     inner = F.regexp_replace(inner, COMMENT_RE, "<!>")
-    inner = F.regexp_replace(inner, TAG_RUN_RE, "\u0001")
+    # one tag at a time, then runs of the separator: a repeated group would recurse in the regex engine
+    inner = F.regexp_replace(F.regexp_replace(inner, TAG_RE, "\u0001"), "\u0001+", "\u0001")
     inner = F.regexp_replace(inner, r"^\u0001|\u0001\z", "")
     text = F.lower(decode_entities(F.replace(inner, F.lit("\u0001"), F.lit(" "))))
     if collapse:

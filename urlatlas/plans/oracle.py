@@ -8,9 +8,9 @@ same rules as ``urlatlas.functions``; it never calls Spark.
 from __future__ import annotations
 
 import re
+from html.entities import html5
 from typing import Iterable, Sequence
 
-from ..functions.html import ENTITIES
 from ..functions.url import _ipv6_pattern
 from ..functions.validate import (R_BLOCKED, R_ERROR, R_EXTENSION, R_FORMAT, R_LENGTH,
                                   R_SCHEME)
@@ -18,6 +18,9 @@ from ..spec import (BLOCKED_DOMAINS, DEDUP_TRACKING_PARAMS, HOST_VARIATIONS,
                     LINK_SCHEMES, MAX_URL_LENGTH, SKIP_EXTENSIONS, TRACKING_PARAMS,
                     USES_NETLOC, USES_PARAMS)
 
+# The names the tables hold, and some more; the full table is checked against literal values in the tests.
+ORACLE_NAMES = ("amp;", "lt;", "gt;", "quot;", "apos;", "nbsp;", "copy;", "middot;", "eacute;", "hellip;")
+
 SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
 IPV6_SQL = "^" + _ipv6_pattern() + "$"
 
@@ -163,14 +166,24 @@ def validate(src: str, col: str, out_valid: str, out_reason: str, p: str,
     return stage(s, [(out_valid, f"{out_reason} = ''")])
 
 
+REFERENCE = r"&(#[0-9]{1,7};?|#[xX][0-9A-Fa-f]{1,6};?|[A-Za-z][A-Za-z0-9]{1,31};)"
+
+
 def decode_entities(x: str) -> str:
-    for ent, ch in ENTITIES:
-        x = f"replace({x}, {q(ent)}, {q(ch)})"
-    return x
+    """References cut out, decoded one by one, and put back between the texts around them."""
+    point = "CASE WHEN n BETWEEN 1 AND 55295 OR n BETWEEN 57344 AND 1114111 THEN chr(CAST(n AS INTEGER)) ELSE chr(65533) END"
+    names = "MAP {" + ", ".join(f"{q(k)}: {q(v)}" for k, v in sorted(html5.items()) if k in ORACLE_NAMES) + "}"
+    ref = (f"CASE WHEN regexp_matches(r, '^&#[xX]') THEN list_transform([CAST('0x' || regexp_replace(r, '[^0-9A-Fa-f]', '', 'g') AS BIGINT)], "
+           f"lambda n: {point})[1] "
+           f"WHEN starts_with(r, '&#') THEN list_transform([CAST(regexp_replace(r, '[^0-9]', '', 'g') AS BIGINT)], lambda n: {point})[1] "
+           f"ELSE coalesce({names}[r[2:]], r) END")
+    refs = f"list_transform(regexp_extract_all({x}, {q(REFERENCE)}), lambda r: {ref})"
+    texts = f"string_split_regex({x}, {q(REFERENCE)})"
+    return f"array_to_string(list_transform(list_zip({texts}, {refs}), lambda p: p[1] || coalesce(p[2], '')), '')"
 
 
 def title(x: str) -> str:
-    t = f"regexp_extract({x}, '(?is)<title\\b[^>]*>([^<]*)', 1)"
+    t = f"regexp_extract({x}, '(?is)<title\\b[^>]*>([^<]+)', 1)"
     return f"CASE WHEN {t} <> '' THEN {decode_entities(t)} END"
 
 
@@ -193,13 +206,13 @@ def description(x: str) -> str:
 
 
 COMMENT_RE = r"(?s)<!--.*?(-->|$)"
-TAG_RUN_RE = r"(?:<[A-Za-z/!?][^>]*>?)+"
+TAG_RE = r"<[A-Za-z/!?][^>]*>?"
 
 
 def body_text(x: str) -> str:
     inner = f"regexp_extract({x}, '(?is)<body\\b[^>]*>(.*?)(?:</body\\s*>|$)', 1)"
     inner = f"regexp_replace({inner}, {q(COMMENT_RE)}, '<!>', 'g')"
-    inner = f"regexp_replace({inner}, {q(TAG_RUN_RE)}, chr(1), 'g')"
+    inner = f"regexp_replace(regexp_replace({inner}, {q(TAG_RE)}, chr(1), 'g'), '\\x01+', chr(1), 'g')"
     inner = f"regexp_replace(regexp_replace({inner}, '^\\x01', ''), '\\x01$', '')"
     return f"lower({decode_entities(f'replace({inner}, chr(1), {q(chr(32))})')})"
 
