@@ -8,42 +8,58 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.validate import raw_host
-from ..spec import DEFAULT_PUBLIC_SUFFIXES
+from ..spec import DEFAULT_PUBLIC_SUFFIXES, PRIVATE_SUFFIXES
 
 IPV4 = r"^\d{1,3}(\.\d{1,3}){3}\z"
 
 
-def suffix_table(spark, suffixes: Optional[Union[Sequence[str], DataFrame]] = None) -> DataFrame:
+def suffix_table(spark, suffixes: Optional[Union[Sequence[str], DataFrame]] = None,
+                 include_private: bool = False) -> DataFrame:
+    """``(suffix)``: rules of the public-suffix syntax, lower-cased.
+
+    A DataFrame has the rules in its first column and may flag private ones
+    in a boolean column ``private``; those count only with ``include_private``.
+    """
     if isinstance(suffixes, DataFrame):
+        if "private" in suffixes.columns and not include_private:
+            suffixes = suffixes.where(~F.coalesce(F.col("private"), F.lit(False)))
         return suffixes.select(F.lower(F.col(suffixes.columns[0])).alias("suffix")).distinct()
-    rows = [(s.lower(),) for s in (suffixes or DEFAULT_PUBLIC_SUFFIXES)]
-    return spark.createDataFrame(rows, "suffix string").distinct()
+    rules = suffixes or (*DEFAULT_PUBLIC_SUFFIXES, *(PRIVATE_SUFFIXES if include_private else ()))
+    return spark.createDataFrame([(s.lower(),) for s in rules], "suffix string").distinct()
 
 
 def registrable_domain(df: DataFrame, url_col: str = "url", out: str = "registrable_domain",
-                       suffixes: Optional[Union[Sequence[str], DataFrame]] = None) -> DataFrame:
+                       suffixes: Optional[Union[Sequence[str], DataFrame]] = None,
+                       include_private: bool = False) -> DataFrame:
     """Add ``out`` = ``{label}.{public suffix}`` of the URL's host.
 
-    Work runs on distinct hosts only: each host's suffixes are exploded and
-    equi-joined with the suffix table (broadcast only when its row count is
-    within ``max_broadcast_rows``; the full public list is ~10k rows); the
-    smallest start label wins (longest suffix); the host map is joined back.
+    Work runs on distinct hosts only: the rules that could match a host (its
+    suffixes, each with the first label as a wildcard, each as an exception)
+    are exploded and equi-joined with the suffix table; an exception wins,
+    else the smallest start label (longest suffix); the host map is joined
+    back. Private suffixes count only with ``include_private``.
     Labels keep their case; matching is case-blind. No suffix match gives
     ``{last label}.``; an IPv4 host gives ``{ip}.``; a host that is itself
     a suffix gives ``.{suffix}``.
     """
     spark = df.sparkSession
-    psl = suffix_table(spark, suffixes)  # joined as it comes: Spark broadcasts it by its size in bytes
+    psl = suffix_table(spark, suffixes, include_private)  # joined as it comes: Spark broadcasts it by its size in bytes
     # a non-null host key: joins on it get no inferred isnotnull filter (which
     # would be pushed below and copy the host expression); '' maps to null
     tagged = df.withColumn("_host", F.coalesce(raw_host(F.col(url_col)), F.lit("")))
     hosts = tagged.select("_host").distinct()
     labels = F.split(F.col("_host"), r"\.")
-    cands = hosts.select("_host", F.posexplode_outer(F.transform(
+    ends = hosts.select("_host", F.posexplode_outer(F.transform(
         F.sequence(F.lit(1), F.size(labels)),
         lambda i: F.array_join(F.slice(F.split(F.lower(F.col("_host")), r"\."), i, F.size(labels) - i + 1), ".")))
-        .alias("_i", "suffix"))
-    best = cands.where(F.col("suffix").isNotNull()).join(psl, "suffix").groupBy("_host").agg(F.min("_i").alias("_i"))
+        .alias("_p", "_end"))
+    rule = lambda text, start, exception: F.struct(text.alias("suffix"), start.alias("_i"), F.lit(exception).alias("_x"))
+    cands = ends.where(F.col("_end").isNotNull()).select("_host", F.explode(F.array(
+        rule(F.col("_end"), F.col("_p"), False),
+        rule(F.regexp_replace("_end", r"^[^.]*\.", "*."), F.col("_p"), False),
+        rule(F.concat(F.lit("!"), "_end"), F.col("_p") + 1, True))).alias("_r")).select("_host", "_r.*")
+    best = cands.join(psl, "suffix").groupBy("_host").agg(
+        F.coalesce(F.min(F.when(F.col("_x"), F.col("_i"))), F.min("_i")).alias("_i"))
     lab = F.split(F.col("_host"), r"\.")
     n = F.size(lab)
     sfx = F.array_join(F.slice(lab, F.col("_i") + 1, n - F.col("_i")), ".")

@@ -796,12 +796,20 @@ from ..operators.domains import registrable_domain  # noqa: E402
 from ..spec import DEFAULT_PUBLIC_SUFFIXES  # noqa: E402
 
 
+def _sql_suffix_rows() -> str:
+    hosts = "[" + ", ".join(O.q(h) for h in derived.SUFFIX_HOSTS) + "]"
+    path = "regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)"
+    return (f"(SELECT * FROM {_sql_validation_rows()} UNION ALL SELECT 'suffix' AS source, page_id AS seq, "
+            f"'https://' || {hosts}[CAST(page_id % {len(derived.SUFFIX_HOSTS)} AS BIGINT) + 1] || {path} AS url FROM pages)")
+
+
 @register("registrable_domains", f"""
 SELECT source, seq, registrable_domain
-FROM {O.registrable(_sql_validation_rows(), 'url', 'registrable_domain', 'rg', DEFAULT_PUBLIC_SUFFIXES)}
+FROM {O.registrable(_sql_suffix_rows(), 'url', 'registrable_domain', 'rg', DEFAULT_PUBLIC_SUFFIXES)}
 """)
 def q_registrable_domains(spark, sf):
-    return registrable_domain(validation_rows(spark, sf)).select("source", "seq", "registrable_domain")
+    s = derived.suffix_urls(pages(spark, sf)).select(F.lit("suffix").alias("source"), "seq", "url")
+    return registrable_domain(validation_rows(spark, sf).unionByName(s)).select("source", "seq", "registrable_domain")
 
 
 # ------------------------------------------------------------ T1-T6 streams

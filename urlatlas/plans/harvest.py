@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators.documents import conform_or_reject, ok_pages, page_documents
 from ..operators.frontier import expand
 from ..operators.stats import sink_stats
-from ..operators.util import with_url_key
+from ..operators.util import cut_lineage, with_url_key
 from ..spec import HarvestSpec
 
 
@@ -34,16 +34,17 @@ def harvest(pages: DataFrame, links: DataFrame, seeds: DataFrame, spec: HarvestS
     """
     bfs = expand(seeds, links, spec)
     nodes = bfs.nodes
-    # non-null keys ('' for a URL that does not canonicalise): joins on them
-    # get no inferred filter that would recompute the canonical URL
-    keyed = with_url_key(ok_pages(pages), "url", "_n", "url_hash", algo=spec.hash_algo,
+    fetched = ok_pages(pages)
+    # keys first, page contents last: non-null keys ('' for a URL that does not
+    # canonicalise) get no inferred filter that would recompute the canonical URL
+    keyed = with_url_key(fetched.select("page_id", "url"), "url", "_n", "url_hash", algo=spec.hash_algo,
                          empty_for_invalid=True).drop("_n")
-    # one page per canonical URL: the smallest page id
-    first = (keyed.groupBy("url_hash")
-             .agg(F.min_by(F.struct(*[c for c in keyed.columns if c != "url_hash"]), F.col("page_id")).alias("_p"))
-             .select("url_hash", "_p.*"))
-    reached = first.join(nodes.select("url_hash", "depth", "source_url"), "url_hash")
-    docs = page_documents(reached.drop("url_hash"), spec.keywords, now, hash_algo=spec.hash_algo)
+    # one page per canonical URL: the smallest page id (a plain min of two columns)
+    first = (keyed.groupBy("url_hash").agg(F.min(F.struct("page_id", "url")).alias("_p"))
+             .select("url_hash", F.col("_p.page_id").alias("page_id"), F.col("_p.url").alias("url")))
+    reached = cut_lineage(first.join(nodes.select("url_hash", "depth", "source_url"), "url_hash")
+                          .select("page_id", "url", "depth", "source_url"))
+    docs = page_documents(fetched.join(reached, ["page_id", "url"]), spec.keywords, now, hash_algo=spec.hash_algo)
     if on_documents is not None:
         docs = docs.transform(on_documents)
     accepted, rejected = conform_or_reject(docs, now)

@@ -305,9 +305,12 @@ def registrable(src: str, col: str, out: str, p: str, suffixes) -> str:
     s = raw_host(src, col, f"{p}_rh", p)
     psl = "(SELECT DISTINCT lower(unnest([" + ", ".join(q(x) for x in suffixes) + "])) AS suffix)"
     hosts = f"(SELECT DISTINCT {p}_rh AS h FROM {s} WHERE {p}_rh IS NOT NULL AND {p}_rh <> '')"
-    cands = (f"(SELECT h, i - 1 AS i, array_to_string(string_split(lower(h), '.')[i:], '.') AS suffix FROM "
-             f"(SELECT h, unnest(generate_series(1, len(string_split(h, '.')))) AS i FROM {hosts}))")
-    best = f"(SELECT h AS bh, min(i) AS bi FROM {cands} JOIN {psl} USING (suffix) GROUP BY h)"
+    ends = (f"(SELECT h, i - 1 AS i, array_to_string(string_split(lower(h), '.')[i:], '.') AS e, "
+            f"array_to_string(['*'] || string_split(lower(h), '.')[i + 1:], '.') AS w FROM "
+            f"(SELECT h, unnest(generate_series(1, len(string_split(h, '.')))) AS i FROM {hosts}))")
+    cands = (f"(SELECT h, i, e AS suffix, FALSE AS x FROM {ends} UNION ALL SELECT h, i, w, FALSE FROM {ends} "
+             f"UNION ALL SELECT h, i + 1, '!' || e, TRUE FROM {ends})")
+    best = f"(SELECT h AS bh, coalesce(min(i) FILTER (WHERE x), min(i)) AS bi FROM {cands} JOIN {psl} USING (suffix) GROUP BY h)"
     lab = "string_split(h, '.')"
     sfx = f"array_to_string({lab}[bi + 1:], '.')"
     reg = (f"CASE WHEN regexp_matches(h, '^\\d{{1,3}}(\\.\\d{{1,3}}){{3}}$') THEN h || '.' "

@@ -67,6 +67,19 @@ def blocked_urls(pages: DataFrame) -> DataFrame:
                         F.concat(F.lit("https://"), sub, dom, path).alias("url"))
 
 
+# Hosts that meet the wildcard, exception, private and unlisted cases of the suffix rules.
+SUFFIX_HOSTS = ("a.b.ck", "www.ck", "x.www.ck", "b.ck", "foo.com.ua", "com.ua", "a.city.kawasaki.jp", "x.y.kawasaki.jp",
+                "foo.blogspot.com", "a.b.github.io", "deep.a.co.uk", "host.nosuchtld", "127.0.0.1")
+
+
+def suffix_urls(pages: DataFrame) -> DataFrame:
+    """``(seq, url)``: page paths moved to the hosts of ``SUFFIX_HOSTS``."""
+    _, _, _, path = _split_page_url(F.col("url"))
+    host = F.element_at(F.array(*[F.lit(h) for h in SUFFIX_HOSTS]),
+                        (F.pmod(F.col("page_id"), F.lit(len(SUFFIX_HOSTS))) + 1).cast("int"))
+    return pages.select(F.col("page_id").alias("seq"), F.concat(F.lit("https://"), host, path).alias("url"))
+
+
 def page_edges(pages: DataFrame, n_pages: int | None = None) -> DataFrame:
     """``(src, dst, pos)``: three out-links per page, ``dst = (src*3 + pos*7 + 1) % n``."""
     n = n_pages if n_pages is not None else pages.count()

@@ -83,7 +83,7 @@ USES_NETLOC = (
 # Link schemes the link extractor keeps.
 LINK_SCHEMES = ("http", "https", "file", "ftp")
 
-# A small public-suffix table; pass the full list as a DataFrame for real use.
+# A small public-suffix table in the list's rule syntax ("*." any label, "!" exception); pass the full list as a DataFrame for real use.
 DEFAULT_PUBLIC_SUFFIXES = (
     "com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "io",
     "co", "de", "fr", "es", "it", "nl", "uk", "co.uk", "org.uk", "ac.uk",
@@ -92,8 +92,11 @@ DEFAULT_PUBLIC_SUFFIXES = (
     "pl", "be", "at", "cz", "pt", "gr", "ie", "nz", "co.nz", "mx", "com.mx",
     "ar", "com.ar", "kr", "co.kr", "tw", "com.tw", "hk", "com.hk", "sg",
     "com.sg", "za", "co.za", "tr", "com.tr", "il", "co.il", "me", "tv", "cc",
-    "ly", "ai", "app", "dev", "blogspot.com", "github.io", "appspot.com",
+    "ly", "ai", "app", "dev", "ua", "com.ua", "*.ck", "!www.ck",
+    "*.kawasaki.jp", "!city.kawasaki.jp",
 )
+# Suffixes that private companies registered; used only on request.
+PRIVATE_SUFFIXES = ("blogspot.com", "github.io", "appspot.com")
 
 
 @dataclass(frozen=True)
