@@ -34,10 +34,44 @@ def test_stream_verdicts_equal_batch(spark):
     path = _scratch(spark, "src")
     S.ordered_stream_files(df, path, "seq", 25)
     src = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    out = S.run_to_table(S.stream_verdicts(src), "sv_test", _scratch(spark, "ckpt"))
-    got = sorted((r.seq, r.is_duplicate, r.seen_count) for r in out.collect())
+    folder = _scratch(spark, "sv")
+    S.run_verdicts(src, folder).awaitTermination()
+    got = sorted((r.seq, r.is_duplicate, r.seen_count) for r in S.read_verdicts(spark, folder).collect())
     exp = sorted((r.seq, r.is_duplicate, r.seen_count) for r in dedup_verdicts(df).collect())
     assert got == exp
+    st = S.stream_stats(spark, folder).first()
+    assert (st.total_urls, st.duplicates, st.unique_urls) == (120, sum(d for _, d, _ in exp), sum(not d for _, d, _ in exp))
+
+
+def test_duplicate_pair_across_micro_batches(spark):
+    df = spark.createDataFrame([(0, "https://example.com/page"), (1, "https://www.example.com/page/"), (2, "http://[x")],
+                               "seq long, url string")
+    path, folder = _scratch(spark, "src"), _scratch(spark, "pair")
+    assert S.ordered_stream_files(df, path, "seq", 1) == 3
+    src = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    S.run_verdicts(src, folder).awaitTermination()
+    got = [(r.is_duplicate, r.seen_count) for r in S.read_verdicts(spark, folder).orderBy("seq").collect()]
+    assert got == [(False, 1), (True, 2), (True, None)]
+
+
+def test_ttl_verdicts_do_not_depend_on_micro_batches(spark):
+    import random
+    rnd = random.Random(4)
+    t, rows = 0, []
+    for i in range(300):
+        t += rnd.choice([0, 1, 30, 4000])
+        rows.append((i, f"http://ex.com/{rnd.choice([1, 1, 1, 2, 3])}", t))
+    ttl, last, count, want = 3600, {}, {}, {}
+    for i, u, at in rows:
+        count[u] = count[u] + 1 if u in last and at - last[u] <= ttl else 1
+        last[u], want[i] = at, count[u]
+    df = spark.createDataFrame(rows, "seq long, url string, s long").select("seq", "url", F.timestamp_seconds("s").alias("ts"))
+    for per_file in (7, 1000):
+        path, folder = _scratch(spark, "src"), _scratch(spark, "ttl")
+        S.ordered_stream_files(df.repartition(1), path, "ts", per_file)
+        src = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 9).parquet(path)
+        S.run_verdicts(src, folder, ts_col="ts", ttl_s=ttl).awaitTermination()
+        assert {r.seq: r.seen_count for r in S.read_verdicts(spark, folder).collect()} == want
 
 
 def test_rows_per_file_and_clustered_layout(spark):

@@ -52,6 +52,55 @@ def running_count(df: DataFrame, key: str, seq: str, out: str = "seen_count",
             .drop("_blk", "_off"))
 
 
+def session_count(df: DataFrame, key: str, at: str, seq: str, gap: Optional[int] = None,
+                  block_size: int = DEFAULT_BLOCK, carried: Optional[DataFrame] = None) -> tuple[DataFrame, DataFrame]:
+    """Running count per key that starts anew after a silence of more than ``gap``.
+
+    ``at`` is a long that orders a key's rows (``seq`` breaks ties); without
+    ``gap`` the count never starts anew. ``carried (key, last, count)`` is
+    where earlier rows left off. Returns the rows with ``seen_count``, and
+    the new ``(key, last, count)`` of every key met.
+
+    A key's rows are cut into blocks of ``block_size`` of ``at``; each block
+    is ranked on its own, and the counts that flow from block to block are
+    settled on one row per block, so no task holds more than one block of a key.
+    """
+    one = Window.partitionBy(key, "_blk").orderBy(at, seq)
+    upto = one.rowsBetween(Window.unboundedPreceding, 0)
+    silent = F.lit(False) if gap is None else F.coalesce(F.col(at) - F.lag(at).over(one) > gap, F.lit(False))
+    rows = (df.withColumn("_blk", F.floor(F.col(at) / F.lit(block_size)).cast("bigint"))
+            .withColumn("_rn", F.row_number().over(one)).withColumn("_new", silent)
+            .withColumn("_off", F.max(F.when(F.col("_new"), F.col("_rn") - 1).otherwise(0)).over(upto))
+            .withColumn("_cut", F.max(F.col("_new")).over(upto)))
+    rows = cut_lineage(rows.drop("_new"))
+    blocks = rows.groupBy(key, "_blk").agg(
+        F.min(at).alias("_first"), F.max(at).alias("_last"), F.count(F.lit(1)).alias("_n"),
+        (F.count(F.lit(1)) - F.max("_off")).alias("_tail"), F.max("_cut").alias("_broken"))
+    if carried is not None:
+        old = carried.join(blocks.select(key).distinct(), key, "left_semi").select(
+            key, F.lit(None).cast("bigint").alias("_blk"), F.col("last").alias("_first"), F.col("last").alias("_last"),
+            F.col("count").alias("_n"), F.col("count").alias("_tail"), F.lit(True).alias("_broken"))
+        blocks = blocks.unionByName(old)
+    per_key = Window.partitionBy(key).orderBy(F.col("_blk").asc_nulls_first())  # one row per block
+    linked = F.lag("_last").over(per_key).isNotNull()
+    if gap is not None:
+        linked = linked & (F.col("_first") - F.lag("_last").over(per_key) <= gap)
+    base = F.when(linked & F.lag("_broken").over(per_key), F.lag("_tail").over(per_key)).otherwise(F.lit(0))
+    blocks = (blocks.withColumn("_base", base)
+              .withColumn("_reset", (~linked | F.lag("_broken").over(per_key)).cast("int"))
+              .withColumn("_grp", F.sum("_reset").over(per_key)))
+    group = Window.partitionBy(key, "_grp").orderBy(F.col("_blk").asc_nulls_first())
+    before = F.coalesce(F.sum("_n").over(group.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.withColumn("_in", F.first("_base").over(group.rowsBetween(Window.unboundedPreceding, 0)) + before)
+    blocks = cut_lineage(blocks.withColumn("_out", F.when(F.col("_broken"), F.col("_tail")).otherwise(F.col("_in") + F.col("_n"))))
+    flow = blocks.where(F.col("_blk").isNotNull()).select(key, "_blk", "_in")
+    counted = rows.join(flow, [key, "_blk"]).withColumn(
+        "seen_count", (F.col("_rn") - F.col("_off") + F.when(F.col("_cut"), F.lit(0)).otherwise(F.col("_in"))).cast("bigint"))
+    now = blocks.groupBy(key).agg(F.max_by(F.struct("_last", "_out"), F.coalesce("_blk", F.lit(-(1 << 62)))).alias("_s"))
+    return (counted.drop("_blk", "_rn", "_off", "_cut", "_in"),
+            now.select(key, F.col("_s._last").alias("last"), F.col("_s._out").alias("count")))
+
+
 def dedup_verdicts(df: DataFrame, url_col: str = "url", seq_col: str = "seq",
                    block_size: int = DEFAULT_BLOCK, materialize: bool = True) -> DataFrame:
     """Verdict for every row, in arrival order.

@@ -824,12 +824,7 @@ def _scratch(spark, tag: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
-STREAM_ROWS_PER_FILE = 1000
-
-
-def _sink_name(tag: str) -> str:
-    import uuid
-    return f"{tag}_{uuid.uuid4().hex}"
+STREAM_ROWS_PER_FILE = 100_000
 
 
 def _stream_of(spark, df, order_col: str, tag: str):
@@ -847,31 +842,56 @@ def _variant_stream(spark, sf):
 def q_stream_documents(spark, sf):
     src = _stream_of(spark, pages(spark, sf), "page_id", "pages")
     docs = page_documents(src, TAG_KEYWORDS, derived.FIXED_NOW)
-    out = S.run_to_table(docs, _sink_name("stream_documents"), _scratch(spark, "ckpt"))
-    return _flat(out)
+    return _flat(S.run_to_table(docs, _scratch(spark, "stream-documents")))
 
 
 @register("stream_unique", f"SELECT DISTINCT hash_value FROM {_sql_verdicts()}")
 def q_stream_unique(spark, sf):
     keyed = S.keyed_urls(_variant_stream(spark, sf))
-    out = S.run_to_table(S.stream_unique(keyed, "hash_value"), _sink_name("stream_unique"), _scratch(spark, "ckpt"))
-    return out.select("hash_value")
+    return S.run_to_table(S.stream_unique(keyed, "hash_value"), _scratch(spark, "stream-unique")).select("hash_value")
+
+
+TTL_S = 6 * 3600
+
+
+def _sql_ttl_verdicts() -> str:
+    k = O.query_pass(O.normalize(f"(SELECT event_id AS seq, url, ts FROM {sql_fetch_log()})", "url", "n1", "n"), "n1", "n2", "d")
+    k = f"(SELECT seq, url, ts, n2, sha256(n2) AS hash_value FROM {k})"
+    k = (f"(SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY hash_value ORDER BY ts, seq) <= INTERVAL {TTL_S} SECOND THEN 0 ELSE 1 END AS fresh FROM {k})")
+    k = f"(SELECT *, sum(fresh) OVER (PARTITION BY hash_value ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS session FROM {k})"
+    return (f"(SELECT seq, url, hash_value, n2 AS normalized_url, row_number() OVER "
+            f"(PARTITION BY hash_value, session ORDER BY ts, seq) AS seen_count FROM {k})")
 
 
-@register("stream_unique_ttl")
+def _ttl_verdicts(spark, sf):
+    log = fetch_log_spark(spark, sf).select(F.col("event_id").alias("seq"), "url", "ts")
+    folder = _scratch(spark, "stream-ttl")
+    S.run_verdicts(_stream_of(spark, log, "ts", "fetches"), folder, ts_col="ts", ttl_s=TTL_S).awaitTermination()
+    return S.read_verdicts(spark, folder)
+
+
+@register("stream_unique_ttl", f"SELECT seq, url, hash_value FROM {_sql_ttl_verdicts()} WHERE seen_count = 1")
 def q_stream_unique_ttl(spark, sf):
-    log = fetch_log_spark(spark, sf).select("event_id", "url", "ts")
-    src = _stream_of(spark, log, "ts", "fetches")
-    keyed = S.keyed_urls(src)
-    out = S.run_to_table(S.stream_unique(keyed, "hash_value", "ts", "1 day"),
-                         _sink_name("stream_unique_ttl"), _scratch(spark, "ckpt"))
-    return out.select("event_id", "url", "hash_value", "ts")
+    return _ttl_verdicts(spark, sf).where(~F.col("is_duplicate")).select("seq", "url", "hash_value")
+
+
+@register("stream_verdicts_ttl", f"""
+SELECT seq, url, hash_value, normalized_url, seen_count > 1 AS is_duplicate,
+       CASE WHEN seen_count > 1 THEN 'Exact duplicate' END AS reason, seen_count FROM {_sql_ttl_verdicts()}
+""")
+def q_stream_verdicts_ttl(spark, sf):
+    return _ttl_verdicts(spark, sf)
+
+
+def _run_variant_verdicts(spark, sf) -> str:
+    folder = _scratch(spark, "stream-verdicts")
+    S.run_verdicts(_variant_stream(spark, sf).select("seq", "url"), folder).awaitTermination()
+    return folder
 
 
 @register("stream_verdicts", f"SELECT seq, url, hash_value, normalized_url, is_duplicate, reason, seen_count FROM {_sql_verdicts()}")
 def q_stream_verdicts(spark, sf):
-    v = S.stream_verdicts(_variant_stream(spark, sf).select("seq", "url"))
-    return S.run_to_table(v, _sink_name("stream_verdicts"), _scratch(spark, "ckpt"))
+    return S.read_verdicts(spark, _run_variant_verdicts(spark, sf))
 
 
 @register("stream_store", f"SELECT DISTINCT url_hash FROM {_sql_variant_docs()} WHERE url_hash IS NOT NULL")
@@ -890,9 +910,7 @@ SELECT count(*) AS total_urls, count(*) FILTER (WHERE reason = 'Exact duplicate'
        count(*) FILTER (WHERE NOT is_duplicate) AS unique_urls FROM {_sql_verdicts()}
 """)
 def q_stream_stats(spark, sf):
-    v = S.stream_verdicts(_variant_stream(spark, sf).select("seq", "url"))
-    counters, _ = S.stream_stats(v)
-    return S.run_to_table(counters, _sink_name("stream_stats"), _scratch(spark, "ckpt"), mode="complete")
+    return S.stream_stats(spark, _run_variant_verdicts(spark, sf))
 
 
 # ------------------------------------------------------------ G3 harvest
