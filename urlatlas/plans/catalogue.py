@@ -56,7 +56,8 @@ def sql_url_variants() -> str:
              f"WHEN 7 THEN {sh} || {host} || {path} || '?utm_source=x&utm_medium=y&gclid=z&id=' || CAST(page_id AS VARCHAR) "
              f"WHEN 8 THEN url || '#frag' WHEN 9 THEN {sh} || {host} || {path} || CASE WHEN page_id % 2 = 0 THEN '.pdf' ELSE '.PDF' END "
              f"WHEN 10 THEN 'ftp://' || {host} || {tail} "
-             f"ELSE {sh} || {host} || {path} || '/' || repeat('a', 2000) END")
+             f"WHEN 11 THEN {sh} || {host} || {path} || '/' || repeat('a', 2000) "
+             f"WHEN 12 THEN {sh} || '[' || {host} || {path} ELSE {host} || {path} END")
     return (f"(SELECT page_id * {derived.N_VARIANTS} + v AS seq, {built} AS url, page_id AS base_id "
             f"FROM pages, (SELECT range AS v FROM range(0, {derived.N_VARIANTS})) vv)")
 
@@ -288,14 +289,26 @@ from ..operators.stats import (crawl_stats, domain_summary, keyword_summary, pro
 TAG_KEYWORDS = ("the", "der", "of the", "track", "Python")
 
 
-@register("page_titles", f"SELECT page_id, {O.title('html')} AS title FROM pages")
+def sql_rich_pages() -> str:
+    meta = ("CASE page_id % 3 WHEN 0 THEN '<meta name=\"description\" content=\"Page ' || CAST(page_id AS VARCHAR) || ' &amp; more&hellip;\">' "
+            "WHEN 1 THEN '<meta content=' || chr(39) || 'd&#233;j&#xE0; ' || CAST(page_id AS VARCHAR) || chr(39) || ' name=description>' ELSE '' END")
+    st = "[" + ", ".join(str(s) for s in derived.STATUS_BY_DIGIT) + "]"
+    return (f"(SELECT page_id, url, replace(html, '<head>', '<head>' || {meta} || CASE WHEN page_id % 4 = 0 THEN '<title></title>' ELSE '' END) AS html, "
+            f"CAST({st}[page_id % 10 + 1] AS INTEGER) AS status, CASE WHEN page_id % 2 = 0 THEN 'text/html; charset=utf-8' END AS ctype FROM pages)")
+
+
+def rich(spark, sf) -> DataFrame:
+    return derived.rich_pages(pages(spark, sf))
+
+
+@register("page_titles", f"SELECT page_id, {O.title('html')} AS title FROM {sql_rich_pages()}")
 def q_page_titles(spark, sf):
-    return pages(spark, sf).select("page_id", page_title("html").alias("title"))
+    return rich(spark, sf).select("page_id", page_title("html").alias("title"))
 
 
-@register("page_descriptions", f"SELECT page_id, {O.description('html')} AS description FROM pages")
+@register("page_descriptions", f"SELECT page_id, {O.description('html')} AS description FROM {sql_rich_pages()}")
 def q_page_descriptions(spark, sf):
-    return pages(spark, sf).select("page_id", page_description("html").alias("description"))
+    return rich(spark, sf).select("page_id", page_description("html").alias("description"))
 
 
 @register("page_sizes", "SELECT page_id, CAST(strlen(html) AS BIGINT) AS size_bytes, "
@@ -318,7 +331,7 @@ def q_keyword_tags(spark, sf):
 
 
 def _docs_spark(spark, sf, keywords=TAG_KEYWORDS):
-    return page_documents(pages(spark, sf), keywords, derived.FIXED_NOW)
+    return page_documents(rich(spark, sf), keywords, derived.FIXED_NOW)
 
 
 @register("keyword_summary", f"SELECT k AS keyword, count(*) AS n_docs FROM (SELECT unnest(kw) AS k FROM {_sql_tags()}) GROUP BY k")
@@ -342,15 +355,22 @@ def q_keyword_index(spark, sf):
     return p.select(F.explode_outer("keywords").alias("keyword"), "page_id").where(F.col("keyword").isNotNull())
 
 
+# A keyword table: the first words of the benchmark items, with the event types, which occur nowhere.
+SQL_KEYWORDS = ("(SELECT list(DISTINCT k) AS kws FROM (SELECT regexp_extract(text, '^[^ ]+') AS k FROM benchmark "
+                "UNION ALL SELECT event_type FROM events WHERE event_type IS NOT NULL))")
+
+
+def _keyword_table(spark, sf) -> DataFrame:
+    first = read_table(spark, sf, "benchmark").select(F.regexp_extract("text", "^[^ ]+", 0).alias("k"))
+    return first.union(read_table(spark, sf, "events").select("event_type").distinct())
+
+
 @register("keyword_join", """
 SELECT page_id, array_to_string(list_sort(list_filter(kws, lambda k: instr(bt, lower(k)) > 0)), '|') AS keywords
-FROM (SELECT page_id, """ + O.body_text('html') + """ AS bt FROM pages),
-     (SELECT list(DISTINCT event_type) AS kws FROM events WHERE event_type IS NOT NULL)
-""")
+FROM (SELECT page_id, """ + O.body_text('html') + """ AS bt FROM pages), """ + SQL_KEYWORDS)
 def q_keyword_join(spark, sf):
     p = pages(spark, sf).select("page_id", body_text("html").alias("text"))
-    kw = read_table(spark, sf, "events").select("event_type")
-    return match_keywords(p, kw, "text").select("page_id", F.array_join("keywords", "|").alias("keywords"))
+    return match_keywords(p, _keyword_table(spark, sf), "text").select("page_id", F.array_join("keywords", "|").alias("keywords"))
 
 
 # ------------------------------------------------------------ P2, P3 link filters
@@ -370,11 +390,11 @@ def q_allowed_only(spark, sf):
 
 @register("allowed_only_table", f"""
 SELECT page_id, pos, url FROM {O.authority(sql_links(), 'url', 'au', 'al')}
-WHERE lower(au) IN (SELECT lower(a2) FROM {O.authority('pages', 'url', 'a2', 'ap')})
+WHERE lower(au) IN (SELECT lower(a2) FROM {O.authority("(SELECT url FROM pages WHERE starts_with(url, 'https:'))", 'url', 'a2', 'ap')})
 """)
 def q_allowed_only_table(spark, sf):
     p = pages(spark, sf)
-    allow = p.select(url_authority("url").alias("domain"))
+    allow = p.where(F.col("url").startswith("https:")).select(url_authority("url").alias("domain"))
     return allowed_only(extract_links(p), allow).select("page_id", "pos", "url")
 
 
@@ -391,11 +411,11 @@ def q_deny_links(spark, sf):
 def sql_fetch_log() -> str:
     st = "[" + ", ".join(str(s) for s in derived.STATUS_BY_DIGIT) + "]"
     return (f"(SELECT e.event_id, CAST(e.event_id % 3 AS VARCHAR) AS run_id, p.url, "
-            f"'http://proxy' || CAST(e.user_id % 5 AS VARCHAR) AS proxy_address, "
+            f"'http://proxy' || CAST(e.event_id % 5 AS VARCHAR) AS proxy_address, "
             f"CAST(CASE WHEN e.event_type = 'error' THEN NULL ELSE {st}[e.event_id % 10 + 1] END AS INTEGER) AS status, "
             f"e.value AS response_ms, e.ts AS ts, "
             f"CAST(row_number() OVER (PARTITION BY p.url ORDER BY e.ts, e.event_id) AS INTEGER) AS attempt, "
-            f"CASE WHEN e.event_type = 'error' THEN 'timeout' END AS error "
+            f"CASE WHEN e.event_type = 'error' THEN [{', '.join(O.q(x) for x in derived.ERRORS)}][e.event_id % {len(derived.ERRORS)} + 1] END AS error "
             f"FROM events e JOIN pages p ON p.page_id = e.event_id % (SELECT count(*) FROM pages))")
 
 
@@ -407,13 +427,13 @@ def fetch_log_spark(spark, sf, with_attempt: bool = False):
 NOW_SQL = f"TIMESTAMP '{derived.FIXED_NOW}'"
 
 
-def _sql_page_docs(src: str = "pages", depth: str = "0", source: str = "CAST(NULL AS VARCHAR)") -> str:
-    s = O.normalize(src, "url", "normalized_url", "dn")
+def _sql_page_docs(src: str | None = None, depth: str = "0", source: str = "CAST(NULL AS VARCHAR)") -> str:
+    s = O.normalize(src or sql_rich_pages(), "url", "normalized_url", "dn")
     s = O.authority(s, "url", "domain", "da")
     return (f"(SELECT url, sha256(normalized_url) AS url_hash, normalized_url, domain, {source} AS source_url, "
             f"CAST({depth} AS INTEGER) AS depth, array_to_string({O.find_keywords(O.body_text('html'), TAG_KEYWORDS)}, '|') AS keywords, "
-            f"{O.title('html')} AS title, {O.description('html')} AS description, CAST(NULL AS INTEGER) AS status_code, "
-            f"CAST(NULL AS VARCHAR) AS content_type, {NOW_SQL} AS timestamp, {NOW_SQL} AS last_checked, "
+            f"{O.title('html')} AS title, {O.description('html')} AS description, status AS status_code, "
+            f"ctype AS content_type, {NOW_SQL} AS timestamp, {NOW_SQL} AS last_checked, "
             f"TRUE AS is_active, 0 AS error_count, CAST(strlen(html) AS BIGINT) AS size, "
             f"CAST(NULL AS VARCHAR) AS error, CAST(NULL AS VARCHAR) AS error_type FROM {s})")
 
@@ -840,7 +860,7 @@ def _variant_stream(spark, sf):
 
 @register("stream_documents", f"SELECT {DOC_COLS} FROM {_sql_page_docs()}")
 def q_stream_documents(spark, sf):
-    src = _stream_of(spark, pages(spark, sf), "page_id", "pages")
+    src = _stream_of(spark, rich(spark, sf), "page_id", "pages")
     docs = page_documents(src, TAG_KEYWORDS, derived.FIXED_NOW)
     return _flat(S.run_to_table(docs, _scratch(spark, "stream-documents")))
 
@@ -851,7 +871,7 @@ def q_stream_unique(spark, sf):
     return S.run_to_table(S.stream_unique(keyed, "hash_value"), _scratch(spark, "stream-unique")).select("hash_value")
 
 
-TTL_S = 6 * 3600
+TTL_S = 18 * 3600
 
 
 def _sql_ttl_verdicts() -> str:
@@ -919,17 +939,17 @@ from .harvest import harvest  # noqa: E402
 
 
 def _sql_harvest() -> str:
-    kp = O.normalize("pages", "url", "pn", "hk")
-    first = (f"(SELECT sha256(pn) AS ph, arg_min(url, page_id) AS url, arg_min(html, page_id) AS html "
-             f"FROM {kp} WHERE pn IS NOT NULL GROUP BY sha256(pn))")
-    reached = f"(SELECT f.url, f.html, n.depth AS n_depth, n.source_url AS n_source FROM {first} f JOIN nodes n ON n.url_hash = f.ph)"
+    kp = O.normalize(sql_rich_pages(), "url", "pn", "hk")
+    first = (f"(SELECT sha256(pn) AS ph, arg_min(url, page_id) AS url, arg_min(html, page_id) AS html, arg_min(status, page_id) AS status, "
+             f"arg_min_null(ctype, page_id) AS ctype FROM {kp} WHERE pn IS NOT NULL AND status BETWEEN 200 AND 299 GROUP BY sha256(pn))")
+    reached = f"(SELECT f.url, f.html, f.status, f.ctype, n.depth AS n_depth, n.source_url AS n_source FROM {first} f JOIN nodes n ON n.url_hash = f.ph)"
     return sql_bfs_ctes(3) + f"SELECT {DOC_COLS} FROM {_sql_page_docs(reached, 'n_depth', 'n_source')}"
 
 
 @register("harvest", _sql_harvest())
 def q_harvest(spark, sf):
     spec = HarvestSpec(allowed_domains=None, keywords=TAG_KEYWORDS, max_depth=3)
-    res = harvest(pages(spark, sf), _edges_spark(spark, sf), _seeds_spark(spark, sf), spec, now=derived.FIXED_NOW)
+    res = harvest(rich(spark, sf), _edges_spark(spark, sf), _seeds_spark(spark, sf), spec, now=derived.FIXED_NOW)
     return _flat(res.documents)
 
 
@@ -964,9 +984,44 @@ def q_keyword_tags_documents(spark, sf):
 
 @register("keyword_join_documents", """
 SELECT doc_id, array_to_string(list_sort(list_filter(kws, lambda k: instr(lower(text), lower(k)) > 0)), '|') AS keywords
-FROM documents, (SELECT list(DISTINCT event_type) AS kws FROM events WHERE event_type IS NOT NULL)
-""")
+FROM documents, """ + SQL_KEYWORDS)
 def q_keyword_join_documents(spark, sf):
     d = read_table(spark, sf, "documents").select("doc_id", F.lower("text").alias("text"))
-    kw = read_table(spark, sf, "events").select("event_type")
-    return match_keywords(d, kw, "text").select("doc_id", F.array_join("keywords", "|").alias("keywords"))
+    return match_keywords(d, _keyword_table(spark, sf), "text").select("doc_id", F.array_join("keywords", "|").alias("keywords"))
+
+
+# the same tags through the distributed gram join, which tables beyond the literal bound take
+@register("keyword_join_grams", SQL["keyword_join"])
+def q_keyword_join_grams(spark, sf):
+    p = pages(spark, sf).select("page_id", body_text("html").alias("text"))
+    return match_keywords(p, _keyword_table(spark, sf), "text", max_literal=0).select(
+        "page_id", F.array_join("keywords", "|").alias("keywords"))
+
+
+# P4 by itself: pages with a status outside 2xx go
+@register("ok_pages", f"SELECT page_id, status FROM {sql_rich_pages()} WHERE status BETWEEN 200 AND 299")
+def q_ok_pages(spark, sf):
+    from ..operators.documents import ok_pages
+    return ok_pages(rich(spark, sf)).select("page_id", "status")
+
+
+# S1: seeds from a table
+@register("seeds", "SELECT page_id AS seq, url, 0 AS depth FROM pages WHERE starts_with(url, 'https:')")
+def q_seeds(spark, sf):
+    from ..sources.tables import seeds_from
+    return seeds_from(pages(spark, sf).where(F.col("url").startswith("https:")), "url", "page_id")
+
+
+# the 128-bit key
+@register("md5_keys", f"SELECT page_id, md5(n) AS url_key FROM {O.normalize('pages', 'url', 'n', 'm')}")
+def q_md5_keys(spark, sf):
+    return pages(spark, sf).select("page_id", url_hash(normalize_url("url"), "md5").alias("url_key"))
+
+
+# K2, K5, L4: a store keyed by the raw URL, few rows per file, read in order of time, domain and key
+@register("store_by_url", f"SELECT url, min(domain) AS domain FROM {_sql_page_docs()} GROUP BY url")
+def q_store_by_url(spark, sf):
+    store = UrlStore(spark, _scratch(spark, "urlstore"), key="url", max_records_per_file=50)
+    d = _docs_spark(spark, sf)
+    store.append_unique(d.unionByName(d), order="url_hash")
+    return store.read().orderBy("timestamp", "domain", "url_hash").select("url", "domain")

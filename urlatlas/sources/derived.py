@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..operators.dedup import running_count
 from ..spec import BLOCKED_DOMAINS
 
-N_VARIANTS = 12
+N_VARIANTS = 14
 FIXED_NOW = "2024-01-31 00:00:00"
 
 
@@ -27,12 +27,13 @@ def _split_page_url(url):
 
 
 def url_variants(pages: DataFrame) -> DataFrame:
-    """``(seq, url, base_id)``: twelve spellings of every page URL.
+    """``(seq, url, base_id)``: fourteen spellings of every page URL.
 
     0 as is; 1 upper-case host; 2 ``:80``; 3 ``:443``; 4 ``www.`` added;
     5 path with ``//`` appended; 6 ``?b=2&a=1&a=0&c=``; 7 tracking names;
     8 ``#frag`` appended; 9 ``.PDF`` (odd ids) or ``.pdf`` appended; 10 scheme ``ftp``;
-    11 path padded past 2000 characters. ``seq = page_id * 12 + variant``.
+    11 path padded past 2000 characters; 12 host after an unclosed bracket;
+    13 no scheme. ``seq = page_id * 14 + variant``.
     """
     url = F.col("url")
     scheme, host, tail, path = _split_page_url(url)
@@ -50,7 +51,9 @@ def url_variants(pages: DataFrame) -> DataFrame:
              .when(v == 8, F.concat(url, F.lit("#frag")))
              .when(v == 9, F.concat(sh, host, path, F.when(F.pmod(F.col("page_id"), F.lit(2)) == 0, F.lit(".pdf")).otherwise(F.lit(".PDF"))))
              .when(v == 10, F.concat(F.lit("ftp://"), host, tail))
-             .otherwise(F.concat(sh, host, path, F.lit("/"), F.repeat(F.lit("a"), 2000))))
+             .when(v == 11, F.concat(sh, host, path, F.lit("/"), F.repeat(F.lit("a"), 2000)))
+             .when(v == 12, F.concat(sh, F.lit("["), host, path))
+             .otherwise(F.concat(host, path)))
     return (pages.select("page_id", "url")
             .withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(N_VARIANTS - 1))))
             .select((F.col("page_id") * N_VARIANTS + v).alias("seq"), built.alias("url"),
@@ -98,14 +101,35 @@ def link_table(pages: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 STATUS_BY_DIGIT = (200, 200, 200, 200, 404, 403, 429, 500, 503, 408)
+ERRORS = ("timeout", "connection refused", "no such host")
+
+
+def rich_pages(pages: DataFrame) -> DataFrame:
+    """Pages with what the given ones lack: meta descriptions, a first title without text, status and headers.
+
+    By ``page_id``: modulo 3 picks the description (two attribute orders with
+    character references, or none), modulo 4 = 0 puts an empty title first,
+    modulo 10 picks the status of ``STATUS_BY_DIGIT``, even ids have a
+    Content-Type header.
+    """
+    i = F.col("page_id")
+    third = F.pmod(i, F.lit(3))
+    meta = (F.when(third == 0, F.concat(F.lit('<meta name="description" content="Page '), i.cast("string"), F.lit(' &amp; more&hellip;">')))
+            .when(third == 1, F.concat(F.lit("<meta content='d&#233;j&#xE0; "), i.cast("string"), F.lit("' name=description>")))
+            .otherwise(F.lit("")))
+    title = F.when(F.pmod(i, F.lit(4)) == 0, F.lit("<title></title>")).otherwise(F.lit(""))
+    status = F.element_at(F.array(*[F.lit(s) for s in STATUS_BY_DIGIT]), (F.pmod(i, F.lit(10)) + 1).cast("int"))
+    kind = F.create_map(F.lit("Content-Type"), F.array(F.lit("text/html; charset=utf-8"), F.lit("text/plain")))
+    return pages.select("page_id", "url", F.replace("html", F.lit("<head>"), F.concat(F.lit("<head>"), meta, title)).alias("html"),
+                        status.cast("int").alias("status"), F.when(F.pmod(i, F.lit(2)) == 0, kind).alias("headers"))
 
 
 def fetch_log(events: DataFrame, pages: DataFrame, n_pages: int | None = None,
               with_attempt: bool = True) -> DataFrame:
     """One fetch per event: run, page URL, proxy, status, time, attempt, error.
 
-    ``status`` is null and ``error = 'timeout'`` for error events; otherwise
-    the last digit of ``event_id`` picks the status. ``attempt`` numbers the
+    ``status`` is null and ``error`` one of ``ERRORS`` for error events;
+    otherwise the last digit of ``event_id`` picks the status. ``attempt`` numbers the
     fetches of a URL by ``(ts, event_id)``; consumers that never read it can
     skip the numbering (``with_attempt=False``, attempt is null).
     """
@@ -118,9 +142,10 @@ def fetch_log(events: DataFrame, pages: DataFrame, n_pages: int | None = None,
         "event_id", "ts", "value",
         F.pmod(F.col("event_id"), F.lit(3)).cast("string").alias("run_id"),
         F.pmod(F.col("event_id"), F.lit(n)).alias("_pid"),
-        F.concat(F.lit("http://proxy"), F.pmod(F.col("user_id"), F.lit(5)).cast("string")).alias("proxy_address"),
+        F.concat(F.lit("http://proxy"), F.pmod(F.col("event_id"), F.lit(5)).cast("string")).alias("proxy_address"),
         F.when(is_err, F.lit(None).cast("int")).otherwise(status).cast("int").alias("status"),
-        F.when(is_err, F.lit("timeout")).alias("error"))
+        F.when(is_err, F.element_at(F.array(*[F.lit(e) for e in ERRORS]),
+                                    (F.pmod(F.col("event_id"), F.lit(len(ERRORS))) + 1).cast("int"))).alias("error"))
     joined = ev.join(urls, "_pid").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     # attempt numbers per URL without gathering a URL's fetches in one task:
     # blocked running count, one block per day of fetch time
