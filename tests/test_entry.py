@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.001"
-TABLES = "pages events documents".split()
+TABLES = "pages events documents benchmark".split()
 NO_ORACLE = set()
 
 

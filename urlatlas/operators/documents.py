@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.html import body_text, content_type, find_keywords, page_bytes, page_description, page_title
 from ..functions.url import normalize_url, url_authority, url_hash
 from ..schemas import METADATA, URL_DOCUMENT
-from .util import cut_lineage
+from .util import cut_lineage, with_distinct_url_key
 
 def _no_headers() -> Column:
     return F.lit(None).cast(METADATA["headers"].dataType)
@@ -88,12 +88,12 @@ def error_documents(fetch_log: DataFrame, now=None, hash_algo: str = "sha256") -
     cannot be canonicalised keeps a null hash (``conform_or_reject`` drops it).
     """
     ts = _now(now)
-    f = failed_fetches(fetch_log).withColumn("_n", normalize_url(F.col("url")))
+    f = with_distinct_url_key(failed_fetches(fetch_log), "url", "_n", "_h", hash_algo)
     err = F.coalesce(F.col("error"), F.concat(F.lit("HTTP status "), F.col("status").cast("string")))
     kind = F.when(F.col("error").isNotNull(), F.lit("FetchError")).otherwise(F.lit("HttpError"))
     return f.select(
         F.col("url"),
-        url_hash(F.col("_n"), hash_algo).alias("url_hash"),
+        F.col("_h").alias("url_hash"),
         F.col("_n").alias("normalized_url"),
         url_authority(F.col("url")).alias("domain"),
         _opt(f, "source_url", F.lit(None).cast("string")).alias("source_url"),

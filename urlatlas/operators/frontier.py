@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from typing import List, Optional
 
@@ -14,7 +15,8 @@ from ..spec import (CACHE_IGNORE_HTTP_CODES, CACHE_TTL_S, CONCURRENT_REQUESTS, D
                     PER_HOST_REQUESTS, RETRY_HTTP_CODES, RETRY_TIMES, HarvestSpec)
 from ..sources.tables import default_allowed
 from .links import allowed_only, deny_links
-from .util import cut_lineage, top_n, with_url_key
+from ..session import ensure_checkpoint_dir
+from .util import cut_lineage, top_n, with_distinct_url_key, with_url_key
 
 
 def _now(now) -> Column:
@@ -32,8 +34,8 @@ def prepare_edges(links: DataFrame, spec: HarvestSpec, seeds: Optional[DataFrame
     Deny pattern, allowed domains (``spec.allowed_domains``; empty means the
     seeds' authorities, ``None`` every domain), validation and the user's
     ``link_filter`` run here, before any shuffle, as does dropping links of
-    pages whose own URL does not canonicalise. The result is written once to
-    the shared checkpoint folder, sorted by ``src_hash``.
+    pages whose own URL does not canonicalise. The result is written once as
+    a bucketed table, so no BFS level shuffles the edges again.
     """
     ln = links.select("src_url", F.col("dst_url").alias("url"), "pos")
     ln = deny_links(ln, spec.deny_pattern, "url")
@@ -50,13 +52,35 @@ def prepare_edges(links: DataFrame, spec: HarvestSpec, seeds: Optional[DataFrame
     ln = ln.where(v["is_valid"])
     # valid links always canonicalise; the raw-text test drops pages whose URL
     # does not, which would all share one null source
-    keyed = (ln.where(F.col("src_url").isNotNull() & url_parse_ok("src_url")).withColumn("dst_norm", normalize_url(F.col("url")))
+    keyed = (ln.where(F.col("src_url").isNotNull() & url_parse_ok("src_url"))
+             .withColumn("dst_norm", normalize_url(F.col("url")))
              .withColumn("src_norm", normalize_url(F.col("src_url")))
              .select(url_hash(F.col("src_norm"), spec.hash_algo).alias("src_hash"),
                      url_hash(F.col("dst_norm"), spec.hash_algo).alias("dst_hash"),
                      F.col("url").alias("dst_url"), "dst_norm", "src_url", "pos"))
+    salted = keyed.withColumn("salt", F.pmod(F.xxhash64("dst_hash"), F.lit(SOURCE_SALTS)).cast("int"))
     n = partitions or int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut_lineage(keyed.repartition(n, "src_hash"))
+    return _bucketed(salted, n)
+
+
+#: A page's links lie in this many buckets, so that one page with very many links is no single task.
+SOURCE_SALTS = 8
+
+
+def _bucketed(edges: DataFrame, buckets: int) -> DataFrame:
+    """Edges as a table bucketed by ``(src_hash, salt)`` in the shared folder.
+
+    Joins on these columns read the buckets where they lie: only the other
+    side is shuffled. The table's name leaves the catalog again; the files
+    stay in the folder.
+    """
+    spark, tag = edges.sparkSession, uuid.uuid4().hex
+    name = f"urlatlas_edges_{tag}"
+    (edges.repartition(buckets, "src_hash", "salt").write.bucketBy(buckets, "src_hash", "salt").sortBy("src_hash", "salt")
+     .option("path", f"{ensure_checkpoint_dir(spark).rstrip('/')}/edges-{tag}").saveAsTable(name))
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table
 
 
 def seed_nodes(seeds: DataFrame, spec: HarvestSpec) -> DataFrame:
@@ -79,8 +103,9 @@ def expand_once(frontier: DataFrame, edges: DataFrame, visited: DataFrame, depth
     (ties by link position). ``min_by`` aggregates partially before the
     shuffle on the target, so a much-linked target costs one row per task.
     """
-    cand = (frontier.select(F.col("url_hash").alias("src_hash"))
-            .join(edges, "src_hash")
+    every = F.explode(F.sequence(F.lit(0), F.lit(SOURCE_SALTS - 1))).alias("salt")
+    cand = (frontier.select(F.col("url_hash").alias("src_hash"), every)
+            .join(edges, ["src_hash", "salt"])
             .groupBy("dst_hash")
             .agg(F.min_by(F.struct("dst_url", "dst_norm", "src_url", "src_hash"),
                           F.struct("src_hash", "pos")).alias("_b")))
@@ -198,28 +223,28 @@ def frontier_batch(df: DataFrame, per_host: int = PER_HOST_REQUESTS, total: Opti
 def _last_fetch(fetch_log: DataFrame, hash_algo: str = "sha256") -> DataFrame:
     """Per canonical URL: last fetch, last good fetch, and failures since it.
 
-    Two aggregations on the same key: the first finds the last good fetch,
-    the second counts the fetches after it (``trailing_failures``); the join
-    between them is on the key both are already partitioned by.
+    The fetches of a URL are cut into days: each (URL, day) is summed up on
+    its own, then the few day rows of a URL are folded, so one much-fetched
+    URL spreads over as many tasks as it has days. Failures since the last
+    good fetch are those of its day after it, and all of later days.
     """
-    n = normalize_url(F.col("url"))
-    keyed = fetch_log.select("url", "status", "error", "ts", "attempt", n.alias("_n")) \
-        .withColumn("url_hash", url_hash(F.col("_n"), hash_algo)).drop("_n") \
-        .withColumn("_o", F.struct("ts", "attempt"))
-    # both aggregations read the keyed rows: canonicalise once, then reuse;
-    # the null filter runs on the checkpoint, not on the expression
-    keyed = cut_lineage(keyed).where(F.col("url_hash").isNotNull())
-    s = F.col("status")
-    last_ok = keyed.groupBy("url_hash").agg(F.max(F.when(s.between(200, 299), F.col("_o"))).alias("_ok"))
-    both = keyed.join(last_ok, "url_hash")
-    return both.groupBy("url_hash").agg(
-        F.min_by(F.col("url"), F.col("_o")).alias("url"),
-        F.count(F.lit(1)).alias("attempts"),
-        F.count_if(F.col("_ok").isNull() | (F.col("_o") > F.col("_ok"))).alias("trailing_failures"),
-        F.max_by(s, F.col("_o")).alias("last_status"),
-        F.max_by(F.col("error"), F.col("_o")).alias("last_error"),
-        F.max("ts").alias("last_ts"),
-        F.max(F.col("_ok.ts")).alias("last_ok_ts"))
+    keyed = with_distinct_url_key(fetch_log.select("url", "status", "error", "ts", "attempt"), "url", "_n", "url_hash", hash_algo)
+    keyed = (keyed.where(F.col("url_hash").isNotNull())
+             .withColumn("_o", F.struct("ts", "attempt")).withColumn("_day", F.to_date("ts"))
+             .withColumn("_ok", F.coalesce(F.col("status").between(200, 299), F.lit(False))))
+    back = Window.partitionBy("url_hash", "_day").orderBy(F.col("_o").desc())
+    since = F.sum(F.col("_ok").cast("int")).over(back.rowsBetween(Window.unboundedPreceding, 0))
+    days = keyed.withColumn("_since", since).groupBy("url_hash", "_day").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("_since") == 0).alias("after"), F.max("_ok").alias("has_ok"),
+        F.max(F.when(F.col("_ok"), F.col("ts"))).alias("ok_ts"), F.min("_o").alias("o0"), F.max("_o").alias("o1"),
+        F.min_by("url", "_o").alias("url"), F.max_by("status", "_o").alias("status"), F.max_by("error", "_o").alias("error"))
+    last_ok = F.max(F.when(F.col("has_ok"), F.col("_day"))).over(Window.partitionBy("url_hash"))
+    counts = F.col("ok_day").isNull() | (F.col("_day") >= F.col("ok_day"))
+    return days.withColumn("ok_day", last_ok).groupBy("url_hash").agg(
+        F.min_by("url", "o0").alias("url"), F.sum("n").alias("attempts"),
+        F.sum(F.when(counts, F.col("after")).otherwise(0)).alias("trailing_failures"),
+        F.max_by("status", "o1").alias("last_status"), F.max_by("error", "o1").alias("last_error"),
+        F.max("o1.ts").alias("last_ts"), F.max("ok_ts").alias("last_ok_ts"))
 
 
 def retry_queue(fetch_log: DataFrame, times: int = RETRY_TIMES, codes=RETRY_HTTP_CODES) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.url import normalize_url, url_hash
 from ..spec import PROXY_BAN_CODES
 from .documents import record_problem
+from .util import with_distinct_url_key
 
 
 def _ok(s):
@@ -31,7 +31,7 @@ def crawl_stats(fetch_log: DataFrame, keywords_col: str | None = None) -> DataFr
     List-valued fields hold distinct values only (error kinds, keywords), so
     their size is bounded by the vocabulary, never by the rows of a run.
     """
-    keyed = fetch_log.withColumn("_h", F.coalesce(url_hash(normalize_url(F.col("url"))), F.lit("")))
+    keyed = with_distinct_url_key(fetch_log, "url", "_n", "_h").withColumn("_h", F.coalesce("_h", F.lit("")))
     stats = keyed.groupBy("run_id").agg(
         F.min("ts").alias("start_time"),
         F.max("ts").alias("end_time"),

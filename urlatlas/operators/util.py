@@ -41,6 +41,19 @@ def with_url_key(df: DataFrame, url_col: str = "url", norm_out: str = "normalize
     return df.withColumn(norm_out, n).withColumn(hash_out, h)
 
 
+def with_distinct_url_key(df: DataFrame, url_col: str = "url", norm_out: str = "normalized_url",
+                          hash_out: str = "url_hash", algo: str = "sha256") -> DataFrame:
+    """``with_url_key`` for tables that repeat their URLs: every distinct URL is canonicalised once.
+
+    The distinct URLs (map-side combined) are keyed and joined back; adaptive
+    execution broadcasts them if they are few and splits a hot URL's rows if
+    not. Null URLs keep null keys.
+    """
+    urls = df.select(F.col(url_col).alias("_url")).distinct()
+    keyed = with_url_key(urls, "_url", norm_out, hash_out, algo)
+    return df.join(keyed, F.col(url_col) == F.col("_url"), "left").drop("_url")
+
+
 def top_n(df: DataFrame, n: int, order: list, small: int = 100_000) -> DataFrame:
     """The first ``n`` rows of ``df`` in ``order`` (ties must be broken by ``order``).
 
