@@ -26,6 +26,8 @@ def test_append_unique_is_idempotent(spark):
     store.append_unique(_docs(spark, 50, 100), order="seq")
     got = store.read()
     assert got.count() == 11 and got.select("url_hash").distinct().count() == 11
+    small = store.compact(_scratch(spark, "compact"))
+    assert sorted(map(tuple, small.read().collect())) == sorted(map(tuple, got.collect()))
 
 
 def test_stream_verdicts_equal_batch(spark):

@@ -1,8 +1,10 @@
 """URL column functions: parse, canonicalise, hash, resolve.
 
-All functions take and return Columns and compile to built-in expressions
-(regex, string, higher-order array functions), so they stay inside
-whole-stage code generation. The parse follows the standard-library URL
+All functions take and return Columns made of built-in expressions (regex,
+string, higher-order array functions): no Python in the tasks. Higher-order
+functions are interpreted, so the projections that hold these expressions run
+outside whole-stage code generation; tables that repeat their URLs should key
+the distinct ones (``operators.util.with_distinct_url_key``). The parse follows the standard-library URL
 splitter: leading control characters and blanks dropped, tab/CR/LF removed,
 scheme ``[A-Za-z][A-Za-z0-9+.-]*:``, authority after ``//`` up to ``/?#``,
 fragment split before the query, ``;params`` cut from the last segment.
@@ -71,7 +73,7 @@ def memo(fn):
             # a Column is keyed by its full expression text; lambda variables
             # carry unique generated names, so they never collide
             ident = c if isinstance(c, str) else ("col", c._jc.toString())
-            key = (id(SparkContext._active_spark_context), ident, args, tuple(sorted(kw.items())))
+            key = (SparkContext._active_spark_context.applicationId, ident, args, tuple(sorted(kw.items())))
             hash(key)
         except (TypeError, AttributeError):
             return fn(c, *args, **kw)

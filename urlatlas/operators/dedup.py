@@ -34,15 +34,14 @@ def running_count(df: DataFrame, key: str, seq: str, out: str = "seen_count",
 
     Two levels: rows are cut into ``(key, block)`` pieces, the block being
     ``seq // block_size`` or a given monotone ``block`` column (e.g. the day
-    of a timestamp), and shuffled once by piece; piece sizes become per-key
-    offsets (one row per piece, not per row); then each piece is ranked on
-    its own. No task ever holds more than one piece of a key.
+    of a timestamp). Piece sizes (a map-side combined count) become per-key
+    offsets, one row per piece; the rows are shuffled by piece for the join
+    with them and ranked where they then lie. No task ever holds more than
+    one piece of a key.
     """
     blk = block if block is not None else F.floor(F.col(seq) / F.lit(block_size)).cast("bigint")
     order_cols = [F.col(c) for c in (order or [seq])]
-    # one shuffle of the rows by (key, block); block sizes, the join and the
-    # in-block ranking all read that same partitioning
-    rows = df.withColumn("_blk", blk).repartition(key, "_blk")
+    rows = df.withColumn("_blk", blk)
     sizes = rows.groupBy(key, "_blk").agg(F.count(F.lit(1)).alias("_n"))
     w_off = Window.partitionBy(key).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(key, "_blk", F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_off"))

@@ -176,13 +176,12 @@ def cap(df: DataFrame, n: int, order: Optional[list] = None) -> DataFrame:
 
 # ----------------------------------------------------------------- batches
 
-def intake(df: DataFrame, partitions: int, salt_buckets: int = 1, url_col: str = "url") -> DataFrame:
+def intake(df: DataFrame, partitions: int, salt_buckets: int = 16, url_col: str = "url") -> DataFrame:
     """Spread a URL queue over ``partitions`` tasks, grouped by host.
 
-    Rows of a host land together (politeness, connection reuse); with
-    ``salt_buckets > 1`` a host is split over that many tasks by a hash of
-    the URL, so one host holding a large share of the queue does not become
-    one task. Adds ``host``.
+    A host is split over ``salt_buckets`` tasks by a hash of the URL, so one
+    host holding a large share of the queue does not become one task; with 1
+    all rows of a host land together. Adds ``host``.
     """
     host = url_hostname(F.col(url_col))
     out = df.withColumn("host", F.coalesce(host, F.lit("")))

@@ -38,7 +38,7 @@ def _page_links_on_stage(unique: bool) -> Column:
     once per Spark context.
     """
     from pyspark import SparkContext
-    key = (id(SparkContext._active_spark_context), unique)
+    key = (SparkContext._active_spark_context.applicationId, unique)
     if key not in _LINKS_COLUMN:
         _LINKS_COLUMN[key] = page_links(F.col("_html"), F.col("src_url"), unique, F.col("_bp"))
     return _LINKS_COLUMN[key]

@@ -19,9 +19,14 @@ def _failed():
     return F.col("error").isNotNull() | (s.isNotNull() & ~_ok(s))
 
 
-def _distinct_texts(c):
-    """Sorted distinct non-null texts (bounded by the number of kinds, not rows)."""
-    return F.array_sort(F.collect_set(c))
+def _error_kinds(c):
+    """Sorted distinct kinds of error texts.
+
+    A kind is the text up to the first colon or digit, 80 characters at most:
+    hosts, ports and numbers in error texts do not make kinds of their own,
+    so the list stays as short as the vocabulary of errors.
+    """
+    return F.array_sort(F.collect_set(F.trim(F.substring(F.regexp_extract(c, r"^[^:0-9]*", 0), 1, 80))))
 
 
 def crawl_stats(fetch_log: DataFrame, keywords_col: str | None = None) -> DataFrame:
@@ -41,7 +46,7 @@ def crawl_stats(fetch_log: DataFrame, keywords_col: str | None = None) -> DataFr
         (F.count(F.lit(1)) - F.count_distinct("_h")).alias("duplicate_urls"),
         F.count(F.lit(1)).alias("total_requests"),
         F.avg("response_ms").alias("average_response_time"),
-        _distinct_texts(F.col("error")).alias("errors"))
+        _error_kinds(F.col("error")).alias("errors"))
     if not keywords_col:
         return stats.withColumn("keywords", F.array().cast("array<string>"))
     kw = (fetch_log.select("run_id", F.explode_outer(keywords_col).alias("_k")).where(F.col("_k").isNotNull())
@@ -60,7 +65,7 @@ def proxy_health(fetch_log: DataFrame, ban_codes=PROXY_BAN_CODES) -> DataFrame:
         F.avg("response_ms").alias("average_response_time"),
         F.max("ts").alias("last_used"),
         (~F.coalesce(F.bool_or(s.isin(*ban_codes)), F.lit(False))).alias("is_active"),
-        _distinct_texts(F.col("error")).alias("error_messages"))
+        _error_kinds(F.col("error")).alias("error_messages"))
 
 
 def sink_stats(docs: DataFrame, key: str = "url_hash") -> DataFrame:

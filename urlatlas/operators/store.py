@@ -58,11 +58,11 @@ class UrlStore:
         return self.spark.read.parquet(self.path)
 
     def _writer(self, df: DataFrame, mode: str, partitions: Optional[int]):
-        n = partitions or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        laid = (df.withColumn("day", F.to_date("timestamp"))
-                .repartitionByRange(n, "day", "domain", "url_hash")
-                .sortWithinPartitions("day", "domain", "url_hash"))
-        w = laid.write.mode(mode).partitionBy("day")
+        # without a number adaptive execution sizes the files from the rows there are
+        keys = ["day", "domain", "url_hash"]
+        laid = df.withColumn("day", F.to_date("timestamp"))
+        laid = laid.repartitionByRange(partitions, *keys) if partitions else laid.repartitionByRange(*keys)
+        w = laid.sortWithinPartitions(*keys).write.mode(mode).partitionBy("day")
         if self.max_records_per_file:
             w = w.option("maxRecordsPerFile", self.max_records_per_file)
         return w
@@ -78,14 +78,19 @@ class UrlStore:
         ``order``), then an anti join against the stored keys removes known
         ones. Re-running the same batch appends nothing (idempotent).
         """
-        batch = first_per_key(df, self.key, order)
+        batch = cut_lineage(first_per_key(df, self.key, order))  # keyed once, compared and written from there
         if self.exists():
-            batch = drop_known(batch, self.read(), self.key)
-        # fix the batch before writing into the table it was compared with
-        batch = cut_lineage(batch)
+            # fixed again before writing into the table it was compared with
+            batch = cut_lineage(drop_known(batch, self.read(), self.key))
         self._writer(batch, "append", partitions).parquet(self.path)
         return batch
 
+    def compact(self, path: str) -> "UrlStore":
+        """The same rows written anew, clustered, as a store at ``path`` (many small appends make many small files)."""
+        new = UrlStore(self.spark, path, self.key, self.max_records_per_file)
+        new.write_clustered(self.read().drop("day"))
+        return new
+
 
 def drop_known(batch: DataFrame, store: DataFrame, key: str) -> DataFrame:
     """Rows of ``batch`` whose key is not in ``store``.
