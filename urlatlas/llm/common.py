@@ -34,7 +34,10 @@ def _shared(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_llm_work"
-    return base.rstrip("/")
+    # with its file system spelt out, so that Spark and Arrow mean the same folder
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return store.makeQualified(path).toString().rstrip("/")
 
 
 _SHIPPED: weakref.WeakSet = weakref.WeakSet()
