@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.html import extract_hrefs
-from ..functions.url import let, link_scheme, normalize_url, resolve_url, url_authority, url_hash, url_parts
+from ..functions.url import let, link_scheme, resolve_url, url_authority, url_parts
 from ..functions.validate import denied, validate_url
 from ..spec import DENY_PATTERN, LINK_SCHEMES
 from .util import with_url_key
