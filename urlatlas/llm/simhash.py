@@ -154,5 +154,9 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     component has no id at all (one of them).
     """
     comp, = fresh(docs, "_component")
-    kept = near_duplicates(docs, id_col, text_col, width, radius).select(F.col("component_id").alias(comp)).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col(comp)), "left_semi").dropDuplicates([id_col])
+    names = near_duplicates(docs, id_col, text_col, width, radius)
+    kept = names.select(F.col("component_id").alias(comp)).distinct()
+    chosen = docs.join(kept, F.col(id_col).eqNullSafe(F.col(comp)), "left_semi")
+    # whole rows are compared only where ids repeat at all
+    repeated = names.groupBy("doc_id").count().where("count > 1")
+    return chosen if repeated.isEmpty() else chosen.dropDuplicates([id_col])
