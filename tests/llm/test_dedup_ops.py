@@ -1,8 +1,10 @@
 """op1, op7, op9 and the component search against plain restatements."""
 
 import random
+import zlib
 
 import brute
+import pytest
 from pyspark.sql import functions as F
 
 from urlatlas.llm import chunk_recipes, line_chunks, simhash
@@ -96,6 +98,27 @@ def test_line_chunks_nulls_and_repeats(frame):
     assert line_chunks.drop_repeated_chunks(frame([])).collect() == []
 
 
+@pytest.mark.parametrize("line_hash", [F.xxhash64, lambda c: F.length(c).cast("long")])
+def test_line_chunks_of_repeated_rows_are_those_of_one(spark, line_hash):
+    line = lambda k, n=20: " ".join(f"w{k}x{i}" for i in range(n))
+    shared = "\n".join(line(k) for k in (1, 2, 3))  # under 51 words a line, 60 in all
+    nameless = "\n".join(line(k, 25) for k in (4, 5, 6))
+    rows = [(1, "a " + line(7) + "\n" + shared)] * 2 + [(2, shared + "\nend of two")]
+    rows += [(3, "three begins\n" + nameless)] + [(None, nameless + "\nb " + line(8))] * 3 + [(None, "c\n" + nameless)]
+    df = spark.createDataFrame([(i, zlib.crc32(t.encode()), t) for i, t in rows], "id long, tag long, text string")
+    got = sorted((r.id is None, r.id or 0, sorted(r.lines)) for r in line_chunks.repeated_lines(df, line_hash=line_hash).collect())
+    assert got == [(False, 2, [0, 1, 2]), (True, 0, [0, 1, 2]), (True, 0, [1, 2, 3])]
+
+
+def test_repeated_rows_lose_passages_together(frame):
+    line = lambda k: " ".join(f"w{k}x{i}" for i in range(20))
+    shared = "\n".join(line(k) for k in (1, 2, 3))
+    rows = [(1, "one\n" + shared)] + [(2, shared + "\ntwo")] * 2 + [(None, "none\n" + shared)] * 3
+    got = [(r.doc_id, r.text, r.removed_lines) for r in line_chunks.drop_repeated_chunks(frame(rows)).collect()]
+    want = [(1, "one\n" + shared, 0)] + [(2, "two", 3)] * 2 + [(None, "none", 3)] * 3
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_components_on_paths_and_stars(spark):
     rnd = random.Random(3)
     edges = [(i, i + 1) for i in range(100, 160)] + [(5, i) for i in range(200, 260)] + [(300, 300), (1, None)]

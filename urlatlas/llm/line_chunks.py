@@ -30,8 +30,24 @@ MIN_WORDS = 51
 def line_table(docs: DataFrame, line_hash: Callable[[Column], Column]) -> DataFrame:
     """``(id, tag, pos, line)`` for lines that hold words; ``tag`` tells documents of one id apart."""
     lines = docs.select("id", "tag", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    words = F.regexp_count("line", F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    return lines.select("id", "tag", "pos", "line", line_hash(F.col("line")).alias("h"), words.alias("w")).where("w > 0")
+    return lines.select("id", "tag", "pos", "line", line_hash(F.col("line")).alias("h"),
+                        _words(F.col("line")).alias("w")).where("w > 0")
+
+
+def _words(line: Column) -> Column:
+    return F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+
+
+def line_ids(docs: DataFrame, line_hash: Callable[[Column], Column]) -> DataFrame:
+    """``(id, tag, pos, line, w)`` of each document once, however many rows repeat it; ``line`` is the hash.
+
+    Repeats go before their lines are told apart by place, since the lines of
+    two copies would interleave. Only hashes move, combined map-side.
+    """
+    lines = F.transform(F.split("text", "\n", -1), lambda line, pos: F.struct(
+        pos.alias("pos"), line_hash(line).alias("line"), _words(line).alias("w")))
+    held = docs.select("id", "tag", F.filter(lines, lambda x: x["w"] > 0).alias("lines"))
+    return held.groupBy("id", "tag").agg(F.any_value("lines").alias("lines")).select("id", "tag", F.inline("lines"))
 
 
 def line_chunks(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -69,16 +85,16 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS,
                    line_hash: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """``(id, tag, lines)``: the line numbers each document loses; documents that lose none are absent.
 
-    ``docs`` has ``id, tag, text``.
+    ``docs`` has ``id, tag, text``; rows equal in ``id`` and ``tag`` are one document.
     """
     folder = work_dir(docs.sparkSession)
     lines = line_table(docs, line_hash)
     clash = hash_collisions(lines.select("h", F.col("line").alias("piece")), folder)
     if clash is None:
-        ids = lines.select("id", "tag", "pos", F.col("h").alias("line"), "w")
+        ids = line_ids(docs, line_hash)
     else:  # a hash that stands for several texts is told apart by its number
         ids = (lines.join(clash.withColumnRenamed("piece", "line"), ["h", "line"], "left")
-               .select("id", "tag", "pos", F.struct("h", "k").alias("line"), "w"))
+               .select("id", "tag", "pos", F.struct("h", "k").alias("line"), "w").distinct())
     chunks = stage(line_chunks(ids, min_words), folder, "chunks")
     place = F.struct(F.col("id").isNull().alias("no"), "id", "tag", "start")
     several = (chunks.groupBy("chunk").agg(F.count("*").alias("n"), F.min(place).alias("first"))
