@@ -191,3 +191,16 @@ def test_near_duplicates_edge_cases(frame):
     kept = [r.doc_id for r in simhash.keep_one_of_each(frame(rows)).collect()]
     assert sorted(kept) == sorted({c for c in comp.values()})
     assert simhash.near_duplicates(frame([])).collect() == []
+
+
+def test_one_row_of_every_component_stays(frame):
+    word = lambda k: " ".join(f"k{k}x{i}" for i in range(300))
+    rows = [(None, word(1)), (None, word(2)), (None, word(2).upper()), (None, word(3)), (None, word(3))]  # three, no ids
+    rows += [(4, word(4)), (4, word(5)), (4, word(5))]  # one id, two components
+    rows += [(3, word(6)), (5, word(6).upper()), (5, word(7)), (8, word(7))]  # 5 is in one and names another
+    rows += [(9, word(8)), (None, word(8))]
+    kept = [(r.doc_id, r.text) for r in simhash.keep_one_of_each(frame(rows)).collect()]
+    assert sorted(t.lower() for _, t in kept) == sorted(word(k) for k in range(1, 9))
+    assert {t: i for i, t in kept if i is not None} == {word(4): 4, word(5): 4, word(6): 3, word(7): 5, word(8): 9}
+    assert all(c in frame(rows).columns for c in simhash.keep_one_of_each(frame(rows)).columns)
+    assert simhash.keep_one_of_each(frame([])).collect() == []

@@ -54,15 +54,23 @@ def simhash(text: str | None, width: int = 3, seed: int = 42) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """``(id, fp)`` per row; ``fp`` is the fingerprint as a signed long. Null texts count as empty."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3,
+                 tagged: bool = False) -> DataFrame:
+    """``(id, fp)`` per row; ``fp`` is the fingerprint as a signed long. Null texts count as empty.
+
+    ``tagged`` adds ``tag``, a hash of the text that tells texts of one id apart.
+    """
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             fps = np.array([simhash(t.as_py(), width) for t in b.column(1)], dtype="<u8").view("<i8")
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["id", "fp"])
+            kept = [b.column(0), *b.columns[2:]]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(fps, pa.int64())], names=names)
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), text_of(text_col)).mapInArrow(batches, f"id {id_type}, fp long")
+    names = ["id", "tag", "fp"] if tagged else ["id", "fp"]
+    tag = [F.xxhash64(text_of(text_col)).alias("tag")] if tagged else []
+    return docs.select(F.col(id_col).alias("id"), text_of(text_col), *tag).mapInArrow(
+        batches, f"id {id_type}, {'tag long, ' if tagged else ''}fp long")
 
 
 def signed(x: int) -> int:
@@ -122,6 +130,13 @@ def near_links(distinct: DataFrame, radius: int, folder: str) -> DataFrame:
     return _ball_edges(free, F.col("free"), radius)
 
 
+def component_roots(distinct: DataFrame, radius: int, folder: str) -> DataFrame:
+    """``distinct`` (one row per fingerprint ``fp``) with ``root``, the smallest fingerprint reachable over links."""
+    parts = stage(connected_components(near_links(distinct, radius, folder), folder), folder, "components")
+    return distinct.join(parts, distinct["fp"] == parts["node"], "left").select(
+        *distinct.columns, F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3,
                     radius: int = 2) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` for every row of ``docs``.
@@ -136,9 +151,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     folder = work_dir(docs.sparkSession)
     rows = stage(fingerprints(docs, id_col, text_col, width), folder, "fingerprints")
     distinct = stage(rows.groupBy("fp").agg(F.min("id").alias("least")), folder, "distinct")
-    parts = stage(connected_components(near_links(distinct, radius, folder), folder), folder, "components")
-    roots = distinct.join(parts, distinct["fp"] == parts["node"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root"))
+    roots = component_roots(distinct, radius, folder)
     named = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = roots.join(named, "root").select(F.col("fp").alias("_fp"), "component_id")
     same = rows.join(by_fp, F.col("fp") == F.col("_fp"))
@@ -148,15 +161,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3,
                      radius: int = 2) -> DataFrame:
-    """The rows of ``docs`` whose id names their near-duplicate component, columns as they came.
+    """One row of ``docs`` of every near-duplicate component, columns as they came.
 
-    Of rows that repeat that id one stays; rows without an id stay when their
-    component has no id at all (one of them).
+    The row with the smallest id stays, null last; of several texts of that
+    id the one with the smallest hash; of rows equal in both any one. An id
+    is no name for a component here: it may be null, or have texts in several.
     """
-    comp, = fresh(docs, "_component")
-    names = near_duplicates(docs, id_col, text_col, width, radius)
-    kept = names.select(F.col("component_id").alias(comp)).distinct()
-    chosen = docs.join(kept, F.col(id_col).eqNullSafe(F.col(comp)), "left_semi")
-    # whole rows are compared only where ids repeat at all
-    repeated = names.groupBy("doc_id").count().where("count > 1")
-    return chosen if repeated.isEmpty() else chosen.dropDuplicates([id_col])
+    folder = work_dir(docs.sparkSession)
+    rid, own, tag = fresh(docs, "_id", "_own", "_tag")
+    rows = stage(fingerprints(docs, id_col, text_col, width, tagged=True), folder, "fingerprints")
+    place = F.struct(F.col("id").isNull().alias("no"), "id", "tag")
+    distinct = stage(rows.groupBy("fp").agg(F.min(place).alias("first")), folder, "distinct")
+    first = component_roots(distinct, radius, folder).groupBy("root").agg(F.min("first").alias("first"))
+    first = stage(first.select(F.col("first.id").alias(rid), F.col("first.tag").alias(tag)), folder, "first")
+    mine = F.col(id_col).eqNullSafe(F.col(rid)) & (F.col(own) == F.col(tag))
+    chosen = docs.withColumn(own, F.xxhash64(text_of(text_col))).join(first, mine, "left_semi")
+    # whole rows are compared only where rows repeat at all
+    repeated = rows.groupBy("id", "tag").count().where("count > 1")
+    return (chosen if repeated.isEmpty() else chosen.dropDuplicates([id_col, own])).drop(own)
