@@ -194,7 +194,7 @@ def test_toxicity_without_toxic_examples(frame, spark):
 
 
 def test_registered_toxicity_on_held_out_rows(spark):
-    """On sf0.01 a third of the toxic labels have no visible cause (random words of other languages)."""
+    """Held-out rows of sf0.01; recall by language is in the README."""
     from urlatlas.llm import queries
     sf = "/root/testdata/sf0.01"
     got = queries.op8_crf(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic"), "doc_id")
@@ -212,3 +212,22 @@ def test_digest_of_the_registered_secret_scan(spark, tmp_path):
     assert got[0].base_sha256 == hashlib.sha256(b"").hexdigest() and got[0].spans == ""
     assert got[8].spans == "id:5:10,assign:11:26" and got[8].n_assign == 1
     assert got[8].base_sha256 == hashlib.sha256(b"assign:11:26").hexdigest()
+
+
+def test_toxicity_learns_words_that_clean_texts_also_have(frame, spark):
+    """Toxic texts hold a word many times that one clean text in five holds once."""
+    docs, labels = toxic_docs(0)
+    rnd = random.Random(4)
+    for i in range(600):
+        words = ["".join(rnd.choice("bdgklmnprst") + rnd.choice("aeiou") for _ in range(3)) for _ in range(150)]
+        toxic = i % 5 == 0
+        for _ in range(rnd.randint(4, 9) if toxic else rnd.random() < 0.2):
+            words.insert(rnd.randint(0, len(words)), "achlich" + rnd.choice(["", "er", "em", "keit", "ung"]))
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    df = frame(docs)
+    model = toxicity.fit(df, spark.createDataFrame(labels, "doc_id long, toxic int"), F.col("doc_id") < 400)
+    scores = {r.doc_id: r.s for r in df.where("doc_id >= 400").select("doc_id", toxicity.toxicity(model, spark)(F.col("text"))["score"].alias("s")).collect()}
+    caught = sum(s >= toxicity.THRESHOLD for i, s in scores.items() if i % 5 == 0)
+    flagged = sum(s >= toxicity.THRESHOLD for i, s in scores.items() if i % 5)
+    assert caught >= 36 and flagged <= 4  # of 40 and 160

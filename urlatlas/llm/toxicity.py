@@ -3,14 +3,16 @@
 Fitting looks at a bounded sample of labelled documents (``SAMPLE_DOCS``):
 
 1. Word features (the lower-cased word and its prefixes) that occur in many
-   different contexts in toxic documents and next to never in clean ones
-   label the sample's tokens; a greedy cover adds weaker features for toxic
-   documents that have none of those.
+   different contexts in toxic documents, at a rate per word far above that
+   in clean ones, label the sample's tokens; a greedy cover adds weaker
+   features for toxic documents that have none of those.
 2. A two-label chain (clean, toxic) is trained on bounded segments of those
    tokens: emission weights of the word, its prefixes and suffix and of its
    neighbours, transition weights, full forward-backward gradients.
 3. A logistic curve turns a document's marginals (how many toxic tokens are
-   expected, how sure the surest is, and their share) into its score.
+   expected, how sure the surest is, their share, and how many different
+   words are toxic) into its score. It is fitted on documents that the
+   chain it looks at has not seen; the chain in use is then that of all.
 
 Scoring reads every token of every document in Arrow batches; only the text
 is an input.
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -36,6 +39,13 @@ SAMPLE_DOCS = 16_000
 MAX_FEATURES, MAX_SEGMENTS, CHAIN = 50_000, 3_000, 64
 #: Contexts that make a feature of toxic texts significant without further evidence.
 STRONG = 6
+#: How often more a feature that clean texts have too must occur in toxic ones, word for word.
+RATE = 15.0
+#: One in so many texts of the sample is kept apart for the curve.
+APART = 3
+#: Texts of each label that must be apart; with fewer the curve looks at the whole sample, and words
+#: that clean texts have too are no features.
+LEAST_APART = 20
 #: Hashed weights of each kind of feature.
 SLOTS = 1 << 18
 THRESHOLD = 0.7
@@ -188,11 +198,12 @@ def _toxic_only(emission: np.ndarray, mask: np.ndarray, trans: np.ndarray) -> np
     return (1 / (1 + np.exp(-np.clip(ahead + back, -60, 60)))).T * mask
 
 
-def evidence(p: np.ndarray) -> tuple[float, float, float]:
-    """What a document's curve looks at: expected toxic words (log), the surest one, their share."""
+def evidence(p: np.ndarray, text: str) -> tuple[float, float, float, float]:
+    """What a document's curve looks at: expected toxic words (log), the surest one, their share, different ones (log)."""
     if not len(p):
-        return 0.0, 0.0, 0.0
-    return float(np.log1p(p.sum())), float(p.max()), float(min(1.0, 20 * p.mean()))
+        return 0.0, 0.0, 0.0, 0.0
+    different = {m[0].lower() for m, q in zip(WORD.finditer(text), p) if q >= 0.5} if p.max() >= 0.5 else ()
+    return float(np.log1p(p.sum())), float(p.max()), float(min(1.0, 20 * p.mean())), float(np.log1p(len(different)))
 
 
 def cover(found: list[list[str]], least: int = 3) -> set[str]:
@@ -322,6 +333,17 @@ def _features(it: Iterator[pa.RecordBatch], wanted: frozenset[str]) -> Iterator[
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string()))], names=["features"])
 
 
+def _occurrences(it: Iterator[pa.RecordBatch], wanted: frozenset[str]) -> Iterator[pa.RecordBatch]:
+    """``(f, n)``: how often the ``wanted`` word features occur; the empty feature stands for every word."""
+    for b in it:
+        words = Counter(w.lower() for text in b.column(0) for w in WORD.findall(text.as_py()))
+        found = Counter({"": words.total()})
+        for word, n in words.items():
+            for f in wanted.intersection(word_features(word)):
+                found[f] += n
+        yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["f", "n"])
+
+
 def _segments(it: Iterator[pa.RecordBatch], toxic: frozenset[str]) -> Iterator[pa.RecordBatch]:
     """Chains of words that can be trained on: ``kind`` 1 with toxic words (of toxic texts), 0 without."""
     for b in it:
@@ -338,29 +360,49 @@ def _segments(it: Iterator[pa.RecordBatch], toxic: frozenset[str]) -> Iterator[p
 def _evidence(it: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     look = Lookup(model)
     for b in it:
-        seen = [evidence(p) for p in toxic_marginals([t.as_py() for t in b.column(1)], look)]
+        texts = b.column(1).to_pylist()
+        seen = [evidence(p, text) for text, p in zip(texts, toxic_marginals(texts, look))]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([list(x) for x in seen], pa.list_(pa.float64()))],
                                          names=["label", "seen"])
 
 
-def _toxic_features(toxic: DataFrame, clean: DataFrame) -> frozenset[str]:
+def _toxic_features(toxic: DataFrame, clean: DataFrame, folder: str, by_rate: bool) -> frozenset[str]:
     """Features that mark toxic words, from the sample's toxic and clean texts (``text``).
 
     Support is the number of different contexts in toxic texts, so copies of
-    a text give its words one vote. With ``STRONG`` contexts and (almost) no
-    clean text a feature counts; toxic texts without such a feature are
-    covered by weaker ones.
+    a text give its words one vote; clean texts count once each. A feature
+    with ``STRONG`` contexts counts if clean texts never have it, or if its
+    rate per word, less two standard deviations, is ``RATE`` times theirs:
+    how often a word occurs at all must not matter. The latter need ``by_rate``,
+    since one of them alone says little: how many do is learned by the curve.
+    Toxic texts without a feature are covered by weaker ones that clean texts
+    never have.
     """
-    contexts = toxic.mapInArrow(_contexts, "f string, context long").distinct().groupBy("f").count().where("count >= 3")
-    support = {r["f"]: r["count"] for r in contexts.orderBy(F.desc("count"), "f").limit(MAX_FEATURES).collect()}
+    contexts = stage(toxic.mapInArrow(_contexts, "f string, context long").distinct().groupBy("f").count(), folder, "contexts")
+    toxic_words = contexts.where(F.col("f").startswith("w=")).agg(F.sum("count")).first()[0] or 0
+    support = {r["f"]: r["count"] for r in
+               contexts.where("count >= 3").orderBy(F.desc("count"), "f").limit(MAX_FEATURES).collect()}
     wanted = frozenset(support)
-    met = (clean.mapInArrow(lambda it: _features(it, wanted), "features array<string>")
-           .select(F.explode("features").alias("f")).groupBy("f").count())
-    against = {r["f"]: r["count"] for r in met.collect()}  # at most MAX_FEATURES rows
-    pure = frozenset(f for f, n in support.items() if n >= 0.97 * (n + against.get(f, 0)))
-    found = [r["features"] for r in toxic.mapInArrow(lambda it: _features(it, pure), "features array<string>").collect()]
-    strong = {f for f in pure if support[f] >= STRONG}
-    return frozenset(strong | cover([f for f in found if strong.isdisjoint(f)]))
+    met = clean.distinct().mapInArrow(lambda it: _occurrences(it, wanted), "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
+    against = {r["f"]: r["n"] for r in met.collect()}  # at most MAX_FEATURES rows and the total
+    clean_words = against.get("", 0)
+    pure = frozenset(f for f in support if not against.get(f))
+    frequent = {f for f, n in support.items()
+                if by_rate and (n - 2 * n ** 0.5) * clean_words >= RATE * (against.get(f, 0) + 1) * toxic_words}
+    found = [r["features"] for r in toxic.mapInArrow(lambda it: _features(it, pure | frequent), "features array<string>").collect()]
+    strong = {f for f in pure | frequent if support[f] >= STRONG}
+    return frozenset(strong | cover([[f for f in fs if f in pure] for fs in found if strong.isdisjoint(fs)]))
+
+
+def _chain_model(sample: DataFrame, folder: str, name: str, by_rate: bool) -> Model:
+    """Features and chain weights from ``sample`` (``label, text``), without a curve."""
+    folder = f"{folder}/{name}"
+    toxic = _toxic_features(sample.where("label = 1").select("text"), sample.where("label = 0").select("text"), folder, by_rate)
+    chains = sample.mapInArrow(lambda it: _segments(it, toxic), "kind int, chain string").distinct()
+    chains = stage(chains, folder, "chains")
+    segments = [r["chain"].split(" ") for kind in (1, 0) for r in
+                chains.where(F.col("kind") == kind).orderBy(F.xxhash64("chain"), "chain").limit(MAX_SEGMENTS).collect()]
+    return Model(*train_chain(segments, toxic), np.zeros(5))
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text",
@@ -372,15 +414,16 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     """
     folder = work_dir(docs.sparkSession)
     sample = _sample(docs, labels, train, id_col, text_col, label_col, sample_docs, folder).select("label", "text")
-    toxic = _toxic_features(sample.where("label = 1").select("text"), sample.where("label = 0").select("text"))
-    chains = sample.mapInArrow(lambda it: _segments(it, toxic), "kind int, chain string").distinct()
-    chains = stage(chains, folder, "chains")
-    segments = [r["chain"].split(" ") for kind in (1, 0) for r in
-                chains.where(F.col("kind") == kind).orderBy(F.xxhash64("chain"), "chain").limit(MAX_SEGMENTS).collect()]
-    model = Model(*train_chain(segments, toxic), np.zeros(4))
-    sent = docs.sparkSession.sparkContext.broadcast(tuple(model))
-    seen = sample.mapInArrow(lambda it: _evidence(it, Model(*sent.value)), "label int, seen array<double>").collect()
-    curve = fit_curve(np.array([r["seen"] for r in seen]).reshape(-1, 3), np.array([r["label"] for r in seen], dtype=float))
+    apart = F.pmod(F.xxhash64("text"), F.lit(APART)) == 0  # by text, so that copies are on one side
+    known = [r["count"] for r in sample.where(apart).groupBy("label").count().collect()]
+    both = len(known) == 2 and min(known) >= LEAST_APART
+    model = _chain_model(sample, folder, "all", both)
+    # the curve looks at texts that its chain has not seen, if there are enough labels to keep some apart
+    blind = _chain_model(sample.where(~apart), folder, "shown", True) if both else model
+    sent = docs.sparkSession.sparkContext.broadcast(tuple(blind))
+    judged = sample.where(apart) if both else sample
+    seen = judged.mapInArrow(lambda it: _evidence(it, Model(*sent.value)), "label int, seen array<double>").collect()
+    curve = fit_curve(np.array([r["seen"] for r in seen]).reshape(-1, 4), np.array([r["label"] for r in seen], dtype=float))
     return model._replace(curve=curve)
 
 
@@ -392,7 +435,7 @@ def _score(texts: pa.Array, model: Model) -> pa.Array:
     texts = [t.as_py() or "" for t in texts]
     rows = []
     for text, p in zip(texts, toxic_marginals(texts, Lookup(model))):
-        x = float(np.dot((*evidence(p), 1.0), model.curve))
+        x = float(np.dot((*evidence(p, text), 1.0), model.curve))
         spans = []
         if len(p) and p.max() >= 0.5:
             spans = [{"start": m.start(), "end": m.end()} for m, q in zip(WORD.finditer(text), p) if q >= 0.5]
