@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators (production parameters, whole tables) and their SQL twins."""
+"""Registered queries of the operators (production parameters, whole tables) and their SQL twins."""
 
 from __future__ import annotations
 
@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from urlatlas.llm.chunk_recipes import exact_duplicates
 from urlatlas.llm.common import ship_code, table, work_dir
 from urlatlas.llm.line_chunks import drop_repeated_chunks
+from urlatlas.llm.merkle import proofs
+from urlatlas.llm.merkle_sql import proofs_sql
 from urlatlas.llm.packing import pack
 from urlatlas.llm.secret_links import secrets, spans_text
 from urlatlas.llm.simhash import near_duplicates
@@ -18,6 +20,7 @@ from urlatlas.llm.tag_paths import page_text
 from urlatlas.llm.token_records import read_records, write_records
 from urlatlas.llm.toxicity import THRESHOLD, fit, toxicity
 from urlatlas.llm.warc import read_archives, write_archives
+from urlatlas.llm.whitening import whiten
 from urlatlas.llm.wu_manber import contaminated, contamination, hit_words
 
 
@@ -86,6 +89,14 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_records(spark, files)
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return proofs(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_secret_links": op2_secret_links,
@@ -97,9 +108,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_crf": op8_crf,
     "op9_chunk_recipes": op9_chunk_recipes,
     "op10_token_records": op10_token_records,
+    "op11_merkle": op11_merkle,
+    "op12_whitening": op12_whitening,
 }
 
 SQL: dict[str, str] = {
+    "op11_merkle": proofs_sql(),
     "op5_warc": r"""
 WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n,
                   sha256(coalesce(html, '')) AS d, url FROM pages),
