@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from urlatlas.llm.chunk_recipes import exact_duplicates
 from urlatlas.llm.common import ship_code, table, work_dir
+from urlatlas.llm.language_id import identify
 from urlatlas.llm.line_chunks import drop_repeated_chunks
 from urlatlas.llm.merkle import proofs
 from urlatlas.llm.merkle_sql import proofs_sql
@@ -97,6 +98,12 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held out: crc32 of the id as text, mod 4, is 2 (not so for a null id)."""
+    kept_back = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    return identify(table(spark, sf_dir, "documents"), kept_back)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_secret_links": op2_secret_links,
@@ -110,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_records": op10_token_records,
     "op11_merkle": op11_merkle,
     "op12_whitening": op12_whitening,
+    "op13_language": op13_language,
 }
 
 SQL: dict[str, str] = {
