@@ -17,13 +17,15 @@ from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urlatlas.llm.common import fresh, stage, text_of, work_dir
 
-#: Documents the weights are learnt from, shared evenly among the languages (the documented bound of the sample).
+#: Documents the weights are learnt from, shared evenly among the languages (the documented bound of the sample; see ``_sample``).
 SAMPLE_DOCS = 2000
+#: Documents that a language is given at least, however many languages there are.
+LEAST_DOCS = 20
 #: Longest n-gram, and hash buckets of all n-grams.
 ORDER, BUCKETS = 3, 1 << 16
 #: Follow-the-regularised-leader: rate, its offset, absolute and squared penalty, passes over the sample.
@@ -172,14 +174,20 @@ def _frequencies(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(found[at])], names=["bucket", "n"])
 
 
-def _sample(rows: DataFrame, languages: int, sample_docs: int) -> DataFrame:
-    """``lang, h, text``: of every language the texts with the smallest hashes, each distinct text once."""
-    share = -(-sample_docs // languages)
+def _sample(rows: DataFrame, sample_docs: int) -> DataFrame:
+    """``lang, h, text``: of every language the texts whose hash is in its lowest share, each distinct text once.
+
+    The share is set by the number of the language's distinct texts, so that
+    ``sample_docs`` are expected, evenly from all languages that have enough;
+    no language's rows have to meet for that.
+    """
     keyed = rows.select("lang", F.xxhash64("text").alias("h"), "text").where(F.col("text").rlike(r"\p{L}"))
-    keys = keyed.select("lang", "h").distinct()
-    first = keys.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= share)
-    # at most sample_docs keys and one a language: small enough to broadcast at any size
-    return keyed.join(F.broadcast(first.drop("k")), ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text"))
+    # one number a language, as a model has
+    texts = {r["lang"]: r["count"] for r in keyed.select("lang", "h").distinct().groupBy("lang").count().collect()}
+    share = max(LEAST_DOCS, -(-sample_docs // max(1, len(texts))))
+    limits = F.create_map(*[F.lit(v) for lang, n in texts.items() for v in (lang, min(1.0, share / n))])
+    low = F.shiftrightunsigned("h", 1).cast("double") / float(1 << 63) <= limits[F.col("lang")]
+    return keyed.where(low).groupBy("lang", "h").agg(F.first("text").alias("text"))
 
 
 def fit(docs: DataFrame, train: Column, lang_col: str = "lang", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> Model | None:
@@ -199,7 +207,7 @@ def fit(docs: DataFrame, train: Column, lang_col: str = "lang", text_col: str =
     for r in found:  # one row per bucket
         frequency[r["bucket"]] = r["n"]
     idf = np.log((1 + frequency[-1]) / (1 + frequency[:-1])) + 1
-    features = stage(_sample(rows, len(languages), sample_docs).mapInArrow(
+    features = stage(_sample(rows, sample_docs).mapInArrow(
         _features, "lang string, h long, at binary, n binary"), folder, "features")
     sent = spark.sparkContext.broadcast((languages, idf))
     # three trainings, one task each: on either half (by the text's hash), and on all of the sample
@@ -229,7 +237,7 @@ def fit(docs: DataFrame, train: Column, lang_col: str = "lang", text_col: str =
         train_set, "trained int, at binary, w binary, bias array<double>, scores array<double>, labels array<int>").collect()}
     drawn = {r["lang"]: r["count"] for r in features.groupBy("lang").count().collect()}
     total, taken = sum(shares.values()), sum(drawn.values())
-    prior = np.log([shares[v] / total * taken / drawn[v] for v in languages])
+    prior = np.log([shares[v] / total * taken / max(1, drawn.get(v, 0)) for v in languages])
     scores = np.array([s for k in (0, 1) for s in made[k]["scores"]]).reshape(-1, len(languages))
     temperature = calibrate(scores, np.array([y for k in (0, 1) for y in made[k]["labels"]], dtype=int), prior)
     weights = np.zeros((BUCKETS, len(languages)), dtype=np.float32)
