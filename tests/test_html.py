@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from urlatlas.functions import html as H
+from urlatlas.operators.keywords import match_keywords
 from urlatlas.operators.links import extract_links
 
 PAGES = [
@@ -60,15 +61,31 @@ def test_links(spark):
                                    "http://h.com/d/p?q=1", "http://h.com/d/p#top"]
 
 
-def test_keyword_table_gram_join_equals_literals(spark):
+def test_keyword_tables_lists_and_blocks_agree(spark):
     texts = spark.createDataFrame(
-        [(0, "the web crawling of data mining"), (1, "python and pythons"), (2, "a b"), (3, ""), (4, None)],
+        [(0, "the web crawling of data mining"), (1, "python and pythons"), (2, "a b"), (3, ""), (4, None), (5, "i\u0307 \u6f22\u5b57")],
         "id long, text string")
-    kw = spark.createDataFrame([("Python",), ("web crawling",), ("a",), ("ab",), ("mining",), ("zzz",), (None,), ("",)],
-                               "k string")
-    from urlatlas.operators.documents import match_keywords
-    lit = {r.id: r.keywords for r in match_keywords(texts, kw, "text").collect()}
-    dist = {r.id: r.keywords for r in match_keywords(texts, kw, "text", max_literal=0, gram=3).collect()}
-    assert lit == dist
-    assert lit[0] == ["", "a", "mining", "web crawling"] and lit[1] == ["", "Python", "a"]
-    assert lit[3] == [""] and lit[4] == []
+    words = ["Python", "web crawling", "a", "ab", "mining", "zzz", None, "", "PYTHON", "thons", "\u0130", "\u6f22"]
+    kw = spark.createDataFrame([(k,) for k in words + ["a"]], "k string")
+
+    def tags(keywords, **more):
+        return {r.id: r.keywords for r in match_keywords(texts, keywords, "text", **more).collect()}
+
+    one = tags(kw)
+    assert one == tags(kw, block_bytes=40)
+    assert one[0] == ["", "a", "mining", "web crawling"] and one[1] == ["", "PYTHON", "Python", "a", "thons"]
+    assert one[2] == ["", "a"] and one[3] == [""] and one[4] == [] and one[5] == ["", "\u0130", "\u6f22"]
+    assert tags(words + ["a"])[1] == ["Python", "a", "", "PYTHON", "thons", "a"]
+    listed = {r.id: r.k for r in texts.select("id", H.find_keywords(F.col("text"), [w for w in words if w is not None]).alias("k")).collect()}
+    assert listed == tags(words)
+    none = spark.createDataFrame([], "k string")
+    assert set(map(tuple, tags(none).values())) == set(map(tuple, tags([]).values())) == {()}
+
+
+def test_many_keywords_in_one_and_in_many_automata(spark):
+    texts = spark.createDataFrame([(i, f"w{i} w{i * 7}x and w{99_999 - i}.") for i in range(40)], "id long, text string")
+    table = spark.range(100_000).select(F.concat(F.lit("W"), F.col("id").cast("string")).alias("k"))
+    want = {i: sorted({f"W{n}"[:k] for n in (i, i * 7, 99_999 - i) for k in range(2, 7) if f"W{n}"[:k] == f"W{int(f'W{n}'[1:k])}"})
+            for i in range(40)}
+    for size in (2 << 20, 400_000):
+        assert {r.id: r.keywords for r in match_keywords(texts, table, "text", block_bytes=size).collect()} == want

@@ -114,9 +114,9 @@ def find_keywords(text: Column, keywords: Sequence[str]) -> Column:
     """
     if not keywords:
         return F.array().cast("array<string>")
-    arr = F.array(*[F.lit(k) for k in keywords])
+    pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.lower(F.lit(k)).alias("l")) for k in keywords])  # folded: lowered once, not per row
     # bind the text once: a lambda body would otherwise re-evaluate it per keyword
-    return let(text, lambda t: F.filter(arr, lambda k: F.instr(t, F.lower(k)) > 0))
+    return let(text, lambda t: F.filter(pairs, lambda p: F.instr(t, p["l"]) > 0)["k"])
 
 
 @memo

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from typing import Optional, Sequence, Tuple, Union
+from typing import Optional, Sequence, Tuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.html import body_text, content_type, find_keywords, page_bytes, page_description, page_title
 from ..functions.url import normalize_url, url_authority, url_hash
 from ..schemas import METADATA, URL_DOCUMENT
-from .util import cut_lineage, with_distinct_url_key
+from .util import with_distinct_url_key
 
 def _no_headers() -> Column:
     return F.lit(None).cast(METADATA["headers"].dataType)
@@ -199,61 +199,6 @@ def with_keywords(docs: DataFrame, keywords: Optional[Sequence[str]] = None, mod
     raise ValueError("mode is 'any' or 'all'")
 
 
-def match_keywords(df: DataFrame, keywords: Union[Sequence[str], DataFrame], text_col: str = "text",
-                   out: str = "keywords", max_literal: int = 10_000, gram: int = 4) -> DataFrame:
-    """Tag every row with the keywords its (lower-case) text contains.
-
-    A list becomes a literal array filter (one output row per input row).
-    A keyword table is pulled in as literals only when its distinct count is
-    proven within ``max_literal``; beyond that an exact distributed
-    substring join runs instead: texts are cut into distinct character
-    ``gram``-grams, keywords are keyed by their leading gram, the equi join
-    gives candidates and ``instr`` confirms them. No cross product is formed.
-    The empty keyword occurs in every text (not in a null one), on both paths.
-    Keyword order in the result: ascending text for tables, input order for lists.
-    """
-    text = F.col(text_col)
-    if not isinstance(keywords, DataFrame):
-        return df.withColumn(out, find_keywords(text, list(keywords)))
-    kcol = keywords.columns[0]
-    kw = keywords.select(F.col(kcol).cast("string").alias("_kw")).where(F.col("_kw").isNotNull()).distinct()
-    small = kw.limit(max_literal + 1).count() <= max_literal
-    if small:
-        words = sorted(r["_kw"] for r in kw.collect())
-        return df.withColumn(out, find_keywords(text, words))
-    return _gram_join(df, kw, text_col, out, gram)
-
-
-def _gram_join(df: DataFrame, kw: DataFrame, text_col: str, out: str, gram: int) -> DataFrame:
-    rid = "_rid"
-    # row ids are fixed by a checkpoint: three branches read them, and a
-    # recomputed partition must see the same ids
-    rows = cut_lineage(df.withColumn(rid, F.monotonically_increasing_id()))
-    empty = not kw.where(F.col("_kw") == "").isEmpty()
-    kw = kw.withColumn("_lk", F.lower(F.col("_kw"))).withColumn("_q", F.least(F.length("_lk"), F.lit(gram)))
-    kw = kw.withColumn("_g", F.substring("_lk", 1, gram))
-    qs = sorted({r["_q"] for r in kw.select("_q").distinct().collect() if r["_q"] and r["_q"] > 0})
-    cands = None
-    for qlen in qs:
-        t = F.col(text_col)
-        grams = F.array_distinct(F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length(t) - qlen + 1, F.lit(1))),
-            lambda i: F.substring(t, i, qlen)))
-        g = rows.select(rid, F.explode(grams).alias("_g"))
-        c = g.join(kw.where(F.col("_q") == qlen), "_g").select(rid, "_kw", "_lk")
-        cands = c if cands is None else cands.unionByName(c)
-    if cands is None:
-        cands = rows.select(rid, F.lit("").alias("_kw"), F.lit("").alias("_lk")).where(F.lit(False))
-    texts = rows.select(rid, F.col(text_col).alias("_t"))
-    hits = (cands.distinct().join(texts, rid)
-            .where(F.instr(F.col("_t"), F.col("_lk")) > 0)
-            .groupBy(rid).agg(F.array_sort(F.collect_list("_kw")).alias(out)))
-    none = F.array().cast("array<string>")
-    first = F.when(F.col(text_col).isNotNull(), F.array(F.lit(""))).otherwise(none) if empty else none
-    return (rows.join(hits, rid, "left")
-            .withColumn(out, F.concat(first, F.coalesce(F.col(out), none))).drop(rid))
-
-
 def keyword_index(docs: DataFrame, key: str = "url_hash") -> DataFrame:
     """Inverted table ``(keyword, key)``: one row per keyword of a document."""
     return docs.select(F.explode_outer(F.col("keywords")).alias("keyword"), F.col(key)) \

@@ -280,7 +280,8 @@ def q_unseen(spark, sf):
 
 from ..functions.html import body_text, page_bytes, page_description, page_title  # noqa: E402
 from ..operators.documents import (all_documents, conform_or_reject, error_documents,  # noqa: E402
-                                   match_keywords, page_documents, with_keywords)
+                                   page_documents, with_keywords)
+from ..operators.keywords import match_keywords  # noqa: E402
 from ..operators.stats import (crawl_stats, domain_summary, keyword_summary, proxy_health,  # noqa: E402
                                sink_stats)
 
@@ -990,11 +991,11 @@ def q_keyword_join_documents(spark, sf):
     return match_keywords(d, _keyword_table(spark, sf), "text").select("doc_id", F.array_join("keywords", "|").alias("keywords"))
 
 
-# the same tags through the distributed gram join, which tables beyond the literal bound take
+# the same tags with the table cut into blocks, as tables are that one automaton does not hold
 @register("keyword_join_grams", SQL["keyword_join"])
 def q_keyword_join_grams(spark, sf):
     p = pages(spark, sf).select("page_id", body_text("html").alias("text"))
-    return match_keywords(p, _keyword_table(spark, sf), "text", max_literal=0).select(
+    return match_keywords(p, _keyword_table(spark, sf), "text", block_bytes=1000).select(
         "page_id", F.array_join("keywords", "|").alias("keywords"))
 
 
