@@ -4,7 +4,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from urlatlas.operators.dedup import dedup_verdicts
-from urlatlas.operators.store import UrlStore
+from urlatlas.operators.store import UrlStore, by_domain, by_hash, drop_known, store_documents
 from urlatlas.session import ensure_checkpoint_dir
 from urlatlas.streaming import streams as S
 from urlatlas.streaming.state import KeyedState
@@ -32,6 +32,108 @@ def test_append_unique_is_idempotent(spark):
     assert sorted(map(tuple, small.read().collect())) == sorted(map(tuple, got.collect()))
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _rows_scanned(df):
+    """Rows that the scans of a look-up hand on: what row group statistics and Bloom filters leave."""
+    df.collect()
+    jvm, todo, found = df.sparkSession.sparkContext._jvm, [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            todo.append(node.executedPlan())
+            continue
+        if node.nodeName().startswith("Scan parquet"):
+            found += node.metrics().apply("numOutputRows").value()
+        children = node.children()
+        todo += [children.apply(k) for k in range(children.size())]
+    return found
+
+
+def test_repeated_and_failed_batches(spark):
+    store = UrlStore(spark, _scratch(spark, "batches"), key_buckets=3)
+    first = store.append_unique(_docs(spark, 30), order="seq", batch_id="b1")
+    again = store.append_unique(_docs(spark, 99, 7), order="seq", batch_id="b1")  # known: nothing is computed
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, first.collect())) and store.batches() == ["b1"]
+    # a batch that failed before its marker does not count, neither its rows nor its keys; run again it replaces them
+    more = _docs(spark, 5).withColumns({"url_hash": F.concat(F.lit("x"), "url_hash")})
+    store._write(more, "b2", None)
+    store._fs.delete(store._path(f"{store.path}/_manifest/b2"), False)
+    assert store.read().count() == 11 and store.keys().count() == 11
+    assert store.append_unique(more, order="seq", batch_id="b2").count() == 5
+    assert store.read().count() == 16 and store.read().select("url_hash").distinct().count() == 16
+    assert store.append_unique(more, order="seq", batch_id="b3").count() == 0
+    # another session's object of the same folder: bucketed keys are found by their folder
+    other = UrlStore(spark, store.path, key_buckets=99)
+    assert other.keys().count() == 16 and other._key_buckets() == 3
+    store.write_clustered(_docs(spark, 4))
+    assert store.read().count() == 4 and store.keys().distinct().count() == 4
+    try:
+        store.append_unique(_docs(spark, 4), batch_id="../x")
+        raise AssertionError("a folder name")
+    except ValueError:
+        pass
+
+
+def test_no_exchange_on_the_side_of_the_stored_keys(spark):
+    store = UrlStore(spark, _scratch(spark, "plan"))
+    store.write_clustered(_docs(spark, 30))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = _plan(drop_known(_docs(spark, 50).repartition(3), store.keys(), "url_hash"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = plan.splitlines()
+    at = next(k for k, line in enumerate(lines) if "FileScan parquet" in line)
+    depth = lambda k: len(lines[k]) - len(lines[k].lstrip(" :+-*()0123456789"))
+    above, k = [], at
+    for j in range(at, -1, -1):  # the operators over the scan, up to the join
+        if depth(j) < depth(k):
+            above.append(lines[j])
+            k = j
+            if "Join" in lines[j]:
+                break
+    assert "Join" in above[-1] and not any("Exchange" in line for line in above)
+    assert "Bucketed: true" in lines[at]
+
+
+def test_lookups_read_few_row_groups(spark):
+    rows = spark.range(4000).select(
+        F.concat(F.lit("http://h"), F.col("id") % 50, F.lit(".com/"), "id").alias("url"), F.sha2(F.col("id").cast("string"), 256).alias("url_hash"),
+        F.concat(F.lit("h"), F.lpad((F.col("id") % 50).cast("string"), 2, "0"), F.lit(".com")).alias("domain"),
+        F.when(F.col("id") == 77, F.array(F.lit("rare"), F.lit("often"))).when(F.col("id") % 2 == 0, F.array(F.lit("often"))).alias("keywords"),
+        F.timestamp_seconds(F.lit(1_700_000_000)).cast("timestamp_ntz").alias("timestamp"))
+    store = UrlStore(spark, _scratch(spark, "prune"), max_records_per_file=200)  # 20 files of one row group
+    store.write_clustered(rows, partitions=4)
+    key = rows.where("url like '%/1234'").first()
+    by_key = by_hash(store.read(), [key["url_hash"]])
+    assert by_key.count() == 1 and _rows_scanned(by_key) <= 400                       # Bloom filters: 20 files, one or two read
+    by_url = store.read().where(F.col("url") == key["url"])
+    assert by_url.count() == 1 and _rows_scanned(by_url) <= 400
+    by_dom = by_domain(store.read(), "h07.com")
+    assert by_dom.count() == 80 and _rows_scanned(by_dom) <= 400                      # minima and maxima
+    rare = store.by_keyword("rare")
+    assert [r["url"] for r in rare.collect()] == ["http://h27.com/77"] and len(rare.inputFiles()) == 1
+    assert store.by_keyword("often").count() == 2001 and store.by_keyword("none").count() == 0
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket#", _plan(store.postings("rare")))
+    assert store.postings().groupBy("keyword").count().collect() and {r["keyword"]: r["n"] for r in store.postings().groupBy("keyword").agg(
+        F.count("*").alias("n")).collect()} == {"rare": 1, "often": 2001}
+
+
+def test_documents_keep_the_first_of_a_key(spark):
+    def doc(url, title, checked):
+        return spark.createDataFrame([(url, "h1", url, "a.com", title, checked)],
+                                     "url string, url_hash string, normalized_url string, domain string, title string, last_checked string").withColumn(
+            "last_checked", F.col("last_checked").cast("timestamp_ntz"))
+    late, early = doc("http://a.com/x", "late", "2024-01-02 00:00:00"), doc("http://a.com/x", "early", "2024-01-01 00:00:00")
+    for docs in (late.union(early), early.union(late)):
+        store = UrlStore(spark, _scratch(spark, "first"))
+        appended, rejected = store_documents(docs, store, now="2024-02-01 00:00:00")
+        assert [r["title"] for r in appended.collect()] == ["early"] and rejected.count() == 0
+
+
 def test_stream_verdicts_equal_batch(spark):
     urls = [(i, f"http://ex.com/{i % 13}?utm_source=x" if i % 4 else f"HTTP://EX.COM:80/{i % 13}") for i in range(120)]
     df = spark.createDataFrame(urls, "seq long, url string")
@@ -124,7 +226,7 @@ def test_rows_per_file_and_clustered_layout(spark):
     store = UrlStore(spark, _scratch(spark, "k5"), max_records_per_file=5)
     store.write_clustered(_docs(spark, 40), partitions=2)
     jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(store.path + "/day=2024-01-01")
+    root = jvm.org.apache.hadoop.fs.Path(f"{store.path}/batch={store.batches()[0]}/day=2024-01-01")
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     files = [st for st in fs.listStatus(root) if st.getPath().getName().endswith(".parquet")]
     assert len(files) >= 8                     # 40 rows, at most 5 per file

@@ -730,8 +730,8 @@ def q_cap(spark, sf):
 
 # ------------------------------------------------------------ Q1-Q4 look-ups, K1, K8
 
-from ..operators.store import (UrlStore, append_unique, by_domain, by_hash, by_keyword,  # noqa: E402
-                               by_time, found_urls)
+from ..operators.store import (UrlStore, append_unique, by_domain, by_hash, by_time,  # noqa: E402
+                               found_urls)
 
 
 def _lookup_cols(d):
@@ -741,11 +741,11 @@ def _lookup_cols(d):
 LOOKUP_SQL_COLS = "url_hash, url, domain, timestamp, status_code, keywords"
 
 
-def _doc_store(spark, sf) -> DataFrame:
+def _doc_store(spark, sf) -> UrlStore:
     """All documents written to a clustered store of this query; the look-up reads the store."""
     store = UrlStore(spark, _scratch(spark, "docstore"))
     store.write_clustered(_all_docs_spark(spark, sf))
-    return store.read()
+    return store
 
 
 @register("by_hash", f"""
@@ -756,7 +756,7 @@ SELECT {LOOKUP_SQL_COLS} FROM {_sql_all_docs()} WHERE url_hash IN (
 """)
 def q_by_hash(spark, sf):
     keys = retry_queue(fetch_log_spark(spark, sf, with_attempt=True)).select("url_hash")
-    return _lookup_cols(by_hash(_doc_store(spark, sf), keys))
+    return _lookup_cols(by_hash(_doc_store(spark, sf).read(), keys))
 
 
 @register("by_domain", f"""
@@ -764,7 +764,7 @@ SELECT {LOOKUP_SQL_COLS} FROM {_sql_all_docs()} WHERE domain = (
   SELECT domain FROM {_sql_all_docs()} GROUP BY domain ORDER BY count(*) DESC, domain LIMIT 1)
 """)
 def q_by_domain(spark, sf):
-    docs = _doc_store(spark, sf)
+    docs = _doc_store(spark, sf).read()
     top = docs.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), F.col("domain")).first()
     return _lookup_cols(by_domain(docs, top["domain"]))
 
@@ -774,12 +774,12 @@ SELECT {LOOKUP_SQL_COLS} FROM {_sql_all_docs()}
 WHERE timestamp >= TIMESTAMP '2024-01-05 00:00:00' AND timestamp < TIMESTAMP '2024-01-10 00:00:00'
 """)
 def q_by_time(spark, sf):
-    return _lookup_cols(by_time(_doc_store(spark, sf), "2024-01-05 00:00:00", "2024-01-10 00:00:00"))
+    return _lookup_cols(by_time(_doc_store(spark, sf).read(), "2024-01-05 00:00:00", "2024-01-10 00:00:00"))
 
 
 @register("by_keyword", f"SELECT {LOOKUP_SQL_COLS} FROM {_sql_all_docs()} WHERE list_contains(string_split(keywords, '|'), 'der')")
 def q_by_keyword(spark, sf):
-    return _lookup_cols(by_keyword(_doc_store(spark, sf), "der"))
+    return _lookup_cols(_doc_store(spark, sf).by_keyword("der"))
 
 
 @register("found_urls", f"SELECT url, domain, depth, timestamp AS found_date FROM {_sql_page_docs()}")
