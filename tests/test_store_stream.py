@@ -67,7 +67,7 @@ def test_repeated_and_failed_batches(spark):
     assert store.append_unique(more, order="seq", batch_id="b3").count() == 0
     # another session's object of the same folder: bucketed keys are found by their folder
     other = UrlStore(spark, store.path, key_buckets=99)
-    assert other.keys().count() == 16 and other._key_buckets() == 3
+    assert other.keys().distinct().count() == 16 and other._key_buckets() == 3
     store.write_clustered(_docs(spark, 4))
     assert store.read().count() == 4 and store.keys().distinct().count() == 4
     try:

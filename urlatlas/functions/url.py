@@ -18,7 +18,7 @@ from typing import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..spec import (DEDUP_TRACKING_PARAMS, HOST_VARIATIONS, TRACKING_PARAMS,
+from ..spec import (AUTHORITY_CONFUSABLES, DEDUP_TRACKING_PARAMS, HOST_VARIATIONS, TRACKING_PARAMS,
                     USES_NETLOC, USES_PARAMS)
 
 SCHEME_RE = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
@@ -124,15 +124,20 @@ def _after_first(x: Column, head: Column, sep: str) -> Column:
     return F.when(x.contains(sep), F.substring(x, F.length(head) + 2, F.length(x))).otherwise(F.lit(""))
 
 
-def _bracket_ok(authority: Column) -> Column:
-    """False where the authority's brackets would make the parser raise."""
+#: A character that compatibility normalisation would turn into a delimiter.
+CONFUSABLE_RE = f"[{AUTHORITY_CONFUSABLES}]"
+
+
+def _authority_ok(authority: Column) -> Column:
+    """False where the authority's brackets, or a delimiter in compatibility form, would make the parser raise."""
     def check(inner):
         host_ok = F.when(inner.startswith("v"), inner.rlike(r"^v[a-fA-F0-9]+\..+\z")).otherwise(
             inner.rlike(IPV6_RE))
         lb = authority.contains("[")
         return (lb == authority.contains("]")) & (~lb | host_ok)
-    return F.when(~authority.contains("[") & ~authority.contains("]"), F.lit(True)).otherwise(
+    brackets = F.when(~authority.contains("[") & ~authority.contains("]"), F.lit(True)).otherwise(
         let(F.regexp_extract(authority, r"\[([^\]]*)", 1), check))
+    return brackets & ~authority.rlike(CONFUSABLE_RE)
 
 
 def _split_after(after: Column, scheme: Column, authority: Column) -> Column:
@@ -145,7 +150,7 @@ def _split_after(after: Column, scheme: Column, authority: Column) -> Column:
                 F.when(cut, F.regexp_extract(pa, r";([^/]*)\z", 1)).otherwise(F.lit("")).alias("params"),
                 _after_first(h, pa, "?").alias("query"),
                 _after_first(after, h, "#").alias("fragment"),
-                _bracket_ok(authority).alias("ok"))
+                _authority_ok(authority).alias("ok"))
         # split by plain index search, not regex: fragment first, then query
         return let(F.substring_index(h, "?", 1), from_path)
     return let(F.substring_index(after, "#", 1), from_head)
@@ -156,7 +161,8 @@ def url_parts(c) -> Column:
     """Split a URL into struct<scheme, authority, path, params, query, fragment, ok>.
 
     ``ok`` is false where the standard parser raises (unbalanced or bad
-    brackets in the authority). Null in, null out.
+    brackets in the authority, or a character in it whose compatibility form
+    holds a delimiter). Null in, null out.
     """
     def from_clean(u):
         def from_scheme(raw):
@@ -184,12 +190,12 @@ def url_parts(c) -> Column:
 def url_parse_ok(c) -> Column:
     """True where the URL parses (the canonical form exists); null for null.
 
-    Only brackets in the authority can make the parse fail, so URLs without
-    ``[`` or ``]`` are decided by two ``contains`` tests and never parsed
-    here; use it to filter before computing keys.
+    Only brackets and delimiters in compatibility form can make the parse
+    fail, so URLs without such characters are decided by one search and never
+    parsed here; use it to filter before computing keys.
     """
     c = _col(c)
-    return F.when(~c.contains("[") & ~c.contains("]"), F.lit(True)).otherwise(url_parts(c)["ok"])
+    return F.when(~c.rlike(rf"[\[\]{AUTHORITY_CONFUSABLES}]"), F.lit(True)).otherwise(url_parts(c)["ok"])
 
 
 def apply_host_variations(host: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..spec import BLOCKED_DOMAINS, DENY_PATTERN, MAX_URL_LENGTH, SKIP_EXTENSIONS
-from .url import IPV6_RE, _col, let, memo, url_parts
+from .url import CONFUSABLE_RE, IPV6_RE, _col, let, memo, url_parts
 
 # Reason texts (fixed values).
 R_FORMAT = "Invalid URL format"
@@ -59,8 +59,10 @@ def _parse_error(authority: Column) -> Column:
                 .when(lb & inner.rlike(IPV4_RE), F.lit("An IPv4 address cannot be in brackets"))
                 .when(lb & ~inner.startswith("v") & ~inner.rlike(IPV6_RE),
                       F.concat(F.lit("'"), inner, F.lit("' does not appear to be an IPv4 or IPv6 address"))))
-    return F.when(authority.contains("[") | authority.contains("]"),
-                  let(F.regexp_extract(authority, r"\[([^\]]*)", 1), of))
+    brackets = F.when(authority.contains("[") | authority.contains("]"),
+                      let(F.regexp_extract(authority, r"\[([^\]]*)", 1), of))
+    confusable = F.concat(F.lit("netloc '"), authority, F.lit("' contains invalid characters under NFKC normalization"))
+    return F.coalesce(brackets, F.when(authority.rlike(CONFUSABLE_RE), confusable))
 
 
 @memo
@@ -107,6 +109,3 @@ def denied(c, pattern: str = DENY_PATTERN) -> Column:
         rx = rx[:-1] + r"\z"
     return _col(c).rlike(rx)
 
-
-def too_long(c, max_length: int = MAX_URL_LENGTH) -> Column:
-    return F.length(_col(c)) > max_length

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from typing import Optional, Sequence, Union
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.validate import raw_host
@@ -13,9 +14,38 @@ from ..spec import DEFAULT_PUBLIC_SUFFIXES, PRIVATE_SUFFIXES
 IPV4 = r"^\d{1,3}(\.\d{1,3}){3}\z"
 
 
+def label_forms(rules: Column) -> Column:
+    """Spellings of a rule: every label in Unicode and in its ASCII (``xn--``) form, in all combinations.
+
+    A host may spell each of its labels either way and meets the rule in
+    both; labels that do not decode stay as they are.
+    """
+    def forms(texts: pa.Array) -> pa.Array:
+        def both(label):
+            if label.startswith("xn--") and label.isascii():
+                try:
+                    return [label, label[4:].encode("ascii").decode("punycode")]
+                except UnicodeError:
+                    return [label]
+            return [label] if label.isascii() else [label, "xn--" + label.encode("punycode").decode("ascii")]
+
+        out = []
+        for t in texts.to_pylist():
+            spelt = [""]
+            for k, label in enumerate((t or "").split(".")):
+                # an exception's mark is no part of its label
+                mark, bare = ("!", label[1:]) if label.startswith("!") else ("", label)
+                spelt = [f"{head}{'.' if k else ''}{mark}{b}" for head in spelt for b in both(bare)]
+            out.append(spelt if t is not None else [])
+        return pa.array(out, pa.list_(pa.string()))
+
+    forms.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(forms, "array<string>")(rules)
+
+
 def suffix_table(spark, suffixes: Optional[Union[Sequence[str], DataFrame]] = None,
                  include_private: bool = False) -> DataFrame:
-    """``(suffix)``: rules of the public-suffix syntax, lower-cased.
+    """``(suffix)``: rules of the public-suffix syntax, lower-cased, in Unicode and ASCII spelling.
 
     A DataFrame has the rules in its first column and may flag private ones
     in a boolean column ``private``; those count only with ``include_private``.
@@ -23,9 +53,11 @@ def suffix_table(spark, suffixes: Optional[Union[Sequence[str], DataFrame]] = No
     if isinstance(suffixes, DataFrame):
         if "private" in suffixes.columns and not include_private:
             suffixes = suffixes.where(~F.coalesce(F.col("private"), F.lit(False)))
-        return suffixes.select(F.lower(F.col(suffixes.columns[0])).alias("suffix")).distinct()
-    rules = suffixes or (*DEFAULT_PUBLIC_SUFFIXES, *(PRIVATE_SUFFIXES if include_private else ()))
-    return spark.createDataFrame([(s.lower(),) for s in rules], "suffix string").distinct()
+        rules = suffixes.select(F.lower(F.col(suffixes.columns[0])).alias("suffix"))
+    else:
+        listed = suffixes or (*DEFAULT_PUBLIC_SUFFIXES, *(PRIVATE_SUFFIXES if include_private else ()))
+        rules = spark.createDataFrame([(s.lower(),) for s in listed], "suffix string")
+    return rules.select(F.explode(label_forms(F.col("suffix"))).alias("suffix")).distinct()
 
 
 def registrable_domain(df: DataFrame, url_col: str = "url", out: str = "registrable_domain",
@@ -38,7 +70,8 @@ def registrable_domain(df: DataFrame, url_col: str = "url", out: str = "registra
     are exploded and equi-joined with the suffix table; an exception wins,
     else the smallest start label (longest suffix); the host map is joined
     back. Private suffixes count only with ``include_private``.
-    Labels keep their case; matching is case-blind. No suffix match gives
+    Labels keep their case and spelling; matching is case-blind, and blind to
+    the difference between a Unicode label and its ``xn--`` form. No suffix match gives
     ``{last label}.``; an IPv4 host gives ``{ip}.``; a host that is itself
     a suffix gives ``.{suffix}``.
     """

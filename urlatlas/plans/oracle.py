@@ -303,7 +303,9 @@ def raw_host(src: str, col: str, out: str, p: str) -> str:
 def registrable(src: str, col: str, out: str, p: str, suffixes) -> str:
     """Add ``out`` = registrable domain (longest suffix match against ``suffixes``)."""
     s = raw_host(src, col, f"{p}_rh", p)
-    psl = "(SELECT DISTINCT lower(unnest([" + ", ".join(q(x) for x in suffixes) + "])) AS suffix)"
+    # rules with a label beyond ASCII, and their ASCII spelling (fixed values)
+    ascii_form = {"рф": "xn--p1ai", "公司.cn": "xn--55qx5d.cn"}
+    psl = "(SELECT DISTINCT lower(unnest([" + ", ".join(q(x) for s in suffixes for x in (s, ascii_form.get(s, s))) + "])) AS suffix)"
     hosts = f"(SELECT DISTINCT {p}_rh AS h FROM {s} WHERE {p}_rh IS NOT NULL AND {p}_rh <> '')"
     ends = (f"(SELECT h, i - 1 AS i, array_to_string(string_split(lower(h), '.')[i:], '.') AS e, "
             f"array_to_string(['*'] || string_split(lower(h), '.')[i + 1:], '.') AS w FROM "

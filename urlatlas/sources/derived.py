@@ -72,7 +72,8 @@ def blocked_urls(pages: DataFrame) -> DataFrame:
 
 # Hosts that meet the wildcard, exception, private and unlisted cases of the suffix rules.
 SUFFIX_HOSTS = ("a.b.ck", "www.ck", "x.www.ck", "b.ck", "foo.com.ua", "com.ua", "a.city.kawasaki.jp", "x.y.kawasaki.jp",
-                "foo.blogspot.com", "a.b.github.io", "deep.a.co.uk", "host.nosuchtld", "127.0.0.1")
+                "foo.blogspot.com", "a.b.github.io", "deep.a.co.uk", "host.nosuchtld", "127.0.0.1",
+                "a.b.рф", "a.b.xn--p1ai", "x.公司.cn", "x.y.XN--55QX5D.cn", "公司.cn")
 
 
 def suffix_urls(pages: DataFrame) -> DataFrame:

@@ -93,8 +93,10 @@ DEFAULT_PUBLIC_SUFFIXES = (
     "ar", "com.ar", "kr", "co.kr", "tw", "com.tw", "hk", "com.hk", "sg",
     "com.sg", "za", "co.za", "tr", "com.tr", "il", "co.il", "me", "tv", "cc",
     "ly", "ai", "app", "dev", "ua", "com.ua", "*.ck", "!www.ck",
-    "*.kawasaki.jp", "!city.kawasaki.jp",
+    "*.kawasaki.jp", "!city.kawasaki.jp", "рф", "公司.cn",
 )
+# Characters whose compatibility form (NFKC) holds one of / ? # @ : and which no authority may have (fixed values).
+AUTHORITY_CONFUSABLES = "\u2047\u2048\u2049\u2100\u2101\u2105\u2106\u2a74\ufe13\ufe16\ufe55\ufe56\ufe5f\ufe6b\uff03\uff0f\uff1a\uff1f\uff20"
 # Suffixes that private companies registered; used only on request.
 PRIVATE_SUFFIXES = ("blogspot.com", "github.io", "appspot.com")
 
