@@ -52,6 +52,54 @@ def test_frontier_batch_limits(spark):
     assert len(frontier_batch(df, per_host=4, total=5).collect()) == 5
 
 
+def test_frontier_batch_with_addresses_is_greedy(spark):
+    import random
+    rnd = random.Random(5)
+    hosts = [f"h{i}.com" for i in range(12)]
+    table = [(h, f"10.0.0.{i % 3}") for i, h in enumerate(hosts[:10])] + [("H0.com", "10.0.0.9"), (None, "x"), ("h11.com", None)]
+    rows = [(i, f"http://{rnd.choice(hosts + hosts[:1] * 30)}/{i % 50}", i // 60) for i in range(400)] + [(999, "ftp://h1.com/", 0)]
+    df = spark.createDataFrame(rows, "seq long, url string, depth int")
+    b = frontier_batch(df, per_host=6, total=None, now="2024-01-01 00:00:00", per_address=9,
+                       addresses=spark.createDataFrame(table, "host string, address string")).collect()
+    at, per_host, per_address, want = {h.lower(): a for h, a in reversed(table) if h and a}, {}, {}, []
+    for seq, url, depth in sorted(rows, key=lambda r: (r[2], r[0])):
+        if not url.startswith("http://"):
+            continue
+        host = url.split("/")[2]
+        address = at.get(host, host)
+        if per_host.get(host, 0) < 6:
+            per_host[host] = per_host.get(host, 0) + 1
+            if per_address.get(address, 0) < 9:
+                per_address[address] = per_address.get(address, 0) + 1
+                want.append((seq, host, address))
+    assert sorted((r.seq, r.host, r.address) for r in b) == sorted(want)
+    assert max(per_address.values()) == 9 and max(per_host.values()) == 6
+
+
+def test_last_fetch_has_no_window_and_splits_a_hot_url(spark):
+    from urlatlas.operators.frontier import FETCH_SALTS, _last_fetch
+    t = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    log = [("http://hot.com/", 200 if s in (3, 40) else (500 if s % 2 else None), None if s % 2 else "timeout", t(s), s) for s in range(90)]
+    log += [("http://never.com/", 404, None, t(s), s) for s in range(7)] + [("http://[x", 404, None, t(1), 1)]
+    df = spark.createDataFrame(log, "url string, status int, error string, ts timestamp_ntz, attempt int")
+    last = _last_fetch(df)
+    assert "Window" not in last._jdf.queryExecution().executedPlan().toString()
+    got = {r.url: (r.attempts, r.trailing_failures, r.last_status, r.last_error, r.last_ts, r.last_ok_ts) for r in last.collect()}
+    assert got == {"http://hot.com/": (90, 49, 500, None, t(89), t(40)), "http://never.com/": (7, 7, 404, None, t(6), None)}
+    assert FETCH_SALTS > 1
+
+
+def test_error_lists_hold_full_texts(spark):
+    from urlatlas.operators.stats import crawl_stats, error_counts, proxy_health
+    long = "host 10.0.0.1: " + "x" * 200
+    log = [("r", "http://a.com/", "p", None, 1.0, dt.datetime(2024, 1, 1), e) for e in (long, long, long + "y", "b 1", "b 2", None)]
+    log += [(None, "http://a.com/", None, None, 1.0, dt.datetime(2024, 1, 1), "only")]
+    df = spark.createDataFrame(log, "run_id string, url string, proxy_address string, status int, response_ms double, ts timestamp_ntz, error string")
+    assert {r.run_id: r.errors for r in crawl_stats(df).collect()} == {"r": ["b 1", "b 2", long, long + "y"], None: ["only"]}
+    assert {r.proxy_address: r.error_messages for r in proxy_health(df, top_errors=2).collect()} == {"p": ["b 1", long], None: ["only"]}
+    assert {(r.run_id, r.error): r.n_errors for r in error_counts(df, "run_id").collect()}[("r", long)] == 2
+
+
 def test_retry_and_recrawl(spark):
     t = lambda h: dt.datetime(2024, 1, 1, h)
     log = [("a", "http://x.com/a", "p", 200, 1.0, t(1), 1, None),

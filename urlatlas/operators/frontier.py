@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.url import normalize_url, url_hash, url_hostname, url_parse_ok
 from ..functions.validate import validate_url
 from ..spec import (CACHE_IGNORE_HTTP_CODES, CACHE_TTL_S, CONCURRENT_REQUESTS, DOWNLOAD_DELAY_S,
-                    PER_HOST_REQUESTS, RETRY_HTTP_CODES, RETRY_TIMES, HarvestSpec)
+                    PER_ADDRESS_REQUESTS, PER_HOST_REQUESTS, RETRY_HTTP_CODES, RETRY_TIMES, HarvestSpec)
 from ..sources.tables import default_allowed
 from .links import allowed_only, deny_links
 from ..session import ensure_checkpoint_dir
@@ -193,15 +193,22 @@ def intake(df: DataFrame, partitions: int, salt_buckets: int = 16, url_col: str
 
 def frontier_batch(df: DataFrame, per_host: int = PER_HOST_REQUESTS, total: Optional[int] = CONCURRENT_REQUESTS,
                    delay_s: float = DOWNLOAD_DELAY_S, now=None, url_col: str = "url",
-                   order: tuple = ("depth", "seq")) -> DataFrame:
-    """Next work batch: at most ``per_host`` per host, ``total`` overall.
+                   order: tuple = ("depth", "seq"), addresses: Optional[DataFrame] = None,
+                   per_address: int = PER_ADDRESS_REQUESTS) -> DataFrame:
+    """Next work batch: at most ``per_host`` per host, ``per_address`` per address, ``total`` overall.
 
     Adds ``host``, ``host_rank`` and ``not_before`` (``now`` plus one delay
-    per earlier request to the same host). The per-host rank is a
-    ``row_number <= k`` filter, which Spark plans as a partial per-host limit
-    before the shuffle, so a host with most of the rows sends at most
-    ``per_host`` rows per task. URLs that are not http(s) or have no host
-    cannot be fetched and are left out; ties in ``order`` go by URL.
+    per earlier request to the same host). With a table ``addresses (host,
+    address)`` also ``address`` and ``address_rank``; a host without an
+    address is one of its own, of several the smallest counts. URLs are taken
+    in ``order`` (ties go by URL) unless their host or address is full; a URL
+    that its host refuses does not fill its address. As every host has one
+    address, ranking what is left after the hosts' cut gives just that.
+
+    Both ranks are ``row_number <= k`` filters, which Spark plans as partial
+    limits before the shuffle, so a host or address with most of the rows
+    sends at most its quota per task. URLs that are not http(s) or have no
+    host cannot be fetched and are left out.
     """
     order_cols = [*[F.col(c) for c in order if c in df.columns], F.col(url_col)]
     w = Window.partitionBy("host").orderBy(*order_cols)
@@ -210,6 +217,13 @@ def frontier_batch(df: DataFrame, per_host: int = PER_HOST_REQUESTS, total: Opti
               .where(F.col("host") != "")
               .withColumn("host_rank", F.row_number().over(w))
               .where(F.col("host_rank") <= per_host))
+    if addresses is not None:
+        known = addresses.where(F.col("host").isNotNull() & F.col("address").isNotNull()).groupBy(
+            F.lower("host").alias("host")).agg(F.min("address").alias("address"))
+        ranked = ranked.join(known, "host", "left").withColumn("address", F.coalesce("address", "host"))
+        # after the cut a host has at most per_host rows, so only an address of very many hosts is large
+        ranked = (ranked.withColumn("address_rank", F.row_number().over(Window.partitionBy("address").orderBy(*order_cols, "host")))
+                  .where(F.col("address_rank") <= per_address))
     ranked = ranked.withColumn(
         "not_before", _now(now) + F.make_dt_interval(secs=((F.col("host_rank") - 1) * F.lit(delay_s)).cast("decimal(18,6)")))
     if total is not None:
@@ -222,28 +236,32 @@ def frontier_batch(df: DataFrame, per_host: int = PER_HOST_REQUESTS, total: Opti
 def _last_fetch(fetch_log: DataFrame, hash_algo: str = "sha256") -> DataFrame:
     """Per canonical URL: last fetch, last good fetch, and failures since it.
 
-    The fetches of a URL are cut into days: each (URL, day) is summed up on
-    its own, then the few day rows of a URL are folded, so one much-fetched
-    URL spreads over as many tasks as it has days. Failures since the last
-    good fetch are those of its day after it, and all of later days.
+    Two passes of partial aggregates, no window: the last good fetch of a URL
+    is a map-side combined maximum; joined back, it turns the count of later
+    failures into a plain conditional count. The join is salted (a URL's last
+    good fetch is repeated per salt), and the counts are summed per (URL, salt)
+    where the join left them, so a much-fetched URL is no single task.
     """
     keyed = with_distinct_url_key(fetch_log.select("url", "status", "error", "ts", "attempt"), "url", "_n", "url_hash", hash_algo)
-    keyed = (keyed.where(F.col("url_hash").isNotNull())
-             .withColumn("_o", F.struct("ts", "attempt")).withColumn("_day", F.to_date("ts"))
-             .withColumn("_ok", F.coalesce(F.col("status").between(200, 299), F.lit(False))))
-    back = Window.partitionBy("url_hash", "_day").orderBy(F.col("_o").desc())
-    since = F.sum(F.col("_ok").cast("int")).over(back.rowsBetween(Window.unboundedPreceding, 0))
-    days = keyed.withColumn("_since", since).groupBy("url_hash", "_day").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("_since") == 0).alias("after"), F.max("_ok").alias("has_ok"),
-        F.max(F.when(F.col("_ok"), F.col("ts"))).alias("ok_ts"), F.min("_o").alias("o0"), F.max("_o").alias("o1"),
+    # read by both passes: keyed once, the URLs' long expressions are not evaluated again
+    keyed = cut_lineage(keyed.where(F.col("url_hash").isNotNull()).select(
+        "url_hash", "url", "status", "error", F.struct("ts", "attempt").alias("_o"),
+        F.coalesce(F.col("status").between(200, 299), F.lit(False)).alias("_ok"),
+        F.pmod(F.xxhash64("ts", "attempt"), F.lit(FETCH_SALTS)).cast("int").alias("_salt")))
+    good = keyed.where("_ok").groupBy("url_hash").agg(F.max("_o").alias("_last"))
+    good = good.select("url_hash", "_last", F.explode(F.sequence(F.lit(0), F.lit(FETCH_SALTS - 1))).alias("_salt"))
+    after = F.col("_last").isNull() | (F.col("_o") > F.col("_last"))
+    parts = keyed.join(good, ["url_hash", "_salt"], "left").groupBy("url_hash", "_salt").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(after).alias("after"), F.max("_last").alias("ok"), F.min("_o").alias("o0"), F.max("_o").alias("o1"),
         F.min_by("url", "_o").alias("url"), F.max_by("status", "_o").alias("status"), F.max_by("error", "_o").alias("error"))
-    last_ok = F.max(F.when(F.col("has_ok"), F.col("_day"))).over(Window.partitionBy("url_hash"))
-    counts = F.col("ok_day").isNull() | (F.col("_day") >= F.col("ok_day"))
-    return days.withColumn("ok_day", last_ok).groupBy("url_hash").agg(
-        F.min_by("url", "o0").alias("url"), F.sum("n").alias("attempts"),
-        F.sum(F.when(counts, F.col("after")).otherwise(0)).alias("trailing_failures"),
+    return parts.groupBy("url_hash").agg(
+        F.min_by("url", "o0").alias("url"), F.sum("n").alias("attempts"), F.sum("after").alias("trailing_failures"),
         F.max_by("status", "o1").alias("last_status"), F.max_by("error", "o1").alias("last_error"),
-        F.max("o1.ts").alias("last_ts"), F.max("ok_ts").alias("last_ok_ts"))
+        F.max("o1.ts").alias("last_ts"), F.max("ok.ts").alias("last_ok_ts"))
+
+
+#: Parts that the fetches of one URL are joined in.
+FETCH_SALTS = 8
 
 
 def retry_queue(fetch_log: DataFrame, times: int = RETRY_TIMES, codes=RETRY_HTTP_CODES) -> DataFrame:

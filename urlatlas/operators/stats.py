@@ -1,8 +1,8 @@
-"""Run, proxy, sink, domain and keyword statistics (one aggregation each)."""
+"""Run, proxy, error, sink, domain and keyword statistics."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..spec import PROXY_BAN_CODES
@@ -19,22 +19,40 @@ def _failed():
     return F.col("error").isNotNull() | (s.isNotNull() & ~_ok(s))
 
 
-def _error_kinds(c):
-    """Sorted distinct kinds of error texts.
+#: Error texts listed with a run or proxy: the most frequent ones (``error_counts`` has them all).
+TOP_ERRORS = 1000
 
-    A kind is the text up to the first colon or digit, 80 characters at most:
-    hosts, ports and numbers in error texts do not make kinds of their own,
-    so the list stays as short as the vocabulary of errors.
+
+def error_counts(fetch_log: DataFrame, by: str) -> DataFrame:
+    """``(by, error, n_errors, first_seen, last_seen)``: every full error text of every run or proxy."""
+    return fetch_log.where(F.col("error").isNotNull()).groupBy(by, "error").agg(
+        F.count(F.lit(1)).alias("n_errors"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
+
+
+def _top_errors(fetch_log: DataFrame, by: str, top: int, out: str) -> DataFrame:
+    """``(by, out)``: the ``top`` most frequent error texts (ties by text), in the order of the texts.
+
+    Texts are counted first, so a group's rows never meet; the rank is cut
+    before the shuffle, so neither do all texts of a group that has very many.
     """
-    return F.array_sort(F.collect_set(F.trim(F.substring(F.regexp_extract(c, r"^[^:0-9]*", 0), 1, 80))))
+    order = Window.partitionBy(by).orderBy(F.col("n_errors").desc(), "error")
+    kept = error_counts(fetch_log, by).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= top)
+    return kept.groupBy(by).agg(F.array_sort(F.collect_list("error")).alias(out))
 
 
-def crawl_stats(fetch_log: DataFrame, keywords_col: str | None = None) -> DataFrame:
+def _with_list(stats: DataFrame, lists: DataFrame, by: str, out: str) -> DataFrame:
+    """Joins a list column, empty where a group (a null one too) has none."""
+    other = lists.withColumnRenamed(by, "_by")
+    joined = stats.join(other, F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by")
+    return joined.withColumn(out, F.coalesce(F.col(out), F.array().cast("array<string>")))
+
+
+def crawl_stats(fetch_log: DataFrame, keywords_col: str | None = None, top_errors: int = TOP_ERRORS) -> DataFrame:
     """Per run: start/end, processed, failed, new and duplicate URLs, requests,
-    mean response time, error kinds, keywords.
+    mean response time, error texts, keywords.
 
-    List-valued fields hold distinct values only (error kinds, keywords), so
-    their size is bounded by the vocabulary, never by the rows of a run.
+    ``errors`` lists distinct full texts, the ``top_errors`` most frequent
+    ones; ``keywords`` the distinct keywords of ``keywords_col`` (an array).
     """
     keyed = with_distinct_url_key(fetch_log, "url", "_n", "_h").withColumn("_h", F.coalesce("_h", F.lit("")))
     stats = keyed.groupBy("run_id").agg(
@@ -45,27 +63,26 @@ def crawl_stats(fetch_log: DataFrame, keywords_col: str | None = None) -> DataFr
         F.count_distinct("_h").alias("new_urls_found"),
         (F.count(F.lit(1)) - F.count_distinct("_h")).alias("duplicate_urls"),
         F.count(F.lit(1)).alias("total_requests"),
-        F.avg("response_ms").alias("average_response_time"),
-        _error_kinds(F.col("error")).alias("errors"))
+        F.avg("response_ms").alias("average_response_time"))
+    stats = _with_list(stats, _top_errors(fetch_log, "run_id", top_errors, "errors"), "run_id", "errors")
     if not keywords_col:
         return stats.withColumn("keywords", F.array().cast("array<string>"))
     kw = (fetch_log.select("run_id", F.explode_outer(keywords_col).alias("_k")).where(F.col("_k").isNotNull())
           .distinct().groupBy("run_id").agg(F.array_sort(F.collect_list("_k")).alias("keywords")))
-    return (stats.join(kw, "run_id", "left")
-            .withColumn("keywords", F.coalesce(F.col("keywords"), F.array().cast("array<string>"))))
+    return _with_list(stats, kw, "run_id", "keywords")
 
 
-def proxy_health(fetch_log: DataFrame, ban_codes=PROXY_BAN_CODES) -> DataFrame:
+def proxy_health(fetch_log: DataFrame, ban_codes=PROXY_BAN_CODES, top_errors: int = TOP_ERRORS) -> DataFrame:
     """Per proxy: successes, failures, mean response time, last use, active
-    flag (no ban status ever seen), error kinds."""
+    flag (no ban status ever seen), the most frequent error texts."""
     s = F.col("status")
-    return fetch_log.groupBy("proxy_address").agg(
+    stats = fetch_log.groupBy("proxy_address").agg(
         F.count_if(_ok(s)).alias("success_count"),
         F.count_if(_failed()).alias("failure_count"),
         F.avg("response_ms").alias("average_response_time"),
         F.max("ts").alias("last_used"),
-        (~F.coalesce(F.bool_or(s.isin(*ban_codes)), F.lit(False))).alias("is_active"),
-        _error_kinds(F.col("error")).alias("error_messages"))
+        (~F.coalesce(F.bool_or(s.isin(*ban_codes)), F.lit(False))).alias("is_active"))
+    return _with_list(stats, _top_errors(fetch_log, "proxy_address", top_errors, "error_messages"), "proxy_address", "error_messages")
 
 
 def sink_stats(docs: DataFrame, key: str = "url_hash") -> DataFrame:

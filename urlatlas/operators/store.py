@@ -147,6 +147,11 @@ class UrlStore:
         new.write_clustered(self.read().drop("day"))
         return new
 
+    def file_sizes(self) -> DataFrame:
+        """``(file, n_rows)`` of every data file."""
+        rows = self.spark.read.schema("url_hash string").parquet(*[f"{self.path}/batch={b}" for b in self.batches()])
+        return rows.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n_rows"))
+
     # ---------------------------------------------------------- key index
 
     def _key_buckets(self) -> int:

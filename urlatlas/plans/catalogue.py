@@ -22,7 +22,7 @@ from ..operators.links import extract_links, valid_links
 from ..operators.util import with_url_key
 from ..sources import derived
 from ..sources.tables import read_table
-from ..spec import DENY_PATTERN
+from ..spec import AUTHORITY_CONFUSABLES, DENY_PATTERN
 from . import oracle as O
 
 SPARK: Dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,6 +157,37 @@ def q_validation_summary(spark, sf):
             .groupBy("reason").agg(F.count(F.lit(1)).alias("n_urls")))
 
 
+# F1, P1f: a delimiter in compatibility form (or, for every 20th page, none) put into the host
+_CONFUSABLES = [*AUTHORITY_CONFUSABLES, ""]
+
+
+def _sql_authority_variants() -> str:
+    chars = "[" + ", ".join(O.q(c) for c in _CONFUSABLES) + "]"
+    url = (f"regexp_extract(url, '^([a-z]+://)', 1) || 'a' || {chars}[CAST(page_id % {len(_CONFUSABLES)} AS BIGINT) + 1] || "
+           f"regexp_extract(url, '(?s)^[a-z]+://(.*)$', 1)")
+    return f"(SELECT page_id, {url} AS url, page_id % {len(_CONFUSABLES)} < {len(_CONFUSABLES) - 1} AS odd FROM pages)"
+
+
+def _sql_authority_checks() -> str:
+    s = O.normalize(_sql_authority_variants(), "url", "normalized_url", "nv")
+    return O.validate(s, "url", "is_valid", "reason", "vv")
+
+
+@register("authority_variants", f"""
+SELECT page_id, url, CASE WHEN odd THEN NULL ELSE normalized_url END AS normalized_url,
+       CASE WHEN odd THEN FALSE ELSE is_valid END AS is_valid,
+       CASE WHEN odd THEN 'Validation error: netloc ' || chr(39) || regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) || chr(39)
+            || ' contains invalid characters under NFKC normalization' ELSE reason END AS reason
+FROM {_sql_authority_checks()}
+""")
+def q_authority_variants(spark, sf):
+    char = F.element_at(F.array(*[F.lit(c) for c in _CONFUSABLES]), (F.pmod(F.col("page_id"), F.lit(len(_CONFUSABLES))) + 1).cast("int"))
+    url = F.concat(F.regexp_extract("url", "^([a-z]+://)", 1), F.lit("a"), char, F.regexp_extract("url", r"(?s)^[a-z]+://(.*)\z", 1))
+    v = validate_url("url")
+    return pages(spark, sf).select("page_id", url.alias("url")).select(
+        "page_id", "url", normalize_url("url").alias("normalized_url"), v["is_valid"].alias("is_valid"), v["reason"].alias("reason"))
+
+
 # ------------------------------------------------------------ F14, F15, O1
 
 @register("links", f"SELECT page_id, src_url, pos, url FROM {sql_links()}")
@@ -225,11 +256,12 @@ def _verdicts_spark(spark, sf):
 @register("dedup_stats", f"""
 SELECT count(*) AS total_urls, count(*) FILTER (WHERE reason = 'Exact duplicate') AS duplicates,
        count(*) FILTER (WHERE NOT is_duplicate) AS unique_urls, CAST(0 AS BIGINT) AS cache_evictions,
-       count(*) FILTER (WHERE NOT is_duplicate) AS cache_size
+       count(*) FILTER (WHERE NOT is_duplicate) AS cache_size,
+       strftime(TIMESTAMP '{derived.FIXED_NOW}', '%Y-%m-%dT%H:%M:%S.%f') AS timestamp
 FROM {_sql_verdicts()}
 """)
 def q_dedup_stats(spark, sf):
-    return dedup_stats(_verdicts_spark(spark, sf)).drop("timestamp")
+    return dedup_stats(_verdicts_spark(spark, sf), F.lit(str(derived.FIXED_NOW)).cast("timestamp_ntz"))
 
 
 def _sql_frequency() -> str:
@@ -282,8 +314,8 @@ from ..functions.html import body_text, page_bytes, page_description, page_title
 from ..operators.documents import (all_documents, conform_or_reject, error_documents,  # noqa: E402
                                    page_documents, with_keywords)
 from ..operators.keywords import match_keywords  # noqa: E402
-from ..operators.stats import (crawl_stats, domain_summary, keyword_summary, proxy_health,  # noqa: E402
-                               sink_stats)
+from ..operators.stats import (crawl_stats, domain_summary, error_counts, keyword_summary,  # noqa: E402
+                               proxy_health, sink_stats)
 
 # Keywords for the tag queries: words the generated prose holds, a phrase,
 # a word found only in head scripts, and one absent word.
@@ -516,6 +548,35 @@ def q_rejects(spark, sf):
     return rejected.select("seq", "url", "reason")
 
 
+# K4: every reason a record can be refused for, on records whose fields are taken away in turn
+def _sql_broken_docs() -> str:
+    gone = lambda c, k: f"CASE WHEN seq % 7 = {k} THEN NULL ELSE {c} END AS {c}"
+    return (f"(SELECT seq, {gone('url', 1)}, {gone('url_hash', 2)}, {gone('normalized_url', 3)}, {gone('domain', 4)} "
+            f"FROM (SELECT seq, CASE WHEN seq % 7 = 5 THEN url || repeat('x', 2100) ELSE url END AS url, url_hash, normalized_url, domain "
+            f"FROM {_sql_variant_docs()}))")
+
+
+def _broken_docs_spark(spark, sf) -> DataFrame:
+    longer = F.when(F.col("seq") % 7 == 5, F.concat("url", F.repeat(F.lit("x"), 2100))).otherwise(F.col("url"))
+    d = _variant_docs_spark(spark, sf).withColumn("url", longer)
+    return d.select("seq", *[F.when(F.col("seq") % 7 != k, F.col(c)).alias(c)
+                             for k, c in enumerate(("url", "url_hash", "normalized_url", "domain"), 1)])
+
+
+@register("reject_reasons", f"""
+SELECT reason, count(*) AS n_records FROM (
+  SELECT CASE WHEN url IS NULL THEN 'missing url'
+    WHEN NOT regexp_matches(url, '^(?i)https?://[^/?#\\s]+') THEN 'url is not an http(s) URL'
+    WHEN length(url) > 2083 THEN 'url longer than 2083 characters'
+    WHEN url_hash IS NULL THEN 'missing url_hash' WHEN normalized_url IS NULL THEN 'missing normalized_url'
+    WHEN domain IS NULL THEN 'missing domain' ELSE '' END AS reason FROM {_sql_broken_docs()})
+WHERE reason <> '' GROUP BY reason
+""")
+def q_reject_reasons(spark, sf):
+    _, rejected = conform_or_reject(_broken_docs_spark(spark, sf))
+    return rejected.groupBy("reason").agg(F.count(F.lit(1)).alias("n_records"))
+
+
 @register("sink_stats", f"""
 SELECT count(DISTINCT url_hash) FILTER (WHERE ok) AS processed,
        count(*) FILTER (WHERE ok) - count(DISTINCT url_hash) FILTER (WHERE ok) AS dropped,
@@ -550,6 +611,33 @@ def q_crawl_stats(spark, sf):
                     F.array_join("errors", "|").alias("errors"), F.array_join("keywords", "|").alias("keywords"))
 
 
+# A4 with the keywords a run looked for; every fetch names one
+_RUN_KEYWORDS = "[" + ", ".join(O.q(k) for k in TAG_KEYWORDS) + "]"
+
+
+@register("crawl_stats_keywords", f"""
+SELECT run_id, count(*) AS total_requests, array_to_string(list_sort(list(DISTINCT kw) FILTER (WHERE kw IS NOT NULL)), '|') AS keywords
+FROM (SELECT run_id, CASE WHEN event_id % 7 < {len(TAG_KEYWORDS)} THEN {_RUN_KEYWORDS}[event_id % 7 + 1] END AS kw FROM {sql_fetch_log()}) GROUP BY run_id
+""")
+def q_crawl_stats_keywords(spark, sf):
+    named = F.get(F.array(*[F.lit(k) for k in TAG_KEYWORDS]), (F.col("event_id") % 7).cast("int"))
+    log = fetch_log_spark(spark, sf).withColumn("wanted", F.when(F.col("event_id") % 7 < len(TAG_KEYWORDS), F.array(named)))
+    return crawl_stats(log, "wanted").select("run_id", "total_requests", F.array_join("keywords", "|").alias("keywords"))
+
+
+# A4, A5: every error text of a run or proxy in full, however many there are
+@register("error_counts", f"""
+SELECT 'run ' || run_id AS of_what, error, count(*) AS n_errors, min(ts) AS first_seen, max(ts) AS last_seen
+FROM {sql_fetch_log()} WHERE error IS NOT NULL GROUP BY run_id, error
+UNION ALL SELECT proxy_address AS of_what, error, count(*) AS n_errors, min(ts) AS first_seen, max(ts) AS last_seen
+FROM {sql_fetch_log()} WHERE error IS NOT NULL GROUP BY proxy_address, error
+""")
+def q_error_counts(spark, sf):
+    log = fetch_log_spark(spark, sf)
+    runs = error_counts(log, "run_id").withColumn("run_id", F.concat(F.lit("run "), "run_id")).withColumnRenamed("run_id", "of_what")
+    return runs.unionByName(error_counts(log, "proxy_address").withColumnRenamed("proxy_address", "of_what"))
+
+
 @register("proxy_health", f"""
 SELECT proxy_address, count(*) FILTER (WHERE status BETWEEN 200 AND 299) AS success_count,
   count(*) FILTER (WHERE error IS NOT NULL OR (status IS NOT NULL AND NOT (status BETWEEN 200 AND 299))) AS failure_count,
@@ -611,7 +699,7 @@ def q_recrawl_due(spark, sf):
 
 # ------------------------------------------------------------ G1, G2 BFS
 
-from ..operators.frontier import cap, expand, frontier_batch  # noqa: E402
+from ..operators.frontier import cap, expand, frontier_batch, intake  # noqa: E402
 from ..spec import HarvestSpec  # noqa: E402
 
 
@@ -637,14 +725,14 @@ def _sql_site_seed_urls() -> str:
             f"{O.registrable('pages', 'url', 'reg', 'sr', DEFAULT_PUBLIC_SUFFIXES)} GROUP BY reg)")
 
 
-def sql_bfs_ctes(depth: int, seed_urls: str | None = None, allow_from_seeds: bool = False) -> str:
+def sql_bfs_ctes(depth: int, seed_urls: str | None = None, allow_from_seeds: bool = False, only: str = "TRUE") -> str:
     """CTEs ``e`` (filtered edges), ``seeds``, ``walk`` and ``nodes`` for a BFS to ``depth``."""
     n = (f"(SELECT (SELECT count(*) FROM pages) AS n)")
     lk = (f"(SELECT ps.url AS src_url, pd.url AS dst_url, CAST(k AS INTEGER) AS pos FROM pages ps, "
           f"(SELECT range AS k FROM range(0, 3)) kk, {n} nn, pages pd "
           f"WHERE pd.page_id = (ps.page_id * 3 + k * 7 + 1) % nn.n)")
     s = O.validate(lk, "dst_url", "ok", "why", "bv")
-    s = f"(SELECT * FROM {s} WHERE ok AND NOT regexp_matches(dst_url, {O.q(DENY_PATTERN)}))"
+    s = f"(SELECT * FROM {s} WHERE ok AND ({only}) AND NOT regexp_matches(dst_url, {O.q(DENY_PATTERN)}))"
     if allow_from_seeds:
         sa = O.authority(seed_urls, "url", "sauth", "sa")
         s = O.authority(s, "dst_url", "dauth", "da")
@@ -684,6 +772,14 @@ def q_expand_once(spark, sf):
     return _bfs_spark(spark, sf, 1)
 
 
+# U2: links that a filter of the user's refuses are not followed
+@register("expand_filtered", sql_bfs_ctes(3, only="length(dst_url) % 3 <> 0")
+          + "SELECT url_hash, url, normalized_url, depth, source_url, source_hash FROM nodes")
+def q_expand_filtered(spark, sf):
+    spec = HarvestSpec(allowed_domains=None, max_depth=3, link_filter=lambda url: F.length(url) % 3 != 0)
+    return expand(_seeds_spark(spark, sf), _edges_spark(spark, sf), spec).nodes
+
+
 EXPAND_CAP = 60
 
 
@@ -723,6 +819,32 @@ def q_frontier_hosts(spark, sf):
     return _batch_spark(spark, sf, 2, None)
 
 
+# W3, G6 with both quotas: hosts share addresses by the length of their names
+def _sql_addressed(per_host: int, per_address: int) -> str:
+    s = O.hostname(sql_url_variants(), "url", "host", "fh")
+    r = (f"(SELECT seq, url, host, '10.0.0.' || CAST(length(host) % 9 AS VARCHAR) AS address, "
+         f"CAST(row_number() OVER (PARTITION BY host ORDER BY seq, url) AS INTEGER) AS host_rank FROM {s} "
+         f"WHERE regexp_matches(ltrim(url), '^(?i)https?://') AND coalesce(host, '') <> '')")
+    return (f"SELECT seq, url, host, address, host_rank, address_rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY address "
+            f"ORDER BY seq, url, host) AS INTEGER) AS address_rank FROM {r} WHERE host_rank <= {per_host}) WHERE address_rank <= {per_address}")
+
+
+@register("frontier_batch_addresses", _sql_addressed(16, 64))
+def q_frontier_batch_addresses(spark, sf):
+    rows = derived.url_variants(pages(spark, sf)).select("seq", "url")
+    hosts = rows.select(url_hostname("url").alias("host")).distinct()
+    known = hosts.select("host", F.concat(F.lit("10.0.0."), (F.length("host") % 9).cast("string")).alias("address"))
+    b = frontier_batch(rows, per_host=16, total=None, now=derived.FIXED_NOW, addresses=known, per_address=64)
+    return b.select("seq", "url", "host", "address", F.col("host_rank").cast("int").alias("host_rank"),
+                    F.col("address_rank").cast("int").alias("address_rank"))
+
+
+# S5: the queue dealt over tasks by host, hot hosts over several
+@register("intake", f"SELECT seq, url, coalesce(host, '') AS host FROM {O.hostname(sql_url_variants(), 'url', 'host', 'ih')}")
+def q_intake(spark, sf):
+    return intake(derived.url_variants(pages(spark, sf)).select("seq", "url"), 16)
+
+
 @register("cap", f"SELECT url_hash, normalized_url, url, page_id, pos FROM {_sql_unique_links()} ORDER BY page_id, pos, url_hash LIMIT 100")
 def q_cap(spark, sf):
     return cap(_unique_links_spark(spark, sf), 100, ["page_id", "pos", "url_hash"])
@@ -954,6 +1076,16 @@ def q_harvest(spark, sf):
     return _flat(res.documents)
 
 
+# U1: the documents pass through a hook of the user's before they are checked; those whose URL it takes are rejected
+@register("harvest_hook", _sql_harvest().replace(f"SELECT {DOC_COLS} FROM", "SELECT url_hash, 'hook: ' || title AS title, depth FROM", 1)
+          + " WHERE depth <> 1")
+def q_harvest_hook(spark, sf):
+    spec = HarvestSpec(allowed_domains=None, keywords=TAG_KEYWORDS, max_depth=3)
+    hook = lambda d: d.withColumns({"title": F.concat(F.lit("hook: "), "title"), "url": F.when(F.col("depth") != 1, F.col("url"))})
+    res = harvest(rich(spark, sf), _edges_spark(spark, sf), _seeds_spark(spark, sf), spec, now=derived.FIXED_NOW, on_documents=hook)
+    return _flat(res.documents).select("url_hash", "title", "depth")
+
+
 # ------------------------------------------------------------ S4, P2 in G1: allowed domains from the seeds
 
 def _site_seeds_spark(spark, sf):
@@ -1026,3 +1158,12 @@ def q_store_by_url(spark, sf):
     d = _docs_spark(spark, sf)
     store.append_unique(d.unionByName(d), order="url_hash")
     return store.read().orderBy("timestamp", "domain", "url_hash").select("url", "domain")
+
+
+# K5: how many rows the files of a store hold
+@register("store_file_sizes", "SELECT count(*) AS n_rows, TRUE AS within_bound, count(*) >= 50 AS several_files FROM pages")
+def q_store_file_sizes(spark, sf):
+    store = UrlStore(spark, _scratch(spark, "filesizes"), max_records_per_file=40)
+    store.write_clustered(_docs_spark(spark, sf))
+    files = store.file_sizes()
+    return files.agg(F.sum("n_rows").alias("n_rows"), (F.max("n_rows") <= 40).alias("within_bound"), (F.count(F.lit(1)) > 1).alias("several_files"))

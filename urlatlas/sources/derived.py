@@ -102,7 +102,8 @@ def link_table(pages: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 STATUS_BY_DIGIT = (200, 200, 200, 200, 404, 403, 429, 500, 503, 408)
-ERRORS = ("timeout", "connection refused", "no such host")
+ERRORS = ("timeout", "connection refused", "no such host", "proxy 10.0.0.7:3128: connection reset after 3 attempts",
+          "a.example: certificate has expired (not after 2023-12-31T23:59:59Z); the chain of 4 certificates could not be verified")
 
 
 def rich_pages(pages: DataFrame) -> DataFrame:

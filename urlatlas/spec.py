@@ -58,6 +58,7 @@ DEDUP_CACHE_SIZE = 1_000_000
 EVICTION_KEEP = 0.75
 CONCURRENT_REQUESTS = 32
 PER_HOST_REQUESTS = 16
+PER_ADDRESS_REQUESTS = 16
 DOWNLOAD_DELAY_S = 0.5
 RETRY_TIMES = 3
 CACHE_TTL_S = 86_400
