@@ -69,7 +69,7 @@ SECRETS = [
     "user=alice and then nothing", "user=alice\nsecret=hunter22", "user=alice\n\nsecret=hunter22",
     "user=alice" + " x" * 120 + "secret=hunter22", "https://db.example.com/x token=abcdefgh",
     "https://db.example.com/x", "Zx9Kq0Lm4Np7Rt2Vw5Yb8Dc login: bob", "Zx9Kq0Lm4Np7Rt2Vw5Yb8Dc", "é password=ééabcdefg \U0001F600 token=abcdef1",
-    "token=abcdef " * 3000]
+    "token=abcdef " * 3000, "https://example.com/AbCdEf1234567890GhIjKlMnOp/page", "user=" + "ab" * 60 + " secret=hunter22"]
 
 
 def test_secrets_base_spans_and_links(frame):
@@ -87,7 +87,9 @@ def test_secrets_base_spans_and_links(frame):
         assert [(s.start, s["rank"], s.kind, s.end) for s in r.base] == want
         assert set(r.base) <= set(r.spans)
     extra = {r.doc_id: [s.kind for s in r.spans if s.kind in secret_links.WEAK] for r in got}
-    assert {i: k for i, k in extra.items() if k} == {8: ["id"], 11: ["endpoint"], 13: ["secret", "id"]}
+    assert {i: k for i, k in extra.items() if k} == {8: ["id"], 11: ["endpoint"], 13: ["secret", "id"], 18: ["id"]}
+    # a link is no secret that its own path confirms; a long name is one part
+    assert [(s.start, s.end) for r in got if r.doc_id == 18 for s in r.spans if s.kind == "id"] == [(5, 125)]
     assert secret_links.secrets(frame([])).collect() == []
 
 
@@ -102,7 +104,7 @@ def test_links_need_an_overlapping_scope(spark):
         parts, "row long, kind string, start int, end int, paragraph int")).collect()}
     want = {(row, kind, a, b) for row, kind, a, b, p in parts if kind in secret_links.WEAK and any(
         r2 == row and p2 == p and secret_links.ROLE[k2] in secret_links.NEEDS[kind] and a2 < b + secret_links.REACH
-        and b2 > max(0, a - secret_links.REACH) for r2, k2, a2, b2, p2 in parts)}
+        and b2 > max(0, a - secret_links.REACH) and (b2 <= a or a2 >= b) for r2, k2, a2, b2, p2 in parts)}
     assert got == want and len(want) < sum(p[1] in secret_links.WEAK for p in parts)
 
 

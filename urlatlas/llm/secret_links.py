@@ -39,7 +39,7 @@ BASE = {
 #: Weak kinds: pattern and the group that is the part.
 WEAK = {
     "id": (re.compile(r"""(?:access_?key_?id|client_?id|user_?name|user|login|account)["']?\x20*[:=]\x20*["']?"""
-                      r"""([A-Za-z0-9@._-]{3,64})""", re.ASCII | re.IGNORECASE), 1),
+                      r"""([A-Za-z0-9@._-]{3,})""", re.ASCII | re.IGNORECASE), 1),
     "secret": (re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])(?=[A-Za-z+/_-]*[0-9])"
                           r"[A-Za-z0-9+/_-]{20,}={0,2}"), 0),
     "endpoint": (re.compile(r"""(?:https?|ftps?|sftp|ssh|s3|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?)"""
@@ -108,7 +108,7 @@ def _by_kind(values: dict, kind: Column) -> Column:
 
 
 def linked(parts: DataFrame, reach: int = REACH, cell: int = CELL) -> DataFrame:
-    """The weak parts of ``(row, kind, start, end, paragraph)`` that have a complement in their scope."""
+    """The weak parts of ``(row, kind, start, end, paragraph)`` that have a complement in their scope, beside them."""
     cells = lambda a, b: F.explode(F.sequence((a / cell).cast("int"), (b / cell).cast("int"))).alias("cell")
     weak = parts.where(F.col("kind").isin(*WEAK))
     low, high = F.greatest(F.col("start") - reach, F.lit(0)), F.col("end") + reach
@@ -120,7 +120,9 @@ def linked(parts: DataFrame, reach: int = REACH, cell: int = CELL) -> DataFrame:
                          cells(F.col("start"), F.col("end"))).withColumnRenamed("cell", "cell_")
     meets = ((F.col("row") == F.col("row_")) & (F.col("paragraph") == F.col("paragraph_"))
              & (F.col("cell") == F.col("cell_")) & (F.col("role") == F.col("role_"))
-             & (F.col("a") < F.col("high")) & (F.col("b") > F.col("low")))
+             & (F.col("a") < F.col("high")) & (F.col("b") > F.col("low"))
+             # parts that overlap are readings of one place, not two complementary ones
+             & ((F.col("b") <= F.col("start")) | (F.col("a") >= F.col("end"))))
     return seeking.join(there, meets, "left_semi").select("row", "kind", "start", "end").distinct()
 
 

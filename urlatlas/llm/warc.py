@@ -10,6 +10,7 @@ checks payload and block digests as the bytes pass.
 from __future__ import annotations
 
 import hashlib
+import json
 import zlib
 from collections.abc import Iterator
 from typing import BinaryIO, NamedTuple
@@ -39,14 +40,22 @@ def page_of(uri: str) -> int | None:
     return int(number) if number else None
 
 
+def header_safe(url: str) -> str:
+    """``url`` with white space and control characters as percent escapes, so that it fits a header line."""
+    return "".join(c if c > " " and c != "\x7f" and not c.isspace() else "".join(f"%{b:02X}" for b in c.encode("utf-8")) for c in url)
+
+
 def write_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None,
                  revisit: bool, date: str) -> bytes:
-    """One record as a gzip member."""
+    """One record as a gzip member. A URL that a header cannot hold as it is stands in a field of its own as well."""
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = head if revisit else head + payload
     fields = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", record_id(page_id)), ("WARC-Date", date)]
     if url is not None:
-        fields.append(("WARC-Target-URI", "".join(c if c > " " else f"%{ord(c):02X}" for c in url)))
+        uri = header_safe(url)
+        fields.append(("WARC-Target-URI", uri))
+        if uri != url:
+            fields.append(("X-Target-URL", json.dumps(url)))
     if revisit:
         fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers_to))]
     fields += [("WARC-Payload-Digest", f"sha256:{digest}"), ("WARC-Block-Digest", f"sha256:{hashlib.sha256(block).hexdigest()}"),
@@ -95,10 +104,12 @@ class _Member:
                 self.ready += got
                 return True
 
-    def until(self, mark: bytes, most: int = 1 << 20) -> bytes:
-        """Bytes up to and with ``mark``."""
-        while (at := self.ready.find(mark)) < 0:
-            if len(self.ready) > most or not self._more():
+    def until(self, mark: bytes) -> bytes:
+        """Bytes up to and with ``mark``; a head is as long as its URL makes it."""
+        seen = 0
+        while (at := self.ready.find(mark, seen)) < 0:
+            seen = max(0, len(self.ready) - len(mark) + 1)
+            if not self._more():
                 raise ValueError("damaged record head")
         out = bytes(self.ready[:at + len(mark)])
         del self.ready[:at + len(mark)]
@@ -150,7 +161,8 @@ def read_records(stream: BinaryIO, keep_payload: bool = False) -> Iterator[Recor
             raise ValueError("block digest does not fit")
         if not revisit and (named != payload.hexdigest() or full != size):
             raise ValueError("payload digest or length does not fit")
-        yield Record(page_of(fields["warc-record-id"]), fields.get("warc-target-uri"), fields["warc-type"],
+        url = json.loads(fields["x-target-url"]) if "x-target-url" in fields else fields.get("warc-target-uri")
+        yield Record(page_of(fields["warc-record-id"]), url, fields["warc-type"],
                      page_of(fields["warc-refers-to"]) if revisit else None, full, named,
                      b"".join(kept) if keep_payload and not revisit else None)
 
@@ -188,7 +200,9 @@ def write_archives(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:
     Of equal payloads of at least ``least_shared`` bytes the smallest page id
     is the response and others revisit it (a null id never is the response
     while there is another; rows that repeat the response's id and payload
-    are responses too). Null html is empty, a null url is left out. The html
+    are responses too). Null html is empty, a null url is left out, and any
+    other comes back as it was. Page ids are whole numbers: others end the
+    job with Spark's cast error. The html
     moves only if the table of repeated digests is too large to broadcast;
     rows of a digest that many pages share can then be split.
     """
