@@ -35,6 +35,49 @@ def drop_repeated_lines(docs, min_words=51):
     return {i: "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone[i]) for i, t in docs}
 
 
+def tag_path_text(tree, blocks, spread=0.5):
+    """The text of parsed blocks by the definitions of ratios, smoothing, fusion, spreading and threshold."""
+    import math
+    if not blocks:
+        return ""
+
+    def chain(e):
+        out = []
+        while e >= 0:
+            out.append(e)
+            e = tree.parent[e]
+        return out  # the element first, the root last
+
+    paths = ["/".join(tree.names[e] for e in reversed(chain(e))) for e, _ in blocks]
+    texts = [t for _, t in blocks]
+
+    def mean(k, value):
+        same = [value(t) for p, t in zip(paths, texts) if p == paths[k]]
+        return sum(same) / len(same)
+
+    def smooth(values):
+        at = lambda k: values[min(max(k, 0), len(values) - 1)]
+        return [at(k - 1) / 4 + at(k) / 2 + at(k + 1) / 4 for k in range(len(values))]
+
+    long = smooth([mean(k, len) for k in range(len(texts))])
+    marks = smooth([mean(k, lambda t: sum(t.count(c) for c in ".,;:!?\u3002\uff0c\uff1b\uff1a\uff01\uff1f\u3001")) for k in range(len(texts))])
+    ratio = [a * math.log(b + 2) for a, b in zip(long, marks)]
+    factor = [tree.fixed[e] * tree.words[e] * (4 if tree.inside[e] else 1) for e, _ in blocks]
+
+    def inner(x):
+        held = [k for k, (e, _) in enumerate(blocks) if x in chain(e)]
+        size = sum(factor[k] * len(texts[k]) for k in held)
+        return sum(factor[k] * len(texts[k]) * ratio[k] for k in held) / size if size else 0
+
+    def handed(x):
+        return inner(x) if x == 0 else max(inner(x), tree.step[x] * handed(tree.parent[x]))
+
+    weight = [f * max(r, handed(e)) for f, r, (e, _) in zip(factor, ratio, blocks)]
+    own = lambda v: sum(x * x * len(t) for x, t in zip(v, texts)) / sum(x * len(t) for x, t in zip(v, texts))
+    least = spread * max(own(weight), 0.1 * own(ratio))
+    return "\n".join(t for t, w in zip(texts, weight) if w > least or abs(w - least) < 1e-9 * least)
+
+
 def simhash(text):
     """3-word SimHash by the definition, bit by bit."""
     import xxhash

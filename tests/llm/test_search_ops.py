@@ -3,10 +3,12 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
 
+import brute
 from urlatlas.llm import secret_links, tag_paths, toxicity, wu_manber
 
 
@@ -136,6 +138,51 @@ def test_page_text_cases(frame, spark):
     assert df.limit(0).select(tag_paths.page_text()(F.col("html"))).collect() == []
 
 
+LONG = "Long text of the page, with marks. And more of it, as it goes."
+KEPT = [
+    (f"<nav>x</nav><article><p>{LONG}</p></article><article><p>{LONG} Two.</p></article><footer>f</footer>", f"{LONG}\n{LONG} Two."),
+    (f"<main><div><p>{LONG}</p><p>{LONG} b</p></div><article><p>Short teaser.</p></article></main>", f"{LONG}\n{LONG} b"),
+    (f"<article><p>{LONG}</p><h2 id='discussion'>Discussion</h2><p>{LONG}</p></article>", f"{LONG}\nDiscussion\n{LONG}"),
+    (f"<article><p>{LONG}</p><section class='related-work'><h2>Others</h2><p>{LONG}</p></section></article>", f"{LONG}\nOthers\n{LONG}"),
+    (f"<article><p>{LONG}</p><svg width='3'/><p>{LONG} x</p></article>", f"{LONG}\n{LONG} x"),
+    (f"<article><p>{LONG}</p><object data=x><p>{LONG} x</p></article>", f"{LONG}\n{LONG} x"),
+    (f"<article><p>{LONG} <math><mi>x</mi></math></p></article>", f"{LONG} x"),
+    ("<nav><ul><li>Home<li>More</ul></nav><footer>Copyright of it, long enough. Yes.</footer>", ""),
+    (f"<article><p>{LONG}</p></article><div id=comments><ol class=comment-list><li><article><p>{LONG} {LONG}</p></article></ol></div>", LONG),
+    ("<article><table><tr><td>a<tr><td>b<td>c</table></article>", "a\nb\nc"),
+]
+
+
+def test_page_text_keeps_articles_whole():
+    for page, want in KEPT:
+        assert tag_paths.main_text(page) == want
+    page = KEPT[0][0]
+    assert tag_paths.main_text(page, 50.0) == "" and tag_paths.main_text(page, 0.0).startswith("x\n")
+
+
+def test_page_text_matches_brute_force():
+    rnd = random.Random(9)
+    names = ["article", "main", "div", "div class=ad", "p", "ul", "li", "nav", "h2", "section", "aside", "div class='side bar'", "table", "td"]
+    kept = 0
+    for n in range(150):
+        page = ""
+        for _ in range(rnd.randint(1, 40)):
+            tag = rnd.choice(names)
+            page += rnd.choice([f"<{tag}>", f"<{tag}>", f"</{tag.split()[0]}>", "</div>"])
+            page += " ".join(rnd.choice(["word", "and,", "end.", "x"]) for _ in range(rnd.choice([0, 1, 5, 40])))
+        want = brute.tag_path_text(*tag_paths.parse(page))
+        assert tag_paths.main_text(page) == want, page
+        kept += bool(want)
+    assert kept > 100
+
+
+def test_page_text_is_linear_in_depth():
+    for page in ("<div>" * 50_000 + "x" + "</a></p>" * 50_000, "<ul>" + "<div>" * 50_000 + "<li>x</section>" * 50_000):
+        start = time.perf_counter()
+        tag_paths.main_text(page)
+        assert time.perf_counter() - start < 4
+
+
 def test_chain_marginals_match_enumeration():
     rng = np.random.default_rng(1)
     e, trans = rng.normal(size=(3, 5)), rng.normal(size=(2, 2))

@@ -1,13 +1,17 @@
 """Main text of HTML pages by tag-path ratios.
 
-A page is read into blocks of text, each with the path of block elements
-from the root. Blocks of one path are aggregated: their mean text length and
-mean number of punctuation marks are the path's ratios, so a short paragraph
-of the article counts like its long neighbours, and a menu entry like the
-other entries. The ratios are smoothed along the page, fused, and compared
-with their spread; paths over the threshold are content. The element that
-holds most of the content is the article: its blocks are the text, without
-those inside elements that are never part of an article.
+A page is read once into blocks of text, each with the number of its path of
+block elements from the root. Blocks of one path are aggregated: their mean
+text length and mean number of punctuation marks are the path's ratios, so a
+short paragraph of the article counts like its long neighbours, and a menu
+entry like the other entries. The ratios are smoothed along the page and
+fused. The fused ratio spreads in the tree: an element has the mean of the
+text inside it, and hands it on to what lies in it, less by every container
+between (a heading counts like the article it stands in). Names, classes,
+ids, roles and states of the elements on the path are factors of a block's
+weight, and blocks whose weight reaches a share of the page's mean weight are
+content: no element is chosen or ruled out beforehand. All of it is linear in
+the size of the page, however deep its elements lie.
 """
 
 from __future__ import annotations
@@ -21,30 +25,44 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Share of the ratios' standard deviation that a content path must reach.
+#: Share of the mean weight that content reaches.
 SPREAD = 0.5
 
-#: Fixed values of the HTML syntax: elements whose content is no text here, and block elements.
-RAW = frozenset("script style textarea title noscript iframe noembed noframes template xmp svg math object select".split())
-BLOCK = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption
-figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup p pre section summary
-table tbody td tfoot th thead tr ul""".split())
+#: Factors: inside an article or main element; elements and states that are seldom content, and words that say
+#: so; names of which only a part says so.
+ARTICLE, SELDOM, PARTLY = 4.0, 0.02, 0.8
+#: What a container takes of its parent's ratio: outside articles, in them, and an article in another one or in main.
+OUTSIDE, WITHIN, NESTED = 0.45, 0.8, 0.4
+#: A block's weight is at least this share of the mean ratio before factors, so that a page of menus has no text.
+FLOOR = 0.1
+
+#: Fixed values of the HTML syntax: elements whose content is no markup, and block elements.
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+BLOCK = frozenset("""address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset
+figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol optgroup p pre
+section select summary table tbody td template tfoot th thead tr ul""".split())
 #: An opening tag of the first closes open elements of the second, up to the third.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
           "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table"}), "th": ({"td", "th"}, {"table"}),
           "tbody": ({"tbody", "thead", "tfoot"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot"}, {"table"}),
           "body": ({"head"}, set())}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that belong to the text around them.
+PARTS = HEADINGS | frozenset("blockquote caption dd dl dt figcaption figure hgroup li ol p pre table tbody td tfoot th thead tr ul".split())
 
-#: Elements that are never part of the article, and words of classes, ids and roles that say so.
-NEVER = frozenset("aside button footer form head menu nav".split())
+#: Elements that are seldom part of the article, and words of classes, ids and roles that say so.
+ASIDE = frozenset("aside button footer form head menu nav noscript select template".split())
 BOILERPLATE = frozenset("""ad ads advert advertisement advertisements adverts alert alertdialog banner breadcrumb breadcrumbs
 complementary comment comments consent contentinfo cookie cookies dialog discussion disqus footer login masthead menu menubar
 modal nav navbar navigation newsletter notice notices pagination pager popup promo promos promoted related replies reply search
 share sharing sidebar signup skip social sponsor sponsored sponsors subscribe subscription toolbar widget widgets""".split())
-
-#: The same for article elements, which may be named after what the page has beside them.
-OTHER_ARTICLES = frozenset("ad advert comment comments promo related reply sponsored teaser".split())
+#: Words that may stand beside those and say nothing.
+NEUTRAL = frozenset("""area articles bar block body bottom box buttons container content form group header icons inner item items
+left link links list main message page panel post posts right row section site stories text thread top wrap wrapper""".split())
+#: Words that say what a page has or lacks, not what an element is.
+STATE = frozenset("has no with without".split())
+#: Words that an article element inside does not outweigh: articles of others.
+OTHER_ARTICLES = frozenset("ad advert comment comments promo related replies reply sponsored teaser".split())
 
 TOKEN = re.compile(r"""(?s)<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)"""
                    r"""((?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""")
@@ -53,41 +71,72 @@ SPACE = re.compile(r"[ \t\n\x0b\x0c\r]+")
 PUNCTUATION = re.compile(r"[.,;:!?。，；：！？、]")
 
 
-class Element:
-    __slots__ = ("name", "parent", "never", "soft", "holds", "weight")
-
-    def __init__(self, name: str, parent: Element | None, never: bool, soft: bool):
-        self.name, self.parent, self.never, self.soft = name, parent, never, soft
-        self.holds, self.weight = False, 0.0  # holds an article or main; content weight
-
-    def chain(self) -> list[Element]:
-        out, e = [], self
-        while e is not None:
-            out.append(e)
-            e = e.parent
-        return out
-
-    def path(self) -> str:
-        return "/".join(e.name for e in reversed(self.chain()))
-
-
-def _marks(name: str, attributes: str, inside: bool) -> tuple[bool, bool]:
-    """Whether an element is out by its tag or state, and whether by its class, id or role."""
-    never = name in NEVER or name == "header" and not inside
-    soft = False
-    if attributes.strip(" \t\n\r/"):
-        given = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "").lower() for m in ATTRIBUTE.finditer(attributes)}
-        never |= "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "")
-        words = set(re.findall(r"[a-z]+", " ".join(given.get(k, "") for k in ("class", "id", "role"))))
-        out = OTHER_ARTICLES if name == "article" else BOILERPLATE
-        soft = not words.isdisjoint(out) or "header" in words and not inside
-    return never, soft
-
-
-def parse(page: str) -> list[tuple[Element, str]]:
-    """The text blocks of a page in order, each with its innermost block element."""
-    root = Element("", None, False, False)
-    stack, blocks, text = [root], [], []
+class Tree:
+    """Elements of a page in order of their start, the root first; one list per property."""
+
+    def __init__(self) -> None:
+        self.names, self.parent, self.path = [""], [-1], [0]
+        self.fixed = [1.0]  # factors of names and states on the path
+        self.words = [1.0]  # factors of words that an article element outweighs
+        self.inside = [False]  # whether an article or main element is on the path
+        self.step = [0.0]  # what the element takes of its parent's ratio
+        self._paths: dict[tuple[int, str], int] = {}
+
+    def add(self, parent: int, name: str, attributes: str) -> int:
+        fixed, words = self.fixed[parent], self.words[parent]
+        hard, soft = _factors(name, attributes, self.inside[parent])
+        centre = name in ("article", "main") and hard == 1
+        self.step.append(1.0 if name in PARTS else NESTED if name == "article" and self.inside[parent]
+                         else WITHIN if self.inside[parent] else OUTSIDE)
+        self.names.append(name)
+        self.parent.append(parent)
+        self.path.append(self._paths.setdefault((self.path[parent], name), len(self._paths) + 1))
+        self.fixed.append(fixed * hard)
+        self.words.append(soft if centre else words * soft)
+        self.inside.append(self.inside[parent] or centre)
+        return len(self.names) - 1
+
+
+def _factors(name: str, attributes: str, inside: bool) -> tuple[float, float]:
+    """The factor of an element's name and state with words that always count, and that of its other words."""
+    hard, soft = (SELDOM if name in ASIDE or name == "header" and not inside else 1.0), 1.0
+    if not attributes.strip(" \t\n\r/") or name in ("html", "body"):
+        return hard, soft
+    given = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "").lower() for m in ATTRIBUTE.finditer(attributes)}
+    if "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", ""):
+        hard *= SELDOM
+    if name == "main":
+        return hard, soft
+    keys = ("class", "role") if name in HEADINGS else ("class", "id", "role")  # a heading's id is an anchor
+    boilerplate = BOILERPLATE | OTHER_ARTICLES if name == "article" else BOILERPLATE
+    for token in " ".join(given.get(k, "") for k in keys).split():
+        parts = re.findall(r"[a-z]+", token)
+        if not parts or parts[0] in STATE:
+            continue
+        if parts == ["header"] and not inside:
+            soft = min(soft, SELDOM)
+        telling = [p for p in parts if p not in NEUTRAL]
+        marked = [p for p in telling if p in boilerplate]
+        if not marked or name == "article" and OTHER_ARTICLES.isdisjoint(marked):
+            continue  # an article element may be named after what the page has beside it
+        factor = SELDOM if len(marked) == len(telling) else PARTLY
+        if OTHER_ARTICLES.isdisjoint(marked):
+            soft = min(soft, factor)
+        else:
+            hard = min(hard, factor)
+    return hard, soft
+
+
+def parse(page: str) -> tuple[Tree, list[tuple[int, str]]]:
+    """The elements of a page, and its text blocks in order, each with its innermost block element."""
+    tree, stack, blocks, text = Tree(), [0], [], []
+    places: dict[str, list[int]] = {}  # where on the stack a name is open
+
+    def cut(k: int) -> None:
+        """Closes the elements from place ``k`` of the stack on."""
+        for e in reversed(stack[k:]):
+            places[tree.names[e]].pop()
+        del stack[k:]
 
     def flush() -> None:
         joined = SPACE.sub(" ", html.unescape("".join(text))).strip(" ")
@@ -95,9 +144,8 @@ def parse(page: str) -> list[tuple[Element, str]]:
         if joined:
             blocks.append((stack[-1], joined))
 
-    def pop_to(k: int) -> None:
-        flush()
-        del stack[k:]
+    def nearest(names: set[str]) -> int:
+        return max((places[n][-1] for n in names if places.get(n)), default=0)
 
     at = 0
     while at < len(page):
@@ -107,46 +155,39 @@ def parse(page: str) -> list[tuple[Element, str]]:
             break
         text.append(page[at:m.start()])
         at = m.end()
-        name = (m[2] or m[5] or "").lower()
+        name, attributes = (m[2] or m[5] or "").lower(), m[3] or m[6] or ""
         if not name:
             continue
         if m[1] or m[4]:  # an end tag closes the nearest element of its name
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].name == name), 0)
-            if k:
-                pop_to(k)
+            if places.get(name):
+                flush()
+                cut(places[name][-1])
             continue
         if name in RAW:
-            end = re.compile(rf"</{name}[\s/>]", re.I).search(page, at)
-            gone = page.find(">", end.start()) if end else -1
-            at = gone + 1 if gone >= 0 else len(page)
+            if not attributes.endswith("/"):
+                end = re.compile(rf"</{name}[\s/>]", re.I).search(page, at)
+                gone = page.find(">", end.start()) if end else -1
+                at = gone + 1 if gone >= 0 else len(page)
             continue
         if name == "br":
             text.append(" ")
         if name not in BLOCK:
             continue
         flush()
-        if stack[-1].name == "p" or stack[-1].name in HEADINGS and name in HEADINGS:
-            del stack[-1]
+        top = tree.names[stack[-1]]
+        if top == "p" or top in HEADINGS and name in HEADINGS:
+            cut(len(stack) - 1)
         shuts, until = CLOSES.get(name, (set(), set()))
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].name in until:
-                break
-            if stack[k].name in shuts:
-                del stack[k:]
-                break
+        limit = nearest(until)
+        first = min((places[n][-1] for n in shuts if places.get(n) and places[n][-1] > limit), default=0)
+        if first:
+            cut(first)
         if name == "hr":
             continue
-        inside = any(e.name in ("article", "main") for e in stack)
-        never, soft = _marks(name, m[3] or m[6] or "", inside)
-        if name in ("html", "body", "main"):
-            never, soft = False, False
-        element = Element(name, stack[-1], never, soft)
-        if name in ("article", "main") and not soft and not any(e.never for e in stack):
-            for e in stack:
-                e.holds = True
-        stack.append(element)
+        places.setdefault(name, []).append(len(stack))
+        stack.append(tree.add(stack[-1], name, attributes))
     flush()
-    return blocks
+    return tree, blocks
 
 
 def _smoothed(x: np.ndarray) -> np.ndarray:
@@ -155,47 +196,52 @@ def _smoothed(x: np.ndarray) -> np.ndarray:
     return np.convolve(np.pad(x, 1, mode="edge"), kernel, mode="valid")
 
 
-def content_weights(blocks: list[tuple[Element, str]], spread: float = SPREAD) -> np.ndarray:
-    """The fused tag-path ratio of every block, zero below the threshold."""
-    paths = [e.path() for e, _ in blocks]
-    number = {p: i for i, p in enumerate(dict.fromkeys(paths))}
-    of = np.array([number[p] for p in paths])
-    length = np.array([len(t) for _, t in blocks], dtype=float)
-    marks = np.array([len(PUNCTUATION.findall(t)) for _, t in blocks], dtype=float)
+def path_ratios(paths: np.ndarray, texts: list[str]) -> np.ndarray:
+    """The fused ratio of every block: its path's mean length and punctuation, smoothed along the page."""
+    _, of = np.unique(paths, return_inverse=True)
+    length = np.array([len(t) for t in texts], dtype=float)
+    marks = np.array([len(PUNCTUATION.findall(t)) for t in texts], dtype=float)
     nodes = np.bincount(of)
-    ratios = [(np.bincount(of, x) / nodes)[of] for x in (length, marks)]
-    fused = _smoothed(ratios[0]) * np.log1p(_smoothed(ratios[1]) + 1)
-    return np.where(fused >= spread * fused.std(), fused * length, 0.0)
+    by_length, by_marks = ((np.bincount(of, x) / nodes)[of] for x in (length, marks))
+    return _smoothed(by_length) * np.log1p(_smoothed(by_marks) + 1)
+
+
+def content_weights(tree: Tree, blocks: list[tuple[int, str]]) -> tuple[np.ndarray, float]:
+    """The weight of every block, and the mean weight that thresholds are shares of.
+
+    Both means weigh a block by its length and its own value, so they are
+    those of the page's text, however many small blocks stand around it.
+    """
+    where = np.array([e for e, _ in blocks])
+    length = np.array([len(t) for _, t in blocks], dtype=float)
+    ratio = path_ratios(np.array([tree.path[e] for e, _ in blocks]), [t for _, t in blocks])
+    factor = np.array([tree.fixed[e] * tree.words[e] * (ARTICLE if tree.inside[e] else 1.0) for e, _ in blocks])
+    size = np.bincount(where, factor * length, len(tree.names))
+    mass = np.bincount(where, factor * length * ratio, len(tree.names))
+    for e in range(len(tree.names) - 1, 0, -1):  # children come after their parents
+        size[tree.parent[e]] += size[e]
+        mass[tree.parent[e]] += mass[e]
+    spread = np.divide(mass, size, out=np.zeros_like(mass), where=size > 0)
+    for e in range(1, len(tree.names)):
+        spread[e] = max(spread[e], tree.step[e] * spread[tree.parent[e]])
+    weight = factor * np.maximum(ratio, spread[where])
+    mean = float((weight * weight * length).sum() / (weight * length).sum())
+    plain = float((ratio * ratio * length).sum() / (ratio * length).sum())
+    return weight, max(mean, FLOOR * plain)
 
 
 def main_text(page: str | None, spread: float = SPREAD) -> str:
-    """The article's blocks, joined by newlines; empty if the page has none.
+    """The content blocks, joined by newlines; empty if the page has none.
 
     Character references are decoded, white space inside a block becomes one
     space. Null or empty pages, pages of markup only and unclosed or cut
-    markup give what text there is. Elements marked as boilerplate by class,
-    id or role stay when an article or main element is inside them.
+    markup give what text there is.
     """
-    found = [(e, t) for e, t in parse(page or "")
-             if not any(x.never or x.soft and not x.holds for x in e.chain())]
-    if not found:
+    tree, blocks = parse(page or "")
+    if not blocks:
         return ""
-    weights = content_weights(found, spread)
-    for (e, t), w in zip(found, weights):
-        for x in e.chain():
-            x.weight += w + 1e-9 * len(t)  # blocks below the threshold break ties
-    elements = {x for e, _ in found for x in e.chain()}
-    articles = [x for x in elements if x.name == "article"] or [x for x in elements if x.name == "main"]
-    if articles:
-        article = max(articles, key=lambda x: (x.weight, len(x.chain())))
-        outer = [x for x in article.chain() if x.name == article.name]
-        article = outer[-1]
-    else:
-        total = max(x.weight for x in elements)
-        article = max((x for x in elements if x.weight >= 0.8 * total), key=lambda x: len(x.chain()))
-        if article.name in ("p", "li", "td", "") or article.name in HEADINGS:
-            article = article.parent or article
-    return "\n".join(t for e, t in found if article in e.chain())
+    weight, mean = content_weights(tree, blocks)
+    return "\n".join(t for (_, t), w in zip(blocks, weight) if w >= spread * mean)
 
 
 def page_text() -> Callable[[Column], Column]:
