@@ -185,21 +185,28 @@ def test_page_text_is_linear_in_depth():
 
 def test_chain_marginals_match_enumeration():
     rng = np.random.default_rng(1)
-    e, trans = rng.normal(size=(3, 5)), rng.normal(size=(2, 2))
-    mask = np.array([[1] * 5, [1, 1, 1, 0, 0], [1, 0, 0, 0, 0]], dtype=bool)
-    e = e * mask
-    p, pair, log_z = toxicity.marginals(e, mask, trans)
-    for k, n in enumerate((5, 3, 1)):
+    for n in (1, 3, 7):
+        e, trans = rng.normal(size=n), rng.normal(size=(2, 2))
+        p, pair = toxicity.marginals(e, trans)
         scores = {}
         for code in range(2 ** n):
-            y = [code >> t & 1 for t in range(n)]
-            scores[tuple(y)] = sum(e[k, t] for t in range(n) if y[t]) + sum(trans[a, b] for a, b in zip(y, y[1:]))
-        z = sum(np.exp(s) for s in scores.values())
-        assert np.isclose(np.log(z), log_z[k])
-        for t in range(n):
-            assert np.isclose(p[k, t], sum(np.exp(s) for y, s in scores.items() if y[t]) / z)
-    flat = np.zeros((3, 5))
-    assert np.allclose(toxicity._toxic_only(e, mask, trans), p + flat)
+            y = tuple(code >> t & 1 for t in range(n))
+            scores[y] = np.exp(sum(e[t] for t in range(n) if y[t]) + sum(trans[a, b] for a, b in zip(y, y[1:])))
+        z = sum(scores.values())
+        want = np.zeros((2, 2))
+        for y, s in scores.items():
+            for a, b in zip(y, y[1:]):
+                want[a, b] += s / z
+        assert np.allclose(pair, want)
+        assert np.allclose(p, [sum(s for y, s in scores.items() if y[t]) / z for t in range(n)])
+
+
+def test_chains_are_not_cut():
+    """A transition reaches over any distance: what the first word says decides the last one's label."""
+    trans = np.array([[0.0, -40.0], [-40.0, 0.0]])
+    for first in (-6.0, 6.0):
+        p, _ = toxicity.marginals(np.array([first, *[0.0] * 5000]), trans)
+        assert np.allclose(p, 1 / (1 + np.exp(-first)))
 
 
 def toxic_docs(n=240):
@@ -243,13 +250,16 @@ def test_toxicity_without_toxic_examples(frame, spark):
 
 
 def test_registered_toxicity_on_held_out_rows(spark):
-    """Held-out rows of sf0.01; recall by language is in the README."""
+    """Held-out rows of sf0.01 (18 toxic, 15 of them English); recall by language on sf0.1 is in the README."""
     from urlatlas.llm import queries
     sf = "/root/testdata/sf0.01"
     got = queries.op8_crf(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic"), "doc_id")
+    got = got.join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id")
     held = [r for r in got.where("held_out").collect()]
     caught = [r for r in held if r.predicted]
-    assert sum(r.toxic for r in caught) >= 0.9 * len(caught) and len(caught) >= 0.5 * sum(r.toxic for r in held)
+    assert sum(r.toxic for r in caught) >= 0.9 * len(caught) and len(caught) >= 0.7 * sum(r.toxic for r in held)
+    english = [r for r in held if r.lang == "en" and r.toxic]
+    assert sum(r.predicted for r in english) >= 0.85 * len(english)
     pos, neg = ([r.score for r in held if r.toxic == y] for y in (1, 0))
     assert np.mean([p > n for p in pos for n in neg]) > 0.85
 

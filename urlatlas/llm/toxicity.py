@@ -1,26 +1,31 @@
 """Toxic spans by a linear-chain conditional random field, aggregated to document scores.
 
-Fitting looks at a bounded sample of labelled documents (``SAMPLE_DOCS``):
+Fitting looks at a bounded sample of labelled documents (``SAMPLE_DOCS``),
+at all of their texts and in the same way however many there are:
 
 1. Word features (the lower-cased word and its prefixes) that occur in many
    different contexts in toxic documents, at a rate per word far above that
    in clean ones, label the sample's tokens; a greedy cover adds weaker
    features for toxic documents that have none of those.
-2. A two-label chain (clean, toxic) is trained on bounded segments of those
-   tokens: emission weights of the word, its prefixes and suffix and of its
-   neighbours, transition weights, full forward-backward gradients.
+2. A two-label chain (clean, toxic) is trained on those tokens, a chain per
+   text: emission weights of the word, its prefixes and suffix and of its
+   neighbours, and transition weights. Tasks take gradient steps over the
+   documents of their shard (exact forward-backward), and the shards' weights
+   are averaged after every round.
 3. A logistic curve turns a document's marginals (how many toxic tokens are
    expected, how sure the surest is, their share, and how many different
-   words are toxic) into its score. It is fitted on documents that the
-   chain it looks at has not seen; the chain in use is then that of all.
+   words are toxic) into its score. It is fitted on what chains say of texts
+   that they have not seen: every fold of the sample is judged by the chain of
+   the other folds. The chain in use is that of all.
 
-Scoring reads every token of every document in Arrow batches; only the text
-is an input.
+Scoring reads every token of every document in Arrow batches, one chain a
+text from its first word to its last; only the text is an input.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -35,17 +40,16 @@ from urlatlas.llm.common import fresh, stage, text_of, work_dir
 
 #: Labelled documents the model is fitted on at most, chosen by a hash of their ids.
 SAMPLE_DOCS = 16_000
-#: Features, token segments of each kind, and words of a chain.
-MAX_FEATURES, MAX_SEGMENTS, CHAIN = 50_000, 3_000, 64
 #: Contexts that make a feature of toxic texts significant without further evidence.
 STRONG = 6
 #: How often more a feature that clean texts have too must occur in toxic ones, word for word.
 RATE = 15.0
-#: One in so many texts of the sample is kept apart for the curve.
-APART = 3
-#: Texts of each label that must be apart; with fewer the curve looks at the whole sample, and words
-#: that clean texts have too are no features.
-LEAST_APART = 20
+#: Parts of the sample that the chains of the others judge for the curve; by text, so that copies are in one.
+FOLDS = 3
+#: Tasks that a chain is trained in, rounds after which their weights are averaged, and words of a gradient step.
+SHARDS, ROUNDS, STEP = 4, 3, 8192
+#: Step sizes of own-word, neighbour and transition weights, and their decay.
+RATES, DECAY = (0.3, 0.05, 0.1), 1e-3
 #: Hashed weights of each kind of feature.
 SLOTS = 1 << 18
 THRESHOLD = 0.7
@@ -76,36 +80,36 @@ def neighbour(word: str) -> int:
     return zlib.crc32(word.encode("utf-8")) % SLOTS
 
 
-def marginals(emission: np.ndarray, mask: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Forward-backward over chains ``(n, T)`` of toxic-label scores (clean scores are 0).
+def messages(emission: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forward-backward over one chain of toxic-label scores (clean scores are 0), in odds of toxic.
 
-    Returns the toxic marginals, the pair marginals summed over places
-    ``(n, 2, 2)``, and the log partition of each chain.
+    Returns the odds that each score stands for, the forward messages (they
+    hold the word's own odds) and the backward messages; a word's marginal
+    odds are the product of the last two. The sums are exact from the first
+    word to the last; odds stay finite, since a word's own are kept in e**±50.
     """
-    n, T = emission.shape
-    psi = np.zeros((T, n, 2))
-    psi[:, :, 1] = emission.T
-    alpha, beta = np.zeros((T, n, 2)), np.zeros((T, n, 2))
-    alpha[0] = psi[0]
-    for t in range(1, T):
-        step = np.logaddexp(alpha[t - 1, :, :1] + trans[0], alpha[t - 1, :, 1:] + trans[1]) + psi[t]
-        alpha[t] = np.where(mask[:, t, None], step, alpha[t - 1])
-    for t in range(T - 2, -1, -1):
-        ahead = psi[t + 1] + beta[t + 1]
-        step = np.logaddexp(ahead[:, :1] + trans[:, 0], ahead[:, 1:] + trans[:, 1])
-        beta[t] = np.where(mask[:, t + 1, None], step, 0.0)
-    log_z = np.logaddexp(alpha[-1, :, 0], alpha[-1, :, 1])
-    # alpha of a padded place repeats the chain's last one
-    p = np.exp(alpha[:, :, 1] + beta[:, :, 1] - log_z).T * mask
-    pair = np.zeros((n, 2, 2))
-    for t in range(1, T):
-        joint = alpha[t - 1, :, :, None] + trans + (psi[t] + beta[t])[:, None, :] - log_z[:, None, None]
-        pair += np.exp(joint) * mask[:, t, None, None]
-    return p, pair, log_z
-
-
-def _chains(words: list[str]) -> list[list[str]]:
-    return [words[a:a + CHAIN] for a in range(0, len(words), CHAIN)]
+    if not len(emission):
+        return np.zeros(0), np.zeros(0), np.zeros(0)
+    odds = np.exp(np.clip(emission, -50, 50))
+    x = odds.tolist()
+    (stay, enter), (leave, remain) = np.exp(np.clip(trans, -30, 30)).tolist()
+    f = x[0]
+    ahead = [f]
+    ahead += [f := v * (enter + f * remain) / (stay + f * leave) for v in x[1:]]
+    b = 1.0
+    back = [b]
+    back += [b := (leave + v * b * remain) / (stay + v * b * enter) for v in x[:0:-1]]
+    return odds, np.array(ahead), np.array(back[::-1])
+
+
+def marginals(emission: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Toxic marginal of every word of a chain, and the pair marginals summed over places ``(2, 2)``."""
+    odds, ahead, back = messages(emission, trans)
+    p = 1 - 1 / (1 + ahead * back)
+    one = np.ones(max(len(odds) - 1, 0))
+    before, after = np.stack([one, ahead[:-1]]), np.stack([one, odds[1:] * back[1:]])
+    pair = before[:, None] * np.exp(np.clip(trans, -30, 30))[:, :, None] * after[None]
+    return p, (pair / pair.sum(axis=(0, 1))).sum(axis=2)
 
 
 class Lookup:
@@ -136,66 +140,31 @@ class Lookup:
 
     def emission(self, words: list[str]) -> np.ndarray:
         """Toxic-label score of every word of a text: its own, and what its neighbours say."""
-        parts = self.parts_of(words)
+        numbers = self.numbers(words)
+        parts = self.parts[numbers]
         score = parts[:, 0].copy()
         score[1:] += parts[:-1, 1]
         score[:-1] += parts[1:, 2]
         return score
 
-    def parts_of(self, words: list[str]) -> np.ndarray:
-        numbers = self.numbers(words)
-        return self.parts[numbers]
+
+_LOOKUPS: dict[str, Lookup] = {}
 
 
-def toxic_marginals(texts: list[str], look: Lookup, block: int = 1 << 18) -> Iterator[np.ndarray]:
-    """Marginal of the toxic label for every word of each text; chains never cross texts."""
-    waiting: list[np.ndarray] = []
-    size = 0
+def lookup(sent) -> Lookup:
+    """The worker's look-up for a broadcast ``(name, *model)``, kept until another model comes."""
+    name, *model = sent.value
+    if name not in _LOOKUPS:
+        _LOOKUPS.clear()
+        _LOOKUPS[name] = Lookup(Model(*model))
+    return _LOOKUPS[name]
+
+
+def toxic_marginals(texts: list[str], look: Lookup) -> Iterator[np.ndarray]:
+    """Marginal of the toxic label for every word of each text, one chain a text."""
     for text in texts:
-        words = WORD.findall(text)
-        waiting.append(look.emission(words) if words else np.zeros(0))
-        size += len(words)
-        if size >= block:
-            yield from _block_marginals(waiting, look.model.trans)
-            waiting, size = [], 0
-    yield from _block_marginals(waiting, look.model.trans)
-
-
-def _block_marginals(scores: list[np.ndarray], trans: np.ndarray, rows: int = 4096) -> Iterator[np.ndarray]:
-    lengths = np.array([len(s) for s in scores], dtype=np.int64)
-    chains = -(-lengths // CHAIN)
-    total = int(chains.sum())
-    flat = np.zeros((total, CHAIN))
-    mask = np.zeros((total, CHAIN), dtype=bool)
-    at = 0
-    for s, c in zip(scores, chains):
-        flat[at:at + c].reshape(-1)[:len(s)] = s
-        mask[at:at + c].reshape(-1)[:len(s)] = True
-        at += c
-    p = np.zeros((total, CHAIN))
-    for a in range(0, total, rows):
-        p[a:a + rows] = _toxic_only(flat[a:a + rows], mask[a:a + rows], trans)
-    at = 0
-    for n, c in zip(lengths, chains):
-        yield p[at:at + c].reshape(-1)[:n]
-        at += c
-
-
-def _toxic_only(emission: np.ndarray, mask: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """Toxic marginals alone, in log-odds form: one number per place and direction instead of two."""
-    n, T = emission.shape
-    ahead = np.zeros((T, n))  # log odds of toxic given the words up to here
-    e = emission.T
-    ahead[0] = e[0]
-    for t in range(1, T):
-        odds = ahead[t - 1]
-        ahead[t] = e[t] + np.logaddexp(trans[0, 1], odds + trans[1, 1]) - np.logaddexp(trans[0, 0], odds + trans[1, 0])
-    back = np.zeros((T, n))
-    for t in range(T - 2, -1, -1):
-        odds = np.where(mask[:, t + 1], e[t + 1] + back[t + 1], 0.0)
-        step = np.logaddexp(trans[1, 0], odds + trans[1, 1]) - np.logaddexp(trans[0, 0], odds + trans[0, 1])
-        back[t] = np.where(mask[:, t + 1], step, 0.0)
-    return (1 / (1 + np.exp(-np.clip(ahead + back, -60, 60)))).T * mask
+        _, ahead, back = messages(look.emission(WORD.findall(text)), look.model.trans)
+        yield 1 - 1 / (1 + ahead * back)
 
 
 def evidence(p: np.ndarray, text: str) -> tuple[float, float, float, float]:
@@ -227,57 +196,76 @@ def cover(found: list[list[str]], least: int = 3) -> set[str]:
     return chosen
 
 
-def train_chain(segments: list[list[str]], toxic: set[str], rounds: int = 120, rate: float = 0.3,
-                decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Own, neighbour and transition weights by gradient steps (Adam) on the chains' log likelihood."""
-    own, around, trans = np.zeros(SLOTS), np.zeros((2, SLOTS)), np.zeros((2, 2))
-    if not segments or not toxic:
-        own[:] = 0.0
-        return own, around, np.zeros((2, 2))
-    n = len(segments)
-    vocabulary = sorted({w for s in segments for w in s})
-    number = {w: i for i, w in enumerate(vocabulary)}
-    ids = np.zeros((n, CHAIN), dtype=np.int64)
-    mask = np.zeros((n, CHAIN), dtype=bool)
-    for k, s in enumerate(segments):
-        ids[k, :len(s)] = [number[w] for w in s]
-        mask[k, :len(s)] = True
-    is_toxic = np.array([bool(toxic.intersection(word_features(w))) for w in vocabulary], dtype=float)
-    gold = is_toxic[ids] * mask
-    per_word = [np.array(slots(w)) for w in vocabulary]
-    flat, owner = np.concatenate(per_word), np.repeat(np.arange(len(vocabulary)), [len(p) for p in per_word])
-    near = np.array([neighbour(w) for w in vocabulary])
-    pairs = np.zeros((2, 2))
-    g = gold.astype(int)
-    both = mask[:, 1:]
-    np.add.at(pairs, (g[:, :-1][both], g[:, 1:][both]), 1)
-    used = np.unique(flat)
-    params = [own, around, trans]
-    first, second = [np.zeros_like(x) for x in params], [np.zeros_like(x) for x in params]
-    weight = 1.0 / mask.sum()
-    for step in range(1, rounds + 1):
-        word_own = np.bincount(owner, own[flat], len(vocabulary))
-        before, after = around[0, near], around[1, near]
-        e = word_own[ids]
-        e[:, 1:] += before[ids[:, :-1]]
-        e[:, :-1] += after[ids[:, 1:]] * both
-        p, pair, _ = marginals(e * mask, mask, trans)
-        err = (gold - p) * mask * weight
-        by_word = np.bincount(ids.ravel(), err.ravel(), len(vocabulary))
-        grads = [np.bincount(flat, by_word[owner], SLOTS) - decay * own, np.zeros_like(around),
-                 (pairs - pair.sum(axis=0)) * weight - decay * trans]
-        left = np.bincount(ids[:, :-1].ravel(), (err[:, 1:] * both).ravel(), len(vocabulary))
-        right = np.bincount(ids[:, 1:].ravel(), (err[:, :-1] * both).ravel(), len(vocabulary))
-        grads[1][0] = np.bincount(near, left, SLOTS) - 10 * decay * around[0]
-        grads[1][1] = np.bincount(near, right, SLOTS) - 10 * decay * around[1]
-        for k, (x, grad) in enumerate(zip(params, grads)):
-            first[k] = 0.9 * first[k] + 0.1 * grad
-            second[k] = 0.99 * second[k] + 0.01 * grad * grad
-            x += rate * (first[k] / (1 - 0.9 ** step)) / (np.sqrt(second[k] / (1 - 0.99 ** step)) + 1e-6)
-    keep = np.zeros(SLOTS, dtype=bool)
-    keep[used] = True
-    own[~keep] = 0.0
-    return own, around, trans
+class Learner:
+    """Gradient steps (AdaGrad) on the log likelihood of labelled chains."""
+
+    def __init__(self, weights: tuple[np.ndarray, np.ndarray, np.ndarray], toxic: frozenset[str]):
+        self.weights = [w.copy() for w in weights]  # own (SLOTS), around (2 x SLOTS, flat), trans (4, flat)
+        self.squares = [np.zeros_like(w) for w in weights]
+        self.toxic = toxic
+        self.number: dict[str, int] = {}
+        self.slots: list[list[int]] = []
+        self.marked: list[bool] = []
+        self.waiting: list[tuple[list[int], bool]] = []
+        self.size = 0
+
+    def add(self, words: list[str], label: int) -> None:
+        get, ids = self.number.get, []
+        for w in words:
+            i = get(w)
+            if i is None:
+                i = self.number[w] = len(self.slots)
+                self.slots.append([neighbour(w), *slots(w)])
+                self.marked.append(not self.toxic.isdisjoint(word_features(w)))
+            ids.append(i)
+        self.waiting.append((ids, bool(label)))
+        self.size += len(ids)
+        if self.size >= STEP:
+            self.step()
+
+    def step(self) -> None:
+        """One step over the waiting texts; words that mark toxic texts are toxic in those alone."""
+        chains, self.waiting, self.size = [(np.array(ids), y) for ids, y in self.waiting if ids], [], 0
+        if not chains:
+            return
+        own, around, flat_trans = self.weights
+        trans = flat_trans.reshape(2, 2)
+        used, at = np.unique(np.concatenate([ids for ids, _ in chains]), return_inverse=True)
+        held = [self.slots[i] for i in used]
+        near = np.array([h[0] for h in held])
+        flat = np.array([k for h in held for k in h[1:]])
+        owner = np.repeat(np.arange(len(used)), [len(h) - 1 for h in held])
+        marked = np.array([self.marked[i] for i in used])
+        word = np.bincount(owner, own[flat], len(used))
+        before, after = around[near], around[SLOTS + near]
+        by_word, left, right = np.zeros(len(used)), np.zeros(len(used)), np.zeros(len(used))
+        change = np.zeros((2, 2))
+        a = 0
+        for ids, y in chains:
+            n = at[a:a + len(ids)]
+            a += len(ids)
+            e = word[n]
+            e[1:] += before[n[:-1]]
+            e[:-1] += after[n[1:]]
+            p, pair = marginals(e, trans)
+            gold = (marked[n] & y).astype(int)
+            err = gold - p
+            by_word += np.bincount(n, err, len(used))
+            left += np.bincount(n[:-1], err[1:], len(used))
+            right += np.bincount(n[1:], err[:-1], len(used))
+            change += np.bincount(2 * gold[:-1] + gold[1:], minlength=4).reshape(2, 2) - pair
+        own_slots, own_of = np.unique(flat, return_inverse=True)
+        near_slots, near_of = np.unique(near, return_inverse=True)
+        self._move(0, own_slots, np.bincount(own_of, by_word[owner]))
+        self._move(1, near_slots, np.bincount(near_of, left))
+        self._move(1, SLOTS + near_slots, np.bincount(near_of, right))
+        self._move(2, np.arange(4), change.ravel())
+
+    def _move(self, kind: int, where: np.ndarray, grad: np.ndarray) -> None:
+        w, squares = self.weights[kind], self.squares[kind]
+        grad = grad - DECAY * w[where]
+        squares[where] += grad * grad
+        w[where] += RATES[kind] * grad / (np.sqrt(squares[where]) + 1e-6)
 
 
 def fit_curve(seen: np.ndarray, labels: np.ndarray) -> np.ndarray:
@@ -344,21 +332,22 @@ def _occurrences(it: Iterator[pa.RecordBatch], wanted: frozenset[str]) -> Iterat
         yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["f", "n"])
 
 
-def _segments(it: Iterator[pa.RecordBatch], toxic: frozenset[str]) -> Iterator[pa.RecordBatch]:
-    """Chains of words that can be trained on: ``kind`` 1 with toxic words (of toxic texts), 0 without."""
+def _learn(it: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
+    """One round over a shard's documents: ``(kind, slot, weight)`` of the weights that moved."""
+    toxic, *weights = sent.value
+    learner = Learner(tuple(weights), toxic)
     for b in it:
-        kinds, chains = [], []
         for label, text in zip(b.column(0).to_pylist(), b.column(1)):
-            for chain in _chains([w.lower() for w in WORD.findall(text.as_py())]):
-                marked = any(not toxic.isdisjoint(word_features(w)) for w in chain)
-                if marked <= bool(label):
-                    kinds.append(int(marked))
-                    chains.append(" ".join(chain))
-        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(chains, pa.string())], names=["kind", "chain"])
+            learner.add([w.lower() for w in WORD.findall(text.as_py())], label)
+    learner.step()
+    for kind, squares in enumerate(learner.squares):
+        moved = np.nonzero(squares)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(moved), kind, dtype=np.int32)), pa.array(moved),
+                                          pa.array(learner.weights[kind][moved])], names=["kind", "slot", "weight"])
 
 
-def _evidence(it: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    look = Lookup(model)
+def _evidence(it: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
+    look = lookup(sent)
     for b in it:
         texts = b.column(1).to_pylist()
         seen = [evidence(p, text) for text, p in zip(texts, toxic_marginals(texts, look))]
@@ -366,43 +355,65 @@ def _evidence(it: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordB
                                          names=["label", "seen"])
 
 
-def _toxic_features(toxic: DataFrame, clean: DataFrame, folder: str, by_rate: bool) -> frozenset[str]:
+def _toxic_features(toxic: DataFrame, clean: DataFrame, folder: str) -> frozenset[str]:
     """Features that mark toxic words, from the sample's toxic and clean texts (``text``).
 
     Support is the number of different contexts in toxic texts, so copies of
     a text give its words one vote; clean texts count once each. A feature
     with ``STRONG`` contexts counts if clean texts never have it, or if its
     rate per word, less two standard deviations, is ``RATE`` times theirs:
-    how often a word occurs at all must not matter. The latter need ``by_rate``,
-    since one of them alone says little: how many do is learned by the curve.
-    Toxic texts without a feature are covered by weaker ones that clean texts
+    how often a word occurs at all must not matter. One of the latter alone
+    says little: how many do is learned by the curve. What is collected here
+    is bounded by the sample's texts. Toxic texts without a feature are covered by weaker ones that clean texts
     never have.
     """
     contexts = stage(toxic.mapInArrow(_contexts, "f string, context long").distinct().groupBy("f").count(), folder, "contexts")
     toxic_words = contexts.where(F.col("f").startswith("w=")).agg(F.sum("count")).first()[0] or 0
-    support = {r["f"]: r["count"] for r in
-               contexts.where("count >= 3").orderBy(F.desc("count"), "f").limit(MAX_FEATURES).collect()}
+    support = {r["f"]: r["count"] for r in contexts.where("count >= 3").collect()}
     wanted = frozenset(support)
     met = clean.distinct().mapInArrow(lambda it: _occurrences(it, wanted), "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
-    against = {r["f"]: r["n"] for r in met.collect()}  # at most MAX_FEATURES rows and the total
+    against = {r["f"]: r["n"] for r in met.collect()}  # those wanted, and the total
     clean_words = against.get("", 0)
     pure = frozenset(f for f in support if not against.get(f))
     frequent = {f for f, n in support.items()
-                if by_rate and (n - 2 * n ** 0.5) * clean_words >= RATE * (against.get(f, 0) + 1) * toxic_words}
+                if (n - 2 * n ** 0.5) * clean_words >= RATE * (against.get(f, 0) + 1) * toxic_words}
     found = [r["features"] for r in toxic.mapInArrow(lambda it: _features(it, pure | frequent), "features array<string>").collect()]
     strong = {f for f in pure | frequent if support[f] >= STRONG}
     return frozenset(strong | cover([[f for f in fs if f in pure] for fs in found if strong.isdisjoint(fs)]))
 
 
-def _chain_model(sample: DataFrame, folder: str, name: str, by_rate: bool) -> Model:
+def train_chain(sample: DataFrame, toxic: frozenset[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Own, neighbour and transition weights from ``sample`` (``label, text``), in shards whose weights are averaged.
+
+    A weight's average is that of the shards whose documents moved it. Shards
+    go by a hash of the text and read in its order, so runs agree.
+    """
+    weights = [np.zeros(SLOTS), np.zeros(2 * SLOTS), np.zeros(4)]
+    if toxic:
+        key = F.xxhash64(F.lit("shard"), "text")
+        shards = sample.select("label", "text", key.alias("h")).repartition(SHARDS, "h").sortWithinPartitions("h", "label")
+        spark = sample.sparkSession
+        for _ in range(ROUNDS):
+            sent = spark.sparkContext.broadcast((toxic, *weights))
+            moved = shards.mapInArrow(lambda it: _learn(it, sent), "kind int, slot long, weight double")
+            mean = moved.groupBy("kind", "slot").agg(F.avg("weight").alias("weight")).toArrow()  # a row per weight
+            kind, slot, weight = (mean.column(c).to_numpy() for c in ("kind", "slot", "weight"))
+            for k, w in enumerate(weights):
+                w[slot[kind == k]] = weight[kind == k]
+            sent.unpersist()
+    own, around, trans = weights
+    return own, around.reshape(2, SLOTS), trans.reshape(2, 2)
+
+
+def _chain_model(sample: DataFrame, folder: str, name: str) -> Model:
     """Features and chain weights from ``sample`` (``label, text``), without a curve."""
-    folder = f"{folder}/{name}"
-    toxic = _toxic_features(sample.where("label = 1").select("text"), sample.where("label = 0").select("text"), folder, by_rate)
-    chains = sample.mapInArrow(lambda it: _segments(it, toxic), "kind int, chain string").distinct()
-    chains = stage(chains, folder, "chains")
-    segments = [r["chain"].split(" ") for kind in (1, 0) for r in
-                chains.where(F.col("kind") == kind).orderBy(F.xxhash64("chain"), "chain").limit(MAX_SEGMENTS).collect()]
-    return Model(*train_chain(segments, toxic), np.zeros(5))
+    texts = [sample.where(F.col("label") == label).select("text") for label in (1, 0)]
+    return Model(*train_chain(sample, _toxic_features(*texts, f"{folder}/{name}")), np.zeros(5))
+
+
+def send(model: Model, spark: SparkSession):
+    """A broadcast of a model under a name of its own."""
+    return spark.sparkContext.broadcast((uuid.uuid4().hex, *model))
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text",
@@ -414,16 +425,14 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     """
     folder = work_dir(docs.sparkSession)
     sample = _sample(docs, labels, train, id_col, text_col, label_col, sample_docs, folder).select("label", "text")
-    apart = F.pmod(F.xxhash64("text"), F.lit(APART)) == 0  # by text, so that copies are on one side
-    known = [r["count"] for r in sample.where(apart).groupBy("label").count().collect()]
-    both = len(known) == 2 and min(known) >= LEAST_APART
-    model = _chain_model(sample, folder, "all", both)
-    # the curve looks at texts that its chain has not seen, if there are enough labels to keep some apart
-    blind = _chain_model(sample.where(~apart), folder, "shown", True) if both else model
-    sent = docs.sparkSession.sparkContext.broadcast(tuple(blind))
-    judged = sample.where(apart) if both else sample
-    seen = judged.mapInArrow(lambda it: _evidence(it, Model(*sent.value)), "label int, seen array<double>").collect()
+    fold = F.pmod(F.xxhash64("text"), F.lit(FOLDS))
+    seen = []
+    for k in range(FOLDS):
+        sent = send(_chain_model(sample.where(fold != k), folder, f"without{k}"), docs.sparkSession)
+        seen += sample.where(fold == k).mapInArrow(lambda it: _evidence(it, sent), "label int, seen array<double>").collect()
+    seen.sort(key=lambda r: (r["label"], r["seen"]))
     curve = fit_curve(np.array([r["seen"] for r in seen]).reshape(-1, 4), np.array([r["label"] for r in seen], dtype=float))
+    model = _chain_model(sample, folder, "all")
     return model._replace(curve=curve)
 
 
@@ -431,11 +440,11 @@ SCORED = "struct<score: double, spans: array<struct<start: int, end: int>>>"
 ARROW_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
-def _score(texts: pa.Array, model: Model) -> pa.Array:
+def _score(texts: pa.Array, look: Lookup) -> pa.Array:
     texts = [t.as_py() or "" for t in texts]
     rows = []
-    for text, p in zip(texts, toxic_marginals(texts, Lookup(model))):
-        x = float(np.dot((*evidence(p, text), 1.0), model.curve))
+    for text, p in zip(texts, toxic_marginals(texts, look)):
+        x = float(np.dot((*evidence(p, text), 1.0), look.model.curve))
         spans = []
         if len(p) and p.max() >= 0.5:
             spans = [{"start": m.start(), "end": m.end()} for m, q in zip(WORD.finditer(text), p) if q >= 0.5]
@@ -449,10 +458,10 @@ def toxicity(model: Model, spark: SparkSession) -> Callable[[Column], Column]:
     Null texts count as empty; a text without words has the score of one
     without toxic words.
     """
-    sent = spark.sparkContext.broadcast(tuple(model))
+    sent = send(model, spark)
 
     def score(texts: pa.Array) -> pa.Array:
-        return _score(texts, Model(*sent.value))
+        return _score(texts, lookup(sent))
 
     score.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return F.arrow_udf(score, SCORED)
