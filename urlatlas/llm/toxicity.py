@@ -11,7 +11,7 @@ at all of their texts and in the same way however many there are:
    text: emission weights of the word, its prefixes and suffix and of its
    neighbours, and transition weights. Tasks take gradient steps over the
    documents of their shard (exact forward-backward), and the shards' weights
-   are averaged after every round.
+   are averaged.
 3. A logistic curve turns a document's marginals (how many toxic tokens are
    expected, how sure the surest is, their share, and how many different
    words are toxic) into its score. It is fitted on what chains say of texts
@@ -46,8 +46,8 @@ STRONG = 6
 RATE = 15.0
 #: Parts of the sample that the chains of the others judge for the curve; by text, so that copies are in one.
 FOLDS = 3
-#: Tasks that a chain is trained in, rounds after which their weights are averaged, and words of a gradient step.
-SHARDS, ROUNDS, STEP = 4, 3, 8192
+#: Shards that chains are trained in, passes over a shard's documents, and words of a gradient step.
+SHARDS, PASSES, STEP = 4, 3, 8192
 #: Step sizes of own-word, neighbour and transition weights, and their decay.
 RATES, DECAY = (0.3, 0.05, 0.1), 1e-3
 #: Hashed weights of each kind of feature.
@@ -196,70 +196,93 @@ def cover(found: list[list[str]], least: int = 3) -> set[str]:
     return chosen
 
 
+class Vocabulary:
+    """Numbers of lower-cased words, with the slots of their own features and as neighbours."""
+
+    OWN = 7  # own slots of a word at most; the rest point behind the weights
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+        self.words: list[str] = []
+        self.own = np.full((1024, self.OWN), SLOTS, dtype=np.int32)
+        self.near = np.zeros(1024, dtype=np.int32)
+
+    def numbers(self, text: str) -> np.ndarray:
+        get = self.number.get
+        return np.array([self._add(w) if (i := get(w)) is None else i for w in map(str.lower, WORD.findall(text))], dtype=np.int32)
+
+    def _add(self, word: str) -> int:
+        i = self.number[word] = len(self.words)
+        self.words.append(word)
+        if i >= len(self.near):
+            self.own = np.concatenate([self.own, np.full_like(self.own, SLOTS)])
+            self.near = np.concatenate([self.near, np.zeros_like(self.near)])
+        own = slots(word)
+        self.own[i, :len(own)] = own
+        self.near[i] = neighbour(word)
+        return i
+
+
 class Learner:
     """Gradient steps (AdaGrad) on the log likelihood of labelled chains."""
 
-    def __init__(self, weights: tuple[np.ndarray, np.ndarray, np.ndarray], toxic: frozenset[str]):
-        self.weights = [w.copy() for w in weights]  # own (SLOTS), around (2 x SLOTS, flat), trans (4, flat)
-        self.squares = [np.zeros_like(w) for w in weights]
-        self.toxic = toxic
-        self.number: dict[str, int] = {}
-        self.slots: list[list[int]] = []
-        self.marked: list[bool] = []
-        self.waiting: list[tuple[list[int], bool]] = []
-        self.size = 0
-
-    def add(self, words: list[str], label: int) -> None:
-        get, ids = self.number.get, []
-        for w in words:
-            i = get(w)
-            if i is None:
-                i = self.number[w] = len(self.slots)
-                self.slots.append([neighbour(w), *slots(w)])
-                self.marked.append(not self.toxic.isdisjoint(word_features(w)))
-            ids.append(i)
-        self.waiting.append((ids, bool(label)))
-        self.size += len(ids)
-        if self.size >= STEP:
-            self.step()
-
-    def step(self) -> None:
-        """One step over the waiting texts; words that mark toxic texts are toxic in those alone."""
-        chains, self.waiting, self.size = [(np.array(ids), y) for ids, y in self.waiting if ids], [], 0
-        if not chains:
-            return
+    def __init__(self, words: Vocabulary, toxic: frozenset[str]):
+        self.words = words
+        self.marked = np.array([not toxic.isdisjoint(word_features(w)) for w in words.words], dtype=bool)
+        self.weights = [np.zeros(SLOTS + 1), np.zeros(2 * SLOTS), np.zeros(4)]  # own, before and after, transitions
+        self.squares = [np.zeros_like(w) for w in self.weights]
+
+    def learn(self, chains: list[tuple[np.ndarray, bool]]) -> None:
+        """A pass over ``(word numbers, label)``, a step whenever ``STEP`` words are full."""
+        waiting, size = [], 0
+        for chain in chains:
+            if len(chain[0]):
+                waiting.append(chain)
+                size += len(chain[0])
+            if size >= STEP:
+                self.step(waiting)
+                waiting, size = [], 0
+        if waiting:
+            self.step(waiting)
+
+    def step(self, chains: list[tuple[np.ndarray, bool]]) -> None:
+        """One step over some texts; words that mark toxic texts are toxic in those alone."""
         own, around, flat_trans = self.weights
         trans = flat_trans.reshape(2, 2)
         used, at = np.unique(np.concatenate([ids for ids, _ in chains]), return_inverse=True)
-        held = [self.slots[i] for i in used]
-        near = np.array([h[0] for h in held])
-        flat = np.array([k for h in held for k in h[1:]])
-        owner = np.repeat(np.arange(len(used)), [len(h) - 1 for h in held])
-        marked = np.array([self.marked[i] for i in used])
-        word = np.bincount(owner, own[flat], len(used))
-        before, after = around[near], around[SLOTS + near]
-        by_word, left, right = np.zeros(len(used)), np.zeros(len(used)), np.zeros(len(used))
+        flat, near, marked = self.words.own[used], self.words.near[used], self.marked[used]
+        word, before, after = own[flat].sum(axis=1), around[near], around[SLOTS + near]
+        score = word[at]
+        lead, follow = before[at], after[at]
+        ends = np.cumsum([len(ids) for ids, _ in chains])
+        err, left, right = np.zeros(len(at)), np.zeros(len(at)), np.zeros(len(at))
         change = np.zeros((2, 2))
         a = 0
-        for ids, y in chains:
-            n = at[a:a + len(ids)]
-            a += len(ids)
-            e = word[n]
-            e[1:] += before[n[:-1]]
-            e[:-1] += after[n[1:]]
+        for b, (_, label) in zip(ends.tolist(), chains):
+            e = score[a:b]
+            e[1:] += lead[a:b - 1]
+            e[:-1] += follow[a + 1:b]
             p, pair = marginals(e, trans)
-            gold = (marked[n] & y).astype(int)
-            err = gold - p
-            by_word += np.bincount(n, err, len(used))
-            left += np.bincount(n[:-1], err[1:], len(used))
-            right += np.bincount(n[1:], err[:-1], len(used))
-            change += np.bincount(2 * gold[:-1] + gold[1:], minlength=4).reshape(2, 2) - pair
-        own_slots, own_of = np.unique(flat, return_inverse=True)
+            err[a:b] = -p
+            if label:
+                gold = marked[at[a:b]]
+                err[a:b] += gold
+                change += np.bincount(2 * gold[:-1] + gold[1:], minlength=4).reshape(2, 2)
+            else:
+                change[0, 0] += b - a - 1
+            change -= pair
+            left[a:b - 1] = err[a + 1:b]  # what a word says of the next one, and of the one before
+            right[a + 1:b] = err[a:b - 1]
+            a = b
+        n = len(used)
+        by_word, left, right = (np.bincount(at, x, n) for x in (err, left, right))
+        own_slots, own_of = np.unique(flat.ravel(), return_inverse=True)
         near_slots, near_of = np.unique(near, return_inverse=True)
-        self._move(0, own_slots, np.bincount(own_of, by_word[owner]))
+        self._move(0, own_slots, np.bincount(own_of, np.repeat(by_word, flat.shape[1])))
         self._move(1, near_slots, np.bincount(near_of, left))
         self._move(1, SLOTS + near_slots, np.bincount(near_of, right))
         self._move(2, np.arange(4), change.ravel())
+        own[SLOTS] = 0.0
 
     def _move(self, kind: int, where: np.ndarray, grad: np.ndarray) -> None:
         w, squares = self.weights[kind], self.squares[kind]
@@ -287,7 +310,7 @@ def fit_curve(seen: np.ndarray, labels: np.ndarray) -> np.ndarray:
 
 def _sample(docs: DataFrame, labels: DataFrame, train: Column, id_col: str, text_col: str, label_col: str,
             most: int, folder: str) -> DataFrame:
-    """``(k, label, text)`` of at most ``most`` labelled documents that ``train`` (a condition on ``doc_id``) allows."""
+    """``(label, text, fold, h, shard)`` of at most ``most`` labelled documents that ``train`` (a condition on ``doc_id``) allows."""
     known = (labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label"))
              .where(F.col("label").isNotNull() & F.col("doc_id").isNotNull()).where(train)
              .groupBy("doc_id").agg(F.max("label").alias("label")))
@@ -295,55 +318,75 @@ def _sample(docs: DataFrame, labels: DataFrame, train: Column, id_col: str, text
     texts = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     one = F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")  # of repeated ids one text, by hash
     found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(one)
-    return stage(found.select(F.xxhash64("doc_id").alias("k"), "label", "t.text"), folder, "sample")
+    key = F.xxhash64(F.lit("shard"), "text")
+    return stage(found.select("label", "t.text", F.pmod(F.xxhash64("t.text"), F.lit(FOLDS)).cast("int").alias("fold"))
+                 .withColumn("h", key).withColumn("shard", F.pmod("h", F.lit(SHARDS)).cast("int"))
+                 .repartitionByRange(SHARDS, "shard").sortWithinPartitions("shard", "h", "label"), folder, "sample")
 
 
 def _contexts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct ``(feature, context)`` of each text; a context is a word's two neighbours."""
+    """Distinct ``(feature, context, fold)`` of each batch; a context is a word's two neighbours, a fold a bit."""
     for b in it:
         found = set()
-        for text in b.column(0):
+        for text, fold in zip(b.column(0), b.column(1).to_pylist()):
             words = ["", *(w.lower() for w in WORD.findall(text.as_py())), ""]
             for before, word, after in zip(words, words[1:], words[2:]):
                 context = zlib.crc32(f"{before} {after}".encode("utf-8"))
-                found.update((f, context) for f in word_features(word))
-        features, contexts = zip(*found) if found else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(features, pa.string()), pa.array(contexts, pa.int64())], names=["f", "context"])
+                found.update((f, context, 1 << fold) for f in word_features(word))
+        features, contexts, folds = zip(*found) if found else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(features, pa.string()), pa.array(contexts, pa.int64()), pa.array(folds, pa.int32())],
+                                         names=["f", "context", "bit"])
 
 
 def _features(it: Iterator[pa.RecordBatch], wanted: frozenset[str]) -> Iterator[pa.RecordBatch]:
-    """The ``wanted`` word features of each text."""
+    """The ``wanted`` word features of each text, with its fold."""
     for b in it:
         found = []
         for text in b.column(0):
             own = {f for w in {w.lower() for w in WORD.findall(text.as_py())} for f in word_features(w)}
             found.append(sorted(own & wanted))
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string()))], names=["features"])
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), b.column(1)], names=["features", "fold"])
 
 
 def _occurrences(it: Iterator[pa.RecordBatch], wanted: frozenset[str]) -> Iterator[pa.RecordBatch]:
-    """``(f, n)``: how often the ``wanted`` word features occur; the empty feature stands for every word."""
+    """``(f, fold, n)``: how often the ``wanted`` word features occur; the empty feature stands for every word."""
     for b in it:
-        words = Counter(w.lower() for text in b.column(0) for w in WORD.findall(text.as_py()))
-        found = Counter({"": words.total()})
-        for word, n in words.items():
-            for f in wanted.intersection(word_features(word)):
-                found[f] += n
-        yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["f", "n"])
+        words: dict[int, Counter] = {}
+        for text, fold in zip(b.column(0), b.column(1).to_pylist()):
+            words.setdefault(fold, Counter()).update(w.lower() for w in WORD.findall(text.as_py()))
+        rows = []
+        for fold, counts in words.items():
+            found = Counter({"": counts.total()})
+            for word, n in counts.items():
+                for f in wanted.intersection(word_features(word)):
+                    found[f] += n
+            rows += [(f, fold, n) for f, n in found.items()]
+        f, fold, n = zip(*rows) if rows else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(f, pa.string()), pa.array(fold, pa.int32()), pa.array(n, pa.int64())],
+                                         names=["f", "fold", "n"])
 
 
 def _learn(it: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
-    """One round over a shard's documents: ``(kind, slot, weight)`` of the weights that moved."""
-    toxic, *weights = sent.value
-    learner = Learner(tuple(weights), toxic)
+    """``(variant, place, weight)``: the weights that each shard's documents moved, for every set of features.
+
+    A task holds its shards' words as numbers (the sample bounds them).
+    """
+    words, shards = Vocabulary(), {}
     for b in it:
-        for label, text in zip(b.column(0).to_pylist(), b.column(1)):
-            learner.add([w.lower() for w in WORD.findall(text.as_py())], label)
-    learner.step()
-    for kind, squares in enumerate(learner.squares):
-        moved = np.nonzero(squares)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(moved), kind, dtype=np.int32)), pa.array(moved),
-                                          pa.array(learner.weights[kind][moved])], names=["kind", "slot", "weight"])
+        for label, text, fold, shard in zip(*(b.column(k).to_pylist() for k in range(4))):
+            shards.setdefault(shard, []).append((words.numbers(text), bool(label), fold))
+    for chains in shards.values():
+        for variant, toxic in enumerate(sent.value):
+            if not toxic:
+                continue
+            learner = Learner(words, toxic)
+            own = [(ids, label) for ids, label, fold in chains if fold != variant - 1]
+            for _ in range(PASSES):
+                learner.learn(own)
+            flat = np.concatenate([learner.weights[0][:SLOTS], *learner.weights[1:]])
+            moved = np.nonzero(np.concatenate([learner.squares[0][:SLOTS], *learner.squares[1:]]))[0].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(moved), variant, dtype=np.int32)), pa.array(moved),
+                                              pa.array(flat[moved])], names=["variant", "place", "weight"])
 
 
 def _evidence(it: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
@@ -355,8 +398,8 @@ def _evidence(it: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
                                          names=["label", "seen"])
 
 
-def _toxic_features(toxic: DataFrame, clean: DataFrame, folder: str) -> frozenset[str]:
-    """Features that mark toxic words, from the sample's toxic and clean texts (``text``).
+def _toxic_features(sample: DataFrame, folder: str) -> list[frozenset[str]]:
+    """Features that mark toxic words, from the whole sample and from it without each fold.
 
     Support is the number of different contexts in toxic texts, so copies of
     a text give its words one vote; clean texts count once each. A feature
@@ -364,51 +407,54 @@ def _toxic_features(toxic: DataFrame, clean: DataFrame, folder: str) -> frozense
     rate per word, less two standard deviations, is ``RATE`` times theirs:
     how often a word occurs at all must not matter. One of the latter alone
     says little: how many do is learned by the curve. What is collected here
-    is bounded by the sample's texts. Toxic texts without a feature are covered by weaker ones that clean texts
-    never have.
+    is bounded by the sample's texts. Toxic texts without a feature are
+    covered by weaker ones that clean texts never have.
     """
-    contexts = stage(toxic.mapInArrow(_contexts, "f string, context long").distinct().groupBy("f").count(), folder, "contexts")
-    toxic_words = contexts.where(F.col("f").startswith("w=")).agg(F.sum("count")).first()[0] or 0
-    support = {r["f"]: r["count"] for r in contexts.where("count >= 3").collect()}
+    toxic, clean = (sample.where(F.col("label") == label).select("text", "fold") for label in (1, 0))
+    kept = [(1 << FOLDS) - 1, *((1 << FOLDS) - 1 - (1 << k) for k in range(FOLDS))]  # folds of each variant, as bits
+    contexts = toxic.mapInArrow(_contexts, "f string, context long, bit int").groupBy("f", "context").agg(F.bit_or("bit").alias("bits"))
+    contexts = stage(contexts.groupBy("f").agg(*(F.count_if(F.col("bits").bitwiseAND(m) != 0).alias(f"v{v}") for v, m in enumerate(kept))),
+                     folder, "contexts")
+    columns = [f"v{v}" for v in range(len(kept))]
+    toxic_words = contexts.where(F.col("f").startswith("w=")).agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in columns)).first()
+    support = {r["f"]: r[1:] for r in contexts.where("v0 >= 3").select("f", *columns).collect()}
     wanted = frozenset(support)
-    met = clean.distinct().mapInArrow(lambda it: _occurrences(it, wanted), "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
-    against = {r["f"]: r["n"] for r in met.collect()}  # those wanted, and the total
-    clean_words = against.get("", 0)
-    pure = frozenset(f for f in support if not against.get(f))
-    frequent = {f for f, n in support.items()
-                if (n - 2 * n ** 0.5) * clean_words >= RATE * (against.get(f, 0) + 1) * toxic_words}
-    found = [r["features"] for r in toxic.mapInArrow(lambda it: _features(it, pure | frequent), "features array<string>").collect()]
-    strong = {f for f in pure | frequent if support[f] >= STRONG}
-    return frozenset(strong | cover([[f for f in fs if f in pure] for fs in found if strong.isdisjoint(fs)]))
-
-
-def train_chain(sample: DataFrame, toxic: frozenset[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Own, neighbour and transition weights from ``sample`` (``label, text``), in shards whose weights are averaged.
-
-    A weight's average is that of the shards whose documents moved it. Shards
-    go by a hash of the text and read in its order, so runs agree.
+    met = clean.distinct().mapInArrow(lambda it: _occurrences(it, wanted), "f string, fold int, n long").groupBy("f").agg(*(
+        F.sum(F.when(F.lit(m).bitwiseAND(F.expr("shiftleft(1, fold)")) != 0, F.col("n")).otherwise(0)) for m in kept))
+    against = {r["f"]: r[1:] for r in met.collect()}  # those wanted, and the total
+    none = (0,) * len(kept)
+    clean_words = against.get("", none)
+    pure, strong = [], []
+    for v in range(len(kept)):
+        held = {f: n[v] for f, n in support.items() if n[v] >= 3}
+        pure.append({f for f in held if not against.get(f, none)[v]})
+        often = {f for f, n in held.items()
+                 if (n - 2 * n ** 0.5) * clean_words[v] >= RATE * (against.get(f, none)[v] + 1) * toxic_words[v]}
+        strong.append({f for f in pure[v] | often if held[f] >= STRONG})
+    useful = frozenset().union(*pure, *strong)
+    found = toxic.mapInArrow(lambda it: _features(it, useful), "features array<string>, fold int").collect()
+    return [frozenset(strong[v] | cover([[f for f in r["features"] if f in pure[v]] for r in found
+                                         if m >> r["fold"] & 1 and strong[v].isdisjoint(r["features"])]))
+            for v, m in enumerate(kept)]
+
+
+def train_chains(sample: DataFrame, toxic: list[frozenset[str]], folder: str) -> list[Model]:
+    """Chains from ``sample`` for each set of features (the first of all folds, then without each), without a curve.
+
+    A weight is the average over the shards whose documents moved it. Shards
+    go by a hash of the text and are read in its order, so runs agree.
     """
-    weights = [np.zeros(SLOTS), np.zeros(2 * SLOTS), np.zeros(4)]
-    if toxic:
-        key = F.xxhash64(F.lit("shard"), "text")
-        shards = sample.select("label", "text", key.alias("h")).repartition(SHARDS, "h").sortWithinPartitions("h", "label")
-        spark = sample.sparkSession
-        for _ in range(ROUNDS):
-            sent = spark.sparkContext.broadcast((toxic, *weights))
-            moved = shards.mapInArrow(lambda it: _learn(it, sent), "kind int, slot long, weight double")
-            mean = moved.groupBy("kind", "slot").agg(F.avg("weight").alias("weight")).toArrow()  # a row per weight
-            kind, slot, weight = (mean.column(c).to_numpy() for c in ("kind", "slot", "weight"))
-            for k, w in enumerate(weights):
-                w[slot[kind == k]] = weight[kind == k]
-            sent.unpersist()
-    own, around, trans = weights
-    return own, around.reshape(2, SLOTS), trans.reshape(2, 2)
-
-
-def _chain_model(sample: DataFrame, folder: str, name: str) -> Model:
-    """Features and chain weights from ``sample`` (``label, text``), without a curve."""
-    texts = [sample.where(F.col("label") == label).select("text") for label in (1, 0)]
-    return Model(*train_chain(sample, _toxic_features(*texts, f"{folder}/{name}")), np.zeros(5))
+    sent = sample.sparkSession.sparkContext.broadcast(toxic)
+    moved = sample.select("label", "text", "fold", "shard").mapInArrow(lambda it: _learn(it, sent), "variant int, place int, weight double")
+    mean = stage(moved.groupBy("variant", "place").agg(F.avg("weight").alias("weight")), folder, "weights")
+    models = []
+    for variant in range(len(toxic)):
+        found = mean.where(F.col("variant") == variant).select("place", "weight").toArrow()  # a row per weight
+        flat = np.zeros(3 * SLOTS + 4)
+        flat[found.column("place").to_numpy()] = found.column("weight").to_numpy()
+        own, before, after, trans = np.split(flat, [SLOTS, 2 * SLOTS, 3 * SLOTS])
+        models.append(Model(own, np.stack([before, after]), trans.reshape(2, 2), np.zeros(5)))
+    return models
 
 
 def send(model: Model, spark: SparkSession):
@@ -424,15 +470,15 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     toxic one counts. Without toxic examples every text scores alike.
     """
     folder = work_dir(docs.sparkSession)
-    sample = _sample(docs, labels, train, id_col, text_col, label_col, sample_docs, folder).select("label", "text")
-    fold = F.pmod(F.xxhash64("text"), F.lit(FOLDS))
+    sample = _sample(docs, labels, train, id_col, text_col, label_col, sample_docs, folder)
+    model, *without = train_chains(sample, _toxic_features(sample, folder), folder)
     seen = []
-    for k in range(FOLDS):
-        sent = send(_chain_model(sample.where(fold != k), folder, f"without{k}"), docs.sparkSession)
-        seen += sample.where(fold == k).mapInArrow(lambda it: _evidence(it, sent), "label int, seen array<double>").collect()
+    for k, blind in enumerate(without):
+        sent = send(blind, docs.sparkSession)
+        judged = sample.where(F.col("fold") == k).select("label", "text")
+        seen += judged.mapInArrow(lambda it: _evidence(it, sent), "label int, seen array<double>").collect()
     seen.sort(key=lambda r: (r["label"], r["seen"]))
     curve = fit_curve(np.array([r["seen"] for r in seen]).reshape(-1, 4), np.array([r["label"] for r in seen], dtype=float))
-    model = _chain_model(sample, folder, "all")
     return model._replace(curve=curve)
 
 
