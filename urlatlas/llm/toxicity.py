@@ -62,10 +62,17 @@ def word_features(word: str) -> list[str]:
     return [f"w={word}", *(f"{k}={word[:k]}" for k in (3, 4, 5, 6) if len(word) > k)]
 
 
+#: CRC-32 of the texts before a word in its features, to go on from.
+_WHOLE, _SUFFIX, *_PREFIX = (zlib.crc32(t) for t in (b"w=", b"s=", b"3=", b"4=", b"5=", b"6="))
+_LENGTH = [zlib.crc32(f"l={n}".encode()) % SLOTS for n in range(13)]
+
+
 def slots(word: str) -> list[int]:
-    """Weight slots of a word's own features."""
-    own = [*word_features(word), f"s={word[-3:]}", f"l={min(len(word), 12)}"]
-    return [zlib.crc32(f.encode("utf-8")) % SLOTS for f in own]
+    """Weight slots of a word's own features: those of ``word_features``, its suffix and its length."""
+    crc, n = zlib.crc32, len(word)
+    out = [crc(word.encode("utf-8"), _WHOLE) % SLOTS, crc(word[-3:].encode("utf-8"), _SUFFIX) % SLOTS, _LENGTH[min(n, 12)]]
+    out += [crc(word[:k].encode("utf-8"), before) % SLOTS for k, before in zip(range(3, n), _PREFIX)]
+    return out
 
 
 class Model(NamedTuple):
@@ -123,20 +130,29 @@ class Lookup:
     def numbers(self, words: list[str]) -> np.ndarray:
         if len(self.number) > self.most:
             self.number.clear()
-        get, out = self.number.get, np.empty(len(words), dtype=np.int64)
-        for k, w in enumerate(words):
-            i = get(w)
-            out[k] = self._add(w) if i is None else i
-        return out
-
-    def _add(self, word: str) -> int:
-        i = self.number[word] = len(self.number)
-        if i >= len(self.parts):
+        number, new = self.number, []
+        out = []
+        for w in words:
+            i = number.get(w)
+            if i is None:
+                i = number[w] = len(number)
+                new.append(w)
+            out.append(i)
+        if new:
+            self._add(new)
+        return np.array(out, dtype=np.int64)
+
+    def _add(self, new: list[str]) -> None:
+        """The parts of the words that were numbered last, all at once."""
+        end, m = len(self.number), self.model
+        while end > len(self.parts):
             self.parts = np.concatenate([self.parts, np.zeros_like(self.parts)])
-        low, m = word.lower(), self.model
-        k = neighbour(low)
-        self.parts[i] = m.own[slots(low)].sum(), m.around[0, k], m.around[1, k]
-        return i
+        new = [w.lower() for w in new]
+        held = [slots(w) for w in new]
+        near = [neighbour(w) for w in new]
+        starts = np.cumsum([0, *(len(h) for h in held[:-1])])
+        own = m.own[np.fromiter((k for h in held for k in h), dtype=np.int64)]
+        self.parts[end - len(new):end] = np.stack([np.add.reduceat(own, starts), m.around[0, near], m.around[1, near]], axis=1)
 
     def emission(self, words: list[str]) -> np.ndarray:
         """Toxic-label score of every word of a text: its own, and what its neighbours say."""
