@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 from typing import Optional, Sequence, Union
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,7 +42,10 @@ class UrlStore:
     not written twice. Beside the rows a batch writes
 
     * its keys into ``_keys-N``, a table bucketed by key into ``N`` buckets:
-      an insert moves the new keys to the buckets, the stored ones stay;
+      an insert moves the new keys to the buckets, the stored ones stay.
+      Small appends wait until ``INDEX_EVERY`` of them go there together
+      (``_indexed`` names those that are there), one file a bucket; the keys
+      of those that wait are read from their rows;
     * its postings ``(keyword, url_hash, file)`` into ``_postings``, in
       buckets of the keyword: a keyword look-up reads one bucket, and then
       only the files named there.
@@ -54,6 +58,7 @@ class UrlStore:
     """
 
     POSTING_BUCKETS = 256
+    INDEX_EVERY = 16
 
     def __init__(self, spark: SparkSession, path: str, key: str = "url_hash",
                  max_records_per_file: Optional[int] = None, key_buckets: Optional[int] = None):
@@ -65,6 +70,10 @@ class UrlStore:
         self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def within(self, spark: SparkSession) -> "UrlStore":
+        """The same store, worked on in another session."""
+        return UrlStore(spark, self.path, self.key, self.max_records_per_file, self._buckets)
+
     # ------------------------------------------------------------ batches
 
     def _names(self, folder: str, prefix: str = "") -> list:
@@ -108,18 +117,18 @@ class UrlStore:
         if self.max_records_per_file:
             w = w.option("maxRecordsPerFile", self.max_records_per_file)
         w.parquet(f"{self.path}/batch={batch}")
-        rows = self.spark.read.schema(df.schema).parquet(f"{self.path}/batch={batch}")
-        self._add_keys(rows, batch)
+        self._fs.mkdirs(self._path(f"{self.path}/_keys-{self._key_buckets()}"))
         if "keywords" in df.columns:
-            self._add_postings(rows, batch)
+            self._add_postings(self.spark.read.schema(df.schema).parquet(f"{self.path}/batch={batch}"), batch)
         self._fs.create(self._path(f"{self.path}/_manifest/{batch}")).close()
 
     def write_clustered(self, df: DataFrame, mode: str = "overwrite", partitions: Optional[int] = None) -> None:
         """Stores all rows of ``df`` as one batch, whatever their keys; ``overwrite`` drops the earlier batches."""
         earlier = self.batches()
         self._write(df, f"all-{uuid.uuid4().hex}", partitions)
+        self._index(1)
         for b in earlier if mode == "overwrite" else []:
-            for place in (f"_manifest/{b}", f"batch={b}", f"_postings/batch={b}"):
+            for place in (f"_manifest/{b}", f"_indexed/{b}", f"batch={b}", f"_postings/batch={b}"):
                 self._fs.delete(self._path(f"{self.path}/{place}"), True)
 
     def append_unique(self, df: DataFrame, order: Optional[str] = None, partitions: Optional[int] = None,
@@ -127,18 +136,22 @@ class UrlStore:
         """Store rows whose key is not yet stored; returns what was appended.
 
         Duplicates inside the batch collapse to one row (the first by
-        ``order``), then an anti join against the stored keys removes known
-        ones. Re-running the same batch appends nothing (idempotent); with a
+        ``order``), then those whose key is stored are removed: the stored
+        keys stay where they lie and stream past a hash table of the batch's,
+        unsorted. Re-running the same batch appends nothing (idempotent); with a
         ``batch_id`` that is stored already nothing is computed, and what it
         appended is returned.
         """
         name = batch_id or uuid.uuid4().hex
         if name in self.batches():
             return self._written(name).drop("day")
-        batch = first_per_key(df, self.key, order)
+        batch = cut_lineage(first_per_key(df, self.key, order))
         if self.exists():
-            batch = drop_known(batch, self.keys(), self.key)
-        self._write(cut_lineage(batch), name, partitions)
+            self._index(self.INDEX_EVERY)
+            asked = batch.select(self.key).hint("shuffle_hash")
+            known = [stored.join(asked, self.key, "left_semi") for stored in self._stored_keys()]
+            batch = cut_lineage(batch.join(reduce(DataFrame.union, known).hint("shuffle_hash"), self.key, "left_anti"))
+        self._write(batch, name, partitions)
         return self._written(name).select(*df.columns)
 
     def compact(self, path: str) -> "UrlStore":
@@ -166,16 +179,44 @@ class UrlStore:
                        f"CLUSTERED BY (`{self.key}`) SORTED BY (`{self.key}`) INTO {n} BUCKETS LOCATION '{self.path}/_keys-{n}'")
         return name
 
-    def _add_keys(self, rows: DataFrame, batch: str) -> None:
+    def _waiting(self) -> list:
+        """Batches that count and whose keys are not in the key table yet."""
+        done = set(self._names(f"{self.path}/_indexed"))
+        return [b for b in self.batches() if b not in done]
+
+    def _keys_of(self, batches: list) -> DataFrame:
+        rows = (self.spark.read.schema(f"`{self.key}` string, batch string").option("basePath", self.path)
+                .parquet(*[f"{self.path}/batch={b}" for b in batches]))
+        return rows.where(F.col(self.key).isNotNull()).select(self.key, "batch")
+
+    def _index(self, least: int) -> None:
+        """Moves the keys of the waiting batches into the key table, if there are ``least`` of them.
+
+        After a failure before the markers they go there again: keys that stand twice are known all the same.
+        """
+        waiting = self._waiting()
+        if len(waiting) < least:
+            return
         name = self._key_table()
         try:
-            keys = rows.where(F.col(self.key).isNotNull()).select(self.key, F.lit(batch).alias("batch"))
+            keys = self._keys_of(waiting)
             keys.repartition(self._key_buckets(), self.key).write.insertInto(name)  # one file a bucket
         finally:
             self.spark.sql(f"DROP TABLE {name}")
+        for b in waiting:
+            self._fs.create(self._path(f"{self.path}/_indexed/{b}")).close()
+
+    def _stored_keys(self) -> list:
+        """Stored keys: the key table, and the keys of the batches that wait, each if there are any."""
+        waiting = self._waiting()
+        found = [self._indexed_keys()] if len(waiting) < len(self.batches()) else []
+        return found + ([self._keys_of(waiting).select(self.key)] if waiting else [])
 
     def keys(self) -> DataFrame:
-        """Stored keys, as a bucketed table: joins on the key leave it where it lies."""
+        """Stored keys; once all are indexed, as a bucketed table: joins on the key leave it where it lies."""
+        return reduce(DataFrame.union, self._stored_keys() or [self._indexed_keys()])
+
+    def _indexed_keys(self) -> DataFrame:
         name = self._key_table()
         try:
             table = self.spark.table(name)
