@@ -240,3 +240,64 @@ def test_dedup_stats_timestamp_text(spark):
     st = dedup_stats(dedup_verdicts(df), now=F.lit("2024-01-31 12:00:00").cast("timestamp_ntz")).first()
     assert (st.total_urls, st.duplicates, st.unique_urls, st.cache_size) == (3, 1, 1, 1)
     assert st.timestamp == "2024-01-31T12:00:00.000000"
+
+
+def _files(spark, folder):
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    it = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(root, True)
+    found = []
+    while it.hasNext():
+        found.append(it.next().getPath().toString())
+    return [f for f in found if f.endswith(".parquet")]
+
+
+def test_small_appends_go_to_the_key_table_together(spark):
+    store = UrlStore(spark, _scratch(spark, "small"), key_buckets=2)
+    store.INDEX_EVERY = 3
+    for n in range(7):
+        rows = _docs(spark, 3 + n).withColumn("url_hash", F.concat(F.lit("k"), F.col("seq").cast("string")))
+        assert store.append_unique(rows, order="seq", batch_id=f"b{n}").count() == (3 if n == 0 else 1)
+    assert len(_files(spark, f"{store.path}/_keys-2")) <= 2 * 2  # a file a bucket for every three appends
+    assert store.read().count() == 9 and sorted(r[0] for r in store.keys().collect()) == [f"k{i}" for i in range(9)]
+    assert [len(store._waiting()), len(UrlStore(spark, store.path)._waiting())] == [1, 1]
+    store._index(1)
+    assert store._waiting() == [] and store.keys().distinct().count() == 9
+
+
+def test_state_passes_neither_the_driver_nor_many_files(spark):
+    state = KeyedState(spark, _scratch(spark, "state"), None, buckets=8, merge_every=4)
+    state.change(0, spark.createDataFrame([(f"k{i}", 1, 1) for i in range(40)], "hash_value string, last long, count long").coalesce(2))
+    found = state.before(1, spark.createDataFrame([("k5",), ("new",)], "hash_value string"))
+    assert [tuple(r) for r in found.collect()] == [("k5", 1, 1)]
+    assert "ShuffledHashJoin" in _plan(found) and "Broadcast" not in _plan(found)
+    assert len(_files(spark, f"{state.path}/delta/batch=0")) <= 2
+
+
+def test_micro_batches_take_settings_of_their_own_size(spark):
+    df = spark.createDataFrame([(i, f"http://ex.com/{i % 5}") for i in range(20)], "seq long, url string")
+    path, folder = _scratch(spark, "src"), _scratch(spark, "unique")
+    S.ordered_stream_files(df, path, "seq", 10)
+    src = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    seen = []
+    try:
+        got = S.run_to_table(S.stream_unique(S.keyed_urls(src)), folder)
+
+        def look(batch, number):
+            own = S.batch_session(batch)
+            own = S.batch_session(batch, 10 ** 9)  # never more than the caller's
+            seen.append([own.conf.get(f"spark.sql.{k}") for k in ("shuffle.partitions", "autoBroadcastJoinThreshold")])
+            S.batch_session(batch, 20)
+            seen.append(own.conf.get("spark.sql.shuffle.partitions"))
+        src.writeStream.foreachBatch(look).option("checkpointLocation", _scratch(spark, "ck")).trigger(availableNow=True).start().awaitTermination()
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "40" and spark.conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    cores = spark.sparkContext.defaultParallelism
+    assert seen[:2] == [["40", "-1"], str(cores)]
+    assert got.count() == 5
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(f"{folder}/checkpoint/state/0")
+    parts = [st for st in root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(root) if st.getPath().getName().isdigit()]
+    assert len(parts) == min(40, 2 * cores)
