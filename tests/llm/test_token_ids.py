@@ -26,3 +26,14 @@ def test_ids_equal_the_library(name):
     assert cached.kind
     for t in texts:
         assert np.frombuffer(cached.ids(t), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_many_texts_at_once_have_the_ids_of_the_library():
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        e = Encoder(public_tokenizers.path(name), cache=5)
+        texts = ["", " ", "  ", "a", " a", "a ", "a  b", "\n", "x\ny z", "é à ü$$", "日本 x", "it's don't 12 34!", "a\t b", " \n ",
+                 f"{e.added[0]} x y" if e.added else "x y", "word other word " * 50, "a", ""]
+        want = [b"".join(i.to_bytes(4, "little") for i in e.tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+        for size in (1, 40, 1 << 20):
+            assert list(e.many(texts, size)) == want
+        assert list(e.many([])) == []

@@ -6,15 +6,21 @@ one bytes object. The library spends most of its time on splitting texts and
 on words it has merged before; so a text in which only ASCII and Latin-1
 letters, digits, marks and white space occur is cut into words here, each
 distinct word goes through the library's model once, and later ones are
-looked up. Any other text, tokenizers of another make, and texts that spell
-an added token go through the library whole.
+looked up. ``Encoder.many`` does so for many texts at once: Arrow numbers
+their words, and only the distinct ones are looked up. Any other text,
+tokenizers of another make, and texts that spell an added token go through
+the library whole.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Letters of the plain texts: \p{L} in ASCII and Latin-1 beyond U+00C0. Fixed by Unicode.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -61,16 +67,18 @@ class Encoder:
             made = json.load(f)
         self.added = [t["content"] for t in made["added_tokens"]]
         self.kind = _kind(made)
-        self.letters = _byte_letters()
+        self.letters = "".join(c for _, c in sorted(_byte_letters().items()))
+        self.raw = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.units = _Words(self._unit, cache)
         self.words = _Words(self._spaced if self.kind == "byte" else self._lower, cache)
 
     def _unit(self, unit: str) -> bytes:
-        letters = self.letters
-        mapped = "".join([letters[b] for b in unit.encode("utf-8")])
-        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(mapped)])
+        raw, mapped = self.raw, unit.encode("utf-8").decode("latin-1").translate(self.letters)
+        return b"".join([raw[t.id] for t in self.model.tokenize(mapped)])
 
     def _spaced(self, word: str) -> bytes:
+        if word.isalpha():  # of a plain text: letters alone
+            return self._unit(" " + word)
         units = BYTE_LEVEL.findall(" " + word)
         if len(units) == 1:
             return self._unit(units[0])
@@ -82,8 +90,46 @@ class Encoder:
             return self._unit(units[0])
         return b"".join(map(self.words.__getitem__, units))
 
+    def _plain(self, text: str) -> bool:
+        return bool(self.kind) and PLAIN.fullmatch(text) is not None and not any(a in text for a in self.added)
+
+    def many(self, texts: list[str], size: int = 1 << 22) -> Iterator[bytes]:
+        """``ids`` of each text in turn, worked on in runs of about ``size`` code points."""
+        run, held = [], 0
+        for text in texts:
+            run.append(text)
+            held += len(text)
+            if held >= size:
+                yield from self._run(run)
+                run, held = [], 0
+        yield from self._run(run)
+
+    def _run(self, texts: list[str]) -> Iterator[bytes]:
+        split = [self._plain(t) and (self.kind == "lower" or "  " not in t) for t in texts]
+        cut = iter(self._cut([t for t, s in zip(texts, split) if s]))
+        return (next(cut) if s else self.ids(t) for t, s in zip(texts, split))
+
+    def _cut(self, texts: list[str]) -> list[bytes]:
+        """Ids of plain texts whose words stand between single spaces."""
+        words = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        ends = words.offsets.to_numpy()
+        flat = words.values.dictionary_encode()
+        number = flat.indices.to_numpy().copy()
+        found = [self.words[w] for w in flat.dictionary.to_pylist()]
+        if self.kind == "byte":  # a text's first word has no space before it
+            number[ends[:-1]] = np.arange(len(found), len(found) + len(texts))
+            found += [b"".join(map(self.units.__getitem__, BYTE_LEVEL.findall(t.partition(" ")[0]))) for t in texts]
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        start = np.cumsum(size) - size
+        n = size[number]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        place = np.repeat(start[number] - upto[:-1], n) + np.arange(upto[-1])
+        ids = np.frombuffer(b"".join(found), "<u4")[place].tobytes()
+        cuts = (4 * upto[ends]).tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+
     def ids(self, text: str) -> bytes:
-        if not self.kind or not PLAIN.fullmatch(text) or any(a in text for a in self.added):
+        if not self._plain(text):
             got = self.tokenizer.encode(text, add_special_tokens=False).ids
             return b"".join([i.to_bytes(4, "little") for i in got])
         if self.kind == "lower":
@@ -111,11 +157,11 @@ def _kind(made: dict) -> str:
     return ""
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cache: int = 300_000) -> Encoder:
     """The encoder of this Python worker for ``path``; tasks of one worker share it."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, cache) not in _ENCODERS:
+        _ENCODERS[path, cache] = Encoder(path, cache)
+    return _ENCODERS[path, cache]

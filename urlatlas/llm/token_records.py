@@ -36,6 +36,9 @@ from urlatlas.llm.token_ids import encoder
 MASK = 0xA282EAD8
 HEAD, CRC, BODY, ENTRY = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<Bq"), struct.Struct("<QQ")
 
+#: Words that a worker keeps the ids of, or twice as many.
+WORDS = 500_000
+
 FILES = "first_null boolean, first_id long, first_row long, path string, index string, records long, tokens long"
 
 
@@ -98,17 +101,18 @@ class RecordFile(NamedTuple):
 
 def _write_file(it: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end_id: int) -> Iterator[pa.RecordBatch]:
     """Writes a task's ``(id, row, text)`` as one file and tells what it wrote."""
-    encode, end = encoder(tokenizer).ids, CRC.pack(end_id)
-    short = max(encoder(tokenizer).tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16
+    encode, end = encoder(tokenizer, WORDS).many, CRC.pack(end_id)
+    short = max(encoder(tokenizer, WORDS).tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16
     first, at, records, tokens = None, 0, 0, 0
     for b in it:
-        for doc_id, row, text in zip(b.column(0), b.column(1), b.column(2)):
+        doc_ids, row_numbers = b.column(0).to_pylist(), b.column(1).to_pylist()
+        for doc_id, row, ids in zip(doc_ids, row_numbers, encode(b.column(2).to_pylist())):
             if first is None:
-                first = (doc_id.as_py() is None, doc_id.as_py() or 0, row.as_py())
+                first = (doc_id is None, doc_id or 0, row)
                 path, out = create(folder, "records", ".bin")
                 index, entries = create(folder, "records", ".idx")
-            ids = encode(text.as_py()) + end
-            record = frame(doc_id.as_py(), ids, short)
+            ids += end
+            record = frame(doc_id, ids, short)
             out.write(record)
             entries.write(ENTRY.pack(at, len(record)))
             at, records, tokens = at + len(record), records + 1, tokens + len(ids) // 4
