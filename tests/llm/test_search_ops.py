@@ -290,3 +290,25 @@ def test_toxicity_learns_words_that_clean_texts_also_have(frame, spark):
     caught = sum(s >= toxicity.THRESHOLD for i, s in scores.items() if i % 5 == 0)
     flagged = sum(s >= toxicity.THRESHOLD for i, s in scores.items() if i % 5)
     assert caught >= 36 and flagged <= 4  # of 40 and 160
+
+
+def test_a_worker_keeps_one_thing_and_hands_contexts_on_early(monkeypatch):
+    import public_tokenizers
+    import pyarrow as pa
+    from urlatlas.llm import common, toxicity as T
+    from urlatlas.llm.token_ids import encoder
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    first = encoder(path)
+    assert encoder(path) is first
+    common.kept("another", dict)
+    assert list(common._KEPT) == ["another"] and encoder(path) is not first
+
+    texts = [f"alpha{'abcdefghij'[i % 10]} beta gamma{'xyz'[i % 3]} delta" for i in range(60)]
+    rows = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([i % 3 for i in range(60)], pa.int32())], names=["text", "fold"])
+    found = lambda: [b.to_pylist() for b in T._contexts(iter([rows]))]
+    whole = found()
+    monkeypatch.setattr(T, "HELD", 20)
+    parts = found()
+    assert len(whole) == 1 and len(parts) > 1 and all(len(p) < 20 + 4 * 5 for p in parts)
+    distinct = lambda ps: {tuple(r.values()) for p in ps for r in p}
+    assert distinct(parts) == distinct(whole)

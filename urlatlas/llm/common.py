@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 import weakref
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -57,6 +57,21 @@ def ship_code(spark: SparkSession) -> None:
     _SHIPPED.add(context)
 
 
+_KEPT: dict[Hashable, object] = {}
+
+
+def kept(key: Hashable, make: Callable[[], object]) -> object:
+    """What a Python worker keeps from task to task: the one thing that was asked for last.
+
+    Workers serve one operator after the other; what each of them looks up
+    must not add up.
+    """
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def stage(df: DataFrame, folder: str, name: str) -> DataFrame:
     """Write ``df`` as Parquet under ``folder`` and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession

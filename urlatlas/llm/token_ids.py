@@ -22,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from urlatlas.llm.common import kept
+
 #: Letters of the plain texts: \p{L} in ASCII and Latin-1 beyond U+00C0. Fixed by Unicode.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 PLAIN = re.compile(rf"[\t\n\r !-~{LETTERS}]*")
@@ -157,11 +159,6 @@ def _kind(made: dict) -> str:
     return ""
 
 
-_ENCODERS: dict[tuple[str, int], Encoder] = {}
-
-
 def encoder(path: str, cache: int = 300_000) -> Encoder:
     """The encoder of this Python worker for ``path``; tasks of one worker share it."""
-    if (path, cache) not in _ENCODERS:
-        _ENCODERS[path, cache] = Encoder(path, cache)
-    return _ENCODERS[path, cache]
+    return kept(("encoder", path, cache), lambda: Encoder(path, cache))

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urlatlas.llm.common import fresh, stage, text_of, work_dir
+from urlatlas.llm.common import fresh, kept, stage, text_of, work_dir
 
 #: Labelled documents the model is fitted on at most, chosen by a hash of their ids.
 SAMPLE_DOCS = 16_000
@@ -53,6 +53,8 @@ RATES, DECAY = (0.3, 0.05, 0.1), 1e-3
 #: Hashed weights of each kind of feature.
 SLOTS = 1 << 18
 THRESHOLD = 0.7
+#: Contexts that a task holds before it hands them on.
+HELD = 100_000
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -164,16 +166,10 @@ class Lookup:
         return score
 
 
-_LOOKUPS: dict[str, Lookup] = {}
-
-
 def lookup(sent) -> Lookup:
     """The worker's look-up for a broadcast ``(name, *model)``, kept until another model comes."""
     name, *model = sent.value
-    if name not in _LOOKUPS:
-        _LOOKUPS.clear()
-        _LOOKUPS[name] = Lookup(Model(*model))
-    return _LOOKUPS[name]
+    return kept(("lookup", name), lambda: Lookup(Model(*model)))
 
 
 def toxic_marginals(texts: list[str], look: Lookup) -> Iterator[np.ndarray]:
@@ -341,17 +337,23 @@ def _sample(docs: DataFrame, labels: DataFrame, train: Column, id_col: str, text
 
 
 def _contexts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct ``(feature, context, fold)`` of each batch; a context is a word's two neighbours, a fold a bit."""
+    """``(feature, context, fold)``, distinct among some texts; a context is a word's two neighbours, a fold a bit."""
+    def batch(found: set) -> pa.RecordBatch:
+        features, contexts, folds = zip(*found) if found else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(features, pa.string()), pa.array(contexts, pa.int64()), pa.array(folds, pa.int32())],
+                                          names=["f", "context", "bit"])
+
     for b in it:
         found = set()
         for text, fold in zip(b.column(0), b.column(1).to_pylist()):
+            if len(found) >= HELD:
+                yield batch(found)
+                found = set()
             words = ["", *(w.lower() for w in WORD.findall(text.as_py())), ""]
             for before, word, after in zip(words, words[1:], words[2:]):
                 context = zlib.crc32(f"{before} {after}".encode("utf-8"))
                 found.update((f, context, 1 << fold) for f in word_features(word))
-        features, contexts, folds = zip(*found) if found else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(features, pa.string()), pa.array(contexts, pa.int64()), pa.array(folds, pa.int32())],
-                                         names=["f", "context", "bit"])
+        yield batch(found)
 
 
 def _features(it: Iterator[pa.RecordBatch], wanted: frozenset[str]) -> Iterator[pa.RecordBatch]:
