@@ -209,6 +209,68 @@ def test_chains_are_not_cut():
         assert np.allclose(p, 1 / (1 + np.exp(-first)))
 
 
+def test_words_of_many_texts_are_those_of_each(monkeypatch):
+    """Words, numbers, places and slots found together are those of the plain pattern, whatever the letters."""
+    rnd = random.Random(5)
+    odd = ["İstanbul", "ΟΔΟΣ", "ΣΑΣ", "οδος", "Straße", "ẞ", "ÜBER", "über", "漢字仮名", "Ⅷ", "x_y", "a1b", "١٢", "é", "e\u0301", "𝒜𝓑", "🙂",
+           "Kelvin\u212a", "z" * 70, "ж" * 40, "Ж" * 40, "ǅ", "ŉ", "\x00", "\n", "it's", "A", "ab", "abc", "abcd", "abcdefg", "\u2028"]
+    plain = [" ".join(rnd.choice(["Ta", "LO", "mi.", "7", "re-su"]) for _ in range(20)), "", "12 !!", "x"]
+    mixed = [rnd.choice([" ", "", ","]).join(rnd.choices(odd, k=rnd.randint(0, 30))) for _ in range(60)]
+    for texts in ([], [""], ["12 !!", ""], plain, plain + odd, plain + mixed):
+        words = toxicity.cut(texts)
+        names, found = words.names(), [list(toxicity.WORD.finditer(t)) for t in texts]
+        assert len(set(names)) == len(names)
+        assert [names[i] for i in words.number] == [m[0].lower() for f in found for m in f]
+        assert list(zip(words.start.tolist(), words.end.tolist())) == [m.span() for f in found for m in f]
+        assert np.diff(words.ends).tolist() == [len(f) for f in found]
+        own, near = toxicity.many_slots(words.distinct)
+        assert [[k for k in row if k < toxicity.SLOTS] for row in own.tolist()] == [toxicity.slots(w) for w in names]
+        assert near.tolist() == [toxicity.neighbour(w) for w in names]
+        monkeypatch.setattr(toxicity, "RUN", 40)
+        assert [t for run in toxicity.runs(texts) for t in run] == texts
+        monkeypatch.undo()
+
+
+def test_many_chains_are_those_of_each(monkeypatch):
+    rng = np.random.default_rng(3)
+    for sizes in ([], [0], [1], [5, 0, 1], rng.integers(0, 12, 50), [400, *rng.integers(0, 40, 70), 90]):
+        ends = np.cumsum([0, *sizes])
+        e, trans = rng.normal(size=ends[-1]), rng.normal(size=(2, 2))
+        alone = [toxicity.marginals(e[a:b], trans) for a, b in zip(ends, ends[1:])]
+        for breadth in (1, 3, 32, 1000):
+            monkeypatch.setattr(toxicity, "BREADTH", breadth)
+            p, pair = toxicity.marginals(e, trans, ends)
+            assert np.array_equal(p, np.concatenate([np.zeros(0), *(q for q, _ in alone)]))
+            assert np.allclose(pair, sum((m for _, m in alone), np.zeros((2, 2))))
+        monkeypatch.undo()
+
+
+def test_scoring_takes_no_python_step_a_word():
+    """Jumps of the interpreter while many texts are scored: fewer by far than words."""
+    import sys
+    import pyarrow as pa
+    rng = np.random.default_rng(4)
+    vocabulary = ["".join(rng.choice(list("abdegiklmnorstu"), 6)) for _ in range(2000)]
+    texts = pa.array([" ".join(rng.choice(vocabulary, 250)) for _ in range(300)])
+    model = toxicity.Model(rng.normal(-2, 0.3, toxicity.SLOTS), rng.normal(0, 0.1, (2, toxicity.SLOTS)), np.eye(2), np.ones(5))
+    look = toxicity.Lookup(model)
+    toxicity._score(texts[:2], look)
+    watch, jumps = sys.monitoring, [0]
+
+    def jump(*_):
+        jumps[0] += 1
+    tool = next(i for i in range(6) if watch.get_tool(i) is None)
+    watch.use_tool_id(tool, "jumps")
+    try:
+        watch.register_callback(tool, watch.events.JUMP, jump)
+        watch.set_events(tool, watch.events.JUMP)
+        scores = toxicity._score(texts, look)
+    finally:
+        watch.set_events(tool, 0)
+        watch.free_tool_id(tool)
+    assert len(scores) == 300 and jumps[0] < 300 * 250 / 10
+
+
 def toxic_docs(n=240):
     rnd = random.Random(8)
     word = lambda: "".join(rnd.choice(["ta", "lo", "mi", "re", "su", "ka"]) for _ in range(rnd.randint(1, 3)))
