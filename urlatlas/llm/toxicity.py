@@ -60,7 +60,7 @@ THRESHOLD = 0.7
 #: Contexts that a task holds before it hands them on.
 HELD = 100_000
 #: Code points of texts that are worked on together, about; a text is never cut.
-RUN = 1 << 21
+RUN = 1 << 20
 #: Chains that are stepped through together at least; where fewer are that long, they go on word by word.
 BREADTH = 32
 #: Bytes of a word at most for its slots to be found together with those of others.
